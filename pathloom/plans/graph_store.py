@@ -48,10 +48,10 @@ def raw_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     pathways = part.select(F.explode(F.array("p_brand", "p_type")).alias("pathway")).distinct()
     return (
-        typed(table(spark, sf_dir, "supplier"), 0, DRUG, F.col("s_suppkey"), none, F.col("s_name"), "supplier")
-        .unionByName(typed(part, 1, GENE, F.col("p_partkey"), none, F.col("p_name"), "part"))
-        .unionByName(typed(pathways, 2, PATHWAY, F.lit(None), F.col("pathway"), F.col("pathway"), "part"))
-        .unionByName(typed(table(spark, sf_dir, "customer"), 3, DISEASE, F.col("c_custkey"), none, F.col("c_name"), "customer"))
+        typed(table(spark, sf_dir, "supplier"), 0, DRUG, F.col("s_suppkey"), none, F.col("s_name"), "DrugBank")
+        .unionByName(typed(part, 1, GENE, F.col("p_partkey"), none, F.col("p_name"), "NCBI"))
+        .unionByName(typed(pathways, 2, PATHWAY, F.lit(None), F.col("pathway"), F.col("pathway"), "REACTOME"))
+        .unionByName(typed(table(spark, sf_dir, "customer"), 3, DISEASE, F.col("c_custkey"), none, F.col("c_name"), "MONDO"))
     )
 
 
