@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_ratio
 from ..functions.text import normalize_text
+from ..lineage import materialize
 from ..schema import DISEASE, DRUG, GENE
 from .identity import alias_index_first_wins
 from .tables import dedup_keep_first, drop_null_rows
@@ -77,11 +79,10 @@ def resolve_entities(
     out = triples
     for side in SIDES:
         resolved = resolve_column_of(triples, side, index, (mappings or {}).get(side))
-        same = [out[c].eqNullSafe(resolved[c]) for c in resolved.columns if c in out.columns]
-        cond = same[0]
-        for s in same[1:]:
-            cond = cond & s
-        out = out.join(resolved, cond, "left").select(*[out[c] for c in out.columns], resolved[f"kg_{side}"])
+        keys = [c for c in (f"{side}_id", f"{side}_name") if c in triples.columns]
+        resolved = resolved.select(*[F.col(c).alias(f"_{c}") for c in keys], f"kg_{side}")
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+        out = out.join(resolved, same, "left").drop(*[f"_{c}" for c in keys])
     return out
 
 
@@ -113,7 +114,10 @@ def split_overlap_novel(triples: DataFrame, train_pairs: DataFrame) -> tuple[Dat
 
 
 def novelty_report(triples: DataFrame, train_pairs: DataFrame) -> DataFrame:
-    marked = mark_overlap(triples, train_pairs)
+    return _novelty(mark_overlap(triples, train_pairs))
+
+
+def _novelty(marked: DataFrame) -> DataFrame:
     pair = F.struct("kg_drug", "kg_disease")
     hit = F.col("is_overlap")
     return marked.agg(
@@ -128,38 +132,33 @@ def novelty_report(triples: DataFrame, train_pairs: DataFrame) -> DataFrame:
 
 
 def mapping_report(aligned: DataFrame) -> DataFrame:
-    """Per side and for whole triples: rows, mapped rows, entities and their rates."""
-    def side_row(side: str) -> DataFrame:
-        mapped = F.col(f"kg_{side}").isNotNull()
-        source = F.col(f"{side}_id")
-        entities, hits = F.count_distinct(source), F.count_distinct(F.when(mapped, source))
-        return aligned.agg(
-            F.lit(side).alias("scope"),
-            F.count("*").alias("n_triples"),
-            F.count_if(mapped).alias("n_mapped"),
-            safe_ratio(F.count_if(mapped), F.count("*")).alias("triple_rate"),
-            entities.alias("n_entities"),
-            hits.alias("n_mapped_entities"),
-            safe_ratio(hits, entities).alias("entity_rate"),
-        )
+    """Per side and for whole triples: rows, mapped rows, entities and their rates.
 
-    out = side_row("drug")
-    for side in ("target", "disease"):
-        out = out.unionByName(side_row(side))
-    whole = F.lit(True)
-    for side in SIDES:
-        whole = whole & F.col(f"kg_{side}").isNotNull()
-    triple = F.struct("drug_id", "target_id", "disease_id")
-    return out.unionByName(
-        aligned.agg(
-            F.lit("triple").alias("scope"),
-            F.count("*").alias("n_triples"),
-            F.count_if(whole).alias("n_mapped"),
-            safe_ratio(F.count_if(whole), F.count("*")).alias("triple_rate"),
-            F.count_distinct(triple).alias("n_entities"),
-            F.count_distinct(F.when(whole, F.struct(*[f"kg_{s}" for s in SIDES]))).alias("n_mapped_entities"),
-            safe_ratio(F.count_distinct(F.when(whole, triple)), F.count_distinct(triple)).alias("entity_rate"),
+    Every row is counted under its four scopes in one pass.
+    """
+    def cell(scope: str, sources: list[str], mapped: list[str]) -> Column:
+        ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in mapped])
+        return F.struct(
+            F.lit(scope).alias("scope"),
+            F.to_json(F.array(*sources)).alias("source"),
+            F.when(ok, F.to_json(F.array(*mapped))).alias("kg"),
         )
+
+    cells = [cell(s, [f"{s}_id"], [f"kg_{s}"]) for s in SIDES]
+    cells.append(cell("triple", [f"{s}_id" for s in SIDES], [f"kg_{s}" for s in SIDES]))
+    counts = aligned.select(F.inline(F.array(*cells))).groupBy("scope").agg(
+        F.count("*").alias("n_triples"),
+        F.count("kg").alias("n_mapped"),
+        F.count_distinct("source").alias("n_entities"),
+        F.count_distinct(F.when(F.col("kg").isNotNull(), F.col("source"))).alias("_hits"),
+        F.count_distinct("kg").alias("_kg"),
+    )
+    return counts.select(
+        "scope", "n_triples", "n_mapped",
+        safe_ratio(F.col("n_mapped"), F.col("n_triples")).alias("triple_rate"),
+        "n_entities",
+        F.when(F.col("scope") == "triple", F.col("_kg")).otherwise(F.col("_hits")).alias("n_mapped_entities"),
+        safe_ratio(F.col("_hits"), F.col("n_entities")).alias("entity_rate"),
     )
 
 
@@ -171,22 +170,21 @@ def alignment_report(
         cells = [F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in df.columns]
         return df.select(F.lit(section).alias("section"), F.inline(F.array(*cells)))
 
-    _, novel = split_overlap_novel(triples, train_pairs)
-    unique = novel.agg(
+    marked = materialize(mark_overlap(triples, train_pairs), "marked")
+    unique = marked.filter("not is_overlap").agg(
         F.count_distinct("kg_drug").alias("drugs"),
         F.count_distinct("kg_target").alias("targets"),
         F.count_distinct("kg_disease").alias("diseases"),
         F.count_distinct("kg_drug", "kg_disease").alias("pairs"),
     )
-    out = rows(drug_target.agg(F.count("*").alias("drug_target")), "input")
-    for df, section in (
+    stages = (
+        (drug_target.agg(F.count("*").alias("drug_target")), "input"),
         (target_disease.agg(F.count("*").alias("target_disease")), "input"),
         (candidates.agg(F.count("*").alias("candidates")), "construction"),
-        (novelty_report(triples, train_pairs), "novelty"),
+        (_novelty(marked), "novelty"),
         (unique, "novel_entities"),
-    ):
-        out = out.unionByName(rows(df, section))
-    return out
+    )
+    return reduce(DataFrame.unionByName, [rows(df, section) for df, section in stages])
 
 
 def training_pairs_from(paths: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -64,6 +64,13 @@ def number_within(
     hot = sizes.filter(F.col("_size") > rows_per_task).withColumn(
         "_slices", F.ceil(F.col("_size") / F.lit(rows_per_task)).cast("bigint")
     )
+    if hot.isEmpty():
+        group = Window.partitionBy(*(keys or [F.lit(0)]))
+        return df.select(
+            "*",
+            (F.row_number().over(group.orderBy(hash_col, *ties)) - 1).cast("bigint").alias(out),
+            F.count("*").over(group).alias(f"{out}_n"),
+        )
     # at most rows / rows_per_task groups can be this large
     sliced = _left_broadcast(df, hot.drop("_size"), keys).withColumn(
         "_slice",

@@ -23,28 +23,38 @@ from .numbering import ROWS_PER_TASK, number_within
 PAIR = ("drug", "disease")
 
 
-def numbered_pool(pool: DataFrame, groups: Sequence[str], seed: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Pool rows with ``idx`` and ``idx_n`` per group, in hash order."""
+def _numbered(pool: DataFrame, groups: Sequence[str], seed: int, rows_per_task: int) -> DataFrame:
     values = [c for c in pool.columns if c not in groups]
-    hashed = materialize(pool.withColumn("_h", key_hash(seed, *values)), "pool")
-    return materialize(number_within(hashed, groups, "_h", values, "idx", rows_per_task).drop("_h"), "numbered")
+    hashed = pool.withColumn("_h", key_hash(seed, *values))
+    return number_within(hashed, groups, "_h", values, "idx", rows_per_task).drop("_h")
 
 
-def with_pool_size(requests: DataFrame, pool: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Requests whose pool group is not empty, with its size ``idx_n``."""
-    first = pool.filter("idx = 0")
-    if groups:
-        return requests.join(first.select(*groups, "idx_n"), list(groups))
-    return requests.withColumn("idx_n", first.select("idx_n").scalar()).filter("idx_n is not null")
+def numbered_pool(pool: DataFrame, groups: Sequence[str], seed: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Pool rows with ``idx`` and ``idx_n`` per group, in hash order, written once."""
+    return materialize(_numbered(pool, groups, seed, rows_per_task), "pool")
 
 
 def draw_from_pool(
-    requests: DataFrame, pool: DataFrame, groups: Sequence[str], seed: int | str, request_keys: Sequence[str]
+    requests: DataFrame,
+    pool: DataFrame,
+    groups: Sequence[str],
+    seed: int,
+    salt: str,
+    request_keys: Sequence[str],
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """One uniform pool row per request; requests of an empty group are dropped."""
-    sized = with_pool_size(requests, pool, groups)
-    picked = sized.withColumn("idx", F.pmod(key_hash(seed, *request_keys), F.col("idx_n"))).drop("idx_n")
-    return picked.join(pool.drop("idx_n"), [*groups, "idx"]).drop("idx")
+    """One uniform pool row per request; requests of an empty group are dropped.
+
+    ``pool`` should be cheap to read: it is counted and numbered.
+    """
+    groups = list(groups)
+    if groups:
+        sized = requests.join(pool.groupBy(*groups).agg(F.count("*").alias("_n")), groups)
+    else:
+        sized = requests.withColumn("_n", F.lit(pool.count())).filter("_n > 0")
+    picked = sized.withColumn("idx", F.pmod(key_hash(salt, *request_keys), F.col("_n"))).drop("_n")
+    numbered = _numbered(pool, groups, seed, rows_per_task).drop("idx_n")
+    return picked.join(numbered, [*groups, "idx"]).drop("idx")
 
 
 def draw_excluding(
@@ -66,14 +76,18 @@ def draw_excluding(
     the whole pool are absent from the result.
     """
     request_keys, context, groups = list(request_keys), list(context), list(pool_groups)
-    asked = requests.select(*dict.fromkeys([*request_keys, *context]))
-    tries = with_pool_size(asked, pool, groups).withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    asked = materialize(requests.select(*dict.fromkeys([*request_keys, *context])), "requests")
+    sizes = pool.filter("idx = 0").select(*groups, "idx_n")
+    sized = asked.join(sizes, groups) if groups else asked.withColumn("idx_n", sizes.select("idx_n").scalar())
+    tries = sized.filter("idx_n is not null").withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     tries = tries.withColumn("idx", F.pmod(key_hash(seed, *request_keys, "_try"), F.col("idx_n"))).drop("idx_n")
     drawn = tries.join(pool.drop("idx_n"), [*groups, "idx"]).drop("idx")
     allowed = drawn.join(excluded.select(*context, value), [*context, value], "left_anti")
     hits = materialize(allowed.groupBy(*request_keys).agg(F.min_by(value, "_try").alias(value)), "draws")
 
     left = asked.join(hits, request_keys, "left_anti")
+    if left.isEmpty():
+        return hits
     free = first_free(left.select(*context).distinct(), context, pool, groups, excluded, value, rows_per_task)
     rest = left.join(free, context).select(*request_keys, value)
     return hits.unionByName(rest)
@@ -142,8 +156,8 @@ def _linked_negatives(positives: DataFrame, valid: DataFrame, strategy: str, see
     """(pair, neg_drug, neg_disease) drawn from connected, not known pairs."""
     fixed = {"cross_drug": ["disease"], "cross_disease": ["drug"], "random": []}[strategy]
     free = [c for c in PAIR if c not in fixed]
-    pool = numbered_pool(valid.select(*fixed, *[F.col(c).alias(f"neg_{c}") for c in free]), fixed, seed)
-    drawn = draw_from_pool(positives.select(*PAIR), pool, fixed, f"{seed}:{strategy}", PAIR)
+    pool = valid.select(*fixed, *[F.col(c).alias(f"neg_{c}") for c in free])
+    drawn = draw_from_pool(positives.select(*PAIR), pool, fixed, seed, f"{seed}:{strategy}", PAIR)
     return drawn.withColumns({f"neg_{c}": F.col(c) for c in fixed}).select(*PAIR, "neg_drug", "neg_disease")
 
 
@@ -166,20 +180,25 @@ def _pool_negatives(
 def _random_pool_pairs(
     positives: DataFrame, drugs: DataFrame, diseases: DataFrame, known: DataFrame, seed: int, draws: int
 ) -> DataFrame:
-    drug_pool = numbered_pool(drugs.select(F.col("drug").alias("neg_drug")), [], seed)
-    disease_pool = numbered_pool(diseases.select(F.col("disease").alias("neg_disease")), [], seed)
+    drug_ids = materialize(drugs.select(F.col("drug").alias("neg_drug")), "pool")
+    disease_ids = materialize(diseases.select(F.col("disease").alias("neg_disease")), "pool")
     neg_known = known.select(F.col("drug").alias("neg_drug"), F.col("disease").alias("neg_disease")).distinct()
-    asked = positives.select(*PAIR)
+    asked = materialize(positives.select(*PAIR), "requests")
     tries = asked.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     keys = [*PAIR, "_try"]
-    with_drug = draw_from_pool(tries, drug_pool, [], f"{seed}:pool:drug", keys)
-    drawn = draw_from_pool(with_drug, disease_pool, [], f"{seed}:pool:disease", keys)
+    with_drug = draw_from_pool(tries, drug_ids, [], seed, f"{seed}:pool:drug", keys)
+    drawn = draw_from_pool(with_drug, disease_ids, [], seed, f"{seed}:pool:disease", keys)
     allowed = drawn.join(neg_known, ["neg_drug", "neg_disease"], "left_anti")
     pick = F.min_by(F.struct("neg_drug", "neg_disease"), "_try").alias("_p")
     hits = materialize(
         allowed.groupBy(*PAIR).agg(pick).select(*PAIR, "_p.neg_drug", "_p.neg_disease"), "draws"
     )
+    left = asked.join(hits, list(PAIR), "left_anti")
+    if left.isEmpty():
+        return hits
     # every request left over gets the first free pair of the whole pool: one row
+    drug_pool = numbered_pool(drug_ids, [], seed)
+    disease_pool = numbered_pool(disease_ids, [], seed)
     n_diseases = disease_pool.filter("idx = 0").select("idx_n").scalar()
     in_pool = neg_known.join(disease_pool, "neg_disease", "left_semi")
     taken = in_pool.groupBy("neg_drug").agg(F.count("*").alias("_n"))
@@ -190,7 +209,6 @@ def _random_pool_pairs(
         .filter("neg_drug is not null")
     )
     spare = first_free(open_drug, ["neg_drug"], disease_pool, [], neg_known, "neg_disease")
-    left = asked.join(hits, list(PAIR), "left_anti")
     rest = left.withColumn("_p", spare.select(F.struct("neg_drug", "neg_disease")).scalar())
     return hits.unionByName(rest.filter("_p is not null").select(*PAIR, "_p.neg_drug", "_p.neg_disease"))
 
@@ -227,24 +245,26 @@ def negative_pairs(
     """
     if strategy not in STRATEGY_ORDER:
         raise ValueError(f"unknown negative strategy: {strategy}")
-    pairs = positives.select(*PAIR).distinct()
+    pairs = materialize(positives.select(*PAIR).distinct(), "positives")
     known = known.select(*PAIR).unionByName(pairs).distinct()
     restricted = drug_pool is not None or disease_pool is not None
     all_drugs = drug_pool if drug_pool is not None else drugs
     all_diseases = disease_pool if disease_pool is not None else diseases
-    valid = materialize(connected.select(*PAIR).join(known, list(PAIR), "left_anti").distinct(), "valid")
+    valid = materialize(connected.select(*PAIR).distinct().join(known, list(PAIR), "left_anti"), "valid")
 
     out = pairs
     for name in STRATEGY_ORDER[strategy]:
         side = {"cross_drug": drug_pool, "cross_disease": disease_pool}.get(name)
-        stages = []
+        picks, left = None, pairs
         if name != "random" or not restricted:
             candidates = valid.join(side, side.columns, "left_semi") if side is not None else valid
-            stages.append(_linked_negatives(pairs, candidates, name, seed))
-        if name == "random" or side is not None:
-            left = pairs.join(stages[0], list(PAIR), "left_anti") if stages else pairs
-            stages.append(_pool_negatives(left, name, all_drugs, all_diseases, known, seed, draws))
-        picks = stages[0].unionByName(stages[1]) if len(stages) == 2 else stages[0]
+            picks = _linked_negatives(pairs, candidates, name, seed)
+            if name == "random" or side is not None:
+                picks = materialize(picks, "linked")
+                left = pairs.join(picks, list(PAIR), "left_anti")
+        if (name == "random" or side is not None) and not left.isEmpty():
+            spare = _pool_negatives(left, name, all_drugs, all_diseases, known, seed, draws)
+            picks = picks.unionByName(spare) if picks is not None else spare
         packed = picks.select(*PAIR, F.struct("neg_drug", "neg_disease", F.lit(name).alias("used")).alias(f"_{name}"))
         out = out.join(packed, list(PAIR), "left")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align_queries, audit_queries, identity_queries, path_queries, sampling_queries  # noqa: F401
+from . import align_queries, audit_queries, identity_queries, metric_queries, path_queries, sampling_queries  # noqa: F401
 from .registry import CATALOGUE
 
 FLAGSHIP = "deletions"
