@@ -10,36 +10,42 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-# --- fixed values: spellings that stand for an absent value ---
+# --- fixed values: spellings that stand for an absent value, and blanks to strip ---
 MISSING_TEXT = ("", "nan", "none", "null")
 MISSING_SMILES = ("", "NOT_FOUND", "ERROR")
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # --- end of fixed values ---
 
 
+def strip(col: Column | str) -> Column:
+    """Text without blanks of any kind at its ends."""
+    return F.trim(_c(col), F.lit(BLANKS))
+
+
 def collapse_spaces(col: Column | str) -> Column:
-    return F.trim(F.regexp_replace(_c(col), r"\s+", " "))
+    return strip(F.regexp_replace(_c(col), r"(?U)\s+", " "))
 
 
 def normalize_text(col: Column | str, collapse: bool = False) -> Column:
     """Lookup form of a string: trimmed, lower case, null as empty."""
-    text = collapse_spaces(col) if collapse else F.trim(_c(col))
+    text = collapse_spaces(col) if collapse else strip(col)
     return F.coalesce(F.lower(text), F.lit(""))
 
 
 def is_missing_text(col: Column | str) -> Column:
     text = _c(col).cast("string")
-    return text.isNull() | F.lower(F.trim(text)).isin(*MISSING_TEXT)
+    return text.isNull() | F.lower(strip(text)).isin(*MISSING_TEXT)
 
 
 def safe_text(col: Column | str, default: str | Column | None = "") -> Column:
     """Trimmed text, or ``default`` for every spelling of an absent value."""
     fallback = default if isinstance(default, Column) else F.lit(default)
-    return F.when(is_missing_text(col), fallback).otherwise(F.trim(_c(col).cast("string")))
+    return F.when(is_missing_text(col), fallback).otherwise(strip(_c(col).cast("string")))
 
 
 def is_missing_smiles(col: Column | str) -> Column:
     text = _c(col)
-    return text.isNull() | F.trim(text).isin(*MISSING_SMILES)
+    return text.isNull() | strip(text).isin(*MISSING_SMILES)
 
 
 def id_suffix(col: Column | str) -> Column:
@@ -67,7 +73,7 @@ def token_text(col: Column | str) -> Column:
 
 def segments(col: Column | str) -> Column:
     """Sentence pieces between full stops, blanks dropped."""
-    pieces = F.transform(F.split(_c(col), r"\s*[.]\s*"), lambda p: F.trim(p))
+    pieces = F.transform(F.split(_c(col), r"(?U)\s*[.]\s*"), strip)
     return F.filter(pieces, lambda p: p != "")
 
 
@@ -78,12 +84,12 @@ def join_segments(col: Column) -> Column:
 
 def chunks(col: Column | str) -> Column:
     """Ordered distinct entries of a loosely delimited list cell."""
-    raw = F.trim(_c(col).cast("string"))
+    raw = strip(_c(col).cast("string"))
     flat = F.regexp_replace(F.regexp_replace(raw, "\n", " "), r"^[\[\]]+|[\[\]]+$", "")
     pieces = F.split(flat, r";|\||,(?=\s*[A-Za-z0-9])")
     pieces = F.when(F.size(pieces) == 1, F.split(flat, r"'\s+'|\"\s+\"")).otherwise(pieces)
     cleaned = F.transform(
-        pieces, lambda p: collapse_spaces(F.regexp_replace(F.trim(p), "^['\"]+|['\"]+$", ""))
+        pieces, lambda p: collapse_spaces(F.regexp_replace(strip(p), "^['\"]+|['\"]+$", ""))
     )
     kept = F.filter(cleaned, lambda p: ~F.lower(p).isin("", "nan", "none"))
     return F.coalesce(F.array_distinct(kept), F.array().cast("array<string>"))
@@ -97,19 +103,19 @@ def list_literal(col: Column | str) -> Column:
     raw = safe_text(col)
     quoted = F.when(raw.startswith("["), F.from_json(F.translate(raw, "'", '"'), "array<string>"))
     loose = F.split(F.translate(raw, "[]\n", "   "), r"[,'\"]+|\s{2,}")
-    trimmed = F.transform(F.when(F.size(quoted) > 0, quoted).otherwise(loose), lambda p: F.trim(p))
+    trimmed = F.transform(F.when(F.size(quoted) > 0, quoted).otherwise(loose), strip)
     kept = F.filter(trimmed, lambda p: ~is_missing_text(p))
     return F.coalesce(F.array_distinct(kept), F.array().cast("array<string>"))
 
 
 def comma_items(col: Column | str) -> Column:
     """Trimmed non-empty items of a comma separated cell."""
-    items = F.transform(F.split(_c(col).cast("string"), ","), lambda p: F.trim(p))
+    items = F.transform(F.split(_c(col).cast("string"), ","), strip)
     return F.filter(items, lambda p: p != "")
 
 
 def base_text(name: Column | str, node_type: Column | str, type_prefix: bool = True) -> Column:
-    clean = F.trim(_c(name))
+    clean = strip(name)
     return F.concat(_c(node_type), F.lit(": "), clean) if type_prefix else clean
 
 
@@ -128,7 +134,7 @@ def compose_text(strategy: str, base: Column, rich: Column, graph: Column) -> tu
         raise ValueError(f"unknown text strategy: {strategy}")
     has_rich = F.coalesce(rich, F.lit("")) != ""
     has_graph = F.coalesce(graph, F.lit("")) != ""
-    parts = F.transform(F.array(base, F.coalesce(rich, F.lit("")), F.coalesce(graph, F.lit(""))), lambda p: F.trim(p))
+    parts = F.transform(F.array(base, F.coalesce(rich, F.lit("")), F.coalesce(graph, F.lit(""))), strip)
     text = F.array_join(F.array_distinct(F.filter(parts, lambda p: p != "")), " ")
     tag = F.concat_ws(
         "+", F.lit("name"), F.when(has_rich, F.lit("rich_text")), F.when(has_graph, F.lit("graph_context"))
@@ -158,7 +164,7 @@ def text_to_encode(name: Column, mechanism: Column, kind: str = "disease") -> Co
     """Mechanism text when there is one, else a sentence saying what the entity is."""
     subject, predicate = FALLBACK_SENTENCES[kind]
     sentence = F.concat(safe_text(name, subject), F.lit(f" {predicate}"))
-    return F.when(is_missing_text(mechanism), sentence).otherwise(F.trim(mechanism))
+    return F.when(is_missing_text(mechanism), sentence).otherwise(strip(mechanism))
 
 
 GO_SCHEMA = "struct<MF:string,BP:string>"

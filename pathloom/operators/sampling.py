@@ -265,6 +265,8 @@ def negative_pairs(
         if (name == "random" or side is not None) and not left.isEmpty():
             spare = _pool_negatives(left, name, all_drugs, all_diseases, known, seed, draws)
             picks = picks.unionByName(spare) if picks is not None else spare
+        if picks is None:  # no positives at all
+            picks = pairs.select(*PAIR, F.col("drug").alias("neg_drug"), F.col("disease").alias("neg_disease"))
         packed = picks.select(*PAIR, F.struct("neg_drug", "neg_disease", F.lit(name).alias("used")).alias(f"_{name}"))
         out = out.join(packed, list(PAIR), "left")
 

@@ -65,10 +65,12 @@ def entity_text_aggregate(
     Chunks repeated over many rows collapse to their first position before the
     cap, and the cap is applied before anything is collected.
     """
-    parts = [
-        F.transform(chunks(c), lambda p, i, n=n: F.struct(F.lit(n).alias("seg"), i.alias("pos"), p.alias("piece")))
-        for n, (c, _, _, _) in enumerate(segments)
-    ]
+    def numbered(segment: int, column: str) -> Column:
+        return F.transform(
+            chunks(column), lambda p, i: F.struct(F.lit(segment).alias("seg"), i.alias("pos"), p.alias("piece"))
+        )
+
+    parts = [numbered(n, c) for n, (c, _, _, _) in enumerate(segments)]
     exploded = df.select(key, order, F.inline(F.concat(*parts)))
     first = exploded.groupBy(key, "seg", "piece").agg(F.min(F.struct(order, "pos")).alias("_at"))
     rank = F.row_number().over(Window.partitionBy(key, "seg").orderBy("_at"))

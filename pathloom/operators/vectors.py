@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,8 +161,8 @@ def principal_axes(vectors: DataFrame, vec: str = "vec") -> tuple[np.ndarray, np
     The covariance is summed by the executors; only its d x d matrix, bounded by
     the vector length, reaches the driver for the eigenvectors.
     """
-    rows = vectors.select(F.col(vec).cast("array<double>").alias("v")).rdd.map(lambda r: OldVectors.dense(r["v"]))
-    matrix = RowMatrix(rows)
+    rows = vectors.select(array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v"))
     summary = matrix.computeColumnSummaryStatistics()
     values, axes = np.linalg.eigh(matrix.computeCovariance().toArray())
     order = np.argsort(values)[::-1]

@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import align_queries, audit_queries, identity_queries, metric_queries, path_queries, sampling_queries  # noqa: F401
+from . import (  # noqa: F401
+    align_queries,
+    audit_queries,
+    identity_queries,
+    metric_queries,
+    path_queries,
+    sampling_queries,
+    text_queries,
+    vector_queries,
+)
 from .registry import CATALOGUE
 
 FLAGSHIP = "deletions"
