@@ -73,7 +73,7 @@ def token_text(col: Column | str) -> Column:
 
 def segments(col: Column | str) -> Column:
     """Sentence pieces between full stops, blanks dropped."""
-    pieces = F.transform(F.split(_c(col), r"(?U)\s*[.]\s*"), strip)
+    pieces = F.split(strip(col), r"\s*[.]\s*")
     return F.filter(pieces, lambda p: p != "")
 
 

@@ -75,7 +75,7 @@ def resolve_entities(
     triples: DataFrame, nodes: DataFrame, mappings: Mapping[str, DataFrame] | None = None
 ) -> DataFrame:
     """Triples with the raw id and name of every side, null where unmapped."""
-    index = alias_index_first_wins(nodes)
+    index = materialize(alias_index_first_wins(nodes), "aliases")
     out = triples
     for side in SIDES:
         resolved = resolve_column_of(triples, side, index, (mappings or {}).get(side))

@@ -105,7 +105,7 @@ def _inner_broadcast(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> Da
     return df.join(F.broadcast(small), list(keys)) if keys else df.crossJoin(F.broadcast(small))
 
 
-def value_buckets(df: DataFrame, value: str, out: str = "_bucket", buckets: int = 256) -> DataFrame:
+def value_buckets(df: DataFrame, value: str, buckets: int, out: str = "_bucket") -> DataFrame:
     """Order-preserving bucket number of a numeric column, near-equal in size.
 
     The boundaries are ``buckets`` doubles from a quantile sketch; equal values
@@ -122,14 +122,22 @@ def prefix_sums(
     value: str,
     sums: Sequence[str],
     groups: Sequence[str] = (),
-    buckets: int = 256,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``{c}_before``: per group, the sum of ``c`` over strictly smaller values.
 
-    ``df`` holds one row per (group, value), ``value`` being DOUBLE.
+    ``df`` holds one row per (group, value), ``value`` being DOUBLE, and is read
+    several times: pass a written table. Up to ``rows_per_task`` rows a plain
+    window does; beyond, values are cut into buckets of half that size whose
+    totals are summed first.
     """
     groups = list(groups)
-    bucketed = value_buckets(df, value, buckets=buckets)
+    n = df.count()
+    if n <= rows_per_task:
+        below = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(value)
+        below = below.rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"{c}_before") for c in sums])
+    bucketed = value_buckets(df, value, 2 * -(-n // rows_per_task))
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = bucketed.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     offsets = totals.select(

@@ -255,18 +255,19 @@ def negative_pairs(
     out = pairs
     for name in STRATEGY_ORDER[strategy]:
         side = {"cross_drug": drug_pool, "cross_disease": disease_pool}.get(name)
-        picks, left = None, pairs
-        if name != "random" or not restricted:
-            candidates = valid.join(side, side.columns, "left_semi") if side is not None else valid
-            picks = _linked_negatives(pairs, candidates, name, seed)
-            if name == "random" or side is not None:
-                picks = materialize(picks, "linked")
-                left = pairs.join(picks, list(PAIR), "left_anti")
-        if (name == "random" or side is not None) and not left.isEmpty():
-            spare = _pool_negatives(left, name, all_drugs, all_diseases, known, seed, draws)
-            picks = picks.unionByName(spare) if picks is not None else spare
-        if picks is None:  # no positives at all
-            picks = pairs.select(*PAIR, F.col("drug").alias("neg_drug"), F.col("disease").alias("neg_disease"))
+        if name == "random" and not restricted and not valid.isEmpty():
+            # any pair can take any connected candidate, so none is left over
+            picks = _linked_negatives(pairs, valid, name, seed)
+        elif name == "random":
+            picks = _pool_negatives(pairs, name, all_drugs, all_diseases, known, seed, draws)
+        elif side is None:
+            picks = _linked_negatives(pairs, valid, name, seed)
+        else:
+            allowed = valid.join(side, side.columns, "left_semi")
+            picks = materialize(_linked_negatives(pairs, allowed, name, seed), "linked")
+            left = pairs.join(picks, list(PAIR), "left_anti")
+            if not left.isEmpty():
+                picks = picks.unionByName(_pool_negatives(left, name, all_drugs, all_diseases, known, seed, draws))
         packed = picks.select(*PAIR, F.struct("neg_drug", "neg_disease", F.lit(name).alias("used")).alias(f"_{name}"))
         out = out.join(packed, list(PAIR), "left")
 

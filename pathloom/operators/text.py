@@ -62,18 +62,20 @@ def entity_text_aggregate(
 ) -> DataFrame:
     """(key, text): the first distinct chunks of each column, capped per segment.
 
-    Chunks repeated over many rows collapse to their first position before the
-    cap, and the cap is applied before anything is collected.
+    Repeated cells collapse to their first row before they are parsed, repeated
+    chunks to their first position before the cap, and the cap is applied before
+    anything is collected.
     """
-    def numbered(segment: int, column: str) -> Column:
-        return F.transform(
-            chunks(column), lambda p, i: F.struct(F.lit(segment).alias("seg"), i.alias("pos"), p.alias("piece"))
-        )
-
-    parts = [numbered(n, c) for n, (c, _, _, _) in enumerate(segments)]
-    exploded = df.select(key, order, F.inline(F.concat(*parts)))
-    first = exploded.groupBy(key, "seg", "piece").agg(F.min(F.struct(order, "pos")).alias("_at"))
-    rank = F.row_number().over(Window.partitionBy(key, "seg").orderBy("_at"))
+    cells = [F.struct(F.lit(n).alias("seg"), F.col(c).cast("string").alias("cell")) for n, (c, _, _, _) in enumerate(segments)]
+    distinct = (
+        df.select(key, order, F.inline(F.array(*cells)))
+        .filter("cell is not null")
+        .groupBy(key, "seg", "cell")
+        .agg(F.min(order).alias("_first"))
+    )
+    exploded = distinct.select(key, "seg", "_first", F.posexplode(chunks("cell")).alias("pos", "piece"))
+    first = exploded.groupBy(key, "seg", "piece").agg(F.min(F.struct("_first", "pos")).alias("_at"))
+    rank = F.row_number().over(Window.partitionBy(key, "seg").orderBy("_at", "piece"))
     caps = F.element_at(F.array(*[F.lit(cap) for _, _, cap, _ in segments]), F.col("seg") + 1)
     most = max(cap for _, _, cap, _ in segments)
     kept = first.withColumn("_r", rank).filter(F.col("_r") <= most).filter(F.col("_r") <= caps)

@@ -220,8 +220,9 @@ def pool_tokens(tokens: DataFrame, mode: str, dim: int) -> DataFrame:
 
 
 def _zero_filled(keys: DataFrame, pooled: DataFrame, on: Sequence[str], dim: int) -> DataFrame:
-    filled = F.coalesce(vector_to_array("_m"), zeros(dim).cast("array<double>"))
-    return keys.join(pooled, list(on), "left").select(*on, filled.alias("vec"))
+    arrays = pooled.select(*on, vector_to_array("_m").alias("_a"))
+    filled = F.coalesce("_a", zeros(dim).cast("array<double>"))
+    return keys.join(arrays, list(on), "left").select(*on, filled.alias("vec"))
 
 
 def pool_paths(pairs: DataFrame, path_vectors: DataFrame, mode: str, dim: int) -> DataFrame:

@@ -21,9 +21,9 @@ NEIGHBOURS = 5
   SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\s*[.]\s*'), lambda p: trim(p, E' \t\n\r')), lambda p: p <> '') AS s FROM documents)""",
 )
 def segments(spark, sf_dir):
-    pieces = tx.segments("text")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.size(pieces).cast("bigint").alias("n_segments"), tx.join_segments(pieces).alias("text")
+    cut = table(spark, sf_dir, "documents").select("doc_id", tx.segments("text").alias("pieces"))
+    return cut.select(
+        "doc_id", F.size("pieces").cast("bigint").alias("n_segments"), tx.join_segments(F.col("pieces")).alias("text")
     )
 
 
@@ -180,12 +180,12 @@ def sanitized(spark, sf_dir):
 
 # --- rich texts of drugs ---
 
-_LINES = """, lines AS (SELECT l_suppkey + 1 AS global_id, (l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS k, p_brand, p_type, p_name, l_returnflag, l_linestatus, o_orderstatus, l_linenumber
+_LINES = """, lines AS (SELECT l_suppkey + 1 AS global_id, l_orderkey * 10 + l_linenumber AS k, p_brand, p_type, p_name, l_returnflag, l_linestatus, o_orderstatus, l_linenumber
     FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
   chunked AS (SELECT global_id, 0 AS seg, k, unnest([0, 1]) AS pos, unnest([p_brand, p_type]) AS piece FROM lines
     UNION ALL SELECT global_id, 1, k, 0, p_name FROM lines UNION ALL SELECT global_id, 2, k, 0, l_returnflag FROM lines
     UNION ALL SELECT global_id, 3, k, 0, l_linestatus FROM lines UNION ALL SELECT global_id, 4, k, 0, o_orderstatus FROM lines),
-  capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY global_id, seg ORDER BY first_at) AS r FROM (SELECT global_id, seg, piece, min((k, pos)) AS first_at FROM chunked GROUP BY ALL))
+  capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY global_id, seg ORDER BY first_at, piece) AS r FROM (SELECT global_id, seg, piece, min((k, pos)) AS first_at FROM chunked GROUP BY ALL))
     WHERE r <= CASE seg WHEN 0 THEN 8 WHEN 1 THEN 12 ELSE 4 END),
   rich AS (SELECT global_id, string_agg(txt, '. ' ORDER BY seg) || '. max clinical phase in open targets: ' || (SELECT max(l_linenumber) FROM lines x WHERE x.global_id = s.global_id) || '.' AS text FROM (
     SELECT global_id, seg, CASE seg WHEN 0 THEN 'trade names: ' WHEN 1 THEN 'synonyms: ' WHEN 2 THEN 'drug type: ' WHEN 3 THEN 'mechanism of action: ' ELSE 'open targets status: ' END
@@ -202,7 +202,7 @@ def rich_texts(spark, sf_dir):
             "concat('drug::', l_suppkey) as raw_id",
             "concat(p_brand, '; ', p_type) as trade_names", "p_name as synonyms", "l_returnflag as drug_type",
             "l_linestatus as mechanism_of_action", "o_orderstatus as status", "l_linenumber as phase",
-            "struct(l_orderkey, l_linenumber, l_partkey, l_extendedprice) as ord",
+            "l_orderkey * 10 + l_linenumber as ord",
         )
     )
     texts = te.entity_text_aggregate(rows, "raw_id", te.ENTITY_SEGMENTS["drug"], "ord", "phase")
