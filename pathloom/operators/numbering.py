@@ -60,30 +60,32 @@ def number_within(
     on the slicing.
     """
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_size")) if keys else df.agg(F.count("*").alias("_size"))
-    hot = sizes.filter(F.col("_size") > rows_per_task).withColumn(
-        "_slices", F.ceil(F.col("_size") / F.lit(rows_per_task)).cast("bigint")
-    )
-    if hot.isEmpty():
+    fraction = F.col(hash_col).cast("double") / F.lit(HASH_SPACE)
+    if keys:
+        sizes = df.groupBy(*keys).agg(F.count("*").alias("_size")).filter(F.col("_size") > rows_per_task)
+        hot = sizes.withColumn("_slices", F.ceil(F.col("_size") / F.lit(rows_per_task)).cast("bigint"))
+        all_small = hot.isEmpty()
+        # at most rows / rows_per_task groups can be this large
+        sized = df if all_small else df.join(F.broadcast(hot), keys, "left")
+    else:
+        n = df.count()
+        all_small = n <= rows_per_task
+        sized = df.withColumns({"_size": F.lit(n), "_slices": F.lit(-(-n // rows_per_task))})
+    if all_small:
         group = Window.partitionBy(*(keys or [F.lit(0)]))
         return df.select(
             "*",
             (F.row_number().over(group.orderBy(hash_col, *ties)) - 1).cast("bigint").alias(out),
             F.count("*").over(group).alias(f"{out}_n"),
         )
-    # at most rows / rows_per_task groups can be this large
-    sliced = _left_broadcast(df, hot.drop("_size"), keys).withColumn(
-        "_slice",
-        F.coalesce(
-            F.floor(F.col(hash_col).cast("double") / F.lit(HASH_SPACE) * F.col("_slices")).cast("bigint"), F.lit(0)
-        ),
+    sliced = sized.withColumn(
+        "_slice", F.coalesce(F.floor(fraction * F.col("_slices")).cast("bigint"), F.lit(0).cast("bigint"))
     )
     slice_keys = [*keys, "_slice"]
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = sliced.filter(F.col("_slices").isNotNull()).groupBy(*slice_keys).agg(F.count("*").alias("_n"))
+    # one row per slice of a large group
     offsets = totals.select(*slice_keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    offsets = _inner_broadcast(offsets, hot.drop("_slices"), keys)
-
     in_slice = Window.partitionBy(*slice_keys)
     numbered = sliced.withColumn("_rn", F.row_number().over(in_slice.orderBy(hash_col, *ties)) - 1).withColumn(
         "_in_slice", F.count("*").over(in_slice)
@@ -95,16 +97,6 @@ def number_within(
     )
 
 
-def _left_broadcast(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    if keys:
-        return df.join(F.broadcast(small), list(keys), "left")
-    return df.join(F.broadcast(small), F.lit(True), "left")
-
-
-def _inner_broadcast(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(F.broadcast(small), list(keys)) if keys else df.crossJoin(F.broadcast(small))
-
-
 def value_buckets(df: DataFrame, value: str, buckets: int, out: str = "_bucket") -> DataFrame:
     """Order-preserving bucket number of a numeric column, near-equal in size.
 
@@ -158,7 +150,7 @@ def lower_median(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataF
     )
     ranked = prefix_sums(counts, value, ["_n"], groups)
     totals = counts.groupBy(*groups).agg(F.sum("_n").alias("_total"))
-    joined = ranked.join(totals, groups) if groups else ranked.crossJoin(totals)
+    joined = ranked.join(totals, groups) if groups else ranked.withColumn("_total", totals.scalar())
     middle = F.ceil(F.col("_total") / 2)
     hit = (F.col("_n_before") < middle) & (F.col("_n_before") + F.col("_n") >= middle)
     return joined.filter(hit).select(*groups, F.col(value).alias("median"))

@@ -263,7 +263,7 @@ def negative_pairs(
         elif side is None:
             picks = _linked_negatives(pairs, valid, name, seed)
         else:
-            allowed = valid.join(side, side.columns, "left_semi")
+            allowed = materialize(valid.join(side, side.columns, "left_semi"), "allowed")
             picks = materialize(_linked_negatives(pairs, allowed, name, seed), "linked")
             left = pairs.join(picks, list(PAIR), "left_anti")
             if not left.isEmpty():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import ahocorasick
 import pandas as pd
@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 
 from ..functions.graph import normalize_relation
 from ..functions.keyed import key_hash
-from ..functions.text import base_text, chunks, compose_text, token_text, tokens
+from ..functions.text import base_text, chunks, compose_text, join_segments, segments, strip, token_text, tokens
+from ..lineage import materialize
 from ..schema import DIRECT_RELATIONS, DISEASE, DRUG, GENE, PATHWAY
 
 # --- fixed values: text segments as (column, label, cap, separator), in output order ---
@@ -58,7 +59,7 @@ def _sentence(parts: Column) -> Column:
 
 
 def entity_text_aggregate(
-    df: DataFrame, key: str, segments: Sequence[tuple[str, str, int, str]], order: str, phase: str | None = None
+    df: DataFrame, key: str, specs: Sequence[tuple[str, str, int, str]], order: str, phase: str | None = None
 ) -> DataFrame:
     """(key, text): the first distinct chunks of each column, capped per segment.
 
@@ -66,7 +67,7 @@ def entity_text_aggregate(
     chunks to their first position before the cap, and the cap is applied before
     anything is collected.
     """
-    cells = [F.struct(F.lit(n).alias("seg"), F.col(c).cast("string").alias("cell")) for n, (c, _, _, _) in enumerate(segments)]
+    cells = [F.struct(F.lit(n).alias("seg"), F.col(c).cast("string").alias("cell")) for n, (c, _, _, _) in enumerate(specs)]
     distinct = (
         df.select(key, order, F.inline(F.array(*cells)))
         .filter("cell is not null")
@@ -76,13 +77,13 @@ def entity_text_aggregate(
     exploded = distinct.select(key, "seg", "_first", F.posexplode(chunks("cell")).alias("pos", "piece"))
     first = exploded.groupBy(key, "seg", "piece").agg(F.min(F.struct("_first", "pos")).alias("_at"))
     rank = F.row_number().over(Window.partitionBy(key, "seg").orderBy("_at", "piece"))
-    caps = F.element_at(F.array(*[F.lit(cap) for _, _, cap, _ in segments]), F.col("seg") + 1)
-    most = max(cap for _, _, cap, _ in segments)
+    caps = F.element_at(F.array(*[F.lit(cap) for _, _, cap, _ in specs]), F.col("seg") + 1)
+    most = max(cap for _, _, cap, _ in specs)
     kept = first.withColumn("_r", rank).filter(F.col("_r") <= most).filter(F.col("_r") <= caps)
     lists = kept.groupBy(key).agg(
         *[
             F.sort_array(F.collect_list(F.when(F.col("seg") == n, F.struct("_r", "piece")))).alias(f"_s{n}")
-            for n in range(len(segments))
+            for n in range(len(specs))
         ]
     )
     texts = [
@@ -90,7 +91,7 @@ def entity_text_aggregate(
             F.size(f"_s{n}") > 0,
             F.concat(F.lit(f"{label}: "), F.array_join(F.transform(F.col(f"_s{n}"), lambda s: s["piece"]), sep)),
         )
-        for n, (_, label, _, sep) in enumerate(segments)
+        for n, (_, label, _, sep) in enumerate(specs)
     ]
     if phase is None:
         return lists.select(key, _sentence(F.array(*texts)).alias("text")).filter("text <> ''")
@@ -136,8 +137,9 @@ def graph_context(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return lists.select("global_id", _sentence(F.array(*texts)).alias("text"))
 
 
-# Phrases one automaton holds; a larger list is matched shard by shard.
-PHRASES_PER_SHARD = 500_000
+# Phrases one matcher holds, and texts one task matches against them.
+PHRASES_PER_MATCHER = 500_000
+TEXTS_PER_BLOCK = 50_000
 
 
 def name_phrases(nodes: DataFrame, node_type: str) -> DataFrame:
@@ -150,83 +152,122 @@ def name_phrases(nodes: DataFrame, node_type: str) -> DataFrame:
     return nodes.filter((F.col("node_type") == node_type) & usable).select(token_text("name").alias("phrase")).distinct()
 
 
-class PhraseMatcher:
-    """Tells whether a text holds a phrase whose first four characters start a token of it."""
+def _automaton(phrases: Iterable[str]) -> ahocorasick.Automaton:
+    machine = ahocorasick.Automaton()
+    for phrase in phrases:
+        machine.add_word(phrase, phrase.split(" ", 1)[0][:4])
+    machine.make_automaton()
+    return machine
+
+
+def _holds_phrase(machine: ahocorasick.Automaton, text: str | None) -> bool:
+    """Some phrase occurs in the text and its first four characters start one of the text's words."""
+    words = re.findall("[a-z0-9]+", text.lower()) if text else []
+    if not words or not len(machine):
+        return False
+    starts = {w[:4] for w in words}
+    return any(prefix in starts for _, prefix in machine.iter(" ".join(words)))
+
+
+class SharedPhrases:
+    """A bounded phrase list broadcast to the workers, each building its matcher once."""
 
     _built: dict[str, ahocorasick.Automaton] = {}  # per Python worker, by list id
 
-    def __init__(self, shared):
-        self._shared = shared
+    def __init__(self, phrases: DataFrame):
+        listed = [r["phrase"] for r in phrases.collect()]
+        self._shared = phrases.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, listed))
 
-    def automaton(self) -> ahocorasick.Automaton:
+    def matches(self, text: str | None) -> bool:
         key = self._shared.value[0]
         if key not in self._built:
-            machine = ahocorasick.Automaton()
-            for phrase in self._shared.value[1]:
-                machine.add_word(phrase, phrase.split(" ", 1)[0][:4])
-            machine.make_automaton()
             while len(self._built) >= 4:
                 self._built.pop(next(iter(self._built)))
-            self._built[key] = machine
-        return self._built[key]
+            self._built[key] = _automaton(self._shared.value[1])
+        return _holds_phrase(self._built[key], text)
 
-    def matches(self, text: str | None) -> bool:
-        words = re.findall("[a-z0-9]+", text.lower()) if text else []
-        if not words:
-            return False
-        starts = {w[:4] for w in words}
-        machine = self.automaton()
-        return len(machine) > 0 and any(prefix in starts for _, prefix in machine.iter(" ".join(words)))
-
-
-def phrase_matchers(phrases: DataFrame, per_shard: int = PHRASES_PER_SHARD) -> list[PhraseMatcher]:
-    """Matchers that together hold every phrase, each of bounded size."""
-    sc = phrases.sparkSession.sparkContext
-    shards = max(1, -(-phrases.count() // per_shard))
-    out = []
-    for shard in range(shards):
-        part = phrases.filter(F.pmod(key_hash("shard", "phrase"), F.lit(shards)) == shard) if shards > 1 else phrases
-        listed = [r["phrase"] for r in part.collect()]
-        out.append(PhraseMatcher(sc.broadcast((uuid.uuid4().hex, listed))))
-    return out
-
-
-def blocklist_match(text: Column, matchers: Sequence[PhraseMatcher]) -> Column:
-    """Whether any blocklisted phrase occurs in the text."""
-    @F.pandas_udf("boolean")
-    def hit(col: pd.Series) -> pd.Series:
-        return col.map(lambda t: any(m.matches(t) for m in matchers))
-
-    return hit(text)
-
-
-def clean_segments(text: Column, matchers: Sequence[PhraseMatcher]) -> Column:
-    """Text without the sentences that hold a blocklisted phrase; null stays null."""
-    def clean(t: str | None) -> str | None:
-        if t is None:
-            return None
-        pieces = [p.strip() for p in re.split(r"\s*[.]\s*", t) if p.strip()]
-        kept = [p for p in pieces if not any(m.matches(p) for m in matchers)]
-        return ". ".join(kept) + "." if kept else ""
-
-    @F.pandas_udf("string")
-    def cleaned(col: pd.Series) -> pd.Series:
-        return col.map(clean)
-
-    return cleaned(text)
-
-
-def sanitize_text(
-    text: Column, node_type: Column, drug_matchers: Sequence[PhraseMatcher], disease_matchers: Sequence[PhraseMatcher]
-) -> Column:
+
+def flag_phrases(
+    df: DataFrame, keys: Sequence[str], text: str, phrases: DataFrame, out: str = "hit",
+    per_matcher: int = PHRASES_PER_MATCHER, texts_per_block: int = TEXTS_PER_BLOCK,
+) -> DataFrame:
+    """Add whether any phrase occurs in the row's whole text; ``keys`` identify rows.
+
+    Up to ``per_matcher`` phrases are broadcast and matched in place. A longer
+    list is cut into shards, and every block of texts meets every shard in a
+    task of its own; only the flags come back.
+    """
+    n = phrases.count()
+    if n <= per_matcher:
+        matcher = SharedPhrases(phrases)
+
+        @F.pandas_udf("boolean")
+        def hit(col: pd.Series) -> pd.Series:
+            return col.map(matcher.matches).astype(bool)
+
+        return df.withColumn(out, hit(F.col(text)))
+
+    df = materialize(df, "texts")
+    shards, blocks = -(-n // per_matcher), max(1, -(-df.count() // texts_per_block))
+    every = F.sequence(F.lit(0), F.lit(shards - 1))
+    left = df.select(*keys, F.col(text).alias("_text")).filter("_text <> ''").withColumns(
+        {"_block": F.pmod(key_hash("block", *keys), F.lit(blocks)).cast("int"), "_shard": F.explode(every)}
+    )
+    right = phrases.select(
+        "phrase",
+        F.pmod(key_hash("shard", "phrase"), F.lit(shards)).cast("int").alias("_shard"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"),
+    )
+    found_schema = df.select(*keys).schema
+
+    def match(texts: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        machine = _automaton(listed["phrase"])
+        return texts.loc[[_holds_phrase(machine, t) for t in texts["_text"]], list(keys)]
+
+    found = (
+        left.groupBy("_block", "_shard").cogroup(right.groupBy("_block", "_shard")).applyInPandas(match, found_schema).distinct()
+    )
+    return df.join(found.withColumn("_hit", F.lit(True)), list(keys), "left").select(
+        *df.columns, F.coalesce("_hit", F.lit(False)).alias(out)
+    )
+
+
+def clean_sentences(
+    df: DataFrame, keys: Sequence[str], text: str, phrases: DataFrame, per_matcher: int = PHRASES_PER_MATCHER
+) -> DataFrame:
+    """Rows of ``df`` with the sentences of ``text`` that hold a phrase removed."""
+    if phrases.count() <= per_matcher:
+        matcher = SharedPhrases(phrases)
+
+        @F.pandas_udf("array<boolean>")
+        def hits(col: pd.Series) -> pd.Series:
+            return col.map(lambda pieces: [matcher.matches(p) for p in pieces] if pieces is not None else None)
+
+        cut = df.withColumn("_pieces", segments(text))
+        flagged = cut.withColumn("_hits", hits("_pieces"))
+        kept = F.filter("_pieces", lambda p, i: ~F.get("_hits", i))
+        return flagged.withColumn(text, F.when(F.col(text).isNotNull(), join_segments(kept))).select(*df.columns)
+    cut = df.select(*keys, F.posexplode(segments(text)).alias("_pos", "_piece"))
+    flagged = flag_phrases(cut, [*keys, "_pos"], "_piece", phrases, "_hit", per_matcher)
+    pieces = F.sort_array(F.collect_list(F.when(~F.col("_hit"), F.struct("_pos", "_piece"))))
+    cleaned = flagged.groupBy(*keys).agg(join_segments(F.transform(pieces, lambda p: p["_piece"])).alias("_clean"))
+    return df.join(cleaned, list(keys), "left").withColumn(
+        text, F.when(F.col(text).isNotNull(), F.coalesce("_clean", F.lit("")))
+    ).select(*df.columns)
+
+
+def sanitize_texts(
+    df: DataFrame, keys: Sequence[str], text: str, drug_phrases: DataFrame, disease_phrases: DataFrame
+) -> DataFrame:
     """Drop sentences naming the opposite side: diseases for drugs, genes and
-    pathways; drugs for diseases. Other types are only trimmed."""
-    hides_disease = node_type.isin(DRUG, GENE, PATHWAY)
-    return F.when(
-        hides_disease, clean_segments(F.when(hides_disease, text), disease_matchers)
-    ).when(
-        node_type == DISEASE, clean_segments(F.when(node_type == DISEASE, text), drug_matchers)
-    ).otherwise(F.trim(text))
+    pathways; drugs for diseases. Texts of other types are only trimmed."""
+    kind = F.col("node_type")
+    others = df.filter(~F.coalesce(kind.isin(DRUG, GENE, PATHWAY, DISEASE), F.lit(False)))
+    return (
+        clean_sentences(df.filter(kind.isin(DRUG, GENE, PATHWAY)), keys, text, disease_phrases)
+        .unionByName(clean_sentences(df.filter(kind == DISEASE), keys, text, drug_phrases))
+        .unionByName(others.withColumn(text, strip(text)))
+    )
 
 
 def sanitize_base(cleaned: Column, node_type: Column) -> Column:
@@ -246,17 +287,18 @@ def entity_text_table(
 
     ``rich`` and ``context`` are (global_id, text).
     """
-    drug_matchers = phrase_matchers(name_phrases(nodes, DRUG))
-    disease_matchers = phrase_matchers(name_phrases(nodes, DISEASE))
-    joined = (
-        nodes.withColumn("_base", base_text("name", "node_type", type_prefix))
-        .join(rich.select("global_id", F.col("text").alias("_rich")), "global_id", "left")
-        .join(context.select("global_id", F.col("text").alias("_graph")), "global_id", "left")
+    drugs, diseases = name_phrases(nodes, DRUG), name_phrases(nodes, DISEASE)
+    base = nodes.select("global_id", "node_type", base_text("name", "node_type", type_prefix).alias("text"))
+    # one row per (node, part), so that every part is matched in the same pass
+    parts = base.withColumn("part", F.lit("base"))
+    for name, df in (("rich", rich), ("graph", context)):
+        typed = df.select("global_id", "text").join(nodes.select("global_id", "node_type"), "global_id")
+        parts = parts.unionByName(typed.withColumn("part", F.lit(name)))
+    cleaned = sanitize_texts(parts, ["global_id", "part"], "text", drugs, diseases)
+    wide = cleaned.groupBy("global_id").agg(
+        *[F.max(F.when(F.col("part") == p, F.col("text"))).alias(f"_{p}") for p in ("base", "rich", "graph")]
     )
-    kind = F.col("node_type")
-    cleaned = joined.withColumns(
-        {c: sanitize_text(F.col(c), kind, drug_matchers, disease_matchers) for c in ("_base", "_rich", "_graph")}
-    ).withColumn("_base", sanitize_base(F.col("_base"), kind))
+    cleaned = nodes.join(wide, "global_id").withColumn("_base", sanitize_base(F.col("_base"), F.col("node_type")))
     text, source = compose_text(strategy, F.col("_base"), F.col("_rich"), F.col("_graph"))
     return cleaned.select(
         "global_id", "local_id", "node_type", "raw_id", "name", text.alias("text"), source.alias("source"),

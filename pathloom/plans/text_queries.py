@@ -125,8 +125,8 @@ def blocklist_hits(spark, sf_dir):
     )
     name = F.when(F.col("quality") == 1, F.coalesce("c_name", F.lit(""))).otherwise(F.concat(F.lit("custom "), first_supplier))
     planted = docs.select("doc_id", F.concat("text", F.lit(" "), name, F.lit(" "), "lang").alias("text"))
-    matchers = te.phrase_matchers(te.name_phrases(graph(spark, sf_dir).nodes, DISEASE))
-    return planted.select("doc_id", te.blocklist_match(F.col("text"), matchers).alias("hit"))
+    names = te.name_phrases(graph(spark, sf_dir).nodes, DISEASE)
+    return te.flag_phrases(planted, ["doc_id"], "text", names).select("doc_id", "hit")
 
 
 @query("name_phrases", expect("nodes", f", {_PHRASES} SELECT phrase FROM phrases WHERE node_type = 'gene/protein'"))
@@ -173,9 +173,8 @@ def sanitized(spark, sf_dir):
     """Graph contexts without the sentences that name diseases (for diseases: drugs)."""
     g = graph(spark, sf_dir)
     context = te.graph_context(g.edges, g.nodes, NEIGHBOURS).join(g.nodes.select("global_id", "node_type"), "global_id")
-    drugs = te.phrase_matchers(te.name_phrases(g.nodes, DRUG))
-    diseases = te.phrase_matchers(te.name_phrases(g.nodes, DISEASE))
-    return context.select("global_id", te.sanitize_text(F.col("text"), F.col("node_type"), drugs, diseases).alias("text"))
+    drugs, diseases = te.name_phrases(g.nodes, DRUG), te.name_phrases(g.nodes, DISEASE)
+    return te.sanitize_texts(context, ["global_id"], "text", drugs, diseases).select("global_id", "text")
 
 
 # --- rich texts of drugs ---

@@ -132,29 +132,35 @@ def test_graph_context_leaves_out_clinical_relations(spark):
     assert got == [(0, "targets: PTGS1."), (1, "targeted by drugs: Aspirin.")]
 
 
-def test_sanitising(spark):
-    nodes = spark.createDataFrame(TOY_NODES, NODE)
-    drugs = te.phrase_matchers(te.name_phrases(nodes, "drug"))
-    diseases = te.phrase_matchers(te.name_phrases(nodes, "disease"), per_shard=1)
+@pytest.mark.parametrize("per_matcher", [0, 1000])
+def test_sanitising(spark, monkeypatch, per_matcher):
+    defaults = te.clean_sentences.__defaults__
+    monkeypatch.setattr(te.clean_sentences, "__defaults__", (per_matcher or 1,) if not per_matcher else defaults)
+    nodes = spark.createDataFrame([*TOY_NODES, (3, 1, "disease::2", "disease", "Gout", "x"), (4, 1, "drug::2", "drug", "Abc", "x")], NODE)
+    drugs, diseases = te.name_phrases(nodes, "drug"), te.name_phrases(nodes, "disease")
     rows = [
-        ("drug", "mechanism of action: used in Headache. drug type: small molecule."),
-        ("gene/protein", "associated diseases: Headache. target classes: enzyme."),
-        ("disease", "indicated drugs: Aspirin. ancestors: neurologic disease."),
-        ("drug", "only Headache"), ("anatomy", " keeps Headache. "), ("drug", None),
+        (0, "drug", "mechanism of action: used in Headache. drug type: small molecule."),
+        (1, "gene/protein", "associated diseases: Headache. target classes: enzyme."),
+        (2, "disease", "indicated drugs: Aspirin. ancestors: neurologic disease."),
+        (3, "drug", "only Headache"), (4, "anatomy", " keeps Headache. "), (5, "drug", None), (6, "drug", "has gout. not"),
+    ]
+    df = spark.createDataFrame(rows, "k int, node_type string, text string")
+    got = [r.text for r in te.sanitize_texts(df, ["k"], "text", drugs, diseases).orderBy("k").collect()]
+    assert got == [
+        "drug type: small molecule.", "target classes: enzyme.", "ancestors: neurologic disease.", "", "keeps Headache.", None, "not."
     ]
-    df = spark.createDataFrame(rows, "node_type string, text string")
-    got = [r[0] for r in df.select(te.sanitize_text(F.col("text"), F.col("node_type"), drugs, diseases)).collect()]
-    assert got == ["drug type: small molecule.", "target classes: enzyme.", "ancestors: neurologic disease.", "", "keeps Headache.", None]
 
 
-def test_phrase_rule(spark):
+@pytest.mark.parametrize("per_matcher", [1, 1000])
+def test_phrase_rule(spark, per_matcher):
     """A phrase counts inside a word only if some word starts with its first four characters."""
     nodes = spark.createDataFrame([(0, 0, "d", "disease", "Art Pain", "x"), (1, 1, "e", "disease", "ab", "x"), (2, 2, "f", "disease", "flu", "x")], NODE)
-    assert rows_of(te.name_phrases(nodes, "disease"), "phrase") == [("art pain",), ("flu",)]
-    matchers = te.phrase_matchers(te.name_phrases(nodes, "disease"), per_shard=1)
+    phrases = te.name_phrases(nodes, "disease")
+    assert rows_of(phrases, "phrase") == [("art pain",), ("flu",)]
     texts = ["heart painful", "art of heart painful", "influenza", "flu", "ab", "", None]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert [r[0] for r in df.select(te.blocklist_match(F.col("t"), matchers)).collect()] == [False, True, False, True, False, False, False]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = te.flag_phrases(df, ["k"], "t", phrases, per_matcher=per_matcher, texts_per_block=2).orderBy("k").collect()
+    assert [r.hit for r in got] == [False, True, False, True, False, False, False]
 
 
 @pytest.mark.parametrize(
