@@ -6,6 +6,7 @@ from . import (  # noqa: F401
     align_queries,
     audit_queries,
     identity_queries,
+    io_queries,
     metric_queries,
     path_queries,
     sampling_queries,
