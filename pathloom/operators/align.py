@@ -76,6 +76,7 @@ def resolve_entities(
 ) -> DataFrame:
     """Triples with the raw id and name of every side, null where unmapped."""
     index = materialize(alias_index_first_wins(nodes), "aliases")
+    triples = materialize(triples, "triples")
     out = triples
     for side in SIDES:
         resolved = resolve_column_of(triples, side, index, (mappings or {}).get(side))

@@ -8,7 +8,7 @@ is left gets the first allowed value of the pool, found by counting.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from ..functions.keyed import key_hash, key_unit
 from ..functions.numeric import zeros
 from ..lineage import materialize
 from ..schema import DUMMY_PATHWAY, QUAD
+from .graph import disease_gene, drug_gene, gene_pathways
 from .numbering import ROWS_PER_TASK, number_within
 
 PAIR = ("drug", "disease")
@@ -68,12 +69,14 @@ def draw_excluding(
     seed: int | str,
     draws: int = 8,
     rows_per_task: int = ROWS_PER_TASK,
+    reject: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One pool value per request that is not excluded in the request's context.
 
     ``pool`` is numbered per ``pool_groups`` (columns of the context);
     ``excluded`` holds (context, value) rows. Requests whose context excludes
-    the whole pool are absent from the result.
+    the whole pool are absent from the result. ``reject`` may drop excluded
+    draws by another route; ``excluded`` is then read only if draws run out.
     """
     request_keys, context, groups = list(request_keys), list(context), list(pool_groups)
     asked = materialize(requests.select(*dict.fromkeys([*request_keys, *context])), "requests")
@@ -82,7 +85,10 @@ def draw_excluding(
     tries = sized.filter("idx_n is not null").withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     tries = tries.withColumn("idx", F.pmod(key_hash(seed, *request_keys, "_try"), F.col("idx_n"))).drop("idx_n")
     drawn = tries.join(pool.drop("idx_n"), [*groups, "idx"]).drop("idx")
-    allowed = drawn.join(excluded.select(*context, value), [*context, value], "left_anti")
+    if reject is not None:
+        allowed = reject(drawn)
+    else:
+        allowed = drawn.join(excluded.select(*context, value), [*context, value], "left_anti")
     hits = materialize(allowed.groupBy(*request_keys).agg(F.min_by(value, "_try").alias(value)), "draws")
 
     left = asked.join(hits, request_keys, "left_anti")
@@ -229,7 +235,7 @@ def negative_pairs(
     known: DataFrame,
     drugs: DataFrame,
     diseases: DataFrame,
-    strategy: str,
+    strategy: str | Sequence[str],
     seed: int,
     drug_pool: DataFrame | None = None,
     disease_pool: DataFrame | None = None,
@@ -241,10 +247,13 @@ def negative_pairs(
     ``STRATEGY_ORDER``, ``mixed`` starting with a hash-chosen one. A restricted
     pool filters the connected candidates of its side, then serves on its own;
     with any restriction ``random`` ignores the topology. A positive for which
-    nothing is allowed has null negatives.
+    nothing is allowed has null negatives. Several strategies share their draws
+    and give one row each, named in a column ``strategy``.
     """
-    if strategy not in STRATEGY_ORDER:
-        raise ValueError(f"unknown negative strategy: {strategy}")
+    asked = [strategy] if isinstance(strategy, str) else list(strategy)
+    unknown = [s for s in asked if s not in STRATEGY_ORDER]
+    if unknown:
+        raise ValueError(f"unknown negative strategies: {unknown}")
     pairs = materialize(positives.select(*PAIR).distinct(), "positives")
     known = known.select(*PAIR).unionByName(pairs).distinct()
     restricted = drug_pool is not None or disease_pool is not None
@@ -252,8 +261,8 @@ def negative_pairs(
     all_diseases = disease_pool if disease_pool is not None else diseases
     valid = materialize(connected.select(*PAIR).distinct().join(known, list(PAIR), "left_anti"), "valid")
 
-    out = pairs
-    for name in STRATEGY_ORDER[strategy]:
+    wide = pairs
+    for name in dict.fromkeys(n for s in asked for n in STRATEGY_ORDER[s]):
         side = {"cross_drug": drug_pool, "cross_disease": disease_pool}.get(name)
         if name == "random" and not restricted and not valid.isEmpty():
             # any pair can take any connected candidate, so none is left over
@@ -269,14 +278,22 @@ def negative_pairs(
             if not left.isEmpty():
                 picks = picks.unionByName(_pool_negatives(left, name, all_drugs, all_diseases, known, seed, draws))
         packed = picks.select(*PAIR, F.struct("neg_drug", "neg_disease", F.lit(name).alias("used")).alias(f"_{name}"))
-        out = out.join(packed, list(PAIR), "left")
-
-    chosen = F.coalesce(*[F.col(f"_{n}") for n in STRATEGY_ORDER[strategy]])
-    if strategy == "mixed":
-        first = F.pmod(key_hash(f"{seed}:mixed", *PAIR), F.lit(len(STRATEGY_ORDER["mixed"])))
-        leading = [F.when(first == i, F.col(f"_{n}")) for i, n in enumerate(STRATEGY_ORDER["mixed"])]
-        chosen = F.coalesce(*leading, chosen)
-    return out.select(*PAIR, chosen.alias("_c")).select(*PAIR, "_c.neg_drug", "_c.neg_disease", "_c.used")
+        wide = wide.join(packed, list(PAIR), "left")
+
+    def chosen(name: str) -> Column:
+        order = STRATEGY_ORDER[name]
+        in_turn = F.coalesce(*[F.col(f"_{n}") for n in order])
+        if name != "mixed":
+            return in_turn
+        first = F.pmod(key_hash(f"{seed}:mixed", *PAIR), F.lit(len(order)))
+        return F.coalesce(*[F.when(first == i, F.col(f"_{n}")) for i, n in enumerate(order)], in_turn)
+
+    if isinstance(strategy, str):
+        return wide.select(*PAIR, chosen(strategy).alias("_c")).select(*PAIR, "_c.neg_drug", "_c.neg_disease", "_c.used")
+    cells = [F.struct(F.lit(s).alias("strategy"), chosen(s).alias("_c")) for s in asked]
+    return wide.select(*PAIR, F.inline(F.array(*cells))).select(
+        "strategy", *PAIR, "_c.neg_drug", "_c.neg_disease", "_c.used"
+    )
 
 
 def validate_pool(pool: DataFrame, ids: DataFrame) -> None:
@@ -294,10 +311,29 @@ CANDIDATES = ("positive", "drug", "gene", "pathway", "disease")
 # --- end of fixed values ---
 
 
-def corrupt_paths(quads: DataFrame, nodes: DataFrame, real: DataFrame, seed: int, draws: int = 4) -> DataFrame:
+def drop_real_quads(candidates: DataFrame, edges: DataFrame) -> DataFrame:
+    """Candidates that are no mechanism of the graph, found by looking up their
+    edges; the graph's mechanisms are not enumerated."""
+    pathways = gene_pathways(edges)
+    linked = (
+        candidates.join(drug_gene(edges).withColumn("_dg", F.lit(1)), ["drug", "gene"], "left")
+        .join(disease_gene(edges).withColumn("_sg", F.lit(1)), ["disease", "gene"], "left")
+        .join(pathways.withColumn("_gp", F.lit(1)), ["gene", "pathway"], "left")
+        .join(pathways.select("gene").distinct().withColumn("_any", F.lit(1)), "gene", "left")
+    )
+    member = F.col("_gp").isNotNull() | ((F.col("pathway") == DUMMY_PATHWAY) & F.col("_any").isNull())
+    real = F.col("_dg").isNotNull() & F.col("_sg").isNotNull() & member
+    return linked.filter(~real).select(*candidates.columns)
+
+
+def corrupt_paths(
+    quads: DataFrame, nodes: DataFrame, real: DataFrame, seed: int, draws: int = 4, edges: DataFrame | None = None
+) -> DataFrame:
     """Groups of five: each quad and one corruption per position.
 
-    A negative differs from its positive in one position and is no real quad.
+    A negative differs from its positive in one position and is no row of
+    ``real``. When ``real`` is every mechanism of ``edges``, pass the edges too:
+    draws are then checked against them and ``real`` is left unread.
     Columns: the group's positive as ``pos_*``, ``candidate_idx`` (0 positive,
     then drug, gene, pathway, disease), ``label`` and the candidate's four ids.
     """
@@ -323,9 +359,6 @@ def corrupt_paths(quads: DataFrame, nodes: DataFrame, real: DataFrame, seed: int
     context = ["position", *[f"at_{c}" for c in QUAD]]
     excluded = at_positions(real.select(*QUAD).unionByName(positives).distinct(), "value")
     requests = at_positions(positives, "current")
-    drawn = draw_excluding(
-        requests, [*context, "current"], context, pool, ["position"], excluded, "value", f"{seed}:corrupt", draws
-    )
 
     def ids(prefix: str, at_position: str) -> list[Column]:
         return [
@@ -333,6 +366,17 @@ def corrupt_paths(quads: DataFrame, nodes: DataFrame, real: DataFrame, seed: int
             for i, c in enumerate(QUAD)
         ]
 
+    def reject(tried: DataFrame) -> DataFrame:
+        changed = tried.filter(F.col("value") != F.col("current")).select("*", *ids("", "value"))
+        known = changed.join(positives, list(QUAD), "left_anti").select(*changed.columns)
+        if edges is not None:
+            return drop_real_quads(known, edges)
+        return known.join(real.select(*QUAD), list(QUAD), "left_anti")
+
+    drawn = draw_excluding(
+        requests, [*context, "current"], context, pool, ["position"], excluded, "value", f"{seed}:corrupt", draws,
+        reject=reject,
+    )
     negatives = drawn.select(
         *ids("pos_", "current"), (F.col("position") + 1).alias("candidate_idx"), F.lit(0).alias("label"), *ids("", "value")
     )

@@ -43,6 +43,11 @@ def triplets(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     return _stored(spark, sf_dir, f"triplets_{mode}", build)
 
 
+def connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(drug, disease) joined by a gene, written once as the index that sampling and ranking share."""
+    return _stored(spark, sf_dir, "connected", lambda: connected_pairs(graph(spark, sf_dir).edges))
+
+
 def clean_edges(spark: SparkSession, sf_dir: str, mode: str = "cross_disease") -> DataFrame:
     """Edges without the direct links of held-out pairs."""
     held = collect_holdout_pairs(splits(spark, sf_dir, mode))
@@ -58,6 +63,6 @@ def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(drug, disease, score, label): connected pairs and clinical pairs, the latter positive."""
     edges = graph(spark, sf_dir).edges
     clinical = pair_relations(edges).select("drug", "disease", F.lit(1).alias("label"))
-    linked = connected_pairs(edges).withColumn("label", F.lit(0))
+    linked = connected(spark, sf_dir).withColumn("label", F.lit(0))
     both = linked.unionByName(clinical).groupBy("drug", "disease").agg(F.max("label").alias("label"))
     return both.select("drug", "disease", pseudo_score("drug", "disease").alias("score"), "label")

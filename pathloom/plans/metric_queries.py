@@ -10,9 +10,9 @@ from ..operators import graph as gr
 from ..operators import metrics as me
 from ..operators import paths as pa
 from ..operators import sampling as sa
-from ..schema import DRUG
+from ..schema import DISEASE, DRUG
 from .audit_queries import rounded
-from .derived import pseudo_score, scored_pairs, splits, triplets
+from .derived import connected, pseudo_score, scored_pairs, splits, triplets
 from .graph_store import graph, table
 from .oracle import SEED, expect, h, score
 from .registry import query
@@ -148,22 +148,19 @@ _SETTINGS = (
 )
 def settings(spark, sf_dir):
     """Held-out pairs of each split against negatives of each setting."""
-    edges = graph(spark, sf_dir).edges
     held = triplets(spark, sf_dir, "random").filter("split <> 'train'").select("split", "drug", "disease").distinct()
-    connected, known = materialize(pa.connected_pairs(edges), "connected"), gr.pair_relations(edges)
-    scored = None
-    for setting in ("random", "cross_drug", "cross_disease"):
-        drawn = sa.negative_pairs(
-            held, connected, known, node_ids(spark, sf_dir, DRUG, "drug"),
-            node_ids(spark, sf_dir, "disease", "disease"), setting, SEED,
-        )
-        rows = held.join(drawn, ["drug", "disease"]).select(
-            "split",
-            F.lit(setting).alias("setting"),
-            (pseudo_score("drug", "disease") + F.lit(0.25)).alias("pos_score"),
-            pseudo_score("neg_drug", "neg_disease").alias("neg_score"),
-        )
-        scored = rows if scored is None else scored.unionByName(rows)
+    drawn = sa.negative_pairs(
+        held, connected(spark, sf_dir), gr.pair_relations(graph(spark, sf_dir).edges),
+        node_ids(spark, sf_dir, DRUG, "drug"), node_ids(spark, sf_dir, DISEASE, "disease"),
+        ("random", "cross_drug", "cross_disease"), SEED,
+    )
+    scored = held.join(drawn, ["drug", "disease"]).select(
+        "split",
+        F.col("strategy").alias("setting"),
+        (pseudo_score("drug", "disease") + F.lit(0.25)).alias("pos_score"),
+        pseudo_score("neg_drug", "neg_disease").alias("neg_score"),
+    )
+    scored = materialize(scored, "scored")
     return rounded(me.evaluate_settings(scored), "pairwise_accuracy", "auroc", "average_precision")
 
 
@@ -258,7 +255,7 @@ _EXTERNAL = f""", known AS (SELECT drug, disease FROM pairs), tg AS (SELECT DIST
 
 def _ranks(spark, sf_dir, targets):
     edges = graph(spark, sf_dir).edges
-    linked = pa.connected_pairs(edges).withColumn("score", pseudo_score("drug", "disease"))
+    linked = connected(spark, sf_dir).withColumn("score", pseudo_score("drug", "disease"))
     n_drugs = graph(spark, sf_dir).nodes.filter(F.col("node_type") == DRUG).agg(F.count("*")).scalar()
     return me.filtered_mrr(targets, linked, gr.pair_relations(edges), n_drugs, 0.0)
 
@@ -266,7 +263,7 @@ def _ranks(spark, sf_dir, targets):
 def _test_targets(spark, sf_dir):
     """Test pairs with their topology score, 0 without a path."""
     test = splits(spark, sf_dir, "random").filter("split = 'test'")
-    linked = pa.connected_pairs(graph(spark, sf_dir).edges).withColumn("score", pseudo_score("drug", "disease"))
+    linked = connected(spark, sf_dir).withColumn("score", pseudo_score("drug", "disease"))
     return test.join(linked, ["drug", "disease"], "left").select("drug", "disease", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

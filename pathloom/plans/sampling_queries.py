@@ -13,7 +13,7 @@ from ..operators import sampling as sa
 from ..operators import splits as sp
 from ..schema import DISEASE, DRUG, GENE
 from .audit_queries import rounded
-from .derived import splits, triplets
+from .derived import connected, splits, triplets
 from .graph_store import graph, table
 from .oracle import SEED, expect, h
 from .registry import query
@@ -64,7 +64,7 @@ def negatives(spark, sf_dir, strategy: str, **pools):
     positives = triplets(spark, sf_dir, "random").select("drug", "disease")
     return sa.negative_pairs(
         positives,
-        pa.connected_pairs(edges),
+        connected(spark, sf_dir),
         pa.known_positive_pairs(positives, edges),
         node_ids(spark, sf_dir, DRUG, "drug"),
         node_ids(spark, sf_dir, DISEASE, "disease"),
@@ -172,7 +172,7 @@ _SAME = " AND ".join(f"x.{c} = r.{c}" for c in _CTX.split(", "))
 def corrupt_paths(spark, sf_dir):
     g = graph(spark, sf_dir)
     positives = pa.expand_to_quads(triplets(spark, sf_dir, "random").drop("split"), gr.gene_pathways(g.edges))
-    return sa.corrupt_paths(positives, g.nodes, pa.real_quads(g.edges), SEED)
+    return sa.corrupt_paths(positives, g.nodes, pa.real_quads(g.edges), SEED, edges=g.edges)
 
 
 # --- graph views ---
@@ -243,10 +243,9 @@ _SPLIT_NEG = """, sn AS (SELECT s.drug, s.disease, s.split, q.drug AS neg_drug,
 
 def split_negatives(spark, sf_dir):
     """Random topology negatives of every split pair."""
-    edges = graph(spark, sf_dir).edges
     every = splits(spark, sf_dir, "random")
     drawn = sa.negative_pairs(
-        every, pa.connected_pairs(edges), every,
+        every, connected(spark, sf_dir), every,
         node_ids(spark, sf_dir, DRUG, "drug"), node_ids(spark, sf_dir, DISEASE, "disease"), "random", SEED,
     )
     return every.join(drawn, ["drug", "disease"])

@@ -155,13 +155,14 @@ POSITIVES = [(10, 20, 40, 30), (10, 20, 41, 30), (10, 21, 0, 30), (11, 22, 41, 3
 QUAD = ["drug", "gene", "pathway", "disease"]
 
 
-def test_corruption_groups(spark):
+@pytest.mark.parametrize("by_edges, draws", [(False, 4), (True, 4), (True, 1)])
+def test_corruption_groups(spark, by_edges, draws):
     edges = spark.createDataFrame(mechanism_graph(), EDGE)
     nodes = spark.createDataFrame(node_rows(range(10, 13), range(20, 24), range(40, 43), range(30, 33)), NODE)
     real = pa.real_quads(edges)
     assert set(rows_of(real, *QUAD)) == {*POSITIVES, (12, 23, 0, 32)}
     quads = spark.createDataFrame(POSITIVES, "drug bigint, gene bigint, pathway bigint, disease bigint")
-    rows = sa.corrupt_paths(quads, nodes, real, 11).collect()
+    rows = sa.corrupt_paths(quads, nodes, real, 11, draws, edges if by_edges else None).collect()
     groups = {}
     for r in rows:
         groups.setdefault((r.pos_drug, r.pos_gene, r.pos_pathway, r.pos_disease), {})[r.candidate_idx] = r
