@@ -337,7 +337,7 @@ def corrupt_paths(
     Columns: the group's positive as ``pos_*``, ``candidate_idx`` (0 positive,
     then drug, gene, pathway, disease), ``label`` and the candidate's four ids.
     """
-    positives = quads.select(*QUAD).distinct()
+    positives = materialize(quads.select(*QUAD).distinct(), "positives")
     types = {"drug": "drug", "gene": "gene/protein", "pathway": "pathway", "disease": "disease"}
     position_of = F.coalesce(
         *[F.when(F.col("node_type") == t, F.lit(QUAD.index(c))) for c, t in types.items()]

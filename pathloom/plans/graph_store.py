@@ -1,8 +1,8 @@
 """The knowledge graph derived from the relational tables, stored once per session.
 
 Nodes: suppliers are drugs, parts genes, customers diseases, brands and part
-types pathways. Edges follow from order lines. The store is Parquet laid out by
-relation in the shared folder, so every consumer prunes to what it reads.
+types pathways. Edges follow from order lines. The store is Parquet in the shared
+folder, laid out by edge type, so every consumer prunes to the types it reads.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import materialize
+from ..operators.graph import EDGE_TYPE
 from ..operators.identity import assign_ids, build_edge_table
 from ..schema import DISEASE, DRUG, GENE, PATHWAY
 
@@ -103,6 +104,6 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stores:
         nodes = materialize(build_nodes(spark, sf_dir), "nodes")
-        edges = materialize(build_edge_table(nodes, raw_edges(spark, sf_dir)), "edges", ("rel",))
+        edges = materialize(build_edge_table(nodes, raw_edges(spark, sf_dir)), "edges", EDGE_TYPE)
         _stores[key] = Graph(nodes, edges.select("src_id", "src_type", "rel", "dst_type", "dst_id"))
     return _stores[key]

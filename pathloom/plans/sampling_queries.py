@@ -263,6 +263,7 @@ def split_negatives(spark, sf_dir):
 def dummy_ratio(spark, sf_dir):
     edges = graph(spark, sf_dir).edges
     negs = split_negatives(spark, sf_dir).select(F.col("neg_drug").alias("drug"), F.col("neg_disease").alias("disease"))
+    negs = materialize(negs, "negatives")
     shared = pa.shared_genes(negs, gr.drug_gene(edges), gr.disease_gene(edges))
     return rounded(sa.dummy_ratio(pa.expand_to_quads(shared, gr.gene_pathways(edges))), "dummy_ratio")
 
@@ -281,7 +282,7 @@ def dummy_ratio(spark, sf_dir):
 def empty_path_ratio(spark, sf_dir):
     edges = graph(spark, sf_dir).edges
     bank = materialize(pa.real_quads(edges).groupBy("drug", "disease").agg(F.count("*").alias("n")), "bank")
-    pairs = split_negatives(spark, sf_dir).withColumn("batch", F.pmod(key_hash("batch", "drug", "disease"), F.lit(16)))
+    pairs = materialize(split_negatives(spark, sf_dir), "negatives").withColumn("batch", F.pmod(key_hash("batch", "drug", "disease"), F.lit(16)))
     for sign, drug, disease in (("pos", "drug", "disease"), ("neg", "neg_drug", "neg_disease")):
         counts = bank.select(F.col("drug").alias(drug), F.col("disease").alias(disease), F.col("n").alias(f"n_{sign}_paths"))
         pairs = pairs.join(counts, [drug, disease], "left").fillna(0, [f"n_{sign}_paths"])

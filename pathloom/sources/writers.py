@@ -19,8 +19,8 @@ def write_pair_splits(splits: DataFrame, path: str, split_mode: str, overwrite:
 
 
 def write_edges(edges: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Edge table laid out by relation, so typed reads prune to their files."""
-    edges.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("rel").parquet(path)
+    """Edge table laid out by edge type, so typed reads prune to their files."""
+    edges.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("src_type", "rel", "dst_type").parquet(path)
 
 
 def write_features_by_type(features: DataFrame, path: str, overwrite: bool = False) -> DataFrame:

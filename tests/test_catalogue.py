@@ -43,9 +43,10 @@ def physical(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_graph_reads_prune_to_their_relation(spark, small_dir):
-    plan = physical(CATALOGUE["pair_triplets"].run(spark, small_dir))
-    assert re.search(r"PartitionFilters: \[.*rel", plan)
+@pytest.mark.parametrize("name", ["pair_triplets", "topology_paths", "direct_clean"])
+def test_graph_reads_prune_to_their_edge_types(spark, small_dir, name):
+    scans = [x for x in physical(CATALOGUE[name].run(spark, small_dir)).splitlines() if "FileScan" in x and "src_type" in x]
+    assert scans and all(re.search(r"PartitionFilters: \[.+?\]", x) for x in scans)
 
 
 def test_relational_reads_prune_columns_and_push_filters(spark, small_dir):
