@@ -55,7 +55,7 @@ def typed_degree(spark, sf_dir):
         _ENDS.format(edges="clean")
         + _TYPED
         + """ SELECT split, count(*) AS n_diseases, round(avg(g), 6) AS mean_effective_degree, round(avg(g), 6) AS mean_gene_degree,
-  0 AS mean_phenotype_degree, 0 AS mean_disease_degree, round(avg(n), 6) AS mean_non_drug_degree, count(*) FILTER (WHERE g = 0) AS n_zero_effective,
+  0::DOUBLE AS mean_phenotype_degree, 0::DOUBLE AS mean_disease_degree, round(avg(n), 6) AS mean_non_drug_degree, count(*) FILTER (WHERE g = 0) AS n_zero_effective,
   round(avg(CASE WHEN g = 0 THEN 1 ELSE 0 END), 6) AS zero_effective_ratio, count(*) FILTER (WHERE n = 0) AS n_islands, round(avg(CASE WHEN n = 0 THEN 1 ELSE 0 END), 6) AS island_ratio
   FROM (SELECT split, disease, coalesce(gene_degree, 0) AS g, coalesce(non_drug_degree, 0) AS n FROM (SELECT DISTINCT split, disease FROM split_cross_disease) LEFT JOIN td USING (disease)) GROUP BY split""",
     ),

@@ -79,7 +79,7 @@ def alias_first_wins(spark, sf_dir):
   UNION ALL SELECT 'drug', CAST(s_suppkey AS VARCHAR) FROM supplier
   UNION ALL SELECT 'disease', n_name FROM nation)""",
         """SELECT q.node_type, value, CASE WHEN n = 1 THEN 'ok' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS status,
-  CASE WHEN n = 1 THEN first_id END AS global_id, coalesce(n, 0) AS n_candidates
+  CASE WHEN n = 1 THEN first_id ELSE -1 END AS global_id, coalesce(n, 0) AS n_candidates
   FROM asked q LEFT JOIN counted c ON c.node_type = q.node_type AND c.alias = lower(trim(value))""",
     ),
 )
@@ -93,7 +93,7 @@ def entity_lookup(spark, sf_dir):
         .unionByName(values("supplier", DRUG, "cast(s_suppkey as string)"))
         .unionByName(values("nation", "disease", "n_name"))
     )
-    return ident.lookup_entity(asked, graph(spark, sf_dir).nodes)
+    return ident.lookup_entity(asked, graph(spark, sf_dir).nodes).fillna(-1, ["global_id"])
 
 
 def _named(spark, sf_dir):

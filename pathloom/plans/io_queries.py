@@ -48,7 +48,7 @@ _FEATURES = """, f AS (SELECT node_type, global_id, len(embedding) AS d FROM nod
     expect(
         "nodes",
         _FEATURES
-        + """ SELECT n.node_type, n.c AS n_nodes, f.c AS n_rows, f.d AS min_dim, f.d AS max_dim, CASE WHEN f.c IS NULL THEN 'missing' WHEN f.c <> n.c THEN 'mismatch' ELSE 'ok' END AS status
+        + """ SELECT n.node_type, n.c AS n_nodes, coalesce(f.c, 0) AS n_rows, coalesce(f.d, 0) AS min_dim, coalesce(f.d, 0) AS max_dim, CASE WHEN f.c IS NULL THEN 'missing' WHEN f.c <> n.c THEN 'mismatch' ELSE 'ok' END AS status
   FROM (SELECT node_type, count(*) AS c FROM nodes GROUP BY node_type) n LEFT JOIN (SELECT node_type, count(*) AS c, max(d) AS d FROM f GROUP BY node_type) f USING (node_type)""",
     ),
 )
@@ -60,7 +60,7 @@ def features_report(spark, sf_dir):
     )
     path = _path(spark, "features")
     writers.write_features_by_type(owned.select("node_type", "global_id", "vec"), path)
-    return readers.read_features_by_type(spark, path, nodes)[1]
+    return readers.read_features_by_type(spark, path, nodes)[1].fillna(0, ["n_rows", "min_dim", "max_dim"])
 
 
 @query(

@@ -41,8 +41,24 @@ def sql_rows(con, sql):
     return names, sorted(tuple(cell(r[i]) for i in at) for r in res.fetchall())
 
 
+KINDS = {
+    "int": {"tinyint", "smallint", "int", "integer", "bigint"},
+    "float": {"double", "float"},
+    "text": {"string", "varchar"},
+    "bool": {"boolean"},
+}
+
+
+def kind(type_name: str) -> str:
+    return next((k for k, names in KINDS.items() if type_name.lower() in names), type_name)
+
+
 def difference(df, con, sql) -> str | None:
     """None when equal, else a short description."""
+    ours = {c: kind(t) for c, t in df.dtypes}
+    theirs = {r[0]: kind(r[1]) for r in con.execute("describe " + sql).fetchall()}
+    if ours != theirs:
+        return f"types {ours} != {theirs}"
     sn, sr = spark_rows(df)
     dn, dr = sql_rows(con, sql)
     if sn != dn:
