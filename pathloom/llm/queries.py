@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, jaccard_join, language_id, line_dedup, mixing, quality, spot_signatures, token_counts, url_rules
+from . import best_fit, jaccard_join, language_id, line_dedup, mixing, passages, quality, spot_signatures, token_counts, url_rules
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op2_passage_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))[0]
+
+
 @_query
 def op3_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spot_signatures.fingerprint_documents(documents(spark, sf_dir))
