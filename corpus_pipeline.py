@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pathloom.lineage import materialize
-from pathloom.llm import best_fit, line_dedup, mixing, quality
+from pathloom.llm import best_fit, jaccard_join, line_dedup, mixing, quality
 
 # Part of the target weights: 1 keeps the sources' own shares, 0 makes all equal.
 TEMPER = 0.9
@@ -20,12 +21,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_frequency(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source; ``n_chars`` follows the text."""
-    from pyspark.sql import functions as F
-
     cut = line_dedup.drop_boilerplate(docs, "source")
     return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id."""
+    return jaccard_join.drop_near_copies(docs)
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the shares of the target weights; small sources repeat, in mixed order."""
     return mixing.mixed_documents(docs, temper=TEMPER).select(*docs.columns)
@@ -41,6 +45,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_frequency),
+    ("ngram_jaccard_join", near_copies),
     ("source_mixing", source_mixing),
     ("best_fit_packing", packing),
 ]

@@ -303,6 +303,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one whose id names it."""
-    found = jaccard_components(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_keep"), "left_semi")
+    """``docs`` with one document of each component: the one whose id names it.
+
+    Of rows with equal id and text one stays; documents without an id stay
+    unless a copy has one.
+    """
+    found = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = docs.join(found.select(F.col("doc_id").alias("_keep")).distinct(), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)

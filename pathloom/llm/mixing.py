@@ -13,6 +13,7 @@ from .hashing import unit
 FRAME = 1000  # slots after which the schedule repeats; weights are multiples of 1 / FRAME
 BLOCK_DOCS = 8
 TEMPER = 0.5
+STRETCH = 4096  # rows of the mix that stay together when documents are written
 
 
 def target_units(sizes: DataFrame, temper: float = TEMPER, frame: int = FRAME) -> DataFrame:
@@ -26,7 +27,7 @@ def target_units(sizes: DataFrame, temper: float = TEMPER, frame: int = FRAME) -
     shared = (
         sizes.withColumn("_k", F.count("*").over(everything))
         .withColumn("_frame", F.greatest(F.lit(frame), F.col("_k")))
-        .withColumn("_ideal", w / F.sum(w).over(everything) * (F.col("_frame") - F.col("_k")))
+        .withColumn("_ideal", F.round(w / F.sum(w).over(everything) * (F.col("_frame") - F.col("_k")), 9))
         .withColumn("_whole", F.floor("_ideal"))
         .withColumn("_rest", F.round(F.col("_ideal") - F.col("_whole"), 9))
     )
@@ -125,3 +126,14 @@ def mix_sources(
         (F.col("_base") + F.col("_td")).alias("deadline"), slot.alias("slot"),
         (slot * block_docs + F.col("_at") - block * block_docs).alias("position"),
     )
+
+
+def mixed_documents(docs: DataFrame, source: str = "source", key: str = "doc_id", temper: float = TEMPER) -> DataFrame:
+    """``docs`` in the shares of the target weights, rows repeated where a source is read again.
+
+    Every file that a writer makes of the result holds whole stretches of the
+    schedule, in its order.
+    """
+    mixed = mix_sources(docs, source, key, temper)
+    stretch = F.floor(F.col("position") / STRETCH)
+    return mixed.withColumn("_stretch", stretch).repartition("_stretch").sortWithinPartitions("_stretch", "position").select(*docs.columns)

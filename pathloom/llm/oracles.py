@@ -2,4 +2,223 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from . import line_dedup, mixing, url_rules
+from .hashing import unit_sql
+from .quality import Rules
+
+_WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
+_RULES = Rules()
+
+
+def _left(text: str, pattern: str) -> str:
+    """Characters of a class in a text."""
+    return f"(length({text}) - length(regexp_replace({text}, '{pattern}', '', 'g')))"
+
+
+def _classes(text: str) -> str:
+    """Counts of the visible character classes, in the operator's order."""
+    lower, upper = _left(text, "[a-z]"), _left(text, "[A-Z]")
+    stop, symbol, digit = _left(text, "[.,;:!?''\"()-]"), _left(text, "[#*$%&|<>]"), _left(text, "[0-9]")
+    letter = f"({_left(text, chr(92) + 'p{L}')} - {lower} - {upper})"
+    rest = _left(text, r"[^\p{L}\x20\x09-\x0D.,;:!?''\"()#*$%&|<>0-9-]")
+    return f"[{lower}, {letter}, {upper}, {stop}, {symbol}, {digit}, {rest}]"
+
+
+def _js(p: str, q: str) -> str:
+    term = "(case when {0} > 0 then -({0}) * log2({0}) else 0.0::double end)"
+    pi, qi = f"({p})[i]", f"({q})[i]"
+    both = f"(({pi} + {qi}) / 2)"
+    inner = f"{term.format(both)} - ({term.format(pi)} + {term.format(qi)}) / 2"
+    return f"round(sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i: {inner})), 0.0::double)), 6)"
+
+
+_QUALITY = rf"""
+WITH base AS (
+  SELECT row_number() OVER () AS row_id, doc_id, coalesce(lang, 'und') AS lang, coalesce(text, '') AS t,
+         {_WORDS.format('text')} AS w
+  FROM documents),
+counts AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM base) GROUP BY ALL),
+totals AS (SELECT lang, sum(n) AS n_words FROM counts GROUP BY lang),
+class_sums AS (
+  SELECT lang, list(s ORDER BY i) AS c
+  FROM (SELECT lang, i, sum(n * c[i])::double AS s FROM (SELECT lang, n, {_classes('word')} AS c, unnest(range(1, 8)) AS i FROM counts) GROUP BY ALL)
+  GROUP BY lang),
+tops AS (
+  SELECT lang, list(word ORDER BY r) AS common, list(n / n_words ORDER BY r) AS share
+  FROM (SELECT counts.*, n_words, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM counts JOIN totals USING (lang))
+  WHERE r <= {_RULES.common_words} GROUP BY lang),
+refs AS (
+  SELECT lang, common, list_transform(c, lambda x: x / greatest(list_sum(c), 1)) AS class_share,
+         list_append(share, greatest(1 - list_sum(share), 0.0::double)) AS word_share
+  FROM class_sums JOIN tops USING (lang)),
+windows AS (
+  SELECT row_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win
+  FROM (SELECT row_id, w, unnest(range(1, len(w) - 1)) AS i FROM base)),
+twice AS (SELECT row_id, win FROM windows GROUP BY ALL HAVING count(*) > 1),
+covered AS (
+  SELECT row_id, count(DISTINCT i + k) AS n
+  FROM windows JOIN twice USING (row_id, win) CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) GROUP BY row_id),
+measured AS (
+  SELECT base.*, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x))) AS word_chars, {_classes('t')} AS c,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         coalesce(covered.n, 0) AS n_repeat_words, common, class_share, word_share,
+         list_transform(common, lambda x: len(list_filter(w, lambda y: y = x)) / greatest(len(w), 1)) AS own
+  FROM base LEFT JOIN covered USING (row_id) LEFT JOIN refs USING (lang)),
+shared AS (
+  SELECT *, list_transform(c, lambda x: x / greatest(list_sum(c), 1)) AS own_class,
+         list_append(own, greatest(1 - list_sum(own), 0.0::double)) AS own_word
+  FROM measured),
+judged AS (
+  SELECT doc_id, n_words::bigint AS n_words, coalesce(word_chars, 0)::bigint AS word_chars, c[5]::bigint AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::bigint AS n_dup_lines, n_repeat_words::bigint AS n_repeat_words,
+         n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.max_repeated_percent} * n_words AS base_failed,
+         CASE WHEN word_chars >= {_RULES.min_chars} THEN {_js('own_class', 'class_share')} END AS class_distance,
+         CASE WHEN n_words >= {_RULES.min_histogram_words} THEN {_js('own_word', 'word_share')} END AS word_distance
+  FROM shared)
+SELECT *, NOT base_failed AND NOT coalesce(class_distance > {_RULES.max_class_distance}, false)
+          AND NOT coalesce(word_distance > {_RULES.max_word_distance}, false) AS kept
+FROM judged
+"""
+
+_PASSAGES = rf"""
+WITH base AS (SELECT row_number() OVER () AS row_id, coalesce(doc_id, 9223372036854775807) AS id, doc_id, {_WORDS.format('text')} AS w FROM documents),
+windows AS (
+  SELECT row_id, id, i, array_to_string(w[i:i + 49], ' ') AS win
+  FROM (SELECT row_id, id, w, unnest(range(1, len(w) - 48)) AS i FROM base)),
+firsts AS (SELECT win, min(id) AS lo FROM windows GROUP BY win HAVING min(id) < max(id)),
+gone AS (SELECT row_id, list(DISTINCT i + k) AS places
+         FROM windows JOIN firsts USING (win) CROSS JOIN (SELECT unnest(range(0, 50)) AS k) WHERE id > lo GROUP BY row_id)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(len(places), 0)::bigint AS n_removed,
+       sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE
+         list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(places, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
+FROM base LEFT JOIN gone USING (row_id)
+"""
+
+_MIX_HASH = unit_sql("mix", "doc_id")
+_MIXING = f"""
+WITH RECURSIVE sizes AS (SELECT source, count(*) AS n_docs FROM documents GROUP BY source),
+shared AS (
+  SELECT *, count(*) OVER () AS k, greatest({mixing.FRAME}, count(*) OVER ()) AS frame,
+         round(pow(n_docs, {mixing.TEMPER}) / sum(pow(n_docs, {mixing.TEMPER})) OVER ()
+               * (greatest({mixing.FRAME}, count(*) OVER ()) - count(*) OVER ()), 9) AS ideal
+  FROM sizes),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY round(ideal - floor(ideal), 9) DESC, source NULLS FIRST) AS r,
+         frame - k - sum(floor(ideal)) OVER () AS spare
+  FROM shared),
+units AS (SELECT source, n_docs, (floor(ideal) + 1 + (r <= spare)::int)::int AS u, frame FROM ranked),
+lists AS (SELECT list(source ORDER BY source NULLS FIRST) AS s, list(u ORDER BY source NULLS FIRST) AS u, max(frame)::int AS f FROM units),
+edf(t, given, pick, u, f) AS (
+  SELECT -1, list_transform(u, lambda x: 0), 0, u, f FROM lists
+  UNION ALL
+  SELECT t + 1, list_transform(given, lambda g, i: CASE WHEN i = best.k THEN g + 1 ELSE g END), best.k, u, f
+  FROM (SELECT *, list_min(list_transform(
+          list_filter(range(1, len(u) + 1), lambda k: given[k] < u[k] AND floor(given[k] * f / u[k]) <= t + 1),
+          lambda k: {{'due': ceil((given[k] + 1) * f / u[k])::int, 'k': k::int}})) AS best
+        FROM edf WHERE t + 1 < f)),
+turns AS (
+  SELECT s[pick] AS source, edf.u[pick] AS u, edf.f, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn
+  FROM edf CROSS JOIN lists WHERE t >= 0),
+blocks AS (SELECT source, u, frame AS f, ceil(n_docs / {mixing.BLOCK_DOCS})::bigint AS b FROM units),
+horizon AS (
+  SELECT max(((b - 1) // blocks.u) * blocks.f + slot + 1) AS slots
+  FROM blocks JOIN turns ON blocks.source IS NOT DISTINCT FROM turns.source AND (b - 1) % blocks.u = turn),
+rows AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_MIX_HASH}, doc_id) - 1 AS place FROM documents),
+epochs AS (
+  SELECT doc_id, rows.source, place, b, blocks.u, blocks.f,
+         unnest(range(0, (ceil(slots / blocks.f) * blocks.u)::bigint // b + 1)) AS epoch, slots
+  FROM rows JOIN blocks ON rows.source IS NOT DISTINCT FROM blocks.source CROSS JOIN horizon),
+placed AS (SELECT *, epoch * b + place // {mixing.BLOCK_DOCS} AS i FROM epochs)
+SELECT doc_id, placed.source, epoch::bigint AS epoch, i::bigint AS block,
+       ((i // placed.u) * placed.f + floor(turn * placed.f / placed.u))::bigint AS release,
+       ((i // placed.u) * placed.f + ceil((turn + 1) * placed.f / placed.u))::bigint AS deadline,
+       ((i // placed.u) * placed.f + slot)::bigint AS slot,
+       (((i // placed.u) * placed.f + slot) * {mixing.BLOCK_DOCS} + place % {mixing.BLOCK_DOCS})::bigint AS position
+FROM placed JOIN turns ON placed.source IS NOT DISTINCT FROM turns.source AND i % placed.u = turn
+WHERE (i // placed.u) * placed.f + slot < slots
+"""
+
+_JACCARD = rf"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM base),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS total, count(*) AS k
+  FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * k >= 80 * (total - k)),
+reached(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a)
+SELECT sets.doc_id, len(s)::bigint AS n_shingles, min(b) AS component_id
+FROM sets JOIN reached ON sets.doc_id = reached.a GROUP BY sets.doc_id, s
+"""
+
+_LINES = f"""
+WITH base AS (SELECT row_number() OVER () AS row_id, *, string_split(text, chr(10)) AS lines FROM documents),
+sets AS (
+  SELECT DISTINCT source, list_sort(list_distinct(list_transform(list_filter(coalesce(lines, []), lambda x: trim(x, ' ') <> ''), lambda x: trim(x, ' ')))) AS k
+  FROM base),
+pages AS (SELECT source, count(*) AS n FROM sets GROUP BY source),
+frequent AS (SELECT source, line, count(*) AS c FROM (SELECT source, unnest(k) AS line FROM sets) GROUP BY ALL HAVING count(*) >= {line_dedup.MIN_PAGES}),
+listed AS (
+  SELECT f.source, list(line) AS boilerplate FROM frequent f JOIN pages p ON f.source IS NOT DISTINCT FROM p.source
+  WHERE c > {line_dedup.RATIO}::double * n GROUP BY f.source),
+cut AS (
+  SELECT base.*, list_filter(lines, lambda x: trim(x, ' ') = '' OR NOT list_contains(coalesce(boilerplate, []), trim(x, ' '))) AS kept
+  FROM base LEFT JOIN listed ON base.source IS NOT DISTINCT FROM listed.source)
+SELECT doc_id, source, array_to_string(kept, chr(10)) AS text, coalesce(len(lines), 0)::bigint AS n_lines,
+       coalesce(len(lines) - len(kept), 0)::bigint AS n_dropped
+FROM cut
+"""
+
+
+def _rule_cases() -> str:
+    cases = []
+    for rule in sorted((r for r, _ in url_rules.RULES), key=lambda r: (-len(r), r)):
+        host, slash, rest = rule.partition("/")
+        cases.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash + rest}') THEN '{rule}'")
+    return "CASE " + " ".join(cases) + " END"
+
+
+_URLS = rf"""
+WITH cut AS (
+  SELECT row_number() OVER () AS row_id, page_id, coalesce(url, '') AS u,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+listed AS (
+  SELECT *, list_distinct(list_filter(list_concat(
+      list_transform(string_split(host, '.'), lambda x: 'h:' || x),
+      list_transform(regexp_split_to_array(host, '[.\-]'), lambda x: 'w:' || x),
+      list_transform(regexp_split_to_array(lower(path), '[^\p{{L}}]+'), lambda x: 'p:' || x),
+      list_transform(regexp_extract_all(u, '[?&]([^=&#]+)', 1), lambda x: 'q:' || lower(x)),
+      ['s:' || lower(regexp_extract(u, '(?s)^(.*?)://', 1))]), lambda x: length(x) > 2)) AS tokens
+  FROM cut),
+bad AS (SELECT doc_id, max((coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0)::int) AS b FROM labels GROUP BY doc_id),
+labelled AS (SELECT row_id, tokens, b FROM listed JOIN bad ON page_id = doc_id),
+one AS (SELECT row_id, b, unnest(tokens) AS x FROM labelled),
+subsets AS (
+  SELECT row_id, b, [x] AS items FROM one
+  UNION ALL SELECT o.row_id, o.b, [o.x, p.x] FROM one o JOIN one p ON o.row_id = p.row_id AND o.x < p.x
+  UNION ALL SELECT o.row_id, o.b, [o.x, p.x, q.x] FROM one o JOIN one p ON o.row_id = p.row_id AND o.x < p.x JOIN one q ON o.row_id = q.row_id AND p.x < q.x),
+mined AS (
+  SELECT items, sum(b) / count(*) AS confidence FROM subsets GROUP BY items
+  HAVING sum(b) >= ceil({url_rules.MIN_SUPPORT}::double * (SELECT count(*) FROM labelled)) AND sum(b) / count(*) >= {url_rules.MIN_CONFIDENCE}),
+hits AS (SELECT row_id, max(confidence) AS confidence FROM listed JOIN mined ON list_has_all(tokens, items) GROUP BY row_id),
+judged AS (SELECT page_id, host, path, {_rule_cases()} AS rule, coalesce(confidence, 0.0) AS confidence FROM listed LEFT JOIN hits USING (row_id))
+SELECT page_id, host, path, rule, confidence,
+       CASE {' '.join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in url_rules.RULES)} WHEN confidence > 0 THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_quality_divergence": _QUALITY,
+    "op2_passage_automata": _PASSAGES,
+    "op5_pfair_mixing": _MIXING,
+    "op7_jaccard_join": _JACCARD,
+    "op9_site_lines": _LINES,
+    "op10_url_rules": _URLS,
+}
