@@ -92,11 +92,13 @@ def language_references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     ranked = counts.withColumn("r", F.row_number().over(by_count)).filter(F.col("r") <= rules.common_words)
     tops = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "word", "n"))).alias("top"))
-    return classes.join(tops, "lang").select(
+    references = classes.join(tops, "lang").select(
         F.col("lang").alias("_lang"), shares(F.col("c")).alias("_class_share"),
         F.transform("top", lambda x: x["word"]).alias("_common"),
         F.transform("top", lambda x: x["n"] / F.col("n_words")).alias("_common_share"),
     )
+    # a written table's size is known, so that texts need not be moved to join it
+    return materialize(references, "references")
 
 
 def _entropy_term(p: Column) -> Column:
