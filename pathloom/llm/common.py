@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import materialize
+
 ROWS_PER_SLICE = 20_000
 
 # The word class of the contract, as a Java regular expression.
@@ -45,11 +47,11 @@ def number_in_groups(df: DataFrame, group: str, order: Column, ties: Sequence[st
     cut = df.withColumn("_order", order).withColumn("_slice", F.floor(F.col("_order") * slices).cast("int"))
     totals = cut.groupBy(group, "_slice").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
+    offsets = materialize(totals.select(
         F.col(group).alias("_g"), F.col("_slice").alias("_s"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(Window.partitionBy(group)).alias(f"{out}_n"),
-    )
+    ), "offsets")
     ranked = cut.withColumn(
         "_r", F.row_number().over(Window.partitionBy(group, "_slice").orderBy("_order", *ties)) - 1
     )

@@ -309,5 +309,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     unless a copy has one.
     """
     found = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = docs.join(found.select(F.col("doc_id").alias("_keep")).distinct(), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    no_id = F.lit((1 << 63) - 1)
+    found = found.select(F.coalesce("doc_id", no_id).alias("_keep")).distinct()
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), no_id), "_text": F.xxhash64("text")})
+    kept = keyed.join(found, F.col("_id") == F.col("_keep"), "left_semi")
+    return kept.dropDuplicates(["_id", "_text"]).select(*docs.columns)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import materialize
 from .hashing import unit
 
 UNKNOWN = "und"
@@ -123,7 +124,8 @@ def learn_profiles(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
     order = Window.partitionBy("lang").orderBy("_u", "doc_id")
     chosen = labelled.select("doc_id", "lang", unit("profile", "doc_id").alias("_u")).withColumn(
         "_r", F.row_number().over(order)).filter(F.col("_r") <= sample).select("doc_id", "lang")
-    texts = labelled.select("doc_id", "lang", "text").join(chosen.distinct(), ["doc_id", "lang"], "left_semi")
+    chosen = materialize(chosen.distinct(), "sample")  # its size decides whether texts are moved to join it
+    texts = labelled.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -110,7 +110,7 @@ def mix_sources(
     # slots until the source that takes longest has been read once
     last = sized.join(turns, F.col("_s").eqNullSafe(F.col("_ts")) & (F.pmod(F.col("_blocks") - 1, F.col("_u")) == F.col("_tt")))
     horizon = last.agg(F.max(F.floor((F.col("_blocks") - 1) / F.col("_u")) * F.col("_f") + F.col("_tl") + 1).alias("_slots"))
-    sized = sized.withColumn("_slots", horizon.scalar())
+    sized = materialize(sized.withColumn("_slots", horizon.scalar()), "sized")
     block = F.floor(F.col("_at") / block_docs).cast("bigint")
     asked = F.ceil(F.col("_slots") / F.col("_f")) * F.col("_u")  # blocks of this source in whole frames
     rounds = F.floor((asked - 1 - block) / F.col("_blocks")).cast("bigint")
