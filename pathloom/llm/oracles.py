@@ -157,7 +157,7 @@ FROM sets JOIN reached ON sets.doc_id = reached.a GROUP BY sets.doc_id, s
 """
 
 _LINES = f"""
-WITH base AS (SELECT row_number() OVER () AS row_id, *, string_split(text, chr(10)) AS lines FROM documents),
+WITH base AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents),
 sets AS (
   SELECT DISTINCT source, list_sort(list_distinct(list_transform(list_filter(coalesce(lines, []), lambda x: trim(x, ' ') <> ''), lambda x: trim(x, ' ')))) AS k
   FROM base),
@@ -167,7 +167,7 @@ listed AS (
   SELECT f.source, list(line) AS boilerplate FROM frequent f JOIN pages p ON f.source IS NOT DISTINCT FROM p.source
   WHERE c > {line_dedup.RATIO}::double * n GROUP BY f.source),
 cut AS (
-  SELECT base.*, list_filter(lines, lambda x: trim(x, ' ') = '' OR NOT list_contains(coalesce(boilerplate, []), trim(x, ' '))) AS kept
+  SELECT base.doc_id, base.source, lines, list_filter(lines, lambda x: trim(x, ' ') = '' OR NOT list_contains(coalesce(boilerplate, []), trim(x, ' '))) AS kept
   FROM base LEFT JOIN listed ON base.source IS NOT DISTINCT FROM listed.source)
 SELECT doc_id, source, array_to_string(kept, chr(10)) AS text, coalesce(len(lines), 0)::bigint AS n_lines,
        coalesce(len(lines) - len(kept), 0)::bigint AS n_dropped
