@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,19 +26,43 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if app not in _local_folders:
         _local_folders[app] = tempfile.mkdtemp(prefix="pathloom-")
+        atexit.register(shutil.rmtree, _local_folders[app], ignore_errors=True)
     return _local_folders[app]
 
 
+# Files of a finished write's shuffles go at once instead of with the session.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once as Parquet and return a reader of the written table.
 
     Unlike a cached DataFrame the result survives the loss of any executor, and
-    unlike a recomputed one it is numbered identically by every consumer.
+    unlike a recomputed one it is numbered identically by every consumer. With
+    ``partition_by`` the rows of a folder are gathered first, large folders
+    being split by the optimiser, so that no task writes a file per folder.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_stages(spark: SparkSession) -> None:
+    """Delete every table this session has materialized; call it when no reader is left."""
+    folder = shared_folder(spark)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -14,18 +14,20 @@ def write_pair_splits(splits: DataFrame, path: str, split_mode: str, overwrite:
     if split_mode not in SPLIT_MODES:
         raise ValueError(f"unknown split mode: {split_mode}")
     tagged = splits.select(F.lit(split_mode).alias("split_mode"), "split", "drug", "disease")
-    writer = tagged.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("split_mode", "split")
+    gathered = tagged.hint("rebalance", "split")  # no file per task and folder
+    writer = gathered.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("split_mode", "split")
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def write_edges(edges: DataFrame, path: str, overwrite: bool = False) -> None:
     """Edge table laid out by edge type, so typed reads prune to their files."""
-    edges.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("src_type", "rel", "dst_type").parquet(path)
+    gathered = edges.hint("rebalance", "src_type", "rel", "dst_type")
+    gathered.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("src_type", "rel", "dst_type").parquet(path)
 
 
 def write_features_by_type(features: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
     """(node_type, global_id, vec) partitioned by sanitised type; returns its metadata."""
-    tagged = features.withColumn("type_dir", safe_type_name("node_type"))
+    tagged = features.withColumn("type_dir", safe_type_name("node_type")).hint("rebalance", "type_dir")
     tagged.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("type_dir").parquet(path)
     return feature_metadata(features)
 
