@@ -179,9 +179,8 @@ def shared_index(index: DataFrame) -> DataFrame:
     Rows of rare tokens meet in one shuffle. Rows of frequent tokens are dealt
     to SPREAD parts and kept; their groups are judged by combined counts.
     """
-    rows = index.withColumn("partner", largest_partner()).withColumn(
-        "part", F.when(F.col("hot"), F.pmod("d1", F.lit(SPREAD)).cast("int")).otherwise(0)
-    )
+    part = F.when(F.col("hot"), F.pmod("d1", F.lit(SPREAD)).cast("int")).otherwise(0)
+    rows = index.withColumn("part", part).repartition("token", "part").withColumn("partner", largest_partner())
     group = Window.partitionBy("token", "part")
     first = F.row_number().over(Window.partitionBy("token", "part", "d1").orderBy("n"))
     sides = {"least": F.min("d1").over(group), "most": F.max("d1").over(group), "lo": F.min("n").over(group), "reach": F.max("partner").over(group)}
@@ -267,7 +266,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         index.join(keys, (F.col("d1") == F.col("_d")) & (F.col("n") == F.col("_n"))).select("token", "rep", "n", "pos", "ell", "partner"),
         "prefixes",
     )
-    sets = materialize(_set_table(docs, index.select("rep").distinct()), "token_sets")
+    needed = materialize(index.select("rep").distinct(), "needed")  # its size decides whether texts are moved
+    sets = materialize(_set_table(docs, needed), "token_sets")
 
     front = F.struct((F.col("pos") - F.col("ell")).alias("at"), F.col("rep").alias("p"), F.col("n"), F.col("ell"), F.col("partner"))
     pivots = index.groupBy("token").agg(F.min(front).alias("x")).select("token", F.col("x.p").alias("rep"), "x.n", "x.ell", "x.partner")
