@@ -95,15 +95,28 @@ def chunks(col: Column | str) -> Column:
     return F.coalesce(F.array_distinct(kept), F.array().cast("array<string>"))
 
 
+# --- fixed values: an item of a list literal, and a whole literal ---
+LIST_ITEM = r"""'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+"|[^\s,'"\[\](){}]++"""
+LIST_LITERAL = rf"(?s)^[\[({{]\s*+(?:(?:{LIST_ITEM})\s*+(?:,\s*+|(?=[\])}}])))*+[\])}}]$"
+# --- end of fixed values ---
+
+
 def list_literal(col: Column | str) -> Column:
-    """Ordered distinct items of a list literal such as ``['a', 'b']``.
+    """Ordered distinct items of a list, tuple or set literal such as ``['a', "b's"]``.
 
-    A cell that is no literal is cut at commas, quotes and wide gaps instead.
+    Items may be quoted either way, with escapes, or bare. A cell that is no
+    literal is cut at commas, quotes and wide gaps instead.
     """
     raw = safe_text(col)
-    quoted = F.when(raw.startswith("["), F.from_json(F.translate(raw, "'", '"'), "array<string>"))
+
+    def bare(item: Column) -> Column:
+        quoted = item.startswith("'") | item.startswith('"')
+        inside = F.regexp_replace(F.substr(item, F.lit(2), F.length(item) - 2), r"\\(['\"\\])", "$1")
+        return F.when(quoted, inside).otherwise(item)
+
+    items = F.transform(F.regexp_extract_all(raw, F.lit(f"(?s){LIST_ITEM}"), F.lit(0)), bare)
     loose = F.split(F.translate(raw, "[]\n", "   "), r"[,'\"]+|\s{2,}")
-    trimmed = F.transform(F.when(F.size(quoted) > 0, quoted).otherwise(loose), strip)
+    trimmed = F.transform(F.when(raw.rlike(LIST_LITERAL), items).otherwise(loose), strip)
     kept = F.filter(trimmed, lambda p: ~is_missing_text(p))
     return F.coalesce(F.array_distinct(kept), F.array().cast("array<string>"))
 

@@ -12,14 +12,21 @@ from ..lineage import materialize
 from .numbering import prefix_sums
 
 
+def ranked_rows(scores: DataFrame, score: str) -> DataFrame:
+    """Rows whose score is a number."""
+    value = F.col(score).cast("double")
+    return scores.filter(value.isNotNull() & ~F.isnan(value))
+
+
 def score_histogram(scores: DataFrame, score: str, label: str, groups: Sequence[str] = ()) -> DataFrame:
     """One row per (group, score) with positives, negatives and those below it.
 
     Ties collapse before anything is ordered, so a score shared by a third of
-    the rows is one row here.
+    the rows is one row here. Rows without a score (null or NaN) or without a
+    label rank nowhere and are left out.
     """
     positive = F.col(label).cast("int") == 1
-    counts = scores.groupBy(*groups, F.col(score).cast("double").alias("score")).agg(
+    counts = ranked_rows(scores, score).filter(F.col(label).isNotNull()).groupBy(*groups, F.col(score).cast("double").alias("score")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
     return prefix_sums(materialize(counts, "scores"), "score", ["pos", "neg"], groups)
@@ -98,6 +105,9 @@ def f1_at_threshold(
     )
 
 
+EXACT_PLACES = 10_000
+
+
 def positive_ranks(scores: DataFrame, group_keys: Sequence[str]) -> DataFrame:
     """Per group, how many candidates beat (``better``) or tie (``ties``) candidate 0."""
     keys = list(group_keys)
@@ -111,10 +121,21 @@ def positive_ranks(scores: DataFrame, group_keys: Sequence[str]) -> DataFrame:
 
 
 def _expected_reciprocal() -> Column:
-    """Mean of 1/rank over the equally likely places among the tied candidates."""
-    ranks = F.sequence(F.lit(0).cast("bigint"), F.col("ties"))
-    total = F.aggregate(ranks, F.lit(0.0), lambda acc, j: acc + F.lit(1.0) / (F.lit(1.0) + F.col("better") + j))
-    return total / (F.col("ties") + 1)
+    """Mean of 1/rank over the equally likely places among the tied candidates.
+
+    The first places are added one by one, at most EXACT_PLACES of them; the rest
+    is the closed form of a harmonic sum, whose error is below 1e-15 there.
+    """
+    first, last = F.col("better") + 1, F.col("better") + F.col("ties") + 1
+    few = F.sequence(first, F.least(last, first + EXACT_PLACES))
+    head = F.aggregate(few, F.lit(0.0), lambda acc, r: acc + F.lit(1.0) / r)
+
+    def harmonic(n: Column) -> Column:
+        n = n.cast("double")
+        return F.log(n) + 1 / (2 * n) - 1 / (12 * n * n) + 1 / (120 * n * n * n * n)
+
+    tail = F.when(last > first + EXACT_PLACES, harmonic(last) - harmonic(first + EXACT_PLACES)).otherwise(0.0)
+    return (head + tail) / (F.col("ties") + 1)
 
 
 def hits_mrr(scores: DataFrame, group_keys: Sequence[str], ks: Sequence[int] = (1,), ties: str = "min") -> DataFrame:
@@ -165,9 +186,11 @@ def filtered_mrr(
 
     ``targets`` has the target's own ``score``; ``candidate_scores`` holds the
     (drug, disease, score) rows that differ from ``default_score``, the score of
-    every drug without a row. Candidates are counted by a prefix sum over the
-    scores of a disease; the (target, candidate) pairs are never formed.
+    every drug without a row; a row without a number as score counts as no row.
+    Targets need a score. Candidates are counted by a prefix sum over the scores of
+    a disease; the (target, candidate) pairs are never formed.
     """
+    targets, candidate_scores = ranked_rows(targets, "score"), ranked_rows(candidate_scores, "score")
     known = known.select("drug", "disease").unionByName(targets.select("drug", "disease")).distinct()
     free = candidate_scores.join(known, ["drug", "disease"], "left_anti").join(
         targets.select("disease"), "disease", "left_semi"

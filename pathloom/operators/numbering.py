@@ -7,6 +7,7 @@ count is bounded by ``rows / rows_per_task`` or by the number of partitions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -101,12 +102,16 @@ def value_buckets(df: DataFrame, value: str, buckets: int, out: str = "_bucket")
     """Order-preserving bucket number of a numeric column, near-equal in size.
 
     The boundaries are ``buckets`` doubles from a quantile sketch; equal values
-    always share a bucket.
+    always share a bucket. Null comes before all buckets, NaN after them.
     """
     probabilities = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(value, probabilities, 1.0 / (4 * buckets)))) or [0.0]
-    marks = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=marks, inputCol=value, outputCol=out, handleInvalid="error").transform(df)
+    cuts = sorted({c for c in df.approxQuantile(value, probabilities, 1.0 / (4 * buckets)) if math.isfinite(c)}) if probabilities else []
+    marks = [float("-inf"), *(cuts or [0.0]), float("inf")]
+    plain = df.withColumn("_plain", F.nanvl(F.coalesce(F.col(value), F.lit(0.0)), F.lit(0.0)))
+    cut = Bucketizer(splits=marks, inputCol="_plain", outputCol=out, handleInvalid="error").transform(plain)
+    return cut.withColumn(
+        out, F.when(F.col(value).isNull(), -1.0).when(F.isnan(value), float(len(marks))).otherwise(F.col(out))
+    ).drop("_plain")
 
 
 def prefix_sums(
@@ -119,34 +124,35 @@ def prefix_sums(
     """Add ``{c}_before``: per group, the sum of ``c`` over strictly smaller values.
 
     ``df`` holds one row per (group, value), ``value`` being DOUBLE, and is read
-    several times: pass a written table. Up to ``rows_per_task`` rows a plain
-    window does; beyond, values are cut into buckets of half that size whose
-    totals are summed first.
+    several times: pass a written table. Null is smaller than every number, NaN
+    larger; a null group is a group. Values are cut into buckets of about half
+    of ``rows_per_task`` rows whose totals are summed first; a small table has
+    one bucket of numbers, and the plan is the same at every size.
     """
     groups = list(groups)
-    n = df.count()
-    if n <= rows_per_task:
-        below = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(value)
-        below = below.rowsBetween(Window.unboundedPreceding, -1)
-        return df.select("*", *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"{c}_before") for c in sums])
-    bucketed = value_buckets(df, value, 2 * -(-n // rows_per_task))
+    bucketed = value_buckets(df, value, max(1, 2 * (df.count() // rows_per_task)))
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = bucketed.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     offsets = totals.select(
-        *groups, "_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums]
+        *[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_bucket").alias("_b"),
+        *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
     )
     inside = Window.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = bucketed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_l_{c}") for c in sums])
-    return local.join(offsets, [*groups, "_bucket"]).select(
+    same = F.col("_bucket") == F.col("_b")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return local.join(offsets, same).select(
         *df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"{c}_before") for c in sums]
     )
 
 
 def lower_median(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Lower middle value per group, without holding a group in one task."""
+    """Lower middle number per group, without holding a group in one task; null and NaN are no numbers."""
     groups = list(groups)
+    number = F.col(value).cast("double")
     counts = materialize(
-        df.groupBy(*groups, F.col(value).cast("double").alias(value)).agg(F.count("*").alias("_n")), "counts"
+        df.filter(number.isNotNull() & ~F.isnan(number)).groupBy(*groups, F.col(value).cast("double").alias(value)).agg(F.count("*").alias("_n")), "counts"
     )
     ranked = prefix_sums(counts, value, ["_n"], groups)
     totals = counts.groupBy(*groups).agg(F.sum("_n").alias("_total"))

@@ -3,7 +3,8 @@
 Pools are numbered once; a draw is an equi-join on (group, hash mod size). Where
 the forbidden values depend on the pool's group alone they are taken out of the
 pool first and a single draw is exact. Elsewhere a few draws are tried and what
-is left gets the first allowed value of the pool, found by counting.
+is left gets the k-th allowed value of the pool, k being drawn by the request's
+hash and the value found by counting, so that every draw is uniform.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from ..functions.numeric import zeros
 from ..lineage import materialize
 from ..schema import DUMMY_PATHWAY, QUAD
 from .graph import disease_gene, drug_gene, gene_pathways
-from .numbering import ROWS_PER_TASK, number_within
+from .numbering import ROWS_PER_TASK, number_within, prefix_sums
 
 PAIR = ("drug", "disease")
 
@@ -94,68 +95,77 @@ def draw_excluding(
     left = asked.join(hits, request_keys, "left_anti")
     if left.isEmpty():
         return hits
-    free = first_free(left.select(*context).distinct(), context, pool, groups, excluded, value, rows_per_task)
-    rest = left.join(free, context).select(*request_keys, value)
+    rest = kth_free(left.withColumn("_k", key_hash(f"{seed}:rest", *request_keys)), request_keys, context, pool, groups, excluded, value)
     return hits.unionByName(rest)
 
 
-def first_free(
-    contexts: DataFrame,
+def kth_free(
+    requests: DataFrame,
+    request_keys: Sequence[str],
     context: Sequence[str],
     pool: DataFrame,
     pool_groups: Sequence[str],
     excluded: DataFrame,
     value: str,
-    block: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """(context, value): the lowest-numbered pool value not excluded there.
+    """(request_keys, value): the allowed pool value number ``_k`` mod (allowed values) of each request.
 
-    The excluded numbers are counted per block of ``block`` numbers; the first
-    block that is not full holds the answer, so only its rows are ranked.
+    An excluded number has as many free numbers below it as its number less its
+    rank among the excluded. So in the order of that figure the excluded rows
+    before a request say how far its own number moves up: one window per context.
+    Requests whose context excludes the whole pool are absent.
     """
-    context, groups = list(context), list(pool_groups)
+    request_keys, context, groups = list(request_keys), list(context), list(pool_groups)
+    asked = requests.select(*dict.fromkeys([*request_keys, *context]), "_k")
     taken = (
         excluded.select(*context, value)
-        .join(contexts, context, "left_semi")
+        .join(asked.select(*context).distinct(), context, "left_semi")
         .join(pool.select(*groups, value, "idx"), [*groups, value])
-        .select(*context, "idx", F.floor(F.col("idx") / F.lit(block)).cast("bigint").alias("_block"))
+        .select(*context, "idx")
         .distinct()
     )
-    blocks = taken.groupBy(*context, "_block").agg(F.count("*").alias("_n"))
-    place = F.row_number().over(Window.partitionBy(*context).orderBy("_block")) - 1
-    full = (F.col("_block") == F.col("_place")) & (F.col("_n") == block)
-    open_block = (
-        blocks.withColumn("_place", place)
-        .groupBy(*context)
-        .agg(F.coalesce(F.min(F.when(~full, F.col("_place"))), F.max("_place") + 1).cast("bigint").alias("_block"))
-    )
     rank = F.row_number().over(Window.partitionBy(*context).orderBy("idx")) - 1
-    used = (
-        taken.join(open_block, [*context, "_block"])
-        .withColumn("_rank", rank)
-        .groupBy(*context)
-        .agg(F.count_if(F.col("idx") - F.col("_block") * F.lit(block) == F.col("_rank")).alias("_used"))
-    )
-    start = F.coalesce(F.col("_block"), F.lit(0)) * F.lit(block)
-    answer = (
-        contexts.join(open_block, context, "left")
-        .join(used, context, "left")
-        .withColumn("idx", (start + F.coalesce("_used", F.lit(0))).cast("bigint"))
-        .drop("_block", "_used")
-    )
-    return answer.join(pool.drop("idx_n"), [*groups, "idx"]).select(*context, value)
+    below = taken.select(*context, (F.col("idx") - rank).cast("bigint").alias("_at"))
+    counts = taken.groupBy(*context).agg(F.count("*").alias("_taken"))
+    sizes = pool.filter("idx = 0").select(*groups, "idx_n")
+    sized = asked.join(sizes, groups) if groups else asked.withColumn("idx_n", sizes.select("idx_n").scalar())
+    free = F.col("idx_n") - F.coalesce("_taken", F.lit(0))
+    placed = sized.join(counts, context, "left").filter(free > 0).withColumn("_at", F.pmod("_k", free)).drop("_k", "_taken", "idx_n")
+    both = placed.withColumn("_own", F.lit(1)).unionByName(below.withColumn("_own", F.lit(0)), allowMissingColumns=True)
+    order = Window.partitionBy(*context).orderBy("_at", "_own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    moved = both.withColumn("idx", (F.col("_at") + F.count_if(F.col("_own") == 0).over(order)).cast("bigint"))
+    return moved.filter("_own = 1").join(pool.drop("idx_n"), [*groups, "idx"]).select(*request_keys, value)
+
 
+def unresolved(requests: DataFrame, drawn: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Requests without a draw; must be empty where every request needs one."""
+    return requests.select(*keys).distinct().join(drawn, list(keys), "left_anti")
 
-def negative_genes(paths: DataFrame, genes: DataFrame, seed: int, draws: int = 8) -> DataFrame:
+
+def _checked(requests: DataFrame, drawn: DataFrame, keys: Sequence[str], what: str, on_missing: str) -> DataFrame:
+    if on_missing == "drop":
+        return drawn
+    if on_missing != "raise":
+        raise ValueError(f"on_missing must be raise or drop: {on_missing}")
+    drawn = materialize(drawn, "drawn")
+    left = unresolved(requests, drawn, keys).limit(5).collect()
+    if left:
+        raise ValueError(f"no {what} can be drawn for {[tuple(r) for r in left]}")
+    return drawn
+
+
+def negative_genes(paths: DataFrame, genes: DataFrame, seed: int, draws: int = 8, on_missing: str = "raise") -> DataFrame:
     """(drug, gene, disease, neg_gene): another gene that is no positive one of the pair.
 
-    A path whose pair has every gene as a positive has no row.
+    A pair that has every gene as a positive is an error, unless ``on_missing``
+    is 'drop': its paths are then left out, and ``unresolved`` lists them.
     """
     pool = numbered_pool(genes.select(F.col("gene").alias("neg_gene")), [], seed)
     known = paths.select("drug", "disease", F.col("gene").alias("neg_gene")).distinct()
-    return draw_excluding(
+    drawn = draw_excluding(
         paths.distinct(), ["drug", "gene", "disease"], list(PAIR), pool, [], known, "neg_gene", f"{seed}:gene", draws
     )
+    return _checked(paths, drawn, ["drug", "gene", "disease"], "negative gene", on_missing)
 
 
 def _linked_negatives(positives: DataFrame, valid: DataFrame, strategy: str, seed: int) -> DataFrame:
@@ -202,21 +212,30 @@ def _random_pool_pairs(
     left = asked.join(hits, list(PAIR), "left_anti")
     if left.isEmpty():
         return hits
-    # every request left over gets the first free pair of the whole pool: one row
+    # a drug has as many free pairs as diseases not known for it; number k of all picks drug and disease
     drug_pool = numbered_pool(drug_ids, [], seed)
     disease_pool = numbered_pool(disease_ids, [], seed)
     n_diseases = disease_pool.filter("idx = 0").select("idx_n").scalar()
     in_pool = neg_known.join(disease_pool, "neg_disease", "left_semi")
     taken = in_pool.groupBy("neg_drug").agg(F.count("*").alias("_n"))
-    open_drug = (
-        drug_pool.join(taken, "neg_drug", "left")
-        .filter(F.coalesce("_n", F.lit(0)) < n_diseases)
-        .agg(F.min_by("neg_drug", "idx").alias("neg_drug"))
-        .filter("neg_drug is not null")
+    free = drug_pool.join(taken, "neg_drug", "left").select(
+        "neg_drug", F.col("idx").cast("double").alias("idx"), (n_diseases - F.coalesce("_n", F.lit(0))).cast("bigint").alias("free")
     )
-    spare = first_free(open_drug, ["neg_drug"], disease_pool, [], neg_known, "neg_disease")
-    rest = left.withColumn("_p", spare.select(F.struct("neg_drug", "neg_disease")).scalar())
-    return hits.unionByName(rest.filter("_p is not null").select(*PAIR, "_p.neg_drug", "_p.neg_disease"))
+    free = materialize(free.filter("free > 0"), "free")
+    size = free.agg(F.sum("free").alias("total"), F.count("*").alias("n")).first()
+    if not size["n"]:
+        return hits
+    width = -(-size["total"] // size["n"])
+    ladder = prefix_sums(free, "idx", ["free"]).withColumn("_last", F.col("free_before") + F.col("free") - 1)
+    ladder = ladder.withColumn("_step", F.explode(F.sequence(F.floor(F.col("free_before") / width), F.floor(F.col("_last") / width))))
+    chosen = left.withColumn("_pick", F.pmod(key_hash(f"{seed}:pool:rest", *PAIR), F.lit(size["total"]))).withColumn(
+        "_step", F.floor(F.col("_pick") / width)
+    )
+    with_drug = chosen.join(ladder, "_step").filter("_pick between free_before and _last").select(
+        *PAIR, "neg_drug", (F.col("_pick") - F.col("free_before")).alias("_k")
+    )
+    rest = kth_free(with_drug, [*PAIR, "neg_drug"], ["neg_drug"], disease_pool, [], neg_known, "neg_disease")
+    return hits.unionByName(rest.select(*PAIR, "neg_drug", "neg_disease"))
 
 
 # --- fixed values: strategies tried in turn ---
@@ -240,6 +259,7 @@ def negative_pairs(
     drug_pool: DataFrame | None = None,
     disease_pool: DataFrame | None = None,
     draws: int = 8,
+    on_missing: str = "raise",
 ) -> DataFrame:
     """(drug, disease, neg_drug, neg_disease, used): one negative per positive pair.
 
@@ -247,7 +267,7 @@ def negative_pairs(
     ``STRATEGY_ORDER``, ``mixed`` starting with a hash-chosen one. A restricted
     pool filters the connected candidates of its side, then serves on its own;
     with any restriction ``random`` ignores the topology. A positive for which
-    nothing is allowed has null negatives. Several strategies share their draws
+    nothing is allowed is an error, or left out if ``on_missing`` is 'drop'. Several strategies share their draws
     and give one row each, named in a column ``strategy``.
     """
     asked = [strategy] if isinstance(strategy, str) else list(strategy)
@@ -288,12 +308,13 @@ def negative_pairs(
         first = F.pmod(key_hash(f"{seed}:mixed", *PAIR), F.lit(len(order)))
         return F.coalesce(*[F.when(first == i, F.col(f"_{n}")) for i, n in enumerate(order)], in_turn)
 
-    if isinstance(strategy, str):
-        return wide.select(*PAIR, chosen(strategy).alias("_c")).select(*PAIR, "_c.neg_drug", "_c.neg_disease", "_c.used")
     cells = [F.struct(F.lit(s).alias("strategy"), chosen(s).alias("_c")) for s in asked]
-    return wide.select(*PAIR, F.inline(F.array(*cells))).select(
+    out = wide.select(*PAIR, F.inline(F.array(*cells))).filter("_c is not null").select(
         "strategy", *PAIR, "_c.neg_drug", "_c.neg_disease", "_c.used"
     )
+    wanted = pairs.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in asked])))
+    out = _checked(wanted, out, ["strategy", *PAIR], "negative pair", on_missing)
+    return out.drop("strategy") if isinstance(strategy, str) else out
 
 
 def validate_pool(pool: DataFrame, ids: DataFrame) -> None:
@@ -327,10 +348,14 @@ def drop_real_quads(candidates: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def corrupt_paths(
-    quads: DataFrame, nodes: DataFrame, real: DataFrame, seed: int, draws: int = 4, edges: DataFrame | None = None
+    quads: DataFrame, nodes: DataFrame, real: DataFrame, seed: int, draws: int = 4, edges: DataFrame | None = None,
+    on_missing: str = "raise",
 ) -> DataFrame:
     """Groups of five: each quad and one corruption per position.
 
+    A position at which nothing is allowed is an error, or missing from its
+    group if ``on_missing`` is 'drop'.
+
     A negative differs from its positive in one position and is no row of
     ``real``. When ``real`` is every mechanism of ``edges``, pass the edges too:
     draws are then checked against them and ``real`` is left unread.
@@ -377,6 +402,7 @@ def corrupt_paths(
         requests, [*context, "current"], context, pool, ["position"], excluded, "value", f"{seed}:corrupt", draws,
         reject=reject,
     )
+    drawn = _checked(requests, drawn, [*context, "current"], "corruption", on_missing)
     negatives = drawn.select(
         *ids("pos_", "current"), (F.col("position") + 1).alias("candidate_idx"), F.lit(0).alias("label"), *ids("", "value")
     )

@@ -188,10 +188,10 @@ class SharedPhrases:
 
 
 def flag_phrases(
-    df: DataFrame, keys: Sequence[str], text: str, phrases: DataFrame, out: str = "hit",
+    df: DataFrame, text: str, phrases: DataFrame, out: str = "hit",
     per_matcher: int = PHRASES_PER_MATCHER, texts_per_block: int = TEXTS_PER_BLOCK,
 ) -> DataFrame:
-    """Add whether any phrase occurs in the row's whole text; ``keys`` identify rows.
+    """Add whether any phrase occurs in the row's whole text.
 
     Up to ``per_matcher`` phrases are broadcast and matched in place. A longer
     list is cut into shards, and every block of texts meets every shard in a
@@ -207,33 +207,33 @@ def flag_phrases(
 
         return df.withColumn(out, hit(F.col(text)))
 
-    df = materialize(df, "texts")
+    # rows are told apart by a number written with them; keys may be null or repeated
+    df, asked = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "texts"), df.columns
     shards, blocks = -(-n // per_matcher), max(1, -(-df.count() // texts_per_block))
     every = F.sequence(F.lit(0), F.lit(shards - 1))
-    left = df.select(*keys, F.col(text).alias("_text")).filter("_text <> ''").withColumns(
-        {"_block": F.pmod(key_hash("block", *keys), F.lit(blocks)).cast("int"), "_shard": F.explode(every)}
+    left = df.select("_row", F.col(text).alias("_text")).filter("_text <> ''").withColumns(
+        {"_block": F.pmod(key_hash("block", "_row"), F.lit(blocks)).cast("int"), "_shard": F.explode(every)}
     )
     right = phrases.select(
         "phrase",
         F.pmod(key_hash("shard", "phrase"), F.lit(shards)).cast("int").alias("_shard"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"),
     )
-    found_schema = df.select(*keys).schema
 
     def match(texts: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
         machine = _automaton(listed["phrase"])
-        return texts.loc[[_holds_phrase(machine, t) for t in texts["_text"]], list(keys)]
+        return texts.loc[[_holds_phrase(machine, t) for t in texts["_text"]], ["_row"]]
 
     found = (
-        left.groupBy("_block", "_shard").cogroup(right.groupBy("_block", "_shard")).applyInPandas(match, found_schema).distinct()
+        left.groupBy("_block", "_shard").cogroup(right.groupBy("_block", "_shard")).applyInPandas(match, "_row bigint").distinct()
     )
-    return df.join(found.withColumn("_hit", F.lit(True)), list(keys), "left").select(
-        *df.columns, F.coalesce("_hit", F.lit(False)).alias(out)
+    return df.join(found.withColumn("_hit", F.lit(True)), "_row", "left").select(
+        *asked, F.coalesce("_hit", F.lit(False)).alias(out)
     )
 
 
 def clean_sentences(
-    df: DataFrame, keys: Sequence[str], text: str, phrases: DataFrame, per_matcher: int = PHRASES_PER_MATCHER
+    df: DataFrame, text: str, phrases: DataFrame, per_matcher: int = PHRASES_PER_MATCHER
 ) -> DataFrame:
     """Rows of ``df`` with the sentences of ``text`` that hold a phrase removed."""
     if phrases.count() <= per_matcher:
@@ -247,25 +247,24 @@ def clean_sentences(
         flagged = cut.withColumn("_hits", hits("_pieces"))
         kept = F.filter("_pieces", lambda p, i: ~F.get("_hits", i))
         return flagged.withColumn(text, F.when(F.col(text).isNotNull(), join_segments(kept))).select(*df.columns)
-    cut = df.select(*keys, F.posexplode(segments(text)).alias("_pos", "_piece"))
-    flagged = flag_phrases(cut, [*keys, "_pos"], "_piece", phrases, "_hit", per_matcher)
+    numbered = materialize(df.withColumn("_own", F.monotonically_increasing_id()), "texts")
+    cut = numbered.select("_own", F.posexplode(segments(text)).alias("_pos", "_piece"))
+    flagged = flag_phrases(cut, "_piece", phrases, "_hit", per_matcher)
     pieces = F.sort_array(F.collect_list(F.when(~F.col("_hit"), F.struct("_pos", "_piece"))))
-    cleaned = flagged.groupBy(*keys).agg(join_segments(F.transform(pieces, lambda p: p["_piece"])).alias("_clean"))
-    return df.join(cleaned, list(keys), "left").withColumn(
+    cleaned = flagged.groupBy("_own").agg(join_segments(F.transform(pieces, lambda p: p["_piece"])).alias("_clean"))
+    return numbered.join(cleaned, "_own", "left").withColumn(
         text, F.when(F.col(text).isNotNull(), F.coalesce("_clean", F.lit("")))
     ).select(*df.columns)
 
 
-def sanitize_texts(
-    df: DataFrame, keys: Sequence[str], text: str, drug_phrases: DataFrame, disease_phrases: DataFrame
-) -> DataFrame:
+def sanitize_texts(df: DataFrame, text: str, drug_phrases: DataFrame, disease_phrases: DataFrame) -> DataFrame:
     """Drop sentences naming the opposite side: diseases for drugs, genes and
     pathways; drugs for diseases. Texts of other types are only trimmed."""
     kind = F.col("node_type")
     others = df.filter(~F.coalesce(kind.isin(DRUG, GENE, PATHWAY, DISEASE), F.lit(False)))
     return (
-        clean_sentences(df.filter(kind.isin(DRUG, GENE, PATHWAY)), keys, text, disease_phrases)
-        .unionByName(clean_sentences(df.filter(kind == DISEASE), keys, text, drug_phrases))
+        clean_sentences(df.filter(kind.isin(DRUG, GENE, PATHWAY)), text, disease_phrases)
+        .unionByName(clean_sentences(df.filter(kind == DISEASE), text, drug_phrases))
         .unionByName(others.withColumn(text, strip(text)))
     )
 
@@ -294,7 +293,7 @@ def entity_text_table(
     for name, df in (("rich", rich), ("graph", context)):
         typed = df.select("global_id", "text").join(nodes.select("global_id", "node_type"), "global_id")
         parts = parts.unionByName(typed.withColumn("part", F.lit(name)))
-    cleaned = sanitize_texts(parts, ["global_id", "part"], "text", drugs, diseases)
+    cleaned = sanitize_texts(parts, "text", drugs, diseases)
     wide = cleaned.groupBy("global_id").agg(
         *[F.max(F.when(F.col("part") == p, F.col("text"))).alias(f"_{p}") for p in ("base", "rich", "graph")]
     )

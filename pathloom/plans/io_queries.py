@@ -110,18 +110,22 @@ def phase_rows(spark, sf_dir):
 
 @query(
     "run_metrics",
-    """SELECT CAST(o_orderkey AS VARCHAR) AS file, CASE o_orderstatus WHEN 'F' THEN o_totalprice WHEN 'P' THEN o_totalprice / 2 END AS value FROM orders""",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS file, CASE o_orderstatus WHEN 'F' THEN o_totalprice WHEN 'P' THEN o_totalprice / 2 ELSE o_totalprice / 4 END AS value
+  FROM orders WHERE o_orderkey % 10 <> 0
+  UNION ALL SELECT CAST(o_orderkey AS VARCHAR), NULL FROM orders WHERE o_orderkey % 10 = 0""",
 )
 def run_metrics(spark, sf_dir):
-    """One result document per order; the metric stands at different places and spellings."""
-    price, half = F.col("o_totalprice").cast("string"), (F.col("o_totalprice") / 2).cast("string")
+    """One result document per order; the metric stands at different depths and spellings, or nowhere."""
+    price = F.col("o_totalprice")
+    text = [(price / k).cast("string") for k in (1, 2, 4)]
     body = (
-        F.when(F.col("o_orderstatus") == "F", F.concat(F.lit('{"metrics":{"mrr":1e9},"ho_eval":{"metrics":{"mrr":'), price, F.lit("}}}")))
-        .when(F.col("o_orderstatus") == "P", F.concat(F.lit('{"metrics":{"MRR":'), half, F.lit("}}")))
-        .otherwise(F.lit('{"other":{"mrr":1}}'))
+        F.when(F.col("o_orderkey") % 10 == 0, F.lit('{"other":{"hit_at_1":1},"metrics":{"mrr":2}}'))
+        .when(F.col("o_orderstatus") == "F", F.concat(F.lit('{"runs":[{"ho_eval":{"metrics":{"Hit@1":'), text[0], F.lit('}}}],"metrics":{"hit_at_1":1e9}}')))
+        .when(F.col("o_orderstatus") == "P", F.concat(F.lit('{"a":{"b":{"metrics":{"HO-Hit@1":'), text[1], F.lit(',"mrr":3}}}}')))
+        .otherwise(F.concat(F.lit('{"ho_eval":{"hit at 1":null,"HIT-AT-1":'), text[2], F.lit("}}")))
     )
     files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("file"), body.alias("value"))
-    return readers.select_run_metric(files, "mrr", ["MRR", "mean_reciprocal_rank"])
+    return readers.select_run_metric(files, "hit_at_1", ["ho_hit_at_1"], on_missing="null")
 
 
 @query(

@@ -101,9 +101,11 @@ for _strategy in _CHOICES:
   tries AS (SELECT l.drug, l.disease, k, p.neg_drug FROM left_over l, range(8) t(k), pool p WHERE p.i = {h(f'{SEED}:pool:cross_drug', 'l.drug', 'l.disease', 'k')} % p.n
     AND NOT EXISTS (SELECT 1 FROM known x WHERE x.drug = p.neg_drug AND x.disease = l.disease)),
   drawn AS (SELECT drug, disease, arg_min(neg_drug, k) AS neg_drug FROM tries GROUP BY ALL),
-  rest AS (SELECT l.drug, l.disease, arg_min(p.neg_drug, p.i) AS neg_drug FROM left_over l, pool p
-    WHERE NOT EXISTS (SELECT 1 FROM drawn d WHERE d.drug = l.drug AND d.disease = l.disease)
-      AND NOT EXISTS (SELECT 1 FROM known x WHERE x.drug = p.neg_drug AND x.disease = l.disease) GROUP BY ALL)
+  rest AS (SELECT drug, disease, neg_drug FROM (
+      SELECT l.drug, l.disease, p.neg_drug, row_number() OVER (PARTITION BY l.drug, l.disease ORDER BY p.i) - 1 AS r, count(*) OVER (PARTITION BY l.drug, l.disease) AS c
+      FROM left_over l, pool p WHERE NOT EXISTS (SELECT 1 FROM drawn d WHERE d.drug = l.drug AND d.disease = l.disease)
+        AND NOT EXISTS (SELECT 1 FROM known x WHERE x.drug = p.neg_drug AND x.disease = l.disease))
+    WHERE r = {h(f'{SEED}:pool:cross_drug:rest', 'drug', 'disease')} % c)
   SELECT drug, disease, neg_drug, disease AS neg_disease, 'cross_drug' AS used FROM (SELECT * FROM linked UNION ALL SELECT * FROM drawn UNION ALL SELECT * FROM rest)""",
     ),
 )
@@ -129,6 +131,23 @@ def negative_genes(spark, sf_dir):
     return sa.negative_genes(paths, node_ids(spark, sf_dir, GENE, "gene"), SEED)
 
 
+@query(
+    "unresolved_negatives",
+    expect(
+        ("pt_random", "nodes"),
+        """, pool AS (SELECT global_id AS neg_gene FROM nodes WHERE node_type = 'gene/protein' AND global_id % 40 = 0),
+  paths AS (SELECT DISTINCT drug, gene, disease FROM pt_random)
+  SELECT drug, gene, disease FROM paths t WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE NOT EXISTS (
+    SELECT 1 FROM paths x WHERE x.drug = t.drug AND x.disease = t.disease AND x.gene = p.neg_gene))""",
+    ),
+)
+def unresolved_negatives(spark, sf_dir):
+    """Paths for which a pool of one gene in forty leaves no negative gene."""
+    paths = triplets(spark, sf_dir, "random").select("drug", "gene", "disease")
+    genes = node_ids(spark, sf_dir, GENE, "gene").filter("gene % 40 = 0")
+    return sa.unresolved(paths, sa.negative_genes(paths, genes, SEED, on_missing="drop"), ["drug", "gene", "disease"])
+
+
 _AT = {
     0: ("-1", "gene", "pathway", "disease", "drug"),
     1: ("drug", "-1", "pathway", "disease", "gene"),
@@ -161,8 +180,11 @@ _SAME = " AND ".join(f"x.{c} = r.{c}" for c in _CTX.split(", "))
     JOIN pool p ON p.position = r.position AND p.i = hh % p.n WHERE NOT EXISTS (SELECT 1 FROM taken x WHERE {_SAME} AND x.value = p.value)),
   drawn AS (SELECT {_CTX}, cur, arg_min(value, k) AS value FROM tries GROUP BY ALL),
   left_over AS (SELECT {_CTX}, cur FROM req EXCEPT SELECT {_CTX}, cur FROM drawn),
-  rest AS (SELECT r.position, at_drug, at_gene, at_pathway, at_disease, cur, arg_min(p.value, p.i) AS value FROM left_over r JOIN pool p ON p.position = r.position
-    WHERE NOT EXISTS (SELECT 1 FROM taken x WHERE {_SAME} AND x.value = p.value) GROUP BY ALL),
+  rest AS (SELECT {_CTX}, cur, value FROM (
+      SELECT r.*, p.value, row_number() OVER (PARTITION BY {_CTX.replace("position", "r.position")}, cur ORDER BY p.i) - 1 AS z,
+             count(*) OVER (PARTITION BY {_CTX.replace("position", "r.position")}, cur) AS c
+      FROM left_over r JOIN pool p ON p.position = r.position WHERE NOT EXISTS (SELECT 1 FROM taken x WHERE {_SAME} AND x.value = p.value))
+    WHERE z = {h(f'{SEED}:corrupt:rest', 'position', 'at_drug', 'at_gene', 'at_pathway', 'at_disease', 'cur')} % c),
   negs AS (SELECT * FROM drawn UNION ALL SELECT * FROM rest)
   SELECT drug AS pos_drug, gene AS pos_gene, pathway AS pos_pathway, disease AS pos_disease, 0 AS candidate_idx, 1 AS label, drug, gene, pathway, disease FROM pos
   UNION ALL SELECT CASE position WHEN 0 THEN cur ELSE at_drug END, CASE position WHEN 1 THEN cur ELSE at_gene END, CASE position WHEN 2 THEN cur ELSE at_pathway END, CASE position WHEN 3 THEN cur ELSE at_disease END,

@@ -47,13 +47,17 @@ def chunks(spark, sf_dir):
 
 @query(
     "list_items",
-    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority || '~x' ELSE o_orderpriority || '~' || o_orderstatus END AS items FROM orders""",
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority || '~x' WHEN o_orderstatus = 'P' THEN 'a ' || o_orderpriority || '~b'
+  WHEN o_orderkey % 2 = 0 THEN 'Crohn''s ' || o_orderpriority || '~say "x", y~7' ELSE o_orderpriority || '~' || o_orderstatus END AS items FROM orders""",
 )
 def list_items(spark, sf_dir):
-    cells = table(spark, sf_dir, "orders").selectExpr(
+    """Plain cells, sets, lists with quotes inside and tuples."""
+    cells = table(spark, sf_dir, "orders").select(
         "o_orderkey",
-        """case when o_orderstatus = 'F' then concat(o_orderpriority, ' , x,', o_orderpriority)
-        else concat("['", o_orderpriority, "', '", o_orderstatus, "', 'nan']") end as cell""",
+        F.when(F.col("o_orderstatus") == "F", F.format_string("%s , x,%s", "o_orderpriority", "o_orderpriority"))
+        .when(F.col("o_orderstatus") == "P", F.format_string("{'a %s', 'b'}", "o_orderpriority"))
+        .when(F.col("o_orderkey") % 2 == 0, F.format_string("[\"Crohn's %s\", 'say \\\"x\\\", y', 7, None]", "o_orderpriority"))
+        .otherwise(F.format_string("('%s', '%s', 'nan',)", "o_orderpriority", "o_orderstatus")).alias("cell"),
     )
     return cells.select("o_orderkey", F.array_join(tx.list_literal("cell"), "~").alias("items"))
 
@@ -126,7 +130,7 @@ def blocklist_hits(spark, sf_dir):
     name = F.when(F.col("quality") == 1, F.coalesce("c_name", F.lit(""))).otherwise(F.concat(F.lit("custom "), first_supplier))
     planted = docs.select("doc_id", F.concat("text", F.lit(" "), name, F.lit(" "), "lang").alias("text"))
     names = te.name_phrases(graph(spark, sf_dir).nodes, DISEASE)
-    return te.flag_phrases(planted, ["doc_id"], "text", names).select("doc_id", "hit")
+    return te.flag_phrases(planted, "text", names).select("doc_id", "hit")
 
 
 @query("name_phrases", expect("nodes", f", {_PHRASES} SELECT phrase FROM phrases WHERE node_type = 'gene/protein'"))
@@ -174,7 +178,7 @@ def sanitized(spark, sf_dir):
     g = graph(spark, sf_dir)
     context = te.graph_context(g.edges, g.nodes, NEIGHBOURS).join(g.nodes.select("global_id", "node_type"), "global_id")
     drugs, diseases = te.name_phrases(g.nodes, DRUG), te.name_phrases(g.nodes, DISEASE)
-    return te.sanitize_texts(context, ["global_id"], "text", drugs, diseases).select("global_id", "text")
+    return te.sanitize_texts(context, "text", drugs, diseases).select("global_id", "text")
 
 
 # --- rich texts of drugs ---

@@ -11,15 +11,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_missing_text, normalize_text, safe_text
+from ..lineage import materialize
 from ..operators.checks import require_columns
 from ..operators.tables import best_entity_text, dedup_keep_first, dedup_keep_last, drop_null_rows
 from ..schema import RAW_EDGE_COLUMNS, RAW_NODE_COLUMNS, SPLIT_MODES
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Delimited text with a header as strings; a leading byte-order mark is ignored."""
-    df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=False, encoding="UTF-8")
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+def read_csv(spark: SparkSession, path: str, sep: str = ",", line_breaks: bool | None = None) -> DataFrame:
+    """Delimited text with a header as strings; a leading byte-order mark is ignored.
+
+    ``line_breaks`` says whether quoted fields may hold line breaks; such files
+    cannot be read in parts. Unless told, a pass over the lines finds out: a line
+    that leaves a quote open has an odd number of them.
+    """
+    if line_breaks is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        line_breaks = not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=line_breaks, encoding="UTF-8")
+    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
 
 
 def file_position() -> Column:
@@ -241,28 +250,73 @@ def read_features_by_type(spark: SparkSession, path: str, nodes: DataFrame) -> t
     return features.withColumn("vec", F.col("vec").cast("array<float>")), report
 
 
-def read_run_metrics(spark: SparkSession, path: str, name: str, aliases: Sequence[str] = ()) -> DataFrame:
-    """(file, value) of one metric in nested result files.
+def read_run_metrics(spark: SparkSession, path: str, name: str, aliases: Sequence[str] = (), on_missing: str = "error") -> DataFrame:
+    """(file, value) of one metric in nested result files; see ``select_run_metric``. One file is one row: for result files, not tables."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    return select_run_metric(files, name, aliases, on_missing)
 
-    The value stands under ``ho_eval.metrics``, ``ho_eval`` or ``metrics``; a file
-    whose aliases match more than once is an error.
-    """
-    return select_run_metric(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"), name, aliases)
+
+# --- fixed values: objects under which a metric may stand ---
+METRIC_PARENTS = ("ho_eval", "metrics")
+# --- end of fixed values ---
 
 
-def select_run_metric(files: DataFrame, name: str, aliases: Sequence[str] = ()) -> DataFrame:
-    places = ("$.ho_eval.metrics", "$.ho_eval", "$.metrics")
+def metric_key(col: Column) -> Column:
+    """Spelling under which two names of a metric are the same."""
+    out = F.lower(col)
+    for old, new in (("-", "_"), ("@", "_at_"), (" ", "_")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
 
-    def at(key: str) -> list[Column]:
-        return [F.get_json_object("value", f"{p}['{key}']").try_cast("double") for p in places]
 
-    preferred = F.coalesce(*at(name))
-    others = F.array_compact(F.array(*[c for a in aliases for c in at(a)], F.lit(None).cast("double")))
-    found = files.select("file", preferred.alias("_preferred"), others.alias("_aliases"))
-    clash = found.filter("_preferred is null and size(_aliases) > 1").limit(5).collect()
+def nested_entries(files: DataFrame) -> DataFrame:
+    """(file, parent, key, text, place) of every entry of JSON documents, at any depth.
+
+    ``place`` orders entries as they stand. Each pass opens one level more.
+    """
+    level = files.select("file", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("key"),
+                         F.trim("value").alias("text"), F.array().cast("array<int>").alias("place"))
+    found = []
+    while not level.isEmpty():
+        inside = F.when(F.col("text").startswith("{"), F.map_entries(F.from_json("text", "map<string,string>")))
+        listed = F.from_json("text", "array<string>")
+        numbered = F.transform(listed, lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))
+        inside = inside.when(F.col("text").startswith("["), numbered)
+        opened = level.select("file", F.col("key").alias("parent"), "place", F.posexplode(inside).alias("_i", "_e"))
+        level = materialize(opened.select(
+            "file", "parent", "_e.key", F.trim("_e.value").alias("text"), F.concat("place", F.array("_i")).alias("place")
+        ), "entries")
+        found.append(level)
+    return reduce(DataFrame.unionByName, found) if found else level
+
+
+def select_run_metric(files: DataFrame, name: str, aliases: Sequence[str] = (), on_missing: str = "error") -> DataFrame:
+    """(file, value) of a metric in documents (file, value).
+
+    The metric is a number under one of METRIC_PARENTS at any depth; keys are
+    compared in one spelling. The first entry of that name counts, else the only
+    one of an alias. More than one alias is an error, and so is a document
+    without the metric unless ``on_missing`` is 'null'. Numbers written as text count.
+    """
+    numbers = nested_entries(files).select(
+        "file", "place", metric_key(F.col("key")).alias("key"), metric_key(F.col("parent")).alias("parent"),
+        F.col("text").try_cast("double").alias("value"),
+    ).filter(F.col("value").isNotNull() & F.col("parent").isin(*METRIC_PARENTS))
+    own = F.col("key") == metric_key(F.lit(name))
+    other = F.coalesce(reduce(lambda a, b: a | b, [F.col("key") == metric_key(F.lit(a)) for a in aliases], F.lit(False)), F.lit(False))
+    found = numbers.groupBy("file").agg(
+        F.min_by(F.when(own, F.col("value")), F.when(own, F.col("place"))).alias("_own"),
+        F.count_if(other & ~own).alias("_n"), F.max(F.when(other, F.col("value"))).alias("_other"),
+    )
+    out = materialize(files.select("file").join(found, "file", "left"), "run_metrics")
+    clash = out.filter("_own is null and _n > 1").limit(5).collect()
     if clash:
         raise KeyError(f"ambiguous metric {name} in {[r['file'] for r in clash]}")
-    return found.select("file", F.coalesce("_preferred", F.get("_aliases", F.lit(0))).alias("value"))
+    out = out.select("file", F.coalesce("_own", "_other").alias("value"))
+    absent = [] if on_missing == "null" else out.filter("value is null").limit(5).collect()
+    if absent:
+        raise KeyError(f"no metric {name} in {[r['file'] for r in absent]}")
+    return out
 
 
 def read_vectors(df: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame:

@@ -77,6 +77,35 @@ def test_lower_median(spark, monkeypatch, rows_per_task):
         assert got[g] == values[(len(values) - 1) // 2]
 
 
+@pytest.mark.parametrize("rows_per_task", [2, 3, 1_000_000])
+def test_prefix_sums_do_not_depend_on_size(spark, rows_per_task):
+    """Null comes first, NaN last, and a null group is a group."""
+    values = [None, -1.0, 0.0, 2.0, 5.5, float("inf"), float("nan")]
+    rows = [(g, v, i + 1) for g in ("a", None) for i, v in enumerate(values)]
+    got = numbering.prefix_sums(spark.createDataFrame(rows, "g string, v double, c long"), "v", ["c"], ["g"], rows_per_task)
+    want = sorted((str(g), c, sum(range(1, c))) for g, _, c in rows)
+    assert sorted((str(r.g), r.c, r.c_before) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("rows_per_task", [5, 1_000_000])
+def test_rows_without_a_number_rank_nowhere(spark, monkeypatch, rows_per_task):
+    monkeypatch.setattr(numbering.prefix_sums, "__defaults__", ((), rows_per_task))
+    rows = [(0.1 * (i % 7), i % 2) for i in range(30)]
+    odd = [*rows, (None, 1), (float("nan"), 0), (0.3, None), (float("nan"), 1)]
+    plain, with_odd = (spark.createDataFrame(x, "score double, label int") for x in (rows, odd))
+    assert metrics.ranking_metrics(plain).first() == metrics.ranking_metrics(with_odd).first()
+    assert metrics.best_f1_threshold(plain).first() == metrics.best_f1_threshold(with_odd).first()
+
+
+def test_expected_reciprocal_of_a_large_tie(spark, monkeypatch):
+    rows = [(0, 0, 0.5)] + [(0, k, 0.5 if k < 400 else 0.9) for k in range(1, 700)]
+    df = spark.createDataFrame(rows, "g int, candidate_idx int, score double")
+    want = sum(1 / r for r in range(301, 701)) / 400
+    for places in (10_000, 50):
+        monkeypatch.setattr(metrics, "EXACT_PLACES", places)
+        assert math.isclose(metrics.hits_mrr(df, ["g"], (1,), "expected").first().mrr, want, rel_tol=1e-12)
+
+
 def test_losses(spark):
     df = spark.createDataFrame([(2.0, 1.0), (1.5, -0.5), (0.2, 0.1)], "pos_score double, neg_score double")
     got = metrics.pair_losses(df).first()
@@ -118,8 +147,8 @@ def test_filtered_rank_matches_scan(spark):
 
 
 TOY_NODES = [
-    (0, 0, "drug::DB1", "drug", "Aspirin", "x"), (1, 0, "gene/protein::101", "gene/protein", "PTGS1", "x"),
-    (2, 0, "disease::1", "disease", "Headache", "x"),
+    (0, 0, "drug::DB1", "drug", "Zolmin", "x"), (1, 0, "gene/protein::101", "gene/protein", "KLN4", "x"),
+    (2, 0, "disease::1", "disease", "Dry Cough", "x"),
 ]
 
 
@@ -129,7 +158,7 @@ def test_graph_context_leaves_out_clinical_relations(spark):
     for rel in ("indication", "off-label use", "contraindication"):
         rows += links(rel, "drug", "disease", [(0, 2)])
     got = rows_of(te.graph_context(spark.createDataFrame(rows, EDGE), nodes, 5), "global_id", "text")
-    assert got == [(0, "targets: PTGS1."), (1, "targeted by drugs: Aspirin.")]
+    assert got == [(0, "targets: KLN4."), (1, "targeted by drugs: Zolmin.")]
 
 
 @pytest.mark.parametrize("per_matcher", [0, 1000])
@@ -139,15 +168,15 @@ def test_sanitising(spark, monkeypatch, per_matcher):
     nodes = spark.createDataFrame([*TOY_NODES, (3, 1, "disease::2", "disease", "Gout", "x"), (4, 1, "drug::2", "drug", "Abc", "x")], NODE)
     drugs, diseases = te.name_phrases(nodes, "drug"), te.name_phrases(nodes, "disease")
     rows = [
-        (0, "drug", "mechanism of action: used in Headache. drug type: small molecule."),
-        (1, "gene/protein", "associated diseases: Headache. target classes: enzyme."),
-        (2, "disease", "indicated drugs: Aspirin. ancestors: neurologic disease."),
-        (3, "drug", "only Headache"), (4, "anatomy", " keeps Headache. "), (5, "drug", None), (6, "drug", "has gout. not"),
+        (0, "drug", "eases a Dry Cough quickly. taken as a syrup."),
+        (1, "gene/protein", "raised in dry cough. a membrane channel."),
+        (2, "disease", "yields to Zolmin. an airway complaint."),
+        (3, "drug", "only Dry Cough"), (4, "anatomy", " keeps Dry Cough. "), (5, "drug", None), (6, "drug", "has gout. not"),
     ]
     df = spark.createDataFrame(rows, "k int, node_type string, text string")
-    got = [r.text for r in te.sanitize_texts(df, ["k"], "text", drugs, diseases).orderBy("k").collect()]
+    got = [r.text for r in te.sanitize_texts(df, "text", drugs, diseases).orderBy("k").collect()]
     assert got == [
-        "drug type: small molecule.", "target classes: enzyme.", "ancestors: neurologic disease.", "", "keeps Headache.", None, "not."
+        "taken as a syrup.", "a membrane channel.", "an airway complaint.", "", "keeps Dry Cough.", None, "not."
     ]
 
 
@@ -159,10 +188,21 @@ def test_phrase_rule(spark, per_matcher):
     assert rows_of(phrases, "phrase") == [("art pain",), ("flu",)]
     texts = ["heart painful", "art of heart painful", "influenza", "flu", "ab", "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
-    got = te.flag_phrases(df, ["k"], "t", phrases, per_matcher=per_matcher, texts_per_block=2).orderBy("k").collect()
+    got = te.flag_phrases(df, "t", phrases, per_matcher=per_matcher, texts_per_block=2).orderBy("k").collect()
     assert [r.hit for r in got] == [False, True, False, True, False, False, False]
 
 
+@pytest.mark.parametrize("per_matcher", [1, 1000])
+def test_phrases_with_null_and_repeated_keys(spark, per_matcher):
+    phrases = spark.createDataFrame([("flu",), ("gout",), ("art pain",)], "phrase string")
+    rows = [(None, "flu. fine"), (None, "clean. ok"), (1, "gout"), (1, "none here"), (1, "art pain. left")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    flags = te.flag_phrases(df, "t", phrases, per_matcher=per_matcher, texts_per_block=2).collect()
+    assert {(r.t, r.hit) for r in flags} == {(t, t.split()[0].strip(".") in ("flu", "gout", "art")) for _, t in rows}
+    cleaned = te.clean_sentences(df, "t", phrases, per_matcher).collect()
+    assert sorted((str(r.k), r.t) for r in cleaned) == [("1", ""), ("1", "left."), ("1", "none here."), ("None", "clean. ok."), ("None", "fine.")]
+
+
 @pytest.mark.parametrize(
     "strategy, rich, graph, text, source",
     [

@@ -27,10 +27,9 @@ def ids(spark, name, values):
 def test_connected_pairs_and_topology(spark):
     edges = sampler(spark)
     pairs = rows_of(pa.connected_pairs(edges), "drug", "disease")
-    assert [d for d, c in pairs if c == 30] == [10, 12, 13]
-    assert [c for d, c in pairs if d == 10] == [30, 32]
-    links = {(10, 20), (10, 21), (11, 22), (12, 23), (13, 24)}
-    genes = {30: [20, 21, 23, 24], 31: [22], 32: [21, 24]}
+    assert pairs == [(1, 21), (1, 22), (2, 21), (2, 22), (3, 22), (4, 23)]
+    links = {(1, 11), (1, 12), (2, 12), (3, 13), (4, 14), (5, 15)}
+    genes = {21: [11, 12], 22: [12, 13], 23: [14], 24: [16]}
     brute = sorted((d, g, c) for d, g in links for c, gs in genes.items() if g in gs)
     assert rows_of(pa.topology_paths(edges), "drug", "gene", "disease") == brute
     spread = pa.join_on_gene(gr.drug_gene(edges), gr.disease_gene(edges), paths_per_task=1)
@@ -48,20 +47,20 @@ def test_hub_gene_is_spread_without_loss(spark):
 
 def test_quads_of_a_pair(spark):
     edges = sampler(spark, pathways=True)
-    paths = spark.createDataFrame([(10, 20, 30), (10, 21, 30)], "drug bigint, gene bigint, disease bigint")
+    paths = spark.createDataFrame([(1, 12, 21), (4, 14, 23)], "drug bigint, gene bigint, disease bigint")
     quads = pa.expand_to_quads(paths, gr.gene_pathways(edges))
-    assert rows_of(quads, "drug", "gene", "pathway", "disease") == [(10, 20, 40, 30), (10, 20, 41, 30), (10, 21, 0, 30)]
+    assert rows_of(quads, "drug", "gene", "pathway", "disease") == [(1, 12, 31, 21), (1, 12, 32, 21), (4, 14, 0, 23)]
 
 
 def test_shared_genes_matches_brute_force(spark):
     edges = sampler(spark)
-    pairs = spark.createDataFrame(list(product(range(10, 14), range(30, 33))), PAIR)
+    pairs = spark.createDataFrame(list(product(range(1, 6), range(21, 25))), PAIR)
     found = pa.shared_genes(pairs, gr.drug_gene(edges), gr.disease_gene(edges))
     assert rows_of(found, "drug", "gene", "disease") == rows_of(pa.topology_paths(edges), "drug", "gene", "disease")
 
 
 def test_a_pair_in_two_splits_belongs_to_the_last(spark):
-    rows = [("train", 10, 30), ("test", 10, 30), ("valid", 10, 30)]
+    rows = [("train", 8, 9), ("test", 8, 9), ("valid", 8, 9)]
     splits = spark.createDataFrame(rows, "split string, drug bigint, disease bigint")
     assert rows_of(pa.last_split(splits), "split") == [("test",)]
 
@@ -69,31 +68,31 @@ def test_a_pair_in_two_splits_belongs_to_the_last(spark):
 def sample(spark, strategy, positives, **pools):
     edges = sampler(spark)
     pos = spark.createDataFrame(positives, PAIR)
-    known = pa.known_positive_pairs(pos, edges, spark.createDataFrame([(10, 30), (11, 31)], PAIR))
+    known = pa.known_positive_pairs(pos, edges, spark.createDataFrame([(1, 21), (4, 23)], PAIR))
     return sa.negative_pairs(
-        pos, pa.connected_pairs(edges), known, ids(spark, "drug", range(10, 14)), ids(spark, "disease", range(30, 33)),
+        pos, pa.connected_pairs(edges), known, ids(spark, "drug", range(1, 6)), ids(spark, "disease", range(21, 25)),
         strategy, 1, **{k: ids(spark, k.split("_")[0], v) for k, v in pools.items()},
     ).select("neg_drug", "neg_disease", "used").collect()
 
 
-@pytest.mark.parametrize(
-    "strategy, allowed",
-    [("cross_drug", {(12, 30), (13, 30)}), ("cross_disease", {(10, 32)}), ("random", {(12, 30), (13, 30), (10, 32), (13, 32)})],
-)
+FREE = {(2, 21), (1, 22), (2, 22), (3, 22)}  # connected pairs that are not known
+
+
+@pytest.mark.parametrize("strategy, allowed", [("cross_drug", {(2, 21)}), ("cross_disease", {(1, 22)}), ("random", FREE)])
 def test_topology_negatives(spark, strategy, allowed):
-    got = sample(spark, strategy, [(10, 30)])
+    got = sample(spark, strategy, [(1, 21)])
     assert len(got) == 1 and tuple(got[0])[:2] in allowed and got[0].used == strategy
 
 
 def test_fallback_to_random_when_nothing_is_connected(spark):
-    got = sample(spark, "cross_drug", [(11, 31)])
-    assert got[0].used == "random" and tuple(got[0])[:2] in {(12, 30), (13, 30), (10, 32), (13, 32)}
+    got = sample(spark, "cross_drug", [(4, 23)])
+    assert got[0].used == "random" and tuple(got[0])[:2] in FREE
 
 
 def test_restricted_pools(spark):
-    assert tuple(sample(spark, "cross_disease", [(10, 30)], disease_pool=[31])[0])[:2] == (10, 31)
-    assert tuple(sample(spark, "cross_drug", [(10, 30)], drug_pool=[11])[0])[:2] == (11, 30)
-    assert tuple(sample(spark, "random", [(10, 30)], drug_pool=[13], disease_pool=[32])[0])[:2] == (13, 32)
+    assert tuple(sample(spark, "cross_disease", [(1, 21)], disease_pool=[24])[0])[:2] == (1, 24)
+    assert tuple(sample(spark, "cross_drug", [(1, 21)], drug_pool=[5])[0])[:2] == (5, 21)
+    assert tuple(sample(spark, "random", [(1, 21)], drug_pool=[3], disease_pool=[24])[0])[:2] == (3, 24)
 
 
 def test_pool_validation(spark):
@@ -103,14 +102,14 @@ def test_pool_validation(spark):
         sa.validate_pool(ids(spark, "drug", []), ids(spark, "drug", [10]))
 
 
-@pytest.mark.parametrize("block", [2, 3, 1000])
-def test_first_free_finds_the_lowest_open_number(spark, block):
+def test_kth_free_counts_past_what_is_taken(spark):
     pool = spark.range(10).select((F.col("id") + 100).alias("v"), F.col("id").alias("idx"), F.lit(10).cast("bigint").alias("idx_n"))
     taken = {1: list(range(10)), 2: [], 3: [0, 1, 2, 3], 4: [1, 2], 5: [0, 2, 3, 4, 5, 6, 7, 8, 9], 6: list(range(9))}
     excluded = spark.createDataFrame([(c, 100 + i) for c, s in taken.items() for i in s] + [(3, 100)], "c int, v bigint")
-    contexts = spark.createDataFrame([(c,) for c in taken], "c int")
-    got = dict(rows_of(sa.first_free(contexts, ["c"], pool, [], excluded, "v", block), "c", "v"))
-    assert got == {2: 100, 3: 104, 4: 100, 5: 101, 6: 109}
+    asked = spark.createDataFrame([(c, r, r) for c in taken for r in range(25)], "c int, r int, _k bigint")
+    got = {(r.c, r.r): r.v for r in sa.kth_free(asked, ["c", "r"], ["c"], pool, [], excluded, "v").collect()}
+    free = {c: [100 + i for i in range(10) if i not in s] for c, s in taken.items()}
+    assert got == {(c, r): f[r % len(f)] for c, f in free.items() if f for r in range(25)}
 
 
 def test_negative_genes_with_an_almost_full_pair(spark):
@@ -120,8 +119,32 @@ def test_negative_genes_with_an_almost_full_pair(spark):
     assert len(got) == 10
     assert all(r.neg_gene == 9 for r in got if r.drug == 1)
     assert all(r.neg_gene != 0 for r in got if r.drug == 3)
-    full = sa.negative_genes(paths, genes.filter("gene < 9"), 5)
+    with pytest.raises(ValueError, match="negative gene"):
+        sa.negative_genes(paths, genes.filter("gene < 9"), 5)
+    full = sa.negative_genes(paths, genes.filter("gene < 9"), 5, on_missing="drop")
     assert rows_of(full, "drug") == [(3,)]
+    assert rows_of(sa.unresolved(paths, full, ["drug", "gene", "disease"]), "gene") == [(g,) for g in range(9)]
+
+
+def test_tight_random_pools_stay_uniform(spark):
+    """With three free pairs among 36 and one try, all three are drawn, and nothing else."""
+    free = {(1, 103), (4, 100), (5, 105)}
+    known = spark.createDataFrame([(d, c) for d in range(6) for c in range(100, 106) if (d, c) not in free], PAIR)
+    positives = spark.createDataFrame([(50 + i, 200 + i) for i in range(60)], PAIR)
+    got = sa.negative_pairs(
+        positives, spark.createDataFrame([], PAIR), known, ids(spark, "drug", range(6)), ids(spark, "disease", range(100, 106)),
+        "random", 1, draws=1,
+    ).collect()
+    drawn = [(r.neg_drug, r.neg_disease) for r in got]
+    assert len(got) == 60 and set(drawn) == free and min(drawn.count(x) for x in free) >= 8
+
+
+def test_a_positive_without_any_negative_is_an_error(spark):
+    known = spark.createDataFrame([(1, 2)], PAIR)
+    run = lambda **k: sa.negative_pairs(known, known, known, ids(spark, "drug", [1]), ids(spark, "disease", [2]), "mixed", 1, **k)
+    with pytest.raises(ValueError, match="negative pair"):
+        run()
+    assert run(on_missing="drop").count() == 0
 
 
 def test_negatives_do_not_depend_on_partitioning(spark):
@@ -151,16 +174,17 @@ def test_hot_pool_groups_are_numbered_in_slices(spark):
     assert small == rows_of(number_within(pool, ["g"], "_h", ["v"]), "g", "v", "idx", "idx_n")
 
 
-POSITIVES = [(10, 20, 40, 30), (10, 20, 41, 30), (10, 21, 0, 30), (11, 22, 41, 31)]
+POSITIVES = [(1, 11, 31, 21), (2, 11, 32, 21), (2, 12, 32, 22), (3, 13, 0, 23)]
+OTHER_QUADS = [(1, 11, 32, 21), (2, 11, 31, 21), (2, 12, 32, 21)]
 QUAD = ["drug", "gene", "pathway", "disease"]
 
 
 @pytest.mark.parametrize("by_edges, draws", [(False, 4), (True, 4), (True, 1)])
 def test_corruption_groups(spark, by_edges, draws):
     edges = spark.createDataFrame(mechanism_graph(), EDGE)
-    nodes = spark.createDataFrame(node_rows(range(10, 13), range(20, 24), range(40, 43), range(30, 33)), NODE)
+    nodes = spark.createDataFrame(node_rows(range(1, 5), range(11, 16), range(31, 35), range(21, 25)), NODE)
     real = pa.real_quads(edges)
-    assert set(rows_of(real, *QUAD)) == {*POSITIVES, (12, 23, 0, 32)}
+    assert set(rows_of(real, *QUAD)) == {*POSITIVES, *OTHER_QUADS}
     quads = spark.createDataFrame(POSITIVES, "drug bigint, gene bigint, pathway bigint, disease bigint")
     rows = sa.corrupt_paths(quads, nodes, real, 11, draws, edges if by_edges else None).collect()
     groups = {}

@@ -173,16 +173,35 @@ def test_phase_files(spark, tmp_path):
 
 
 def test_run_metrics(spark, tmp_path):
-    for name, body in (
-        ("a", {"ho_eval": {"metrics": {"mrr": 0.5}}, "metrics": {"mrr": 0.9}}),
-        ("b", {"metrics": {"MRR": 0.25}}),
-    ):
-        (tmp_path / f"{name}.json").write_text(json.dumps(body))
-    got = readers.read_run_metrics(spark, str(tmp_path), "mrr", ["MRR"])
-    assert sorted(r.value for r in got.collect()) == [0.25, 0.5]
-    (tmp_path / "c.json").write_text(json.dumps({"ho_eval": {"MRR": 1, "mrr@": 2}, "metrics": {"MRR": 2}}))
-    with pytest.raises(KeyError):
-        readers.read_run_metrics(spark, str(tmp_path), "mrr", ["MRR"])
+    def value(body, **options):
+        path = tmp_path / "run.json"
+        path.write_text(json.dumps(body))
+        return readers.read_run_metrics(spark, str(path), "hit_at_1", ["best_hit"], **options).first().value
+
+    assert value({"metrics": {"hit_at_1": 0.9}, "ho_eval": {"metrics": {"hit_at_1": 0.5}}}) == 0.9
+    assert value({"runs": [{"seed": 1}, {"eval": {"HO-eval": {"Hit@1": 0.25}}}]}) == 0.25
+    assert value({"metrics": {"mrr": 1, "Best-Hit": 3}, "other": {"hit_at_1": 2}}) == 3
+    with pytest.raises(KeyError, match="ambiguous"):
+        value({"ho_eval": {"best_hit": 1}, "metrics": {"best hit": 2}})
+    with pytest.raises(KeyError, match="no metric"):
+        value({"other": {"hit_at_1": 2}, "metrics": {"hit_at_1": None}})
+    assert value({"other": {"hit_at_1": 2}}, on_missing="null") is None
+
+
+def test_list_literals(spark):
+    cells = {
+        "['Alzheimer disease', \"Crohn's disease\"]": ["Alzheimer disease", "Crohn's disease"],
+        "('a', 'b',)": ["a", "b"], "{'x y', 'z'}": ["x y", "z"], "[]": [], "['it\\'s', 7, None, 'nan']": ["it's", "7"],
+        "['a, b', 'c [d]']": ["a, b", "c [d]"], "['a' 'b']": ["a", "b"], "one, two": ["one", "two"], None: [], "['open": ["open"],
+    }
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    assert [r.l for r in df.select(list_literal("c").alias("l")).collect()] == list(cells.values())
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "n.csv").write_text('id,type,name,source\n1,drug,"a ""quoted"", name\nin two lines",x\n2,drug,b,x\n')
+    got = readers.read_nodes(spark, str(tmp_path / "n.csv"))
+    assert rows_of(got, "raw_id", "name") == [("1", 'a "quoted", name\nin two lines'), ("2", "b")]
 
 
 def test_split_asset_round_trip(spark, tmp_path):

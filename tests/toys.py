@@ -15,39 +15,39 @@ def flip(rows, rel):
 
 
 def cleaning_graph(pathways=False, direct=False):
-    """Three parallel drug-gene-disease chains."""
-    targets = links("targets", DRUG, GENE, [(10, 20), (11, 21), (12, 22)])
-    associates = links("associates", GENE, DISEASE, [(20, 30), (21, 31), (22, 32)])
-    treats = links("treats", DRUG, DISEASE, [(10, 30), (11, 31), (12, 32)])
-    rows = targets + flip(targets, "targeted_by") + associates + flip(associates, "associated_with") + treats
+    """Three drugs, three genes and two diseases in which every gene but one is shared."""
+    targets = links("targets", DRUG, GENE, [(1, 101), (1, 102), (2, 102), (2, 103), (3, 103)])
+    associates = links("associates", GENE, DISEASE, [(101, 201), (102, 201), (102, 202), (103, 202)])
+    rows = targets + flip(targets, "targeted_by") + associates + flip(associates, "associated_with")
+    rows += links("treats", DRUG, DISEASE, [(1, 201), (1, 202), (2, 202), (3, 202)])
     if pathways or direct:
-        member = links("participates_in", GENE, PATHWAY, [(20, 40), (20, 41), (21, 41)])
+        member = links("participates_in", GENE, PATHWAY, [(101, 301), (102, 301), (102, 302), (103, 302)])
         rows += member + flip(member, "participates_in__reverse__")
     if direct:
-        rows += links("indication", DRUG, DISEASE, [(10, 30), (11, 31), (12, 32)])
-        rows += links("off-label use", DRUG, DISEASE, [(10, 30), (11, 32)])
-        rows += links("contraindication", DRUG, DISEASE, [(10, 31), (12, 32)])
-        rows += links("contraindication", DISEASE, DRUG, [(31, 10), (32, 12)])
-        rows += links("off-label use", DISEASE, DRUG, [(30, 10), (32, 11)])
-        rows += links("rev_indication", DISEASE, DRUG, [(30, 10), (31, 11), (32, 12)])
+        indication = links("indication", DRUG, DISEASE, [(1, 201), (2, 202), (3, 201)])
+        rows += indication + flip(indication, "rev_indication")
+        rows += links("off-label use", DRUG, DISEASE, [(1, 202), (2, 201)])
+        rows += links("off-label use", DISEASE, DRUG, [(201, 1), (202, 1)])
+        rows += links("contraindication", DRUG, DISEASE, [(2, 202), (3, 202)])
+        rows += links("contraindication", DISEASE, DRUG, [(201, 3), (202, 2)])
     return rows
 
 
 def sampler_graph(pathways=False):
-    targets = links("targets", DRUG, GENE, [(10, 20), (10, 21), (11, 22), (12, 23), (13, 24)])
-    protein = links(
-        "disease_protein", DISEASE, GENE, [(30, 20), (30, 21), (30, 23), (30, 24), (31, 22), (32, 21), (32, 24)]
-    )
+    """Drug 5 and disease 24 are connected to nothing, gene 12 joins two drugs and two diseases."""
+    targets = links("targets", DRUG, GENE, [(1, 11), (1, 12), (2, 12), (3, 13), (4, 14), (5, 15)])
+    protein = links("disease_protein", DISEASE, GENE, [(21, 11), (21, 12), (22, 12), (22, 13), (23, 14), (24, 16)])
     rows = targets + flip(targets, "targets__reverse__") + protein + flip(protein, "disease_protein__reverse__")
     if pathways:
-        rows += links("in_pathway", GENE, PATHWAY, [(20, 40), (20, 41), (22, 41), (23, 40)])
+        rows += links("in_pathway", GENE, PATHWAY, [(11, 31), (12, 31), (12, 32), (13, 32)])
     return rows
 
 
 def mechanism_graph():
-    targets = links("targets", DRUG, GENE, [(10, 20), (10, 21), (11, 22), (12, 23)])
-    associates = links("associates", GENE, DISEASE, [(20, 30), (21, 30), (22, 31), (23, 32)])
-    member = links("participates_in", GENE, PATHWAY, [(20, 40), (20, 41), (22, 41)])
+    """Gene 11 has two pathways, gene 12 two diseases, gene 13 no pathway."""
+    targets = links("targets", DRUG, GENE, [(1, 11), (2, 11), (2, 12), (3, 13)])
+    associates = links("associates", GENE, DISEASE, [(11, 21), (12, 21), (12, 22), (13, 23)])
+    member = links("participates_in", GENE, PATHWAY, [(11, 31), (11, 32), (12, 32)])
     return (
         targets + flip(targets, "targeted_by") + associates + flip(associates, "associated_with")
         + member + flip(member, "has_member")
