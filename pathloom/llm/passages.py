@@ -133,24 +133,25 @@ def confirmed_passages(texts: DataFrame) -> DataFrame:
 
 
 class PassageAutomaton:
-    """Finds every occurrence of the phrases of some passages, and how far the passage goes on around it."""
+    """Finds every occurrence of the phrases of some passages, and the passages' windows around them."""
 
     def __init__(self, passages: list[tuple[int, np.ndarray]]):
         import ahocorasick
 
-        self.passages = sorted(passages, key=lambda x: x[0])
         self.known = np.unique(np.concatenate([p for _, p in passages])) if passages else np.empty(0, np.uint64)
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for k, (_, passage) in enumerate(self.passages):
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        windows, firsts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for first, passage in passages:
             numbers = self.numbers(passage)
             _, at = window_phrases(passage)
             for offset in np.unique(at).tolist():
-                places.setdefault(tuple(numbers[offset : offset + PHRASE].tolist()), []).append((k, offset))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for phrase, found in places.items():
-            self.automaton.add_word(phrase, found)
+                self.automaton.add_word(tuple(numbers[offset : offset + PHRASE].tolist()), True)
+            windows.append(run_hashes(passage, WINDOW))
+            firsts.append(np.full(len(windows[-1]), first, np.int64))
+        self.empty = not len(self.automaton)
         self.automaton.make_automaton()
-        self.empty = not places
+        order = np.argsort(all_windows := np.concatenate(windows))
+        self.windows, self.firsts = all_windows[order], np.concatenate(firsts)[order]
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Small number of each word; 0 for words of no passage."""
@@ -158,29 +159,27 @@ class PassageAutomaton:
         return np.where(self.known[at] == hashes, at + 1, 0)
 
     def covered(self, doc_id: int, hashes: np.ndarray) -> list[tuple[int, int]]:
-        """Word ranges of at least WINDOW words that stand alike in a document with a smaller id."""
-        if self.empty or len(hashes) < WINDOW:
+        """Word ranges covered by windows that also start in a document with a smaller id.
+
+        A window can be one of a passage only around an occurrence of a phrase;
+        it is one if its hash is.
+        """
+        n = len(hashes) - WINDOW + 1
+        if self.empty or n < 1:
+            return []
+        ends = [end for end, _ in self.automaton.iter(tuple(self.numbers(hashes).tolist()))]
+        if not ends:
             return []
-        done: dict[tuple[int, int], int] = {}
-        out = []
-        for end, found in self.automaton.iter(tuple(self.numbers(hashes).tolist())):
-            start = end - PHRASE + 1
-            for k, offset in found:
-                first, passage = self.passages[k]
-                if first >= doc_id:
-                    break  # passages stand in order of their documents
-                shift = start - offset
-                if done.get((k, shift), -1) > start:
-                    continue
-                lo, hi = max(0, -shift), min(len(passage), len(hashes) - shift)
-                differ = np.flatnonzero(passage[lo:hi] != hashes[lo + shift : hi + shift]) + lo
-                i = int(np.searchsorted(differ, offset))
-                left = int(differ[i - 1]) + 1 if i else lo
-                right = int(differ[i]) if i < len(differ) else hi
-                done[(k, shift)] = right + shift
-                if right - left >= WINDOW:
-                    out.append((left + shift, right + shift))
-        return out
+        starts = np.array(ends, np.int64) - PHRASE + 1
+        near = np.zeros(len(hashes) + 1, np.int64)
+        np.add.at(near, np.maximum(starts + PHRASE - WINDOW, 0), 1)
+        np.add.at(near, starts + 1, -1)
+        around = np.flatnonzero(np.cumsum(near)[:n] > 0)
+        found = run_hashes(hashes, WINDOW)[around]
+        at = np.minimum(np.searchsorted(self.windows, found), len(self.windows) - 1)
+        here = around[(self.windows[at] == found) & (self.firsts[at] < doc_id)]
+        runs = np.split(here, np.flatnonzero(np.diff(here) > WINDOW) + 1) if len(here) else []
+        return [(int(run[0]), int(run[-1]) + WINDOW) for run in runs]
 
 
 def located(stream: DataFrame) -> DataFrame:
@@ -249,7 +248,7 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     3. Passages are dealt to shards of bounded size, and each shard becomes one
        automaton over its phrases. Documents go to the shards that hold one of
        their phrases; a shard read by many documents is compiled in several parts.
-       Each occurrence is extended as far as the passage agrees.
+       The windows around each occurrence are compared with those of the passages.
     """
     keyed = _keyed(docs)
     rows = materialize(document_phrases(keyed), "phrases")
