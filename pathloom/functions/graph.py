@@ -99,3 +99,18 @@ def blank_pathway(paths: DataFrame) -> DataFrame:
 
 def path_to_pair(paths: DataFrame) -> DataFrame:
     return paths.select("drug", "disease")
+
+
+def entity_label(known: Column, name: Column, raw_id: Column, node_type: Column, global_id: Column) -> Column:
+    """What an audit prints for an entity: its fields, or its bare id if it is not known."""
+    fields = [F.concat(F.lit(f"{n}="), F.coalesce(F.nullif(c, F.lit("")), F.lit("UNKNOWN"))) for n, c in
+              (("name", name), ("raw_id", raw_id), ("node_type", node_type))]
+    return F.when(known, F.concat_ws(" | ", *fields)).otherwise(F.concat(F.lit("id="), global_id.cast("string")))
+
+
+def pair_label(drug: Column, drug_name: Column, disease: Column, disease_name: Column) -> Column:
+    """What an audit prints for a pair of ids; a name that is not known shows its id."""
+    def shown(name: Column, i: Column) -> Column:
+        return F.coalesce(name, F.concat(F.lit("<unknown:"), i.cast("string"), F.lit(">")))
+
+    return F.concat(F.lit("Drug: ["), shown(drug_name, drug), F.lit("] | Disease: ["), shown(disease_name, disease), F.lit("]"))

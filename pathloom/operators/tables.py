@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse_spaces, comma_items, is_missing_text, safe_text
 from ..schema import DRUG
+from .checks import require_rows
 
 
 def _extreme(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick, count: str | None) -> DataFrame:
@@ -42,8 +43,8 @@ def drop_null_rows(df: DataFrame, required: Sequence[str]) -> DataFrame:
 
 
 def filter_by_type(df: DataFrame, column: str, value: str) -> DataFrame:
-    """Rows whose type reads exactly ``value``."""
-    return df.filter(F.col(column).cast("string") == value)
+    """Rows whose type reads exactly ``value``; none at all is an error."""
+    return require_rows(df.filter(F.col(column).cast("string") == value), f"the part of type {value}")
 
 
 def unique_names(df: DataFrame, name: str = "name", type_column: str | None = "type", type_value: str = DRUG) -> DataFrame:

@@ -227,3 +227,12 @@ def eval_entity_degree(entities: DataFrame, node_type: str, edges: DataFrame) ->
         safe_ratio(F.sum("_all"), F.count("*")).alias("mean_degree"),
         safe_ratio(F.sum("_kept"), F.count("*")).alias("mean_restricted_degree"),
     )
+
+
+def hardest_diseases(diseases: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """(disease, effective_degree) of the ``k`` diseases with fewest gene and phenotype links; ties by id."""
+    degree = typed_degree(edges).select("disease", (F.col("gene_degree") + F.col("phenotype_degree")).alias("effective_degree"))
+    ranked = diseases.select("disease").distinct().join(degree, "disease", "left").withColumn(
+        "effective_degree", F.coalesce("effective_degree", F.lit(0)).cast("bigint")
+    )
+    return ranked.orderBy("effective_degree", "disease").limit(k)

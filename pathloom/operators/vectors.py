@@ -81,10 +81,12 @@ def best_cosine(queries: DataFrame, others: DataFrame | None = None, block_rows:
 
     All-pairs similarity is the operator, so its work is quadratic; it is spread
     over block pairs of at most about ``block_rows`` vectors a side, and a block
-    pair returns one row per vector, never its similarities.
+    pair returns one row per vector, never its similarities. Keys keep their
+    type, text ids included; of equal similarities the smallest key counts.
     """
-    schema = "key bigint, best double, nearest bigint"
-    unit = l2_normalize(queries.select(F.col("key").cast("bigint").alias("key"), "vec"))
+    key_type, found_type = (dict(df.dtypes)["key"] for df in (queries, queries if others is None else others))
+    schema = f"key {key_type}, best double, nearest {found_type}"
+    unit = l2_normalize(queries.select("key", "vec"))
     nq = _n_blocks(queries, block_rows)
     if others is None:
         blocks = _blocks(unit, nq)
@@ -105,7 +107,7 @@ def best_cosine(queries: DataFrame, others: DataFrame | None = None, block_rows:
 
         found = spread.groupBy("lo", "hi").applyInPandas(within, schema)
     else:
-        reference = l2_normalize(others.select(F.col("key").cast("bigint").alias("key"), "vec"))
+        reference = l2_normalize(others.select("key", "vec"))
         no = _n_blocks(others, block_rows)
         left = _blocks(unit, nq).withColumnRenamed("_block", "lo").withColumn(
             "hi", F.explode(F.sequence(F.lit(0), F.lit(no - 1)))
@@ -120,8 +122,10 @@ def best_cosine(queries: DataFrame, others: DataFrame | None = None, block_rows:
             return _best(lpdf, rpdf.sort_values("key", kind="stable"), False)
 
         found = left.groupBy("lo", "hi").cogroup(right.groupBy("lo", "hi")).applyInPandas(across, schema)
-    best = F.max_by(F.struct("best", "nearest"), F.struct("best", -F.col("nearest"))).alias("_b")
-    return found.filter("best > double('-infinity')").groupBy("key").agg(best).select("key", "_b.best", "_b.nearest")
+    best = F.min(F.struct((-F.col("best")).alias("_less"), "nearest")).alias("_b")
+    return found.filter("best > double('-infinity')").groupBy("key").agg(best).select(
+        "key", (-F.col("_b._less")).alias("best"), "_b.nearest"
+    )
 
 
 def cosine_stats(best: DataFrame) -> DataFrame:
@@ -177,12 +181,17 @@ def _project(vectors: DataFrame, vec: str, fn) -> DataFrame:
     return vectors.withColumn(vec, apply(F.col(vec).cast("array<double>")))
 
 
-def whiten(vectors: DataFrame, n_components: int, vec: str = "vec") -> DataFrame:
-    """PCA-whitened unit vectors with min(n_components, rows, length) dimensions."""
+def whitened(vectors: DataFrame, n_components: int, vec: str = "vec") -> DataFrame:
+    """Centred rows along min(n_components, rows, length) principal axes, each of variance 1."""
     mean, variances, axes, rows = principal_axes(vectors, vec)
     n = min(n_components, rows, len(mean))
     scaled = axes[:, :n] / np.sqrt(np.maximum(variances[:n], np.finfo(float).eps))
-    return l2_normalize(_project(vectors, vec, lambda x: (x - mean) @ scaled), vec)
+    return _project(vectors, vec, lambda x: (x - mean) @ scaled)
+
+
+def whiten(vectors: DataFrame, n_components: int, vec: str = "vec") -> DataFrame:
+    """PCA-whitened unit vectors."""
+    return l2_normalize(whitened(vectors, n_components, vec), vec)
 
 
 def all_but_top(vectors: DataFrame, k: int, vec: str = "vec") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.graph import entity_label, pair_label
 from ..operators import audits as au
 from ..operators import graph as gr
 from ..operators import paths as pa
@@ -344,3 +345,40 @@ def eval_degree(spark, sf_dir):
         for c, t in (("disease", DISEASE), ("drug", DRUG))
     ]
     return rounded(parts[0].unionByName(parts[1]), "mean_degree", "mean_restricted_degree")
+
+
+@query(
+    "hard_diseases",
+    expect(
+        ("split_cross_disease", "sg"),
+        """ SELECT disease, count(gene) AS effective_degree FROM (SELECT DISTINCT disease FROM split_cross_disease WHERE split = 'test') LEFT JOIN sg USING (disease)
+  GROUP BY disease ORDER BY 2, 1 LIMIT 25""",
+    ),
+)
+def hard_diseases(spark, sf_dir):
+    """The 25 test diseases with fewest links to genes."""
+    test = splits(spark, sf_dir, "cross_disease").filter("split = 'test'").select("disease")
+    return to.hardest_diseases(test, graph(spark, sf_dir).edges, 25)
+
+
+@query(
+    "audit_labels",
+    expect(
+        ("split_random", "nodes"),
+        """, shifted AS (SELECT split, drug, disease + 1000000 * (drug % 2) AS disease FROM split_random WHERE split <> 'train')
+  SELECT p.drug, p.disease, 'Drug: [' || coalesce(a.name, '<unknown:' || p.drug || '>') || '] | Disease: [' || coalesce(b.name, '<unknown:' || p.disease || '>') || ']' AS pair,
+    CASE WHEN b.global_id IS NULL THEN 'id=' || p.disease ELSE 'name=' || b.name || ' | raw_id=' || b.raw_id || ' | node_type=' || b.node_type END AS entity
+  FROM shifted p LEFT JOIN nodes a ON a.global_id = p.drug LEFT JOIN nodes b ON b.global_id = p.disease""",
+    ),
+)
+def audit_labels(spark, sf_dir):
+    """Held-out pairs as audits print them; the diseases of odd drugs are moved out of the graph."""
+    nodes = graph(spark, sf_dir).nodes
+    held = splits(spark, sf_dir, "random").filter("split <> 'train'").selectExpr("drug", "disease + 1000000 * (drug % 2) as disease")
+    drugs = nodes.select(F.col("global_id").alias("_a"), F.col("name").alias("_an"))
+    ends = nodes.select(F.col("global_id").alias("_b"), F.col("name").alias("_bn"), "raw_id", "node_type")
+    joined = held.join(drugs, F.col("drug") == F.col("_a"), "left").join(ends, F.col("disease") == F.col("_b"), "left")
+    return joined.select(
+        "drug", "disease", pair_label(F.col("drug"), F.col("_an"), F.col("disease"), F.col("_bn")).alias("pair"),
+        entity_label(F.col("_b").isNotNull(), F.col("_bn"), F.col("raw_id"), F.col("node_type"), F.col("disease")).alias("entity"),
+    )

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions.graph import path_to_pair
 from ..functions.text import is_missing_smiles
 from ..lineage import shared_folder
 from ..operators import identity as ident
 from ..operators import tables as tab
 from ..operators import vectors as ve
+from ..operators.checks import preview, require_columns
 from ..sources import readers, writers
-from .derived import splits
+from .derived import splits, triplets
 from .graph_store import graph, table
 from .oracle import expect
 from .registry import query
@@ -96,6 +99,128 @@ def csv_graph(spark, sf_dir):
     return ident.build_edge_table(read, readers.read_edges(spark, f"{folder}/edges"), on_missing="error")
 
 
+@query(
+    "csv_names",
+    expect("nodes", """SELECT raw_id, CASE WHEN global_id % 3 = 0 THEN 'a "' || name || '", b,' || chr(10) || ' c' ELSE name END AS name FROM nodes"""),
+)
+def csv_names(spark, sf_dir):
+    """Node names with quotes, commas and line breaks, written as CSV and read back."""
+    odd = "case when global_id % 3 = 0 then concat('a \"', name, '\", b,\\n c') else name end as name"
+    folder = _path(spark, "names")
+    raw = graph(spark, sf_dir).nodes.selectExpr("raw_id as id", "node_type as type", odd, "source")
+    raw.write.option("header", True).option("escape", '"').csv(folder)
+    return readers.read_nodes(spark, folder, with_position=False).select("raw_id", "name")
+
+
+@query(
+    "table_formats",
+    " UNION ALL ".join(f"SELECT '{f}' AS format, count(*) AS n_rows, max(s_name) AS last FROM supplier" for f in ("csv", "tsv", "parquet", "jsonl")),
+)
+def table_formats(spark, sf_dir):
+    """One table in four formats, told apart by the folder's suffix, its columns standardised and resolved."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias(" Supplier-Name "), F.col("s_suppkey").cast("string").alias("ID"))
+    parts = []
+    for suffix in ("csv", "tsv", "parquet", "jsonl"):
+        path = f"{_path(spark, 'table')}.{suffix}"
+        if suffix in ("csv", "tsv"):
+            rows.write.option("header", True).option("sep", "," if suffix == "csv" else "\t").csv(path)
+        elif suffix == "jsonl":
+            rows.write.json(path)
+        else:
+            rows.write.parquet(path)
+        read = readers.standardize_columns(readers.read_table(spark, path))
+        name = readers.resolve_column(require_columns(read, ["id"], path), ["label", "supplier_name"])
+        parts.append(read.agg(F.lit(suffix).alias("format"), F.count("*").alias("n_rows"), F.max(name).alias("last")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query(
+    "path_file",
+    expect("pt_random", "SELECT drug, gene, disease FROM pt_random"),
+)
+def path_file(spark, sf_dir):
+    """Mechanism paths written as CSV under their long column names and read back."""
+    path = f"{_path(spark, 'paths')}.csv"
+    rows = triplets(spark, sf_dir, "random").selectExpr("disease as disease_id", "gene as gene_id", "drug as drug_id", "split")
+    writers.write_table(rows, path, "csv")
+    return readers.read_paths(spark, path)
+
+
+@query(
+    "mapping_file",
+    "SELECT 'cust ' || c_custkey AS source, lower(c_mktsegment) AS target FROM customer",
+)
+def mapping_file(spark, sf_dir):
+    path = f"{_path(spark, 'mapping')}.csv"
+    rows = table(spark, sf_dir, "customer").selectExpr("concat(' Cust  ', c_custkey) as From_ID", "c_mktsegment as `Mapped ID`", "c_name as other")
+    writers.write_table(rows, path, "csv")
+    return readers.read_mapping(spark, path)
+
+
+@query(
+    "appended_results",
+    "SELECT c_custkey AS key, c_mktsegment AS status FROM customer UNION ALL SELECT c_custkey, 'again' FROM customer WHERE c_acctbal < 0",
+)
+def appended_results(spark, sf_dir):
+    path = _path(spark, "results")
+    rows = table(spark, sf_dir, "customer")
+    writers.append_results(rows.selectExpr("c_custkey as key", "c_mktsegment as status"), path)
+    writers.append_results(rows.filter("c_acctbal < 0").selectExpr("c_custkey as key", "'again' as status"), path)
+    return spark.read.parquet(path)
+
+
+@query(
+    "entity_text_file",
+    expect("nodes", "SELECT global_id, coalesce(name, '') AS name, CASE WHEN global_id % 2 = 0 THEN 't ' || raw_id ELSE '' END AS text FROM nodes"),
+)
+def entity_text_file(spark, sf_dir):
+    """Entity records written as JSON lines and read back; absent texts read as empty."""
+    path = _path(spark, "entities")
+    nodes = graph(spark, sf_dir).nodes.withColumn("text", F.expr("case when global_id % 2 = 0 then concat('t ', raw_id) end"))
+    nodes.select("global_id", "local_id", "node_type", "raw_id", "name", "text", "source").write.json(path)
+    return readers.read_entity_texts(spark, path, lines=True).select("global_id", "name", "text")
+
+
+@query(
+    "attached_ids",
+    expect("nodes", "SELECT raw_id, global_id, 'x' || name AS note FROM nodes WHERE local_id % 2 = 0"),
+)
+def attached_ids(spark, sf_dir):
+    """Rows keyed by raw id get the global one; keys that are no node are left out."""
+    nodes = graph(spark, sf_dir).nodes
+    keyed = nodes.selectExpr("if(local_id % 2 = 0, raw_id, concat('no ', raw_id)) as raw_id", "concat('x', name) as note")
+    return ident.attach_global_id(keyed, nodes)
+
+
+@query(
+    "repeated_ids",
+    expect("nodes", "SELECT node_type || '::' || (local_id % 7) AS raw_id, count(*) AS n FROM nodes GROUP BY 1 HAVING count(*) > 1"),
+)
+def repeated_ids(spark, sf_dir):
+    """Raw ids that name several nodes once ids are cut to their remainder by seven."""
+    return ident.duplicate_ids(graph(spark, sf_dir).nodes.withColumn("raw_id", F.expr("concat(node_type, '::', local_id % 7)")))
+
+
+@query("path_pairs", expect("pt_random", "SELECT drug, disease, count(*) AS n FROM pt_random GROUP BY ALL"))
+def path_pairs(spark, sf_dir):
+    return path_to_pair(triplets(spark, sf_dir, "random")).groupBy("drug", "disease").agg(F.count("*").alias("n"))
+
+
+@query("first_rows", "SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 12")
+def first_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").withColumn("less", -F.col("c_acctbal"))
+    return preview(rows, ["less", "c_custkey"], 12).select("c_custkey", "c_name")
+
+
+@query(
+    "typed_names",
+    "SELECT DISTINCT c_name || ' x' AS name FROM customer WHERE c_mktsegment = 'BUILDING'",
+)
+def typed_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").selectExpr("concat(c_name, '   x ') as name", "c_mktsegment as type")
+    return tab.unique_names(rows, type_value="BUILDING")
+
+
 @query(
     "phase_rows",
     """SELECT o_orderkey AS row_id, o_orderstatus AS status, CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2', '3') THEN CAST(substr(o_orderpriority, 1, 1) AS INT) ELSE -1 END AS phase FROM orders""",

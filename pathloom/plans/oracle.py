@@ -134,5 +134,5 @@ def expect(names: tuple[str, ...] | str, body: str) -> str:
 
     for name in wanted:
         include(name)
-    parts = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered)
+    parts = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in ordered)
     return f"WITH {parts}\n{body}" if parts else body  # a body may begin with ", name AS (...)"

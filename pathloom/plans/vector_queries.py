@@ -93,6 +93,17 @@ def nearest_train(spark, sf_dir):
     return rounded(out, "mean", "median", "min", "below_ratio")
 
 
+@query(
+    "nearest_by_text_key",
+    _NEAREST + " SELECT 'v' || key AS key, round(best, 6) AS best FROM best",
+)
+def nearest_by_text_key(spark, sf_dir):
+    """The same comparison with raw ids as keys."""
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("key"), F.col("embedding").alias("vec"), "label")
+    test, train = rows.filter("label = 0").drop("label"), rows.filter("label <> 0").drop("label")
+    return rounded(ve.best_cosine(test, train).drop("nearest"), "best")
+
+
 # --- path vectors: a triplet is represented by its gene's vector ---
 
 _PATHS = f""", pv AS (SELECT t.drug, t.disease, t.gene, embedding::DOUBLE[] AS v, {score('drug', 'gene', 'disease')} AS score
@@ -264,6 +275,32 @@ def whiten(spark, sf_dir):
     return ve.whiten(vectors(spark, sf_dir), 32)
 
 
+@query("whiten_effect", "SELECT count(*) AS n_rows, true AS centred, true AS uncorrelated FROM embeddings")
+def whiten_effect(spark, sf_dir):
+    """What whitening must reach whatever the signs of its axes: means 0 and covariance 1 before rows are scaled."""
+    n = 8
+    white = ve.whitened(vectors(spark, sf_dir), n)
+    flat = white.select(*[F.col("vec")[i].alias(f"x{i}") for i in range(n)])
+    means = F.greatest(*[F.abs(F.avg(f"x{i}")) for i in range(n)])
+    spread = F.greatest(*[F.abs(F.covar_samp(f"x{i}", f"x{j}") - float(i == j)) for i in range(n) for j in range(i, n)])
+    return flat.agg(F.count("*").alias("n_rows"), (means < 1e-6).alias("centred"), (spread < 1e-6).alias("uncorrelated"))
+
+
+@query("abtt_effect", "SELECT count(*) AS n_rows, true AS unit_rows, true AS flat_axes FROM embeddings")
+def abtt_effect(spark, sf_dir):
+    """Rows without the top axes have norm 1 and no share left along those axes."""
+    rows = vectors(spark, sf_dir)
+    mean, _, axes, _ = ve.principal_axes(rows)
+    out = ve.all_but_top(rows, 3)
+    along = [F.aggregate(F.zip_with("vec", F.array(*[F.lit(float(a)) for a in axes[:, k]]), lambda x, a: x * a), F.lit(0.0), lambda s, x: s + x)
+             for k in range(3)]
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    return out.agg(
+        F.count("*").alias("n_rows"), (F.max(F.abs(norm - 1)) < 1e-6).alias("unit_rows"),
+        (F.max(F.greatest(*[F.abs(a) for a in along])) < 1e-6).alias("flat_axes"),
+    )
+
+
 @query("all_but_top")
 def all_but_top(spark, sf_dir):
     return ve.all_but_top(vectors(spark, sf_dir), 3)

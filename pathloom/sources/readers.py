@@ -329,10 +329,10 @@ def read_vectors(df: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFr
     return out
 
 
-def read_entity_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Entity text records; absent text fields read as empty."""
+def read_entity_texts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Entity text records from a JSON list, or from JSON lines, which are read in parts; absent text fields read as empty."""
     schema = "global_id bigint, local_id bigint, node_type string, raw_id string, name string, text string, source string"
-    df = spark.read.schema(schema).json(path, multiLine=True)
+    df = spark.read.schema(schema).json(path, multiLine=not lines)
     return df.withColumns({c: F.coalesce(c, F.lit("")) for c in ("name", "text", "raw_id")})
 
 
