@@ -207,31 +207,36 @@ def _pairs(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
     ).filter(F.col("shared") >= F.col("needed")).select("a", "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sets reach the similarity."""
-    one = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(one, "a").join(two, "b").select(
-        "a", "b", F.size(F.array_intersect("ta", "tb")).alias("common"), (F.size("ta") + F.size("tb")).alias("total")
-    )
-    return both.filter(UNDER * F.col("common") >= OVER * (F.col("total") - F.col("common"))).select("a", "b")
-
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of representatives whose sets reach the similarity.
 
-def _set_table(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(rep, tokens) of the needed documents, from their texts."""
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only texts of documents in a pair are joined, and sets are made of them
+    again where they meet: texts move in half the bytes of their sets.
+    """
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices_of(texts):
-                found = [_signed(s) for s in shingle_sets(Words(texts[a:b], True), SHINGLE)]
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), tokens], names=["rep", "tokens"])
-
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
-        needed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"
-    )
-    return chosen.mapInArrow(sets, "rep bigint, tokens array<bigint>").dropDuplicates(["rep"])
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for lo, hi in slices_of([x + y for x, y in zip(left, right, strict=True)]):
+                texts = list(dict.fromkeys([*left[lo:hi], *right[lo:hi]]))
+                sets = dict(zip(texts, shingle_sets(Words(texts, True), SHINGLE), strict=True))
+                held = []
+                for i in range(lo, hi):
+                    one, two = sets[left[i]], sets[right[i]]
+                    common = len(np.intersect1d(one, two, assume_unique=True))
+                    if UNDER * common >= OVER * (len(one) + len(two) - common):
+                        held.append(i)
+                if held:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([a[i] for i in held], pa.int64()), pa.array([b[i] for i in held], pa.int64())], names=["a", "b"])
+
+    # written, so that its size decides whether all texts are moved to find these
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_rep")).distinct(), "needed")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(needed, F.col("rep") == F.col("_rep"), "left_semi")
+    texts = materialize(texts, "texts")
+    one = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
+    two = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(alike, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -266,13 +271,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         index.join(keys, (F.col("d1") == F.col("_d")) & (F.col("n") == F.col("_n"))).select("token", "rep", "n", "pos", "ell", "partner"),
         "prefixes",
     )
-    needed = materialize(index.select("rep").distinct(), "needed")  # its size decides whether texts are moved
-    sets = materialize(_set_table(docs, needed), "token_sets")
 
     front = F.struct((F.col("pos") - F.col("ell")).alias("at"), F.col("rep").alias("p"), F.col("n"), F.col("ell"), F.col("partner"))
     pivots = index.groupBy("token").agg(F.min(front).alias("x")).select("token", F.col("x.p").alias("rep"), "x.n", "x.ell", "x.partner")
     stars = materialize(_pairs(index, pivots, F.col("l.rep") != F.col("r.rep")), "stars")
-    links = materialize(verified(stars, sets), "links")
+    links = materialize(verified(stars, docs), "links")
     first = materialize(components(links), "labels")
 
     labelled = index.join(first.withColumnRenamed("node", "_node"), F.col("rep") == F.col("_node"), "left").withColumn(
@@ -285,8 +288,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     mixed = materialize(labelled.join(main, F.col("token") == F.col("_t")).drop("_t"), "mixed")
     minor = mixed.filter(F.col("comp") != F.col("main"))
     apart = (F.col("l.comp") != F.col("r.comp")) & ((F.col("r.comp") == F.col("r.main")) | (F.col("l.rep") < F.col("r.rep")))
-    crossed = _pairs(minor, mixed, apart).join(stars, ["a", "b"], "left_anti")
-    more = verified(crossed, sets)
+    crossed = materialize(_pairs(minor, mixed, apart).join(stars, ["a", "b"], "left_anti"), "crossed")
+    more = verified(crossed, docs)
     label = F.coalesce("component", "x")
     joined = more.select(F.col("a").alias("x"), "b").join(first, F.col("x") == F.col("node"), "left").select(label.alias("a"), F.col("b").alias("x"))
     joined = joined.join(first, F.col("x") == F.col("node"), "left").select("a", label.alias("b"))
