@@ -49,12 +49,12 @@ def frame_schedule(units: DataFrame) -> DataFrame:
     (slots of a frame) x (sources), independent of the number of documents.
     """
     one = units.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "units"))).alias("s"))
-    one = one.filter(F.size("s") > 0).select(
+    one = one.select(
         "s", F.transform("s", lambda x: x["units"]).alias("u"),
         F.aggregate("s", F.lit(0), lambda a, x: a + x["units"]).alias("frame"),
     )
     one = one.withColumn("runs", F.expr("""
-        aggregate(
+        if(size(s) = 0, cast(array() as array<int>), aggregate(
           sequence(0, frame - 1),
           named_struct('given', transform(u, x -> 0), 'run', cast(array() as array<int>)),
           (acc, t) -> transform(array(array_min(transform(
@@ -63,7 +63,7 @@ def frame_schedule(units: DataFrame) -> DataFrame:
               k -> struct(cast(ceil((cast(acc.given[k] as bigint) + 1) * frame / u[k]) as int) as due, k as k)))),
             best -> named_struct('given', transform(acc.given, (g, k) -> if(k = best.k, g + 1, g)),
                                  'run', concat(acc.run, array(best.k))))[0],
-          acc -> acc.run)"""))
+          acc -> acc.run))"""))
     slots = one.select("s", "frame", F.posexplode("runs").alias("slot", "k"))
     turns = slots.withColumn("turn", F.row_number().over(Window.partitionBy("k").orderBy("slot")) - 1).withColumn(
         "units", F.col("s")[F.col("k")]["units"]
