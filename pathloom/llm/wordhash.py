@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-BLOCK = 1 << 20  # bytes hashed at a time; longer texts are cut at white space
+BLOCK = 1 << 18  # bytes hashed at a time; longer texts are cut at white space
 _BASE = 0x9E3779B97F4A7C15 | 1
 _tables: dict[str, np.ndarray] = {}
 
