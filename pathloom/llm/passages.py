@@ -139,13 +139,14 @@ class PassageAutomaton:
         import ahocorasick
 
         self.known = np.unique(np.concatenate([p for _, p in passages])) if passages else np.empty(0, np.uint64)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.width = max(1, -(-len(self.known).bit_length() // 5))
+        self.automaton = ahocorasick.Automaton()
         windows, firsts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for first, passage in passages:
-            numbers = self.numbers(passage)
+            symbols = self.symbols(passage)
             _, at = window_phrases(passage)
             for offset in np.unique(at).tolist():
-                self.automaton.add_word(tuple(numbers[offset : offset + PHRASE].tolist()), True)
+                self.automaton.add_word(symbols[offset * self.width : (offset + PHRASE) * self.width], True)
             windows.append(run_hashes(passage, WINDOW))
             firsts.append(np.full(len(windows[-1]), first, np.int64))
         self.empty = not len(self.automaton)
@@ -153,10 +154,17 @@ class PassageAutomaton:
         order = np.argsort(all_windows := np.concatenate(windows))
         self.windows, self.firsts = all_windows[order], np.concatenate(firsts)[order]
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Small number of each word; 0 for words of no passage."""
+    def symbols(self, hashes: np.ndarray) -> str:
+        """Each word's number among the known words as ``width`` symbols, 0 for words of no passage.
+
+        Nodes have 32 branches at most that way, and as a word's first symbol has
+        letters of its own, matches begin at words.
+        """
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, at + 1, 0)
+        numbers = np.where(self.known[at] == hashes, at + 1, 0)
+        shifts = np.arange(self.width - 1, -1, -1) * 5
+        digits = (numbers[:, None] >> shifts & 31) + np.where(shifts == shifts[0], 64, 96)
+        return digits.astype(np.uint8).tobytes().decode("ascii")
 
     def covered(self, doc_id: int, hashes: np.ndarray) -> list[tuple[int, int]]:
         """Word ranges covered by windows that also start in a document with a smaller id.
@@ -167,10 +175,10 @@ class PassageAutomaton:
         n = len(hashes) - WINDOW + 1
         if self.empty or n < 1:
             return []
-        ends = [end for end, _ in self.automaton.iter(tuple(self.numbers(hashes).tolist()))]
+        ends = [end for end, _ in self.automaton.iter(self.symbols(hashes))]
         if not ends:
             return []
-        starts = np.array(ends, np.int64) - PHRASE + 1
+        starts = np.array(ends, np.int64) // self.width - PHRASE + 1
         near = np.zeros(len(hashes) + 1, np.int64)
         np.add.at(near, np.maximum(starts + PHRASE - WINDOW, 0), 1)
         np.add.at(near, starts + 1, -1)
