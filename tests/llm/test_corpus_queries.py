@@ -6,6 +6,7 @@ import hashlib
 from collections import Counter
 
 import brute
+import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
@@ -21,7 +22,7 @@ from pathloom.llm.queries import QUERIES
 
 
 def tables(folder):
-    con = connect.__globals__["duckdb"].connect()
+    con = duckdb.connect()
     for t in ("documents", "pages", "labels"):
         con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
     return con

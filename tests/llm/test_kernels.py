@@ -8,9 +8,9 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import odd_documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from odd import odd_documents
 
 from pathloom.llm import best_fit, jaccard_join, language_id, passages, spot_signatures, token_counts, wordhash
 
