@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -71,22 +71,56 @@ def resolve_column_of(triples: DataFrame, side: str, index: DataFrame, mapping:
     return looked.select(*keys, F.coalesce(*attempts).alias(f"kg_{side}"))
 
 
-def resolve_entities(
-    triples: DataFrame, nodes: DataFrame, mappings: Mapping[str, DataFrame] | None = None
-) -> DataFrame:
-    """Triples with the raw id and name of every side, null where unmapped."""
-    index = materialize(alias_index_first_wins(nodes), "aliases")
-    triples = materialize(triples, "triples")
-    out = triples
-    for side in SIDES:
-        resolved = resolve_column_of(triples, side, index, (mappings or {}).get(side))
-        keys = [c for c in (f"{side}_id", f"{side}_name") if c in triples.columns]
+def resolve_sides(df: DataFrame, index: DataFrame, sides: Sequence[str], mappings: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """``df`` with ``kg_{side}``, the raw id of each side, null where unmapped."""
+    df = materialize(df, "associations")
+    out = df
+    for side in sides:
+        resolved = resolve_column_of(df, side, index, (mappings or {}).get(side))
+        keys = [c for c in (f"{side}_id", f"{side}_name") if c in df.columns]
         resolved = resolved.select(*[F.col(c).alias(f"_{c}") for c in keys], f"kg_{side}")
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
         out = out.join(resolved, same, "left").drop(*[f"_{c}" for c in keys])
     return out
 
 
+def resolve_entities(
+    triples: DataFrame, nodes: DataFrame, mappings: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """Triples with the raw id of every side, null where unmapped.
+
+    Moves the triples once a side; where the two association tables are at hand
+    use ``align_associations``.
+    """
+    return resolve_sides(triples, materialize(alias_index_first_wins(nodes), "aliases"), list(SIDES), mappings)
+
+
+def align_associations(
+    drug_target: DataFrame, target_disease: DataFrame, nodes: DataFrame, mappings: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """The triples of ``bridge_join`` with the raw id of every side, resolved before the join.
+
+    Each association is resolved once, however many triples it is in, and the
+    triples are never shuffled. A target is resolved by the name its triple
+    shows: the drug side's, else the disease side's. A target with very many
+    associations is split by the adaptive skew join.
+    """
+    index = materialize(alias_index_first_wins(nodes), "aliases")
+    left = resolve_sides(drug_target, index, ("drug", "target"), mappings).withColumnRenamed("kg_target", "_left")
+    right = resolve_sides(target_disease, index, ("target", "disease"), mappings).withColumnRenamed("kg_target", "_right")
+    named = "target_name" in left.columns
+    left, right = _name(left, "target_name", "l"), _name(right, "target_name", "r")
+    joined = left.join(right, "target_id")
+    names = [F.col(c) for c in ("target_name_l", "target_name_r") if c in joined.columns]
+    target = F.when(F.col("target_name_l").isNotNull(), F.col("_left")).otherwise(F.col("_right")) if named and len(names) == 2 else (
+        F.col("_left") if named or not names else F.col("_right"))
+    extra = [c for c in ("drug_name", "disease_name") if c in joined.columns]
+    return joined.select(
+        "drug_id", "target_id", "disease_id", *extra, *([F.coalesce(*names).alias("target_name")] if names else []),
+        "kg_drug", target.alias("kg_target"), "kg_disease",
+    )
+
+
 def name_resolved(aligned: DataFrame, nodes: DataFrame) -> DataFrame:
     """Add the graph's own names of resolved ids."""
     for side in SIDES:
@@ -135,32 +169,31 @@ def _novelty(marked: DataFrame) -> DataFrame:
 def mapping_report(aligned: DataFrame) -> DataFrame:
     """Per side and for whole triples: rows, mapped rows, entities and their rates.
 
-    Every row is counted under its four scopes in one pass.
+    A scope's rows are combined by id before anything moves, so a side costs as
+    many rows as it has entities.
     """
-    def cell(scope: str, sources: list[str], mapped: list[str]) -> Column:
-        ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in mapped])
-        return F.struct(
-            F.lit(scope).alias("scope"),
-            F.to_json(F.array(*sources)).alias("source"),
-            F.when(ok, F.to_json(F.array(*mapped))).alias("kg"),
+    aligned = materialize(aligned.select(*[c for s in SIDES for c in (f"{s}_id", f"kg_{s}")]), "aligned")
+
+    def scope(name: str, sides: Sequence[str]) -> DataFrame:
+        ids, kgs = [f"{s}_id" for s in sides], [f"kg_{s}" for s in sides]
+        mapped = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in kgs])
+        by_id = aligned.groupBy(*ids).agg(F.count("*").alias("n"), F.count_if(mapped).alias("m"))
+        counts = by_id.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_triples"),
+            F.coalesce(F.sum("m"), F.lit(0)).cast("bigint").alias("n_mapped"),
+            F.count("*").alias("n_entities"), F.count_if(F.col("m") > 0).alias("_hits"),
+        )
+        if len(sides) > 1:
+            counts = counts.withColumn("_kg", aligned.filter(mapped).select(*kgs).distinct().agg(F.count("*")).scalar())
+        else:
+            counts = counts.withColumn("_kg", F.col("_hits"))
+        return counts.select(
+            F.lit(name).alias("scope"), "n_triples", "n_mapped", safe_ratio(F.col("n_mapped"), F.col("n_triples")).alias("triple_rate"),
+            "n_entities", F.col("_kg").alias("n_mapped_entities"), safe_ratio(F.col("_hits"), F.col("n_entities")).alias("entity_rate"),
         )
 
-    cells = [cell(s, [f"{s}_id"], [f"kg_{s}"]) for s in SIDES]
-    cells.append(cell("triple", [f"{s}_id" for s in SIDES], [f"kg_{s}" for s in SIDES]))
-    counts = aligned.select(F.inline(F.array(*cells))).groupBy("scope").agg(
-        F.count("*").alias("n_triples"),
-        F.count("kg").alias("n_mapped"),
-        F.count_distinct("source").alias("n_entities"),
-        F.count_distinct(F.when(F.col("kg").isNotNull(), F.col("source"))).alias("_hits"),
-        F.count_distinct("kg").alias("_kg"),
-    )
-    return counts.select(
-        "scope", "n_triples", "n_mapped",
-        safe_ratio(F.col("n_mapped"), F.col("n_triples")).alias("triple_rate"),
-        "n_entities",
-        F.when(F.col("scope") == "triple", F.col("_kg")).otherwise(F.col("_hits")).alias("n_mapped_entities"),
-        safe_ratio(F.col("_hits"), F.col("n_entities")).alias("entity_rate"),
-    )
+    parts = [scope(s, [s]) for s in SIDES] + [scope("triple", list(SIDES))]
+    return reduce(DataFrame.unionByName, parts).filter("n_triples > 0")
 
 
 def alignment_report(

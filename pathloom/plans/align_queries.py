@@ -79,7 +79,7 @@ def candidates(spark, sf_dir):
 
 
 def aligned(spark, sf_dir):
-    return al.resolve_entities(candidates(spark, sf_dir), graph(spark, sf_dir).nodes)
+    return al.align_associations(drug_target(spark, sf_dir), target_disease(spark, sf_dir), graph(spark, sf_dir).nodes)
 
 
 def train_pairs(spark, sf_dir):
@@ -110,7 +110,8 @@ def resolve_mapped(spark, sf_dir):
     small = table(spark, sf_dir, "part").filter("p_size <= 10")
     heads = small.groupBy("p_brand").agg(F.min("p_partkey").alias("head"))
     mapping = small.join(heads, "p_brand").selectExpr("cast(p_partkey as string) as source", "concat('gene/protein::', head) as target")
-    out = al.resolve_entities(candidates(spark, sf_dir).drop("target_name"), graph(spark, sf_dir).nodes, {"target": mapping})
+    sides = [df.drop("target_name") for df in (drug_target(spark, sf_dir), target_disease(spark, sf_dir))]
+    out = al.align_associations(*sides, graph(spark, sf_dir).nodes, {"target": mapping})
     return out.select("target_id", "kg_target").distinct()
 
 

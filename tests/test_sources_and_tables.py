@@ -310,3 +310,22 @@ def test_path_layout(spark, nodes):
 
 def test_toy_edge_schema(spark):
     assert spark.createDataFrame(sampler_graph(True), EDGE).count() > 0
+
+
+def test_resolving_before_the_bridge_gives_the_same_triples(spark):
+    from pathloom.operators import align
+
+    nodes = spark.createDataFrame(
+        [(1, 0, "drug::a", "drug", "Able", "x"), (2, 0, "gene/protein::7", "gene/protein", "KLN4", "x"),
+         (3, 1, "gene/protein::8", "gene/protein", "KLN5", "x"), (4, 0, "disease::z", "disease", "Zed", "x")], NODE)
+    left = spark.createDataFrame(
+        [("a", "t1", "Able", "KLN4"), ("b", "t1", "Baker", None), ("able", "8", None, None), ("c", "hub", "able", None)]
+        + [(f"d{i}", "hub", None, "KLN5") for i in range(40)],
+        "drug_id string, target_id string, drug_name string, target_name string")
+    right = spark.createDataFrame(
+        [("t1", "z", "KLN5", "Zed"), ("t1", "y", None, "zed"), ("8", "q", None, None)] + [("hub", f"e{i}", "KLN4", "Zed") for i in range(30)],
+        "target_id string, disease_id string, target_name string, disease_name string")
+    before = align.align_associations(left, right, nodes)
+    after = align.resolve_entities(align.bridge_join(left, right), nodes)
+    assert before.count() == 4 + 1 + 41 * 30
+    assert before.select(*after.columns).exceptAll(after).isEmpty() and after.exceptAll(before.select(*after.columns)).isEmpty()
