@@ -180,4 +180,7 @@ def judge_quality(docs: DataFrame, references: DataFrame, rules: Rules = Rules()
         F.col("word_distance") > rules.max_word_distance, F.lit(False)
     )
     own = [c for c in docs.columns if c not in ADDED]
-    return measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~far).select(*own, *ADDED)
+    done = measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~far)
+    # the result stands behind a generator: a filter on it would otherwise be moved
+    # down through every step, each of which it would compute again
+    return done.select(*own, F.inline(F.array(F.struct(*ADDED))))
