@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..lineage import materialize
+from ..operators.numbering import number_globally
 from .common import let, number_in_groups
 from .hashing import unit
 
@@ -20,10 +21,14 @@ def target_units(sizes: DataFrame, temper: float = TEMPER, frame: int = FRAME) -
     """(source, units): slots per frame, proportional to n_docs ** temper, at least one each.
 
     Largest remainders decide who gets the slots that rounding leaves over. With
-    more sources than slots the frame is as long as the number of sources.
+    as many sources as slots or more, the frame is as long as the number of
+    sources and each has one slot: nothing is left to share out, so the sources
+    are not moved. ``sizes`` is read twice: pass a written table.
     """
+    if sizes.count() >= frame:
+        return sizes.select("source", "n_docs", F.lit(1).alias("units"))
     w = F.pow(F.col("n_docs").cast("double"), F.lit(temper))
-    everything = Window.partitionBy(F.lit(1))  # one row per source
+    everything = Window.partitionBy(F.lit(1))  # one row per source, fewer than slots
     shared = (
         sizes.withColumn("_k", F.count("*").over(everything))
         .withColumn("_frame", F.greatest(F.lit(frame), F.col("_k")))
@@ -46,8 +51,18 @@ def frame_schedule(units: DataFrame) -> DataFrame:
     Slot by slot, the released block with the earliest deadline runs (ties: the
     source's name), which keeps every source within one block of its share.
     All sources finish their frame together, so the frame repeats. The work is
-    (slots of a frame) x (sources), independent of the number of documents.
+    (slots of a frame) x (sources), independent of the number of documents, and
+    ``target_units`` leaves fewer sources than the slots it was asked for. With
+    more, each source has one block, all are released at the start and due at the
+    end, and the order is that of the names: they are numbered by a range sort.
+    ``units`` is read several times: pass a written table.
     """
+    if units.agg(F.max("units")).first()[0] == 1:
+        n = units.count()
+        return number_globally(units.select("source", "units"), ["source"], "slot").select(
+            "source", "units", F.lit(n).cast("int").alias("frame"), F.lit(0).alias("turn"),
+            F.lit(0).cast("bigint").alias("release"), F.lit(n).cast("bigint").alias("deadline"), "slot",
+        )
     one = units.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "units"))).alias("s"))
     one = one.select(
         "s", F.transform("s", lambda x: x["units"]).alias("u"),
@@ -94,7 +109,7 @@ def mix_sources(
     added = ["epoch", "block", "release", "deadline", "slot", "position"]
     carried = [c for c in (columns or docs.columns) if c not in added]
     ranked = number_in_groups(docs.select(*carried), source, unit("mix", key), [key], "_at")
-    sizes = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n_docs"))
+    sizes = materialize(docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n_docs")), "sizes")
     units = materialize(target_units(sizes, temper, frame), "units")
     schedule = materialize(frame_schedule(units), "schedule")
     turns = schedule.select(
