@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import materialize
 from .wordhash import Words, mix, run_hashes, slices_of, whole_hash
 
 CHAIN = 3  # content words of a signature
@@ -175,3 +176,72 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     paired = with_next(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     return paired.mapInArrow(fingerprints, FINGERPRINTS)
+
+
+def signature_table(docs: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, signs, n, part, items): the signature set of each row as bytes and list, its size and its partition by length."""
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in slices_of(texts):
+                sets = signature_sets(texts[a:b])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids[a:b], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in sets], pa.binary()),
+                    pa.array([len(x) for x in sets], pa.int32()), pa.array([length_partition(len(x), threshold) for x in sets], pa.int32()),
+                    pa.array([x.tolist() for x in sets], pa.list_(pa.int64())),
+                ], names=["doc_id", "signs", "n", "part", "items"])
+
+    read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return read.mapInArrow(sign, "doc_id bigint, signs binary, n int, part int, items array<bigint>")
+
+
+def alike_documents(docs: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, near_id, near): documents whose signature sets have a Jaccard likeness of ``threshold`` or more.
+
+    Rows with equal sets are one class, named by its smallest id: every other row
+    is paired with it (near = 1), and classes are paired by their names. So a
+    group of copies gives as many pairs as members; near copies give all pairs.
+    The index holds, by length partition and signature, the rarest signatures of
+    each class, as many as two alike sets must share one of; a class meets those
+    of its own partition and of the next, and pruned Jaccard decides. Null and
+    empty texts are one class, rows with equal ids are separate rows, and rows
+    with null ids are paired under null. The threshold lies between 0 and 1.
+    """
+    if not 0 < threshold < 1:
+        raise ValueError(f"threshold {threshold} is not between 0 and 1")
+    table = materialize(signature_table(docs, threshold), "signatures")
+    classes = materialize(
+        table.groupBy("signs").agg(F.min("doc_id").alias("name"), F.first("n").alias("n"), F.first("part").alias("part"), F.first("items").alias("items"))
+        .withColumn("key", F.sha2("signs", 256)), "classes")
+    items = classes.select("key", "n", "part", F.explode("items").alias("sign"))
+    counts = items.groupBy("sign").agg(F.count("*").alias("_f"))
+    rare = Window.partitionBy("key").orderBy("_f", "sign")
+    index = materialize(
+        items.join(counts, "sign").withColumn("_r", F.row_number().over(rare))
+        .filter(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1).select("key", "n", "part", "sign"), "index")
+    probes = index.select(
+        F.col("key").alias("a"), F.col("n").alias("_an"), F.col("part").alias("_ap"), "sign",
+        F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("_to"),
+    )
+    held = index.select(F.col("key").alias("b"), F.col("n").alias("_bn"), F.col("part").alias("_to"), "sign")
+    fits = F.least("_an", "_bn") >= F.lit(threshold) * F.greatest("_an", "_bn") - F.lit(1e-9)
+    met = probes.join(held, ["_to", "sign"]).filter(fits & ((F.col("_ap") < F.col("_to")) | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+    one, two = (classes.select(F.col("key").alias(k), F.col("name").alias(f"_{k}_id"), F.col("signs").alias(f"_{k}_signs")) for k in "ab")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [pruned_jaccard(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), threshold)
+                    for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.float64())], names=["x", "y", "near"])
+
+    pairs = met.join(one, "a").join(two, "b").select("_a_id", "_b_id", "_a_signs", "_b_signs").mapInArrow(
+        compare, "x bigint, y bigint, near double").filter("near > 0")
+    known = F.col("x").isNotNull() & F.col("y").isNotNull()
+    between = pairs.select(F.when(known, F.greatest("x", "y")).alias("doc_id"), F.least("x", "y").alias("near_id"), "near")
+    # one row of each class stands for it: of equal smallest ids, all but one are copies
+    named = table.join(classes.select("signs", "name"), "signs")
+    first = F.col("doc_id").eqNullSafe(F.col("name"))
+    extra = named.filter(first).groupBy("signs", "name").agg(F.count("*").alias("_n")).filter("_n > 1").select(
+        F.col("name").alias("doc_id"), F.col("name").alias("near_id"), F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("_n")))).drop("col")
+    copies = named.filter(~first).select("doc_id", F.col("name").alias("near_id")).unionByName(extra)
+    return between.unionByName(copies.withColumn("near", F.lit(1.0)))
