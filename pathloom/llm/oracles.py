@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, url_rules
+from . import bisectors, line_dedup, mixing, url_rules
 from .hashing import unit_sql
 from .quality import Rules
 
@@ -214,6 +214,38 @@ SELECT page_id, host, path, rule, confidence,
 FROM judged
 """
 
+
+def _clusters() -> str:
+    d, k = bisectors.DIMS, bisectors.CENTROIDS
+    too_large = f"abs({bisectors.SCALE} * x::double) >= {bisectors.LARGEST}"
+    parts = [
+        f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor({bisectors.SCALE} * x::double)) AS v
+  FROM embeddings
+  WHERE len(embedding) = {d} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR {too_large})) = 0)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (
+    SELECT sha256('1:' || coalesce(cast(vec_id AS varchar), '')) AS h, v FROM kept ORDER BY h, v LIMIT {k}))""",
+    ]
+    for r in range(bisectors.ROUNDS + 1):
+        apart = "list_inner_product(k.v, k.v) - 2 * list_inner_product(k.v, c.v) + list_inner_product(c.v, c.v)"
+        parts.append(f"""a{r} AS MATERIALIZED (
+  SELECT row_id, min({{'d': {apart}, 'c': c.c}}) AS best FROM kept k CROSS JOIN c{r} c GROUP BY row_id)""")
+        if r < bisectors.ROUNDS:
+            parts.append(f"""m{r} AS (
+  SELECT c, list(x ORDER BY i) AS v FROM (
+    SELECT best.c AS c, i, floor(sum(v[i]) / count(*)) AS x FROM a{r} JOIN kept USING (row_id), range(1, {d + 1}) g(i) GROUP BY best.c, i)
+  GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{r} o LEFT JOIN m{r} m ON o.c = m.c)""")
+    r = bisectors.ROUNDS
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, best.c::int AS cluster, best.d::bigint AS distance,
+       sum(best.d::bigint) OVER (PARTITION BY best.c)::bigint AS cluster_inertia, sum(best.d::bigint) OVER ()::bigint AS inertia,
+       sha256(array_to_string(list_transform(c.v, lambda x: cast(x::bigint AS varchar)), ',')) AS centroid_sha256
+FROM a{r} JOIN kept USING (row_id) JOIN c{r} c ON c.c = best.c
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_quality_divergence": _QUALITY,
     "op2_passage_automata": _PASSAGES,
@@ -221,4 +253,5 @@ ORACLES: dict[str, str] = {
     "op7_jaccard_join": _JACCARD,
     "op9_site_lines": _LINES,
     "op10_url_rules": _URLS,
+    "op11_bisector_tournament": _clusters(),
 }

@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, jaccard_join, language_id, line_dedup, mixing, passages, quality, spot_signatures, token_counts, url_rules
+from . import (
+    best_fit, bisectors, jaccard_join, language_id, line_dedup, mixing, passages, periodic_runs, quality, spot_signatures, token_counts,
+    url_rules, vantage_trees,
+)
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +96,19 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     labelled = pages.join(bad, F.col("page_id") == F.col("_doc")).select(url_rules.url_tokens(F.col("url")).alias("tokens"), "blocked")
     return url_rules.judge_urls(pages, url_rules.mine_rules(labelled)).drop("url")
+
+
+@_query
+def op11_bisector_tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisectors.clusters_with_inertia(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@_query
+def op12_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage_trees.simhash_components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document, by its id, is made periodic before runs are sought."""
+    return periodic_runs.find_runs(documents(spark, sf_dir).select("doc_id", "text"), repeat=True, texts=False)

@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
+
+import xxhash
 
 SPACES = " \t\n\x0b\f\r"
 
@@ -94,3 +97,59 @@ def pieces(ids, capacity):
         cuts = [0, *range(first, len(ids) + 1, capacity)]
     data = b"".join(i.to_bytes(4, "little") for i in ids)
     return [(a, b - a, zlib.crc32(data[4 * a : 4 * b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def simhash(text):
+    w = words(lower_ascii(text or ""))
+    shingled = [" ".join(w[k : k + 4]) for k in range(len(w) - 3)] if len(w) >= 4 else ([" ".join(w)] if w else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingled]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def hamming_components(prints, within=4):
+    """Component number of each fingerprint, by comparing all pairs."""
+    parent = list(range(len(prints)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j]).bit_count() <= within:
+                parent[root(j)] = root(i)
+    return [root(i) for i in range(len(prints))]
+
+
+def runs(w):
+    """(start, length, period) of all runs, trying every period from the smallest."""
+    found = {}
+    for p in range(1, len(w) // 4 + 1):
+        i = 0
+        while i + p < len(w):
+            s = i
+            while i + p < len(w) and w[i] == w[i + p]:
+                i += 1
+            if i - s + p >= max(6, 4 * p):
+                found.setdefault((s, i - s + p), p)
+            i += 1
+    return sorted(((s, n, p) for (s, n), p in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def periodic(doc_id, text):
+    """The row of op13 for one document."""
+    w = words(text)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and w:
+        g, n = h // 10, len(w)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    all_runs = runs(w)
+    gone = {i for s, n, p in all_runs for i in range(s + p, s + n)}
+    best = min(all_runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if all_runs else (None, None, None)
+    listed = "".join(f"{s},{n},{p}\n" for s, n, p in all_runs)
+    kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+    return (doc_id, len(all_runs), *best, 1000 * best[1] // best[2] if all_runs else None,
+            hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())

@@ -40,7 +40,30 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.s
 CLASHES = ("n_words", "slot", "kept", "length", "offset", "phrase", "token", "n", "part", "rule", "host", "n_lines", "score")
 
 
-def write_tables(folder: Path, documents, pages=(), labels=(), clashes=False):
+def odd_embeddings(with_null_ids: bool):
+    """Short, long and null vectors, odd components, ties, repeated rows; null ids on demand."""
+    draw = random.Random(11)
+    near = lambda c: [x + draw.uniform(-0.04, 0.04) for x in c]
+    centres = [[draw.uniform(-1, 1) for _ in range(64)] for _ in range(5)]
+    vectors = [near(draw.choice(centres)) for _ in range(120)]
+    vectors += [None, [], [0.0] * 63, [0.0] * 65, [0.0] * 64, [1.0] * 64, [-1.0] * 64, [0.0] * 64]
+    for odd in (None, float("nan"), float("inf"), float("-inf"), 3e38):
+        vectors.append([*vectors[0][:40], odd, *vectors[0][41:]])
+    vectors += [[300.0, *[0.0] * 63], [-300.0, *[0.0] * 63]]
+    rows = [{"vec_id": 5 * i + 2, "embedding": v, "label": None} for i, v in enumerate(vectors)]
+    if with_null_ids:
+        rows += [dict(rows[3]), dict(rows[3]), {**rows[7], "vec_id": None}, {**rows[9], "vec_id": None}, {**rows[12], "vec_id": rows[3]["vec_id"]}]
+    draw.shuffle(rows)
+    return rows
+
+
+def write_tables(folder: Path, documents, pages=(), labels=(), clashes=False, embeddings=()):
+    schema = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32())])
+    table = pa.Table.from_pylist(list(embeddings), schema)
+    if clashes:
+        for name in ("cluster", "key", "v", "distance", "n"):
+            table = table.append_column(name, pa.array(["extra"] * len(table), pa.string()))
+    pq.write_table(table, folder / "embeddings.parquet", row_group_size=20)
     table = pa.Table.from_pylist(list(documents), SCHEMA)
     if clashes:
         for name in CLASHES:

@@ -23,7 +23,7 @@ from pathloom.llm.queries import QUERIES
 
 def tables(folder):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
     return con
 
@@ -62,7 +62,7 @@ def test_empty_tables(spark, empty_dir, name):
 
 def test_registered():
     names = [n for n in entry_module.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry_module.queries()
 
 
