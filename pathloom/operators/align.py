@@ -13,6 +13,7 @@ from ..functions.text import normalize_text
 from ..lineage import materialize
 from ..schema import DISEASE, DRUG, GENE
 from .identity import alias_index_first_wins
+from .paths import join_sliced
 from .tables import dedup_keep_first, drop_null_rows
 
 SIDES: Mapping[str, str] = {"drug": DRUG, "target": GENE, "disease": DISEASE}
@@ -31,11 +32,11 @@ def bridge_join(drug_target: DataFrame, target_disease: DataFrame) -> DataFrame:
     """Candidate (drug, target, disease) triples through the shared target.
 
     The target name of the drug side is preferred. Both inputs hold one row per
-    id pair, so the triples are distinct without another shuffle.
+    id pair, so the triples are distinct without another shuffle. A target with very many associations is cut into slices.
     """
     left = _name(drug_target, "target_name", "l")
     right = _name(target_disease, "target_name", "r")
-    joined = left.join(right, "target_id")
+    joined = join_sliced(left, right, "target_id")
     names = [F.col(c) for c in ("target_name_l", "target_name_r") if c in joined.columns]
     columns = ["drug_id", "target_id", "disease_id"]
     extra = [c for c in ("drug_name", "disease_name") if c in joined.columns]
@@ -103,14 +104,14 @@ def align_associations(
     Each association is resolved once, however many triples it is in, and the
     triples are never shuffled. A target is resolved by the name its triple
     shows: the drug side's, else the disease side's. A target with very many
-    associations is split by the adaptive skew join.
+    associations is cut into slices.
     """
     index = materialize(alias_index_first_wins(nodes), "aliases")
     left = resolve_sides(drug_target, index, ("drug", "target"), mappings).withColumnRenamed("kg_target", "_left")
     right = resolve_sides(target_disease, index, ("target", "disease"), mappings).withColumnRenamed("kg_target", "_right")
     named = "target_name" in left.columns
     left, right = _name(left, "target_name", "l"), _name(right, "target_name", "r")
-    joined = left.join(right, "target_id")
+    joined = join_sliced(left, right, "target_id")
     names = [F.col(c) for c in ("target_name_l", "target_name_r") if c in joined.columns]
     target = F.when(F.col("target_name_l").isNotNull(), F.col("_left")).otherwise(F.col("_right")) if named and len(names) == 2 else (
         F.col("_left") if named or not names else F.col("_right"))

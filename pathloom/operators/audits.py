@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.graph import edge_type_label, joins_types, normalize_relation, orient_pair
 from ..functions.numeric import safe_ratio
 from ..functions.text import text_preview
+from ..lineage import materialize
 from ..schema import DIRECT_RELATIONS, DISEASE, DRUG, GENE, PATHWAY
+from .phrases import in_slices
 from .topology import incidences
 
 # --- fixed values: leftover edge kinds as (kind, source type, source id, target type, target id) ---
@@ -52,32 +54,26 @@ def residual_summary(edges: DataFrame, quads: DataFrame) -> DataFrame:
 def text_contamination(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs where one end's text contains the other end's name, ignoring case.
 
-    ``texts`` has ``global_id``, ``name`` and ``text``.
+    ``texts`` has ``global_id``, ``name`` and ``text``. The names of an entity's
+    partners go to its text in lists of bounded length, so a text is read once a list and
+    never copied to a pair; what is found goes back to the pairs.
     """
-    def side(column: str) -> DataFrame:
-        return texts.select(
-            F.col("global_id").alias(column),
-            F.trim(F.coalesce("name", F.lit(""))).alias(f"{column}_name"),
-            F.coalesce("text", F.lit("")).alias(f"{column}_text"),
-        )
-
-    joined = pairs.select("drug", "disease").join(side("drug"), "drug").join(side("disease"), "disease")
-    joined = joined.filter("drug_name <> '' and disease_name <> ''")
-
-    def found(text: str, name: str, direction: str) -> Column:
-        hit = F.lower(text).contains(F.lower(F.col(name)))
-        return F.when(
-            hit,
-            F.struct(F.lit(direction).alias("direction"), F.col(name).alias("matched"), text_preview(text).alias("preview")),
-        )
-
-    hits = F.array_compact(
-        F.array(
-            found("drug_text", "disease_name", "drug_text_contains_disease_name"),
-            found("disease_text", "drug_name", "disease_text_contains_drug_name"),
-        )
+    def ends(text_end: str, name_end: str) -> Column:
+        direction = f"{text_end}_text_contains_{name_end}_name"
+        return F.struct(F.lit(direction).alias("direction"), F.col(text_end).alias("_text_id"), F.col(name_end).alias("_name_id"))
+
+    asked = pairs.select("drug", "disease", F.inline(F.array(ends("drug", "disease"), ends("disease", "drug"))))
+    name = F.trim(F.coalesce("name", F.lit("")))
+    names = materialize(texts.select(F.col("global_id").alias("_name_id"), name.alias("_name")).filter("_name <> ''"), "names")
+    # a pair counts if both its ends have a name
+    named = asked.select("_text_id", "_name_id").distinct().join(names, "_name_id").join(
+        names.select(F.col("_name_id").alias("_text_id")), "_text_id", "left_semi"
     )
-    return joined.select("drug", "disease", F.inline(hits))
+    listed = in_slices(materialize(named.select("_text_id", F.struct("_name_id", "_name").alias("item")), "named"), "_text_id", "item")
+    read = texts.select("global_id", F.coalesce("text", F.lit("")).alias("_text")).join(listed, F.col("global_id") == F.col("_text_id"))
+    held = F.filter("items", lambda x: F.contains(F.lower("_text"), F.lower(x["_name"])))
+    hits = read.select("_text_id", text_preview("_text").alias("preview"), F.inline(held)).withColumnRenamed("_name", "matched")
+    return asked.join(hits, ["_text_id", "_name_id"]).select("drug", "disease", "direction", "matched", "preview")
 
 
 def contamination_summary(pairs: DataFrame, texts: DataFrame) -> DataFrame:

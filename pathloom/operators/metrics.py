@@ -72,11 +72,6 @@ def pairwise_accuracy(scored: DataFrame, groups: Sequence[str] = (), pos: str =
     )
 
 
-def aligned_counts(scored: DataFrame, pos: str = "pos_score", neg: str = "neg_score") -> DataFrame:
-    """Rows lacking one of the two scores; must be empty."""
-    return scored.filter(F.col(pos).isNull() != F.col(neg).isNull())
-
-
 def best_f1_threshold(scores: DataFrame, groups: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
     """Lowest probability t whose rule ``probability > t`` has the highest F1."""
     probs = scores.withColumn("_p", sigmoid(score))

@@ -7,11 +7,9 @@ count is bounded by ``rows / rows_per_task`` or by the number of partitions.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -98,20 +96,71 @@ def number_within(
     )
 
 
-def value_buckets(df: DataFrame, value: str, buckets: int, out: str = "_bucket") -> DataFrame:
-    """Order-preserving bucket number of a numeric column, near-equal in size.
+SKETCH_SIZE = 8_192  # of a KLL sketch: ranks are known to about 0.07 percent
+MOST_BUCKETS = 10_000  # of one group, no more than the sketch can tell apart
 
-    The boundaries are ``buckets`` doubles from a quantile sketch; equal values
-    always share a bucket. Null comes before all buckets, NaN after them.
+
+def _cut_points(df: DataFrame, value: str, groups: Sequence[str], rows_per_bucket: int) -> DataFrame:
+    """(groups as ``_g_*``, cuts): sorted boundaries inside each group that is larger than a bucket.
+
+    Every large group has a sketch of its own, merged where its rows are counted, so groups
+    with ranges far apart are cut alike; at most rows / rows_per_bucket groups are that large.
     """
-    probabilities = [i / buckets for i in range(1, buckets)]
-    cuts = sorted({c for c in df.approxQuantile(value, probabilities, 1.0 / (4 * buckets)) if math.isfinite(c)}) if probabilities else []
-    marks = [float("-inf"), *(cuts or [0.0]), float("inf")]
-    plain = df.withColumn("_plain", F.nanvl(F.coalesce(F.col(value), F.lit(0.0)), F.lit(0.0)))
-    cut = Bucketizer(splits=marks, inputCol="_plain", outputCol=out, handleInvalid="error").transform(plain)
-    return cut.withColumn(
-        out, F.when(F.col(value).isNull(), -1.0).when(F.isnan(value), float(len(marks))).otherwise(F.col(out))
-    ).drop("_plain")
+    keys = [F.col(g).alias(f"_g_{g}") for g in groups]
+    number = F.nanvl(F.col(value), F.lit(None))
+    sized = df.filter(number.isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows_per_bucket)
+    sized = materialize(sized, "large")
+    largest = sized.agg(F.max("_n")).first()[0]
+    if largest is None:
+        return sized.select(*[f"_g_{g}" for g in groups], F.array().cast("array<double>").alias("cuts"))
+    numbers, theirs = df.filter(number.isNotNull()).select(*keys, value), sized.select(*[F.col(f"_g_{g}").alias(f"_l_{g}") for g in groups], "_n")
+    of_large = numbers.join(theirs, _same([f"_g_{g}" for g in groups], [f"_l_{g}" for g in groups])) if groups else (
+        numbers.withColumn("_n", sized.scalar()))
+    sketch = F.kll_sketch_agg_double(F.when(F.abs(value) < float("inf"), F.col(value)), F.lit(SKETCH_SIZE))
+    sketches = of_large.groupBy(*[f"_g_{g}" for g in groups]).agg(sketch.alias("_k"), F.max("_n").alias("_n"))
+    # ranks must be literals: those the largest group needs, of which a smaller one takes every so manieth
+    most = min(MOST_BUCKETS, -(-largest // rows_per_bucket))
+    ranks = F.expr("array(" + ", ".join(f"{i / most!r}D" for i in range(1, most)) + ")")
+    stride = F.greatest(F.floor(most * rows_per_bucket / F.col("_n")), F.lit(1))
+    every = F.filter(F.kll_sketch_get_quantile_double("_k", ranks), lambda _, i: (i + 1) % stride == 0)
+    cuts = F.array_sort(F.array_distinct(every))
+    has = F.kll_sketch_get_n_double("_k") > 0  # a group of infinities alone has no cut
+    return materialize(sketches.filter(has).select(*[f"_g_{g}" for g in groups], cuts.alias("cuts")), "cuts")
+
+
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Null-safe equality of key columns; true for none."""
+    out = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
+
+
+def _place(cuts: Column, value: Column) -> Column:
+    """How many of the sorted cut points are not above a value, by halving."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.get(cuts, middle) <= value
+        narrowed = F.struct(F.when(below, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(middle).alias("hi"))
+        return F.when(s["lo"] < s["hi"], narrowed).otherwise(s)
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(cuts) + 1.0)).cast("int") + 1)
+    return F.aggregate(steps, start, halve, lambda s: s["lo"])
+
+
+def value_buckets(df: DataFrame, value: str, groups: Sequence[str], rows_per_bucket: int, out: str = "_bucket") -> DataFrame:
+    """Order-preserving bucket number of a numeric column inside its group, near-equal in size.
+
+    Equal values always share a bucket. Null comes before all buckets, NaN after them.
+    """
+    groups = list(groups)
+    cuts = _cut_points(df, value, groups, rows_per_bucket)
+    joined = df.join(cuts, _same(groups, [f"_g_{g}" for g in groups]), "left") if groups else df.withColumn("cuts", cuts.scalar())
+    bucket = F.when(F.col("cuts").isNull(), 0).otherwise(_place(F.col("cuts"), F.col(value)))
+    marked = F.when(F.col(value).isNull(), -1).when(F.isnan(value), (1 << 31) - 1).otherwise(bucket)
+    return joined.select(*df.columns, marked.cast("int").alias(out))
 
 
 def prefix_sums(
@@ -125,12 +174,12 @@ def prefix_sums(
 
     ``df`` holds one row per (group, value), ``value`` being DOUBLE, and is read
     several times: pass a written table. Null is smaller than every number, NaN
-    larger; a null group is a group. Values are cut into buckets of about half
-    of ``rows_per_task`` rows whose totals are summed first; a small table has
-    one bucket of numbers, and the plan is the same at every size.
+    larger; a null group is a group. The values of a group with more rows than half
+    of ``rows_per_task`` are cut into buckets of about that many, at quantiles of the group's own
+    sketch, and totals of buckets are summed first; a small group is one bucket of numbers.
     """
     groups = list(groups)
-    bucketed = value_buckets(df, value, max(1, 2 * (df.count() // rows_per_task)))
+    bucketed = value_buckets(df, value, groups, max(1, rows_per_task // 2))
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = bucketed.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     offsets = totals.select(

@@ -9,9 +9,12 @@ from pyspark.sql.window import Window
 from ..functions.keyed import HASH_SPACE, key_hash
 from ..schema import DISEASE, DRUG, DUMMY_PATHWAY, GENE
 from .graph import direct_pairs, disease_gene, drug_gene, gene_pathways
+from .ordered import list_chunks
 
 # A gene whose paths exceed this count is enumerated by several tasks.
 PATHS_PER_TASK = 5_000_000
+# Paths of a pair in one row of a chunked export.
+PATHS_PER_ROW = 10_000
 
 
 def mechanism_links(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -23,31 +26,35 @@ def mechanism_links(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return link(DRUG, "targets", "drug"), link(DISEASE, "disease_protein", "disease")
 
 
-def join_on_gene(left: DataFrame, right: DataFrame, paths_per_task: int = PATHS_PER_TASK) -> DataFrame:
-    """All (left, right) combinations per gene, hub genes spread over many tasks.
+def join_sliced(left: DataFrame, right: DataFrame, on: str, paths_per_task: int = PATHS_PER_TASK) -> DataFrame:
+    """All (left, right) combinations per value of ``on``, hub values spread over many tasks.
 
-    The slices of a hub gene's left rows meet a copy of its right rows each, so
-    a task emits about ``paths_per_task`` rows however skewed the genes are.
+    The slices of a hub's left rows meet a copy of its right rows each, so
+    a task emits about ``paths_per_task`` rows however skewed the values are.
     """
-    n_left = left.groupBy("gene").agg(F.count("*").alias("_nl"))
-    n_right = right.groupBy("gene").agg(F.count("*").alias("_nr"))
+    n_left = left.groupBy(on).agg(F.count("*").alias("_nl"))
+    n_right = right.groupBy(on).agg(F.count("*").alias("_nr"))
     hubs = (
-        n_left.join(n_right, "gene")
+        n_left.join(n_right, on)
         .filter(F.col("_nl") * F.col("_nr") > paths_per_task)
         .select(
-            "gene",
+            on,
             F.least("_nl", F.ceil(F.col("_nl") * F.col("_nr") / F.lit(paths_per_task))).cast("int").alias("_slices"),
         )
     )
-    # at most (number of paths) / paths_per_task genes are hubs
+    # at most (number of paths) / paths_per_task values are hubs
     hubs = F.broadcast(hubs)
-    key = [c for c in left.columns if c != "gene"]
+    key = [c for c in left.columns if c != on]
     part = F.floor(key_hash("slice", *key).cast("double") / F.lit(HASH_SPACE) * F.col("_slices")).cast("int")
-    sliced = left.join(hubs, "gene", "left").withColumn("_slice", F.coalesce(part, F.lit(0))).drop("_slices")
+    sliced = left.join(hubs, on, "left").withColumn("_slice", F.coalesce(part, F.lit(0))).drop("_slices")
     # a hash fraction may round up to 1, so slices run from 0 to _slices inclusive
     copies = F.sequence(F.lit(0), F.coalesce("_slices", F.lit(0)))
-    copied = right.join(hubs, "gene", "left").withColumn("_slice", F.explode(copies)).drop("_slices")
-    return sliced.join(copied, ["gene", "_slice"]).drop("_slice")
+    copied = right.join(hubs, on, "left").withColumn("_slice", F.explode(copies)).drop("_slices")
+    return sliced.join(copied, [on, "_slice"]).drop("_slice")
+
+
+def join_on_gene(left: DataFrame, right: DataFrame, paths_per_task: int = PATHS_PER_TASK) -> DataFrame:
+    return join_sliced(left, right, "gene", paths_per_task)
 
 
 def topology_paths(edges: DataFrame) -> DataFrame:
@@ -170,13 +177,19 @@ def connected_pairs(edges: DataFrame) -> DataFrame:
 
 
 def nested_paths(paths: DataFrame) -> DataFrame:
-    """One row per pair with its paths as a sorted array, for export."""
+    """One row per pair with its paths as a sorted array, for export; ``nested_path_chunks`` bounds the rows."""
     inner = [c for c in ("gene", "pathway") if c in paths.columns]
     return paths.groupBy("drug", "disease").agg(
         F.sort_array(F.collect_list(F.struct(*inner))).alias("paths"), F.count("*").alias("n_paths")
     )
 
 
+def nested_path_chunks(paths: DataFrame, most: int = PATHS_PER_ROW) -> DataFrame:
+    """(drug, disease, chunk, paths): the sorted distinct paths of a pair, ``most`` to a row but the last."""
+    inner = [c for c in ("gene", "pathway") if c in paths.columns]
+    return list_chunks(paths.select("drug", "disease", *inner).distinct(), ["drug", "disease"], inner, most, "paths")
+
+
 def known_positive_pairs(positives: DataFrame, edges: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """Pairs of positive paths, of clinical edges and of any extra rows."""
     pairs = positives.select("drug", "disease").unionByName(direct_pairs(edges, "sampler").select("drug", "disease"))

@@ -21,6 +21,7 @@ from ..lineage import materialize
 from ..schema import DUMMY_PATHWAY, QUAD
 from .graph import disease_gene, drug_gene, gene_pathways
 from .numbering import ROWS_PER_TASK, number_within, prefix_sums
+from .splits import sample_k
 
 PAIR = ("drug", "disease")
 
@@ -65,11 +66,10 @@ def draw_excluding(
     context: Sequence[str],
     pool: DataFrame,
     pool_groups: Sequence[str],
-    excluded: DataFrame,
+    excluded: DataFrame | Callable[[DataFrame], DataFrame],
     value: str,
     seed: int | str,
     draws: int = 8,
-    rows_per_task: int = ROWS_PER_TASK,
     reject: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One pool value per request that is not excluded in the request's context.
@@ -77,7 +77,8 @@ def draw_excluding(
     ``pool`` is numbered per ``pool_groups`` (columns of the context);
     ``excluded`` holds (context, value) rows. Requests whose context excludes
     the whole pool are absent from the result. ``reject`` may drop excluded
-    draws by another route; ``excluded`` is then read only if draws run out.
+    draws by another route; ``excluded`` is then only asked if draws run out, and may be a
+    function that makes the rows of given contexts.
     """
     request_keys, context, groups = list(request_keys), list(context), list(pool_groups)
     asked = materialize(requests.select(*dict.fromkeys([*request_keys, *context])), "requests")
@@ -92,13 +93,31 @@ def draw_excluding(
         allowed = drawn.join(excluded.select(*context, value), [*context, value], "left_anti")
     hits = materialize(allowed.groupBy(*request_keys).agg(F.min_by(value, "_try").alias(value)), "draws")
 
-    left = asked.join(hits, request_keys, "left_anti")
+    left = materialize(asked.join(hits, request_keys, "left_anti"), "left")
     if left.isEmpty():
         return hits
-    rest = kth_free(left.withColumn("_k", key_hash(f"{seed}:rest", *request_keys)), request_keys, context, pool, groups, excluded, value)
+    taken = excluded(left.select(*context).distinct()) if callable(excluded) else excluded
+    rest = kth_free(left.withColumn("_k", key_hash(f"{seed}:rest", *request_keys)), request_keys, context, pool, groups, taken, value)
     return hits.unionByName(rest)
 
 
+# Pool numbers in one step of the ladder, and requests of one context that one task places.
+STEP = 1 << 16
+REQUESTS_PER_TASK = 1 << 20
+
+
+def _before(rows: DataFrame, keys: Sequence[str], at: str, carried: Sequence[str], requests: DataFrame) -> DataFrame:
+    """Requests with the last of ``rows``, by ``at`` and the first carried column, whose ``at`` does not pass their own.
+
+    It is a struct ``_row``, null where there is none.
+    """
+    marks = rows.select(*keys, at, F.struct(*carried).alias("_row"), F.lit(0).alias("_own"), F.col(carried[0]).alias("_tie"))
+    both = requests.withColumn("_own", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    order = Window.partitionBy(*keys).orderBy(at, "_own", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last("_row", ignorenulls=True).over(order)
+    return both.withColumn("_row", last).filter("_own = 1").drop("_own", "_tie")
+
+
 def kth_free(
     requests: DataFrame,
     request_keys: Sequence[str],
@@ -107,34 +126,63 @@ def kth_free(
     pool_groups: Sequence[str],
     excluded: DataFrame,
     value: str,
+    step: int = STEP,
+    per_task: int = REQUESTS_PER_TASK,
 ) -> DataFrame:
     """(request_keys, value): the allowed pool value number ``_k`` mod (allowed values) of each request.
 
-    An excluded number has as many free numbers below it as its number less its
-    rank among the excluded. So in the order of that figure the excluded rows
-    before a request say how far its own number moves up: one window per context.
-    Requests whose context excludes the whole pool are absent.
+    Found on a ladder of two levels. Pool numbers are cut into steps; a step's excluded numbers are counted,
+    and sums of these counts say how many numbers are free before it, which places a request in a step or
+    in the free stretch behind one. Inside the step an excluded number has as many free ones below it as its own place
+    less its rank. So no task holds more of a context than its step counts, one step of excluded numbers, and
+    about ``per_task`` of its requests. Requests whose context excludes the whole pool are absent.
     """
     request_keys, context, groups = list(request_keys), list(context), list(pool_groups)
     asked = requests.select(*dict.fromkeys([*request_keys, *context]), "_k")
+    crowds = materialize(
+        asked.groupBy(*context).agg(F.ceil(F.count("*") / per_task).alias("_parts")).filter("_parts > 1"), "crowds"
+    )
+    part = F.pmod(F.xxhash64(*request_keys), F.coalesce("_parts", F.lit(1).cast("bigint")))
+    asked = materialize(asked.join(crowds, context, "left").withColumn("_part", part).drop("_parts"), "asked")
+    wanted = asked.select(*context).distinct()
     taken = (
         excluded.select(*context, value)
-        .join(asked.select(*context).distinct(), context, "left_semi")
+        .join(wanted, context, "left_semi")
         .join(pool.select(*groups, value, "idx"), [*groups, value])
         .select(*context, "idx")
         .distinct()
+        .withColumn("_step", F.floor(F.col("idx") / step))
     )
-    rank = F.row_number().over(Window.partitionBy(*context).orderBy("idx")) - 1
-    below = taken.select(*context, (F.col("idx") - rank).cast("bigint").alias("_at"))
-    counts = taken.groupBy(*context).agg(F.count("*").alias("_taken"))
+    taken = materialize(taken, "taken")
+    counts = taken.groupBy(*context, "_step").agg(F.count("*").alias("_n"))
+    below = Window.partitionBy(*context).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = counts.withColumn("_taken", F.coalesce(F.sum("_n").over(below), F.lit(0)).cast("bigint"))
+    steps = materialize(steps.withColumn("_at", F.col("_step") * step - F.col("_taken")), "steps")
+
     sizes = pool.filter("idx = 0").select(*groups, "idx_n")
     sized = asked.join(sizes, groups) if groups else asked.withColumn("idx_n", sizes.select("idx_n").scalar())
-    free = F.col("idx_n") - F.coalesce("_taken", F.lit(0))
-    placed = sized.join(counts, context, "left").filter(free > 0).withColumn("_at", F.pmod("_k", free)).drop("_k", "_taken", "idx_n")
-    both = placed.withColumn("_own", F.lit(1)).unionByName(below.withColumn("_own", F.lit(0)), allowMissingColumns=True)
-    order = Window.partitionBy(*context).orderBy("_at", "_own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    moved = both.withColumn("idx", (F.col("_at") + F.count_if(F.col("_own") == 0).over(order)).cast("bigint"))
-    return moved.filter("_own = 1").join(pool.drop("idx_n"), [*groups, "idx"]).select(*request_keys, value)
+    totals = counts.groupBy(*context).agg(F.sum("_n").alias("_all"))
+    free = F.col("idx_n") - F.coalesce("_all", F.lit(0))
+    placed = sized.join(totals, context, "left").filter(free > 0).withColumn("_at", F.pmod("_k", free).cast("bigint")).drop("_k", "_all")
+    spread = steps.join(asked.select(*context, "_part").distinct(), context)
+    found = _before(spread, [*context, "_part"], "_at", ["_step", "_taken", "_n", F.col("_at").alias("start")], placed)
+    # numbers of the step itself; the last step may be cut off by the end of the pool
+    inner = F.least(F.lit(step), F.col("idx_n") - F.col("_row._step") * step) - F.col("_row._n")
+    inside = F.coalesce(F.col("_at") - F.col("_row.start") < inner, F.lit(False))
+    found = materialize(found.withColumn("_in", inside), "found")
+
+    passed = F.coalesce(F.col("_row._taken") + F.col("_row._n"), F.lit(0))
+    behind = found.filter(~F.col("_in")).withColumn("idx", (F.col("_at") + passed).cast("bigint"))
+    within = found.filter("_in").select(
+        *dict.fromkeys([*request_keys, *context]), "_part", F.col("_row._step").alias("_step"), (F.col("_at") - F.col("_row.start")).alias("_at")
+    )
+    rank = F.row_number().over(Window.partitionBy(*context, "_step").orderBy("idx")) - 1
+    marks = taken.withColumn("_at", (F.col("idx") - F.col("_step") * step - rank).cast("bigint")).withColumn("_rank", rank + 1)
+    marks = marks.join(within.select(*context, "_step", "_part").distinct(), [*context, "_step"])
+    hit = _before(marks, [*context, "_step", "_part"], "_at", ["_rank"], within)
+    hit = hit.withColumn("idx", (F.col("_step") * step + F.col("_at") + F.coalesce("_row._rank", F.lit(0))).cast("bigint"))
+    both = [df.select(*dict.fromkeys([*request_keys, *groups]), "idx") for df in (behind, hit)]
+    return both[0].unionByName(both[1]).join(pool.drop("idx_n"), [*groups, "idx"]).select(*request_keys, value)
 
 
 def unresolved(requests: DataFrame, drawn: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -347,8 +395,44 @@ def drop_real_quads(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     return linked.filter(~real).select(*candidates.columns)
 
 
+def _real_values(contexts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(context, value): ids that complete a context (position, at_*) to a mechanism of ``edges``.
+
+    A context is first held against the edges among its own ids; what is left
+    reads the list of one id that the missing one must be linked to: drugs or diseases of the gene, pathways
+    of the gene, and for a missing gene those of the drug that the disease and the pathway share.
+    """
+    targets = drug_gene(edges).select(F.col("drug").alias("_drug"), F.col("gene").alias("_gene"))
+    linked = disease_gene(edges).select(F.col("disease").alias("_disease"), F.col("gene").alias("_gene"))
+    pathways = gene_pathways(edges).select(F.col("gene").alias("_gene"), F.col("pathway").alias("_pathway"))
+    with_pathway = pathways.select("_gene").distinct()
+    at = {c: F.col(f"at_{c}") for c in QUAD}
+
+    def has_target(df: DataFrame, gene: Column) -> DataFrame:
+        return df.join(targets, (at["drug"] == F.col("_drug")) & (gene == F.col("_gene")), "left_semi")
+
+    def has_disease(df: DataFrame, gene: Column) -> DataFrame:
+        return df.join(linked, (at["disease"] == F.col("_disease")) & (gene == F.col("_gene")), "left_semi")
+
+    def has_pathway(df: DataFrame, gene: Column) -> DataFrame:
+        plain, dummy = df.filter(at["pathway"] != DUMMY_PATHWAY), df.filter(at["pathway"] == DUMMY_PATHWAY)
+        member = plain.join(pathways, (gene == F.col("_gene")) & (at["pathway"] == F.col("_pathway")), "left_semi")
+        return member.unionByName(dummy.join(with_pathway, gene == F.col("_gene"), "left_anti"))
+
+    def missing(i: int) -> DataFrame:
+        return contexts.filter(F.col("position") == i)
+
+    gene = at["gene"]
+    drugs = has_pathway(has_disease(missing(0), gene), gene).join(targets, gene == F.col("_gene")).select(*contexts.columns, F.col("_drug").alias("value"))
+    diseases = has_pathway(has_target(missing(3), gene), gene).join(linked, gene == F.col("_gene")).select(*contexts.columns, F.col("_disease").alias("value"))
+    ways = has_disease(has_target(missing(2), gene), gene).join(pathways, gene == F.col("_gene")).select(*contexts.columns, F.col("_pathway").alias("value"))
+    genes = missing(1).join(targets, at["drug"] == F.col("_drug")).select(*contexts.columns, F.col("_gene").alias("value"))
+    genes = has_pathway(has_disease(genes, F.col("value")), F.col("value"))
+    return drugs.unionByName(genes).unionByName(ways).unionByName(diseases)
+
+
 def corrupt_paths(
-    quads: DataFrame, nodes: DataFrame, real: DataFrame, seed: int, draws: int = 4, edges: DataFrame | None = None,
+    quads: DataFrame, nodes: DataFrame, real: DataFrame | None, seed: int, draws: int = 4, edges: DataFrame | None = None,
     on_missing: str = "raise",
 ) -> DataFrame:
     """Groups of five: each quad and one corruption per position.
@@ -357,11 +441,13 @@ def corrupt_paths(
     group if ``on_missing`` is 'drop'.
 
     A negative differs from its positive in one position and is no row of
-    ``real``. When ``real`` is every mechanism of ``edges``, pass the edges too:
-    draws are then checked against them and ``real`` is left unread.
+    ``real``, or with ``edges`` no mechanism of them: draws are then checked against the edges, and where these
+    run out the forbidden ids are read off the edges of the three ids that stay; mechanisms are never enumerated.
     Columns: the group's positive as ``pos_*``, ``candidate_idx`` (0 positive,
     then drug, gene, pathway, disease), ``label`` and the candidate's four ids.
     """
+    if (real is None) == (edges is None):
+        raise ValueError("pass either the real mechanisms or the edges they follow from")
     positives = materialize(quads.select(*QUAD).distinct(), "positives")
     types = {"drug": "drug", "gene": "gene/protein", "pathway": "pathway", "disease": "disease"}
     position_of = F.coalesce(
@@ -382,9 +468,15 @@ def corrupt_paths(
         return paths.select(F.inline(F.array(*cells)))
 
     context = ["position", *[f"at_{c}" for c in QUAD]]
-    excluded = at_positions(real.select(*QUAD).unionByName(positives).distinct(), "value")
     requests = at_positions(positives, "current")
 
+    def excluded(left: DataFrame) -> DataFrame:
+        if edges is None:
+            return at_positions(real.select(*QUAD).unionByName(positives).distinct(), "value")
+        left = materialize(left, "contexts")
+        own = at_positions(positives, "value").join(left, context, "left_semi")
+        return own.unionByName(_real_values(left, edges)).distinct()
+
     def ids(prefix: str, at_position: str) -> list[Column]:
         return [
             F.when(F.col("position") == i, F.col(at_position)).otherwise(F.col(f"at_{c}")).alias(f"{prefix}{c}")
@@ -436,7 +528,7 @@ def sample_nodes(nodes: DataFrame, node_type: str, n: int, seed: int) -> DataFra
     typed = nodes.filter(F.col("node_type") == node_type)
     if n <= 0:
         return typed
-    return typed.orderBy(key_hash(seed, "global_id"), "global_id").limit(n)
+    return sample_k(typed, ["global_id"], n, seed)
 
 
 def path_counts(pairs: DataFrame, drug: str, disease: str, paths: DataFrame, out: str = "n_paths") -> DataFrame:

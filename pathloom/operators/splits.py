@@ -161,5 +161,13 @@ def split_summary(triplets: DataFrame) -> DataFrame:
 
 
 def sample_k(df: DataFrame, keys: Sequence[str], k: int, seed: int) -> DataFrame:
-    """Seeded uniform sample of ``k`` rows."""
-    return df.orderBy(key_hash(seed, *keys), *keys).limit(k)
+    """Seeded uniform sample of ``k`` rows, those first in (hash, keys) order; ``keys`` must identify the rows.
+
+    The last row of the sample is found by radix selection, so none is moved or sorted.
+    """
+    n = df.count()
+    if k >= n:
+        return df
+    if k <= 0:
+        return df.limit(0)
+    return df.filter(cut_column(df, keys, {"in": k, "out": n - k}, seed) == "in")

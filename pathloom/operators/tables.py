@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse_spaces, comma_items, is_missing_text, safe_text
 from ..schema import DRUG
 from .checks import require_rows
+from .ordered import CHUNK_BYTES, text_chunks
 
 
 def _extreme(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick, count: str | None) -> DataFrame:
@@ -80,17 +81,6 @@ def merge_stats(merged: DataFrame) -> DataFrame:
     )
 
 
-def source_stats(df: DataFrame, source: str, id_column: str, keep: Column) -> DataFrame:
-    key = F.trim(F.col(id_column).cast("string"))
-    valid = keep & key.isNotNull() & (key != "")
-    return df.agg(
-        F.lit(source).alias("source"),
-        F.count("*").alias("total_rows"),
-        F.count_if(keep).alias("rows_after_filter"),
-        F.count_distinct(F.when(valid, key)).alias("unique_ids"),
-    )
-
-
 def first_non_empty(column: str, order: str) -> Column:
     """Aggregate: first text in row order that is not a spelling of nothing."""
     return F.coalesce(
@@ -98,14 +88,24 @@ def first_non_empty(column: str, order: str) -> Column:
     )
 
 
+def _first_pieces(df: DataFrame, key: str, pieces: Column, order: str) -> DataFrame:
+    """(key, _piece, _at): each distinct piece with its first place; a piece repeated by many rows is reduced to it."""
+    exploded = df.select(key, order, F.posexplode(pieces).alias("_pos", "_piece"))
+    return exploded.groupBy(key, "_piece").agg(F.min(F.struct(order, "_pos")).alias("_at"))
+
+
+def merge_non_empty_chunks(df: DataFrame, key: str, pieces: Column, order: str, most: int = CHUNK_BYTES) -> DataFrame:
+    """(key, chunk, text): as ``merge_non_empty_texts``, for keys whose text may not fit a row."""
+    first = _first_pieces(df, key, pieces, order).withColumn("_place", F.struct("_at", "_piece"))
+    return text_chunks(first, [key], "_place", "_piece", ", ", most)
+
+
 def merge_non_empty_texts(df: DataFrame, key: str, pieces: Column, order: str, out: str) -> DataFrame:
     """Per key, the distinct pieces in first-seen order, joined by ``, ``.
 
-    ``pieces`` is an array column. A piece repeated by many rows is reduced to
-    its first position before anything is collected.
+    ``pieces`` is an array column. The text of a key is one row; ``merge_non_empty_chunks`` bounds it.
     """
-    exploded = df.select(key, order, F.posexplode(pieces).alias("_pos", "_piece"))
-    first = exploded.groupBy(key, "_piece").agg(F.min(F.struct(order, "_pos")).alias("_at"))
+    first = _first_pieces(df, key, pieces, order)
     ordered = F.sort_array(F.collect_list(F.struct("_at", "_piece")))
     return first.groupBy(key).agg(F.array_join(F.transform(ordered, lambda s: s["_piece"]), ", ").alias(out))
 

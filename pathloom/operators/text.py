@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
-import ahocorasick
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.graph import normalize_relation
-from ..functions.keyed import key_hash
 from ..functions.text import base_text, chunks, compose_text, join_segments, segments, strip, token_text, tokens
 from ..lineage import materialize
 from ..schema import DIRECT_RELATIONS, DISEASE, DRUG, GENE, PATHWAY
+from .phrases import phrase_hits
 
 # --- fixed values: text segments as (column, label, cap, separator), in output order ---
 ENTITY_SEGMENTS = {
@@ -137,11 +133,6 @@ def graph_context(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return lists.select("global_id", _sentence(F.array(*texts)).alias("text"))
 
 
-# Phrases one matcher holds, and texts one task matches against them.
-PHRASES_PER_MATCHER = 500_000
-TEXTS_PER_BLOCK = 50_000
-
-
 def name_phrases(nodes: DataFrame, node_type: str) -> DataFrame:
     """Distinct normalised names usable as blocklist phrases.
 
@@ -152,121 +143,43 @@ def name_phrases(nodes: DataFrame, node_type: str) -> DataFrame:
     return nodes.filter((F.col("node_type") == node_type) & usable).select(token_text("name").alias("phrase")).distinct()
 
 
-def _automaton(phrases: Iterable[str]) -> ahocorasick.Automaton:
-    machine = ahocorasick.Automaton()
-    for phrase in phrases:
-        machine.add_word(phrase, phrase.split(" ", 1)[0][:4])
-    machine.make_automaton()
-    return machine
-
-
-def _holds_phrase(machine: ahocorasick.Automaton, text: str | None) -> bool:
-    """Some phrase occurs in the text and its first four characters start one of the text's words."""
-    words = re.findall("[a-z0-9]+", text.lower()) if text else []
-    if not words or not len(machine):
-        return False
-    starts = {w[:4] for w in words}
-    return any(prefix in starts for _, prefix in machine.iter(" ".join(words)))
-
-
-class SharedPhrases:
-    """A bounded phrase list broadcast to the workers, each building its matcher once."""
-
-    _built: dict[str, ahocorasick.Automaton] = {}  # per Python worker, by list id
-
-    def __init__(self, phrases: DataFrame):
-        listed = [r["phrase"] for r in phrases.collect()]
-        self._shared = phrases.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, listed))
-
-    def matches(self, text: str | None) -> bool:
-        key = self._shared.value[0]
-        if key not in self._built:
-            while len(self._built) >= 4:
-                self._built.pop(next(iter(self._built)))
-            self._built[key] = _automaton(self._shared.value[1])
-        return _holds_phrase(self._built[key], text)
-
-
-def flag_phrases(
-    df: DataFrame, text: str, phrases: DataFrame, out: str = "hit",
-    per_matcher: int = PHRASES_PER_MATCHER, texts_per_block: int = TEXTS_PER_BLOCK,
-) -> DataFrame:
-    """Add whether any phrase occurs in the row's whole text.
-
-    Up to ``per_matcher`` phrases are broadcast and matched in place. A longer
-    list is cut into shards, and every block of texts meets every shard in a
-    task of its own; only the flags come back.
-    """
-    n = phrases.count()
-    if n <= per_matcher:
-        matcher = SharedPhrases(phrases)
-
-        @F.pandas_udf("boolean")
-        def hit(col: pd.Series) -> pd.Series:
-            return col.map(matcher.matches).astype(bool)
-
-        return df.withColumn(out, hit(F.col(text)))
-
+def flag_phrases(df: DataFrame, text: str, phrases: DataFrame, out: str = "hit") -> DataFrame:
+    """Add whether any phrase occurs in the row's whole text (``phrases.phrase_hits``)."""
     # rows are told apart by a number written with them; keys may be null or repeated
-    df, asked = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "texts"), df.columns
-    shards, blocks = -(-n // per_matcher), max(1, -(-df.count() // texts_per_block))
-    every = F.sequence(F.lit(0), F.lit(shards - 1))
-    left = df.select("_row", F.col(text).alias("_text")).filter("_text <> ''").withColumns(
-        {"_block": F.pmod(key_hash("block", "_row"), F.lit(blocks)).cast("int"), "_shard": F.explode(every)}
-    )
-    right = phrases.select(
-        "phrase",
-        F.pmod(key_hash("shard", "phrase"), F.lit(shards)).cast("int").alias("_shard"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"),
+    numbered = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    norm = token_text(text)
+    texts = numbered.select(F.col("_row").alias("row"), F.lit("").alias("side"), norm.alias("norm")).filter("norm <> ''")
+    hits = phrase_hits(materialize(texts, "words"), phrases.select(F.lit("").alias("side"), "phrase"))
+    return numbered.join(hits.withColumn("_hit", F.lit(True)), F.col("_row") == F.col("row"), "left").select(
+        *df.columns, F.coalesce("_hit", F.lit(False)).alias(out)
     )
 
-    def match(texts: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
-        machine = _automaton(listed["phrase"])
-        return texts.loc[[_holds_phrase(machine, t) for t in texts["_text"]], ["_row"]]
 
-    found = (
-        left.groupBy("_block", "_shard").cogroup(right.groupBy("_block", "_shard")).applyInPandas(match, "_row bigint").distinct()
-    )
-    return df.join(found.withColumn("_hit", F.lit(True)), "_row", "left").select(
-        *asked, F.coalesce("_hit", F.lit(False)).alias(out)
-    )
+def _without_phrases(df: DataFrame, text: str, side: Column, phrases: DataFrame) -> DataFrame:
+    """Rows of ``df`` without the sentences of ``text`` that hold a phrase of their side; a null side is only trimmed."""
+    numbered = materialize(df.withColumns({"_own": F.monotonically_increasing_id(), "_side": side}), "texts")
+    cut = numbered.filter("_side is not null").select("_own", "_side", F.posexplode(segments(text)).alias("_pos", "_piece"))
+    cut = materialize(cut.withColumns({"row": F.monotonically_increasing_id(), "norm": token_text("_piece")}), "pieces")
+    hits = phrase_hits(cut.select("row", F.col("_side").alias("side"), "norm").filter("norm <> ''"), phrases)
+    kept = cut.join(hits, "row", "left_anti").groupBy("_own").agg(F.sort_array(F.collect_list(F.struct("_pos", "_piece"))).alias("_kept"))
+    cleaned = kept.select(F.col("_own").alias("_o"), join_segments(F.transform("_kept", lambda p: p["_piece"])).alias("_clean"))
+    return numbered.join(cleaned, F.col("_own") == F.col("_o"), "left").withColumn(
+        text, F.when(F.col("_side").isNull(), strip(text)).when(F.col(text).isNotNull(), F.coalesce("_clean", F.lit("")))
+    ).select(*df.columns)
 
 
-def clean_sentences(
-    df: DataFrame, text: str, phrases: DataFrame, per_matcher: int = PHRASES_PER_MATCHER
-) -> DataFrame:
+def clean_sentences(df: DataFrame, text: str, phrases: DataFrame) -> DataFrame:
     """Rows of ``df`` with the sentences of ``text`` that hold a phrase removed."""
-    if phrases.count() <= per_matcher:
-        matcher = SharedPhrases(phrases)
-
-        @F.pandas_udf("array<boolean>")
-        def hits(col: pd.Series) -> pd.Series:
-            return col.map(lambda pieces: [matcher.matches(p) for p in pieces] if pieces is not None else None)
-
-        cut = df.withColumn("_pieces", segments(text))
-        flagged = cut.withColumn("_hits", hits("_pieces"))
-        kept = F.filter("_pieces", lambda p, i: ~F.get("_hits", i))
-        return flagged.withColumn(text, F.when(F.col(text).isNotNull(), join_segments(kept))).select(*df.columns)
-    numbered = materialize(df.withColumn("_own", F.monotonically_increasing_id()), "texts")
-    cut = numbered.select("_own", F.posexplode(segments(text)).alias("_pos", "_piece"))
-    flagged = flag_phrases(cut, "_piece", phrases, "_hit", per_matcher)
-    pieces = F.sort_array(F.collect_list(F.when(~F.col("_hit"), F.struct("_pos", "_piece"))))
-    cleaned = flagged.groupBy("_own").agg(join_segments(F.transform(pieces, lambda p: p["_piece"])).alias("_clean"))
-    return numbered.join(cleaned, "_own", "left").withColumn(
-        text, F.when(F.col(text).isNotNull(), F.coalesce("_clean", F.lit("")))
-    ).select(*df.columns)
+    return _without_phrases(df, text, F.lit(""), phrases.select(F.lit("").alias("side"), "phrase"))
 
 
 def sanitize_texts(df: DataFrame, text: str, drug_phrases: DataFrame, disease_phrases: DataFrame) -> DataFrame:
     """Drop sentences naming the opposite side: diseases for drugs, genes and
     pathways; drugs for diseases. Texts of other types are only trimmed."""
     kind = F.col("node_type")
-    others = df.filter(~F.coalesce(kind.isin(DRUG, GENE, PATHWAY, DISEASE), F.lit(False)))
-    return (
-        clean_sentences(df.filter(kind.isin(DRUG, GENE, PATHWAY)), text, disease_phrases)
-        .unionByName(clean_sentences(df.filter(kind == DISEASE), text, drug_phrases))
-        .unionByName(others.withColumn(text, strip(text)))
-    )
+    side = F.when(kind.isin(DRUG, GENE, PATHWAY), F.lit(DISEASE)).when(kind == DISEASE, F.lit(DRUG))
+    both = disease_phrases.select(F.lit(DISEASE).alias("side"), "phrase").unionByName(drug_phrases.select(F.lit(DRUG).alias("side"), "phrase"))
+    return _without_phrases(df, text, side, both)
 
 
 def sanitize_base(cleaned: Column, node_type: Column) -> Column:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.graph import edge_type_label, joins_types
 from ..functions.numeric import safe_ratio
+from ..lineage import materialize
 from ..schema import DISEASE, DRUG, GENE, PATHWAY
 from .graph import EDGE_TYPE, disease_gene, drug_gene, edge_counts_by_type, gene_pathways
-from .numbering import lower_median
+from .numbering import lower_median, number_globally, prefix_sums
 from .paths import shared_genes
 
 
@@ -230,9 +231,19 @@ def eval_entity_degree(entities: DataFrame, node_type: str, edges: DataFrame) ->
 
 
 def hardest_diseases(diseases: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """(disease, effective_degree) of the ``k`` diseases with fewest gene and phenotype links; ties by id."""
+    """(disease, effective_degree) of the ``k`` diseases with fewest gene and phenotype links; ties by id.
+
+    Counts per degree say up to which one all diseases belong; only those of the degree that is cut are ordered.
+    """
     degree = typed_degree(edges).select("disease", (F.col("gene_degree") + F.col("phenotype_degree")).alias("effective_degree"))
     ranked = diseases.select("disease").distinct().join(degree, "disease", "left").withColumn(
         "effective_degree", F.coalesce("effective_degree", F.lit(0)).cast("bigint")
     )
-    return ranked.orderBy("effective_degree", "disease").limit(k)
+    ranked = materialize(ranked, "degrees")
+    counts = materialize(ranked.groupBy(F.col("effective_degree").cast("double").alias("d")).agg(F.count("*").alias("n")), "counts")
+    places = materialize(prefix_sums(counts, "d", ["n"]).filter(F.col("n_before") < k), "places")
+    whole, cut = places.filter(F.col("n_before") + F.col("n") <= k), places.filter(F.col("n_before") + F.col("n") > k)
+    same = F.col("effective_degree") == F.col("d")
+    tied = number_globally(ranked.join(cut.select("d", "n_before"), same), ["disease"], "_place")
+    last = tied.filter(F.col("_place") + F.col("n_before") < k).select(*ranked.columns)
+    return ranked.join(whole.select("d"), same, "left_semi").unionByName(last)

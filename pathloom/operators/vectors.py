@@ -14,15 +14,12 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keyed import key_hash
 from ..functions.numeric import cosine, l2_norm, safe_ratio, zeros
 from ..schema import DUMMY_PATHWAY, QUAD
 from .checks import assert_empty
+from .neighbors import BLOCK_ROWS, search
 from .numbering import lower_median
 
-# Vectors in one block of the all-pairs kernel.
-BLOCK_ROWS = 8_192
-
 
 def dim_violations(vectors: DataFrame, dim: int, vec: str = "vec") -> DataFrame:
     return vectors.filter(F.col(vec).isNull() | (F.size(vec) != dim))
@@ -58,74 +55,23 @@ def embedding_norms(vectors: DataFrame, vec: str = "vec") -> DataFrame:
     )
 
 
-def _blocks(df: DataFrame, n: int) -> DataFrame:
-    return df.withColumn("_block", F.pmod(key_hash("block", "key"), F.lit(n)).cast("int"))
-
-
-def _n_blocks(df: DataFrame, block_rows: int) -> int:
-    return max(1, -(-df.count() // block_rows))
-
-
-def _best(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-    sims = np.stack(left["vec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T
-    if same:
-        np.fill_diagonal(sims, -np.inf)
-    at = sims.argmax(axis=1)
-    return pd.DataFrame(
-        {"key": left["key"].to_numpy(), "best": sims[np.arange(len(left)), at], "nearest": right["key"].to_numpy()[at]}
-    )
-
-
 def best_cosine(queries: DataFrame, others: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, best, nearest): the most similar other row of ``queries``, or row of ``others``.
 
-    All-pairs similarity is the operator, so its work is quadratic; it is spread
-    over block pairs of at most about ``block_rows`` vectors a side, and a block
-    pair returns one row per vector, never its similarities. Keys keep their
-    type, text ids included; of equal similarities the smallest key counts.
+    Exact, and not all pairs: vectors stand in blocks around pivots, and a query visits only blocks
+    that can hold something as similar as the best it has seen (``neighbors``). Blocks have at most about ``block_rows``
+    vectors. Keys keep their type, text ids included; similarities are rounded to 12
+    digits, and of equal ones the smallest key counts. A zero vector has similarity 0 to all.
     """
-    key_type, found_type = (dict(df.dtypes)["key"] for df in (queries, queries if others is None else others))
-    schema = f"key {key_type}, best double, nearest {found_type}"
     unit = l2_normalize(queries.select("key", "vec"))
-    nq = _n_blocks(queries, block_rows)
-    if others is None:
-        blocks = _blocks(unit, nq)
-        # a vector meets every block pair (lo, hi) its block belongs to
-        lo, hi = F.least("_block", "_other"), F.greatest("_block", "_other")
-        spread = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select(
-            "key", "vec", "_block", lo.alias("lo"), hi.alias("hi")
-        )
-
-        def within(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("key", kind="stable")
-            low, high = pdf[pdf["_block"] == key[0]], pdf[pdf["_block"] == key[1]]
-            if key[0] == key[1]:
-                return _best(low, low, True)
-            if low.empty or high.empty:
-                return pd.DataFrame({"key": [], "best": [], "nearest": []})
-            return pd.concat([_best(low, high, False), _best(high, low, False)])
-
-        found = spread.groupBy("lo", "hi").applyInPandas(within, schema)
-    else:
-        reference = l2_normalize(others.select("key", "vec"))
-        no = _n_blocks(others, block_rows)
-        left = _blocks(unit, nq).withColumnRenamed("_block", "lo").withColumn(
-            "hi", F.explode(F.sequence(F.lit(0), F.lit(no - 1)))
-        )
-        right = _blocks(reference, no).withColumnRenamed("_block", "hi").withColumn(
-            "lo", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))
-        )
-
-        def across(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-            if lpdf.empty or rpdf.empty:
-                return pd.DataFrame({"key": [], "best": [], "nearest": []})
-            return _best(lpdf, rpdf.sort_values("key", kind="stable"), False)
-
-        found = left.groupBy("lo", "hi").cogroup(right.groupBy("lo", "hi")).applyInPandas(across, schema)
-    best = F.min(F.struct((-F.col("best")).alias("_less"), "nearest")).alias("_b")
-    return found.filter("best > double('-infinity')").groupBy("key").agg(best).select(
-        "key", (-F.col("_b._less")).alias("best"), "_b.nearest"
-    )
+    reference = None if others is None else l2_normalize(others.select("key", "vec"))
+    return search(unit, reference, block_rows)[0].drop("row")
+
+
+def cosine_work(queries: DataFrame, others: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(round, visits, pairs): blocks visited and similarities computed by ``best_cosine``."""
+    unit = l2_normalize(queries.select("key", "vec"))
+    return search(unit, None if others is None else l2_normalize(others.select("key", "vec")), block_rows)[1]
 
 
 def cosine_stats(best: DataFrame) -> DataFrame:

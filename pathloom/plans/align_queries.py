@@ -1,7 +1,7 @@
 """Queries that align association tables with the graph.
 
-The associations are the order lines themselves: suppliers target parts, and
-customers are linked to the parts they ordered.
+The associations are the order lines themselves: those of little discount link customers to the parts
+they ordered, and by all others suppliers target parts.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from .registry import query
 
 _DT = """dt AS (SELECT drug_id, target_id, arg_min(drug_name, k) AS drug_name, arg_min(target_name, k) AS target_name FROM (
     SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'ext' ELSE '' END || l_suppkey AS drug_id, CAST(l_partkey AS VARCHAR) AS target_id, s_name AS drug_name, p_name AS target_name,
-      (l_orderkey, l_linenumber, l_extendedprice) AS k FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 45) GROUP BY drug_id, target_id),
+      (l_orderkey, l_linenumber, l_extendedprice) AS k FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_discount > 0.01::DOUBLE) GROUP BY drug_id, target_id),
   td AS (SELECT target_id, disease_id, arg_min(disease_name, k) AS disease_name FROM (
     SELECT CAST(l_partkey AS VARCHAR) AS target_id, CASE WHEN l_returnflag = 'A' THEN 'MONDO:' || o_custkey WHEN l_returnflag = 'R' THEN 'X' || o_custkey ELSE 'mondo_' || lpad(CAST(o_custkey AS VARCHAR), 7, '0') END AS disease_id,
       CASE WHEN l_linenumber = 1 THEN 'unheard of' ELSE c_name END AS disease_name, (l_orderkey, l_linenumber, l_extendedprice) AS k
@@ -45,7 +45,7 @@ def _sql(base: str, body: str) -> str:
 
 
 def drug_target(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").filter("l_quantity >= 45")
+    line = table(spark, sf_dir, "lineitem").filter("l_discount > 0.01")
     joined = line.join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(
         table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")
     )
@@ -102,14 +102,14 @@ def resolve_entities(spark, sf_dir):
     _sql(
         _ALIGNED,
         """SELECT DISTINCT target_id, 'gene/protein::' || coalesce(m.p, CAST(target_id AS BIGINT)) AS kg_target FROM cand
-  LEFT JOIN (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand) AS p FROM part WHERE p_size <= 10) m ON m.p_partkey = CAST(target_id AS BIGINT)""",
+  LEFT JOIN (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS p FROM part) m ON m.p_partkey = CAST(target_id AS BIGINT)""",
     ),
 )
 def resolve_mapped(spark, sf_dir):
-    """Targets under an external mapping that folds small parts onto one per brand."""
-    small = table(spark, sf_dir, "part").filter("p_size <= 10")
-    heads = small.groupBy("p_brand").agg(F.min("p_partkey").alias("head"))
-    mapping = small.join(heads, "p_brand").selectExpr("cast(p_partkey as string) as source", "concat('gene/protein::', head) as target")
+    """Targets under an external mapping that folds parts onto one per brand and size."""
+    part = table(spark, sf_dir, "part")
+    heads = part.groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("head"))
+    mapping = part.join(heads, ["p_brand", "p_size"]).selectExpr("cast(p_partkey as string) as source", "concat('gene/protein::', head) as target")
     sides = [df.drop("target_name") for df in (drug_target(spark, sf_dir), target_disease(spark, sf_dir))]
     out = al.align_associations(*sides, graph(spark, sf_dir).nodes, {"target": mapping})
     return out.select("target_id", "kg_target").distinct()
@@ -185,14 +185,13 @@ def alignment_report(spark, sf_dir):
 @query(
     "attach_static",
     """SELECT 'drug::' || s_suppkey AS node_id, s_name AS name, coalesce(p_type, 'NOT_FOUND') AS smiles FROM supplier
-  LEFT JOIN (SELECT l_suppkey, arg_min(p_type, (l_orderkey, l_linenumber, l_partkey, l_extendedprice)) AS p_type FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 45 AND l_quantity > 40 GROUP BY l_suppkey) ON l_suppkey = s_suppkey""",
+  LEFT JOIN (SELECT l_suppkey, arg_min(CASE WHEN p_size > 30 THEN p_type ELSE 'NOT_FOUND' END, (l_orderkey, l_linenumber, l_partkey, l_extendedprice)) AS p_type FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey) ON l_suppkey = s_suppkey""",
 )
 def attach_static(spark, sf_dir):
     drugs = table(spark, sf_dir, "supplier").selectExpr("concat('drug::', s_suppkey) as node_id", "s_name as name")
-    line = table(spark, sf_dir, "lineitem").filter("l_quantity > 40")
-    part = table(spark, sf_dir, "part").filter("p_size > 45")
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     static = line.join(part, F.col("p_partkey") == F.col("l_partkey")).selectExpr(
-        "cast(l_suppkey as string) as static_id", "p_type as smiles", "struct(l_orderkey, l_linenumber, l_partkey, l_extendedprice) as ord"
+        "cast(l_suppkey as string) as static_id", "case when p_size > 30 then p_type end as smiles", "struct(l_orderkey, l_linenumber, l_partkey, l_extendedprice) as ord"
     )
     return tab.attach_static(drugs, static)
 

@@ -1,7 +1,10 @@
 """The knowledge graph derived from the relational tables, stored once per session.
 
 Nodes: suppliers are drugs, parts genes, customers diseases, brands and part
-types pathways. Edges follow from order lines. The store is Parquet in the shared
+types pathways. Every order line is one edge, and its values say of which kind: untaxed ones are clinical links of
+supplier and customer, of the others those of little discount link customer and part, and the rest supplier and part. Parts up
+to size 40 are in their brand's pathway, up to 20 in their type's too; larger
+ones interact with the part before them. The store is Parquet in the shared
 folder, laid out by edge type, so every consumer prunes to the types it reads.
 """
 
@@ -71,9 +74,9 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit(f"{dst_type}::"), dst.cast("string")).alias("dst_id"),
         )
 
-    targets = line.filter("l_quantity >= 45").select("l_suppkey", "l_partkey").distinct()
-    placed = line.filter("l_discount <= 0.01 or l_tax = 0").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    associated = placed.filter("l_discount <= 0.01").select("o_custkey", "l_partkey").distinct()
+    targets = line.filter("l_tax <> 0 and l_discount > 0.01").select("l_suppkey", "l_partkey").distinct()
+    placed = line.filter("l_tax = 0 or l_discount <= 0.01").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    associated = placed.filter("l_tax <> 0").select("o_custkey", "l_partkey").distinct()
     clinical = placed.filter("l_tax = 0").select("l_suppkey", "o_custkey", "l_returnflag").distinct()
     relation = (
         F.when(F.col("l_returnflag") == "A", "indication")
@@ -83,11 +86,13 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     brands = part.filter("p_size <= 40").select("p_partkey", F.col("p_brand").alias("pathway"))
     kinds = part.filter("p_size <= 20").select("p_partkey", F.col("p_type").alias("pathway"))
     in_pathway = brands.unionByName(kinds).distinct()
+    large = part.filter("p_size > 40 and p_partkey > 1").select("p_partkey")
     return (
         edge(targets, DRUG, F.col("l_suppkey"), F.lit("targets"), GENE, F.col("l_partkey"))
         .unionByName(edge(associated, DISEASE, F.col("o_custkey"), F.lit("disease_protein"), GENE, F.col("l_partkey")))
         .unionByName(edge(in_pathway, GENE, F.col("p_partkey"), F.lit("in_pathway"), PATHWAY, F.col("pathway")))
         .unionByName(edge(clinical, DRUG, F.col("l_suppkey"), relation, DISEASE, F.col("o_custkey")))
+        .unionByName(edge(large, GENE, F.col("p_partkey"), F.lit("protein_protein"), GENE, F.col("p_partkey") - 1))
     )
 
 

@@ -212,6 +212,20 @@ def merge_texts(spark, sf_dir):
     return tab.merge_non_empty_texts(orders, "o_custkey", tab.comma_pieces("cell"), "o_orderkey", "texts")
 
 
+@query(
+    "merge_text_chunks",
+    """SELECT o_custkey, chunk, string_agg(piece, ', ' ORDER BY ord, pos) AS text FROM (
+  SELECT o_custkey, piece, ord, pos, floor((sum(strlen(piece) + 2) OVER (PARTITION BY o_custkey ORDER BY ord, pos) - strlen(piece) - 2) / 64)::BIGINT AS chunk FROM (
+    SELECT o_custkey, piece, min(ord) AS ord, arg_min(pos, (ord, pos)) AS pos FROM (
+      SELECT o_custkey, o_orderkey AS ord, unnest([o_orderpriority, 'order ' || o_orderkey]) AS piece, unnest([0, 1]) AS pos FROM orders)
+    GROUP BY o_custkey, piece)) GROUP BY o_custkey, chunk""",
+)
+def merge_text_chunks(spark, sf_dir):
+    """Priorities and orders of each customer in texts of about 64 bytes."""
+    orders = table(spark, sf_dir, "orders").selectExpr("o_custkey", "o_orderkey", "concat(o_orderpriority, ' , order ', o_orderkey, ',') as cell")
+    return tab.merge_non_empty_chunks(orders, "o_custkey", tab.comma_pieces("cell"), "o_orderkey", 64)
+
+
 @query(
     "first_non_empty",
     """SELECT o_custkey, coalesce(arg_min(o_orderpriority, o_orderkey) FILTER (WHERE o_orderstatus <> 'F'), '') AS text FROM orders GROUP BY o_custkey""",

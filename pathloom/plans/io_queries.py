@@ -157,6 +157,68 @@ def mapping_file(spark, sf_dir):
     return readers.read_mapping(spark, path)
 
 
+@query(
+    "path_json",
+    expect("pt_random", "SELECT drug, gene, disease FROM pt_random"),
+)
+def path_json(spark, sf_dir):
+    """Mechanism paths written as JSON lists of rows and read back in parts."""
+    path = f"{_path(spark, 'paths')}.json"
+    rows = triplets(spark, sf_dir, "random").select(F.to_json(F.array("drug", "gene", "disease")).alias("row"))
+    writers.write_json_rows(rows, "row", path)
+    return readers.read_paths(spark, path)
+
+
+@query(
+    "mapping_json",
+    "SELECT 'cust ' || c_custkey AS source, lower(c_mktsegment) || ' {\"x\", [1]}' AS target FROM customer",
+)
+def mapping_json(spark, sf_dir):
+    """A mapping as JSON objects whose texts hold quotes, commas and brackets."""
+    path = f"{_path(spark, 'mapping')}.json"
+    value = F.to_json(F.struct(F.concat("c_mktsegment", F.lit(' {"x", [1]}')).alias("v")))
+    rows = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit(" Cust  "), "c_custkey").alias("key"), F.regexp_extract(value, r'(?s)^\{"v":(.*)\}$', 1).alias("value"))
+    writers.write_json_object(rows, path)
+    return readers.read_mapping(spark, path)
+
+
+@query("entity_map", expect("nodes", "SELECT node_type, global_id, name FROM nodes"))
+def entity_map(spark, sf_dir):
+    """Names and raw ids of all nodes as JSON objects by type; the name is the better text of an id."""
+    path = f"{_path(spark, 'entity_map')}.json"
+    nodes = graph(spark, sf_dir).nodes
+    rows = nodes.select(
+        F.col("node_type").alias("outer"), F.explode(F.array(F.col("raw_id"), F.concat("name", F.lit(" #"), "global_id"))).alias("key"),
+        F.col("global_id").cast("string").alias("value"))
+    writers.write_json_object(rows, path)
+    found = readers.read_entity_map(spark, path)
+    return found.withColumn("name", F.regexp_replace("name", " #[0-9]+$", ""))
+
+
+@query("entity_records", expect("nodes", "SELECT node_type, global_id, CASE WHEN global_id % 3 = 0 THEN raw_id ELSE name END AS name FROM nodes"))
+def entity_records(spark, sf_dir):
+    """The same as JSON lists of records; where a name is blank the text stands for it."""
+    path = f"{_path(spark, 'entity_records')}.json"
+    name = F.when(F.col("global_id") % 3 == 0, F.lit(" ")).otherwise(F.col("name"))
+    writers.write_json_list(graph(spark, sf_dir).nodes.select("global_id", "node_type", name.alias("name"), F.col("raw_id").alias("text")), path)
+    return readers.read_entity_map(spark, path)
+
+
+@query(
+    "id_texts",
+    "SELECT 'c' || c_custkey AS id, c_name AS name, CASE WHEN c_acctbal < 0 THEN '' ELSE c_mktsegment || ', \"quoted\" }' END AS mechanism_text FROM customer",
+)
+def id_texts(spark, sf_dir):
+    """Customers as JSON objects by id; a spelling of nothing reads as empty."""
+    path = f"{_path(spark, 'id_texts')}.json"
+    text = F.when(F.col("c_acctbal") < 0, F.lit("NaN")).otherwise(F.concat("c_mktsegment", F.lit(', "quoted" }')))
+    rows = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c"), "c_custkey").alias("key"), F.to_json(F.struct(F.col("c_name").alias("name"), text.alias("mechanism_text"))).alias("value"))
+    writers.write_json_object(rows, path)
+    return readers.read_id_text(spark, path)
+
+
 @query(
     "appended_results",
     "SELECT c_custkey AS key, c_mktsegment AS status FROM customer UNION ALL SELECT c_custkey, 'again' FROM customer WHERE c_acctbal < 0",
@@ -233,6 +295,23 @@ def phase_rows(spark, sf_dir):
     return readers.union_phase_files(orders, {"o_orderkey": "row_id", "o_orderstatus": "status"}, file)
 
 
+@query(
+    "phase_files",
+    """SELECT o_orderkey AS row_id, o_orderstatus AS status, CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2', '3') THEN CAST(substr(o_orderpriority, 1, 1) AS INT) ELSE -1 END AS phase FROM orders""",
+)
+def phase_files(spark, sf_dir):
+    """Order rows in tables named after their priority, read back as one."""
+    base = _path(spark, "phases")
+    orders = table(spark, sf_dir, "orders")
+    digit = F.substring("o_orderpriority", 1, 1)
+    paths = {f"{base}/OT_Phase {d}.csv": digit == d for d in "123"} | {f"{base}/other.csv": ~digit.isin("1", "2", "3")}
+    for path, rows in paths.items():
+        writers.write_table(orders.filter(rows).select("o_orderkey", "o_orderstatus"), path, "csv")
+    schema = "o_orderkey bigint, o_orderstatus string"
+    return readers.union_phase_files(
+        spark.read.csv(list(paths), header=True, schema=schema), {"o_orderkey": "row_id", "o_orderstatus": "status"})
+
+
 @query(
     "run_metrics",
     """SELECT CAST(o_orderkey AS VARCHAR) AS file, CASE o_orderstatus WHEN 'F' THEN o_totalprice WHEN 'P' THEN o_totalprice / 2 ELSE o_totalprice / 4 END AS value

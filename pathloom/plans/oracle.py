@@ -64,14 +64,15 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """
     SELECT DISTINCT 'drug::' || l_suppkey AS src, 'drug' AS src_type, 'targets' AS rel, 'gene/protein' AS dst_type, 'gene/protein::' || l_partkey AS dst
-      FROM lineitem WHERE l_quantity >= 45
+      FROM lineitem WHERE l_tax <> 0 AND l_discount > 0.01::DOUBLE
     UNION ALL SELECT DISTINCT 'disease::' || o_custkey, 'disease', 'disease_protein', 'gene/protein', 'gene/protein::' || l_partkey
-      FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_discount <= 0.01::DOUBLE
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_tax <> 0 AND l_discount <= 0.01::DOUBLE
     UNION ALL SELECT 'gene/protein::' || p_partkey, 'gene/protein', 'in_pathway', 'pathway', 'pathway::' || v
       FROM (SELECT p_partkey, p_brand AS v FROM part WHERE p_size <= 40 UNION SELECT p_partkey, p_type FROM part WHERE p_size <= 20)
     UNION ALL SELECT DISTINCT 'drug::' || l_suppkey, 'drug',
       CASE l_returnflag WHEN 'A' THEN 'indication' WHEN 'R' THEN 'off-label use' ELSE 'contraindication' END, 'disease', 'disease::' || o_custkey
-      FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_tax = 0""",
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_tax = 0
+    UNION ALL SELECT 'gene/protein::' || p_partkey, 'gene/protein', 'protein_protein', 'gene/protein', 'gene/protein::' || (p_partkey - 1) FROM part WHERE p_size > 40 AND p_partkey > 1""",
     ),
     "edges": (
         ("nodes", "raw_edges"),

@@ -117,6 +117,20 @@ def nested_paths(spark, sf_dir):
     return nested.withColumn("paths", flat)
 
 
+@query(
+    "nested_path_chunks",
+    expect(
+        "quads",
+        """SELECT drug, disease, chunk, string_agg(gene || ':' || pathway, ',' ORDER BY gene, pathway) AS paths FROM (
+  SELECT *, floor((row_number() OVER (PARTITION BY drug, disease ORDER BY gene, pathway) - 1) / 3)::BIGINT AS chunk FROM quads) GROUP BY drug, disease, chunk""",
+    ),
+)
+def nested_path_chunks(spark, sf_dir):
+    """Mechanisms of each pair, three to a row."""
+    chunks = pa.nested_path_chunks(pa.real_quads(graph(spark, sf_dir).edges), 3)
+    return chunks.withColumn("paths", F.array_join(F.transform("paths", lambda p: F.concat_ws(":", p["gene"], p["pathway"])), ","))
+
+
 @query("connected_pairs", expect("connected", "SELECT drug, disease FROM connected"))
 def connected_pairs(spark, sf_dir):
     return pa.connected_pairs(graph(spark, sf_dir).edges)

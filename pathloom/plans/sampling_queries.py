@@ -11,6 +11,7 @@ from ..operators import graph as gr
 from ..operators import paths as pa
 from ..operators import sampling as sa
 from ..operators import splits as sp
+from ..operators import topology as tp
 from ..schema import DISEASE, DRUG, GENE
 from .audit_queries import rounded
 from .derived import connected, splits, triplets
@@ -88,31 +89,66 @@ for _strategy in _CHOICES:
     _negatives_query(_strategy)
 
 
+def _pool_sql(free: str, fixed: str) -> str:
+    """Draws of one end from the train entities of its split: connected candidates, then tries in the pool, then its k-th free entity."""
+    used = f"cross_{free}"
+    return _POSITIVES + f""", allowed AS (SELECT DISTINCT {free} FROM split_{used} WHERE split = 'train'),
+  lp AS (SELECT *, row_number() OVER (PARTITION BY {fixed} ORDER BY {h(SEED, free)}, {free}) - 1 AS i, count(*) OVER (PARTITION BY {fixed}) AS n FROM valid WHERE {free} IN (SELECT {free} FROM allowed)),
+  linked AS (SELECT p.drug, p.disease, q.{free} AS neg FROM pos p JOIN lp q ON q.{fixed} = p.{fixed} AND i = {h(f'{SEED}:{used}', 'p.drug', 'p.disease')} % n),
+  left_over AS (SELECT * FROM pos p WHERE NOT EXISTS (SELECT 1 FROM linked l WHERE l.drug = p.drug AND l.disease = p.disease)),
+  pool AS (SELECT {free} AS neg, row_number() OVER (ORDER BY {h(SEED, free)}, {free}) - 1 AS i, count(*) OVER () AS n FROM allowed),
+  tries AS (SELECT l.drug, l.disease, k, p.neg FROM left_over l, range(8) t(k), pool p WHERE p.i = {h(f'{SEED}:pool:{used}', 'l.drug', 'l.disease', 'k')} % p.n
+    AND NOT EXISTS (SELECT 1 FROM known x WHERE x.{free} = p.neg AND x.{fixed} = l.{fixed})),
+  drawn AS (SELECT drug, disease, arg_min(neg, k) AS neg FROM tries GROUP BY ALL),
+  rest AS (SELECT drug, disease, neg FROM (
+      SELECT l.drug, l.disease, p.neg, row_number() OVER (PARTITION BY l.drug, l.disease ORDER BY p.i) - 1 AS r, count(*) OVER (PARTITION BY l.drug, l.disease) AS c
+      FROM left_over l, pool p WHERE NOT EXISTS (SELECT 1 FROM drawn d WHERE d.drug = l.drug AND d.disease = l.disease)
+        AND NOT EXISTS (SELECT 1 FROM known x WHERE x.{free} = p.neg AND x.{fixed} = l.{fixed}))
+    WHERE r = {h(f'{SEED}:pool:{used}:rest', 'drug', 'disease')} % c)
+  SELECT drug, disease, neg AS neg_{free}, {fixed} AS neg_{fixed}, '{used}' AS used FROM (SELECT * FROM linked UNION ALL SELECT * FROM drawn UNION ALL SELECT * FROM rest)"""
+
+
+@query("negatives_pool", expect((*_NEG_BASE, "split_cross_drug", "nodes"), _pool_sql("drug", "disease")))
+def negatives_pool(spark, sf_dir):
+    pool, _ = sp.negative_pools("cross_drug", splits(spark, sf_dir, "cross_drug"))
+    sa.validate_pool(pool, node_ids(spark, sf_dir, DRUG, "drug"))
+    return negatives(spark, sf_dir, "cross_drug", drug_pool=pool)
+
+
+@query("negatives_pool_disease", expect((*_NEG_BASE, "split_cross_disease", "nodes"), _pool_sql("disease", "drug")))
+def negatives_pool_disease(spark, sf_dir):
+    _, pool = sp.negative_pools("cross_disease", splits(spark, sf_dir, "cross_disease"))
+    sa.validate_pool(pool, node_ids(spark, sf_dir, DISEASE, "disease"))
+    return negatives(spark, sf_dir, "cross_disease", disease_pool=pool)
+
+
+def _numbered_sql(name: str, source: str, column: str) -> str:
+    return f"{name} AS (SELECT {column} AS v, row_number() OVER (ORDER BY {h(SEED, column)}, {column}) - 1 AS i, count(*) OVER () AS n FROM {source})"
+
+
 @query(
-    "negatives_pool",
+    "negatives_pool_random",
     expect(
         (*_NEG_BASE, "split_cross_drug", "nodes"),
         _POSITIVES
-        + f""", allowed AS (SELECT DISTINCT drug FROM split_cross_drug WHERE split = 'train'),
-  lp AS (SELECT *, row_number() OVER (PARTITION BY disease ORDER BY {h(SEED, 'drug')}, drug) - 1 AS i, count(*) OVER (PARTITION BY disease) AS n FROM valid WHERE drug IN (SELECT drug FROM allowed)),
-  linked AS (SELECT p.drug, p.disease, q.drug AS neg_drug FROM pos p JOIN lp q ON q.disease = p.disease AND i = {h(f'{SEED}:cross_drug', 'p.drug', 'p.disease')} % n),
-  left_over AS (SELECT * FROM pos p WHERE NOT EXISTS (SELECT 1 FROM linked l WHERE l.drug = p.drug AND l.disease = p.disease)),
-  pool AS (SELECT drug AS neg_drug, row_number() OVER (ORDER BY {h(SEED, 'drug')}, drug) - 1 AS i, count(*) OVER () AS n FROM allowed),
-  tries AS (SELECT l.drug, l.disease, k, p.neg_drug FROM left_over l, range(8) t(k), pool p WHERE p.i = {h(f'{SEED}:pool:cross_drug', 'l.drug', 'l.disease', 'k')} % p.n
-    AND NOT EXISTS (SELECT 1 FROM known x WHERE x.drug = p.neg_drug AND x.disease = l.disease)),
-  drawn AS (SELECT drug, disease, arg_min(neg_drug, k) AS neg_drug FROM tries GROUP BY ALL),
-  rest AS (SELECT drug, disease, neg_drug FROM (
-      SELECT l.drug, l.disease, p.neg_drug, row_number() OVER (PARTITION BY l.drug, l.disease ORDER BY p.i) - 1 AS r, count(*) OVER (PARTITION BY l.drug, l.disease) AS c
-      FROM left_over l, pool p WHERE NOT EXISTS (SELECT 1 FROM drawn d WHERE d.drug = l.drug AND d.disease = l.disease)
-        AND NOT EXISTS (SELECT 1 FROM known x WHERE x.drug = p.neg_drug AND x.disease = l.disease))
-    WHERE r = {h(f'{SEED}:pool:cross_drug:rest', 'drug', 'disease')} % c)
-  SELECT drug, disease, neg_drug, disease AS neg_disease, 'cross_drug' AS used FROM (SELECT * FROM linked UNION ALL SELECT * FROM drawn UNION ALL SELECT * FROM rest)""",
+        + f""", {_numbered_sql('dp', "(SELECT DISTINCT drug FROM split_cross_drug WHERE split = 'train')", 'drug')},
+  {_numbered_sql('sp', "(SELECT global_id AS disease FROM nodes WHERE node_type = 'disease')", 'disease')},
+  tries AS (SELECT p.drug, p.disease, k, d.v AS neg_drug, s.v AS neg_disease FROM pos p, range(8) t(k), dp d, sp s
+    WHERE d.i = {h(f'{SEED}:pool:drug', 'p.drug', 'p.disease', 'k')} % d.n AND s.i = {h(f'{SEED}:pool:disease', 'p.drug', 'p.disease', 'k')} % s.n
+      AND NOT EXISTS (SELECT 1 FROM known x WHERE x.drug = d.v AND x.disease = s.v)),
+  drawn AS (SELECT drug, disease, arg_min((neg_drug, neg_disease), k) AS x FROM tries GROUP BY ALL),
+  free AS (SELECT d.v AS neg_drug, s.v AS neg_disease, row_number() OVER (ORDER BY d.i, s.i) - 1 AS r, count(*) OVER () AS c FROM dp d, sp s
+    WHERE EXISTS (SELECT 1 FROM pos p WHERE NOT EXISTS (SELECT 1 FROM drawn w WHERE w.drug = p.drug AND w.disease = p.disease))
+      AND NOT EXISTS (SELECT 1 FROM known x WHERE x.drug = d.v AND x.disease = s.v)),
+  rest AS (SELECT p.drug, p.disease, neg_drug, neg_disease FROM pos p, free WHERE NOT EXISTS (SELECT 1 FROM drawn w WHERE w.drug = p.drug AND w.disease = p.disease)
+    AND r = {h(f'{SEED}:pool:rest', 'p.drug', 'p.disease')} % c)
+  SELECT drug, disease, x[1] AS neg_drug, x[2] AS neg_disease, 'random' AS used FROM drawn UNION ALL SELECT *, 'random' FROM rest""",
     ),
 )
-def negatives_pool(spark, sf_dir):
+def negatives_pool_random(spark, sf_dir):
+    """Any train drug with any disease, whatever the topology."""
     pool, _ = sp.negative_pools("cross_drug", splits(spark, sf_dir, "cross_drug"))
-    sa.validate_pool(pool, node_ids(spark, sf_dir, DRUG, "drug"))
-    return negatives(spark, sf_dir, "cross_drug", drug_pool=pool)
+    return negatives(spark, sf_dir, "random", drug_pool=pool)
 
 
 @query(
@@ -131,20 +167,27 @@ def negative_genes(spark, sf_dir):
     return sa.negative_genes(paths, node_ids(spark, sf_dir, GENE, "gene"), SEED)
 
 
+# genes of the pair that has most of them (ties: smallest ids)
+_TIGHT = """, paths AS (SELECT DISTINCT drug, gene, disease FROM pt_random),
+  widest AS (SELECT drug, disease FROM paths GROUP BY ALL ORDER BY count(*) DESC, drug, disease LIMIT 1),
+  pool AS (SELECT gene AS neg_gene FROM paths JOIN widest USING (drug, disease))"""
+
+
 @query(
     "unresolved_negatives",
     expect(
-        ("pt_random", "nodes"),
-        """, pool AS (SELECT global_id AS neg_gene FROM nodes WHERE node_type = 'gene/protein' AND global_id % 40 = 0),
-  paths AS (SELECT DISTINCT drug, gene, disease FROM pt_random)
-  SELECT drug, gene, disease FROM paths t WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE NOT EXISTS (
+        "pt_random",
+        _TIGHT
+        + """ SELECT drug, gene, disease FROM paths t WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE NOT EXISTS (
     SELECT 1 FROM paths x WHERE x.drug = t.drug AND x.disease = t.disease AND x.gene = p.neg_gene))""",
     ),
 )
 def unresolved_negatives(spark, sf_dir):
-    """Paths for which a pool of one gene in forty leaves no negative gene."""
-    paths = triplets(spark, sf_dir, "random").select("drug", "gene", "disease")
-    genes = node_ids(spark, sf_dir, GENE, "gene").filter("gene % 40 = 0")
+    """Paths for which the genes of the pair with most genes leave no negative gene: those of that pair at least."""
+    paths = triplets(spark, sf_dir, "random").select("drug", "gene", "disease").distinct()
+    sizes = paths.groupBy("drug", "disease").agg(F.count("*").alias("n"))
+    widest = F.max_by(F.struct("drug", "disease"), F.struct("n", -F.col("drug"), -F.col("disease"))).alias("w")
+    genes = paths.join(sizes.agg(widest).select("w.*"), ["drug", "disease"]).select("gene")
     return sa.unresolved(paths, sa.negative_genes(paths, genes, SEED, on_missing="drop"), ["drug", "gene", "disease"])
 
 
@@ -194,7 +237,7 @@ _SAME = " AND ".join(f"x.{c} = r.{c}" for c in _CTX.split(", "))
 def corrupt_paths(spark, sf_dir):
     g = graph(spark, sf_dir)
     positives = pa.expand_to_quads(triplets(spark, sf_dir, "random").drop("split"), gr.gene_pathways(g.edges))
-    return sa.corrupt_paths(positives, g.nodes, pa.real_quads(g.edges), SEED, edges=g.edges)
+    return sa.corrupt_paths(positives, g.nodes, None, SEED, edges=g.edges)
 
 
 # --- graph views ---
@@ -303,9 +346,10 @@ def dummy_ratio(spark, sf_dir):
 )
 def empty_path_ratio(spark, sf_dir):
     edges = graph(spark, sf_dir).edges
-    bank = materialize(pa.real_quads(edges).groupBy("drug", "disease").agg(F.count("*").alias("n")), "bank")
     pairs = materialize(split_negatives(spark, sf_dir), "negatives").withColumn("batch", F.pmod(key_hash("batch", "drug", "disease"), F.lit(16)))
     for sign, drug, disease in (("pos", "drug", "disease"), ("neg", "neg_drug", "neg_disease")):
-        counts = bank.select(F.col("drug").alias(drug), F.col("disease").alias(disease), F.col("n").alias(f"n_{sign}_paths"))
-        pairs = pairs.join(counts, [drug, disease], "left").fillna(0, [f"n_{sign}_paths"])
+        asked = pairs.select(F.col(drug).alias("drug"), F.col(disease).alias("disease"))
+        counts = tp.pair_path_counts(asked, edges).select(
+            F.col("drug").alias(drug), F.col("disease").alias(disease), F.col("n_quads").alias(f"n_{sign}_paths"))
+        pairs = pairs.join(counts, [drug, disease])
     return rounded(au.empty_path_ratio(pairs, ["batch"]), "pos_empty_ratio", "neg_empty_ratio")

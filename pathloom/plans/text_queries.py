@@ -142,11 +142,12 @@ def name_phrases(spark, sf_dir):
 
 _CONTEXT = f"""links AS (
     SELECT src_id AS global_id, CASE rel WHEN 'targets' THEN 0 WHEN 'disease_protein' THEN 2 ELSE 5 END AS lab, dst_id AS other FROM edges WHERE rel IN ('targets', 'disease_protein', 'in_pathway')
-    UNION ALL SELECT dst_id, CASE rel WHEN 'targets' THEN 1 ELSE 3 END, src_id FROM edges WHERE rel IN ('targets', 'disease_protein')),
+    UNION ALL SELECT dst_id, CASE rel WHEN 'targets' THEN 1 ELSE 3 END, src_id FROM edges WHERE rel IN ('targets', 'disease_protein')
+    UNION ALL SELECT src_id, 4, dst_id FROM edges WHERE rel = 'protein_protein'),
   topn AS (SELECT * FROM (SELECT global_id, lab, neighbour, row_number() OVER (PARTITION BY global_id, lab ORDER BY first_at, neighbour) AS rank FROM (
     SELECT l.global_id, lab, trim(n.name) AS neighbour, min(other) AS first_at FROM links l JOIN nodes n ON n.global_id = other GROUP BY ALL)) WHERE rank <= {NEIGHBOURS}),
   ctx AS (SELECT global_id, string_agg(seg, '. ' ORDER BY lab) || '.' AS text FROM (
-    SELECT global_id, lab, CASE lab WHEN 0 THEN 'targets: ' WHEN 1 THEN 'targeted by drugs: ' WHEN 2 THEN 'associated genes: ' WHEN 3 THEN 'associated diseases: ' ELSE 'pathways: ' END
+    SELECT global_id, lab, CASE lab WHEN 0 THEN 'targets: ' WHEN 1 THEN 'targeted by drugs: ' WHEN 2 THEN 'associated genes: ' WHEN 3 THEN 'associated diseases: ' WHEN 4 THEN 'interacts with: ' ELSE 'pathways: ' END
       || string_agg(neighbour, ', ' ORDER BY rank) AS seg FROM topn GROUP BY global_id, lab) GROUP BY global_id)"""
 
 

@@ -301,6 +301,18 @@ def abtt_effect(spark, sf_dir):
     )
 
 
+@query(
+    "choose_k",
+    """WITH sizes AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), seen AS (SELECT label AS k, n::DOUBLE / (SELECT max(n) FROM sizes) AS mean FROM sizes)
+  SELECT k, round(mean, 6) AS mean FROM seen ORDER BY NOT (mean BETWEEN 0.4::DOUBLE AND 0.6::DOUBLE), abs(mean - 0.5::DOUBLE), k LIMIT 1""",
+)
+def choose_k(spark, sf_dir):
+    """The rule for the best number of components, on figures that the labels' sizes stand for."""
+    sizes = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    most = sizes.agg(F.max("n")).scalar()
+    return rounded(ve.choose_k(sizes.select(F.col("label").alias("k"), (F.col("n") / most).alias("mean"))), "mean")
+
+
 @query("all_but_top")
 def all_but_top(spark, sf_dir):
     return ve.all_but_top(vectors(spark, sf_dir), 3)

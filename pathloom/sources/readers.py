@@ -15,6 +15,7 @@ from ..lineage import materialize
 from ..operators.checks import require_columns
 from ..operators.tables import best_entity_text, dedup_keep_first, dedup_keep_last, drop_null_rows
 from ..schema import RAW_EDGE_COLUMNS, RAW_NODE_COLUMNS, SPLIT_MODES
+from .json_entries import header_key, json_entries, list_entry, object_entry
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", line_breaks: bool | None = None) -> DataFrame:
@@ -122,6 +123,18 @@ def select_paths(df: DataFrame) -> DataFrame:
     raise ValueError(f"no path columns among {df.columns}")
 
 
+def _json_paths(spark: SparkSession, path: str) -> DataFrame:
+    """(p) of the rows of a JSON list, or of the first of PATH_JSON_KEYS that an object has."""
+    entries = json_entries(spark, path, {"{": 2, "[": 1})
+    keyed = materialize(entries.select(
+        "file", "opener", F.when(F.col("opener") == "{", header_key("header")).alias("key"), list_entry("text", "array<bigint>").alias("p")
+    ), "path_rows")
+    place = F.array_position(F.array(*[F.lit(k) for k in PATH_JSON_KEYS]), F.col("key"))
+    first = keyed.filter(place > 0).groupBy("file").agg(F.min_by("key", place).alias("_key")).withColumnRenamed("file", "_f")
+    named = keyed.join(first, (F.col("file") == F.col("_f")) & (F.col("key") == F.col("_key")), "left_semi")
+    return keyed.filter("opener = '['").unionByName(named).select("p")
+
+
 def read_paths(spark: SparkSession, path: str) -> DataFrame:
     """Three- or four-column paths from a table, or from a JSON object of row lists."""
     if path.lower().endswith((".csv", ".tsv")):
@@ -132,10 +145,7 @@ def read_paths(spark: SparkSession, path: str) -> DataFrame:
         # integer columns can only be told apart from text by reading them
         return select_paths(spark.read.csv(path, header=True, sep=sep, inferSchema=True))
     if path.lower().endswith(".json"):
-        text = spark.read.text(path, wholetext=True)
-        lists = [F.get_json_object("value", f"$.{k}") for k in PATH_JSON_KEYS]
-        body = F.coalesce(*lists, F.when(F.trim("value").startswith("["), F.col("value")))
-        rows = text.select(F.explode(F.from_json(body, "array<array<bigint>>")).alias("p"))
+        rows = _json_paths(spark, path)
         width = rows.agg(F.min(F.size("p")).alias("lo"), F.max(F.size("p")).alias("hi")).first()
         if width["lo"] != width["hi"] or width["lo"] not in (3, 4):
             raise ValueError(f"paths must all have three or four ids: {path}")
@@ -172,11 +182,18 @@ def normalize_mapping(pairs: DataFrame) -> DataFrame:
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     """(source, target) from a table, a JSON list of records or a JSON object."""
     if path.lower().endswith(".json"):
-        text = spark.read.text(path, wholetext=True)
-        if text.filter(F.ltrim("value").startswith("{")).limit(1).count():
-            entries = F.from_json("value", "map<string,string>")
-            exploded = text.select(F.posexplode(F.map_entries(entries)).alias("ord", "e"))
-            return normalize_mapping(exploded.select(F.col("e.key").alias("source"), F.col("e.value").alias("target"), "ord"))
+        rows = materialize(json_entries(spark, path, {"{": 1, "[": 1}).withColumn("ord", F.struct("file", "entry")), "entries")
+        pair = object_entry("text", "string")
+        pairs = rows.filter("opener = '{'").select(pair["key"].alias("source"), pair["value"].alias("target"), "ord")
+        listed = rows.filter("opener = '['").select(list_entry("text", "map<string,string>").alias("m"), "ord")
+        # one key per column of the records
+        keys = [r["k"] for r in listed.select(F.explode(F.map_keys("m")).alias("k")).distinct().collect()]
+        if keys:
+            df = standardize_columns(listed.select(*[F.col("m")[k].alias(k) for k in sorted(keys)], F.col("ord")))
+            pairs = pairs.unionByName(df.select(
+                F.col(resolve_column(df, MAPPING_SOURCES)).alias("source"), F.col(resolve_column(df, MAPPING_TARGETS)).alias("target"),
+                "ord"))
+        return normalize_mapping(pairs)
     df = read_table(spark, path)
     df = standardize_columns(df.withColumn("ord", F.monotonically_increasing_id()))
     return normalize_mapping(
@@ -189,33 +206,24 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_entity_map(spark: SparkSession, path: str) -> DataFrame:
-    """(node_type, global_id, name) from records or from ``{type: {text: id}}``."""
-    text = spark.read.text(path, wholetext=True)
-    records = F.from_json("value", "array<struct<global_id:bigint,node_type:string,name:string,text:string>>")
-    listed = (
-        text.filter(F.ltrim("value").startswith("["))
-        .select(F.inline(records))
-        .select(
-            F.trim("node_type").alias("node_type"),
-            "global_id",
-            F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.trim("text")).alias("name"),
-        )
-    )
-    typed = (
-        text.filter(F.ltrim("value").startswith("{"))
-        .select(F.explode(F.from_json("value", "map<string,map<string,bigint>>")).alias("node_type", "entries"))
-        .select("node_type", F.explode("entries").alias("text", "global_id"))
+    """(node_type, global_id, name) from records or from ``{type: {text: id}}``, read in parts."""
+    rows = json_entries(spark, path, {"{": 2, "[": 1})
+    record = list_entry("text", "struct<global_id:bigint,node_type:string,name:string,text:string>")
+    listed = rows.filter("opener = '['").select(record.alias("r")).select(
+        F.trim("r.node_type").alias("node_type"), "r.global_id",
+        F.coalesce(F.nullif(F.trim("r.name"), F.lit("")), F.trim("r.text")).alias("name"),
     )
+    pair = object_entry("text", "bigint")
+    typed = rows.filter("opener = '{'").select(header_key("header").alias("node_type"), pair["key"].alias("text"), pair["value"].alias("global_id"))
     best = best_entity_text(typed, ["node_type", "global_id"])
     return listed.unionByName(best.select("node_type", "global_id", "name"))
 
 
 def read_id_text(spark: SparkSession, path: str) -> DataFrame:
     """(id, name, mechanism_text) from a JSON object keyed by id; null-likes are empty."""
-    text = spark.read.text(path, wholetext=True)
-    entries = F.from_json("value", "map<string,struct<name:string,mechanism_text:string>>")
-    out = text.select(F.explode(entries).alias("id", "e")).select(
-        "id", safe_text(F.col("e.name")).alias("name"), safe_text(F.col("e.mechanism_text")).alias("mechanism_text")
+    entry = object_entry("text", "struct<name:string,mechanism_text:string>")
+    out = json_entries(spark, path, {"{": 1}).select(entry.alias("e")).select(
+        F.col("e.key").alias("id"), safe_text(F.col("e.value.name")).alias("name"), safe_text(F.col("e.value.mechanism_text")).alias("mechanism_text")
     )
     if out.isEmpty():
         raise ValueError(f"no entries in {path}")
@@ -223,8 +231,13 @@ def read_id_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def union_phase_files(df: DataFrame, renames: dict[str, str], file: Column | None = None) -> DataFrame:
-    """Rows of many files with the phase number found in each file's name, -1 for none."""
-    name = file if file is not None else F.element_at(F.split(F.input_file_name(), "/"), -1)
+    """Rows of many files with the phase number found in each file's name, -1 for none.
+
+    Of a table that Spark has written the name is its folder's.
+    """
+    place = F.split(F.replace(F.input_file_name(), F.lit("%20"), F.lit(" ")), "/")
+    own = F.element_at(place, -1)
+    name = file if file is not None else F.when(own.startswith("part-"), F.element_at(place, -2)).otherwise(own)
     digits = F.regexp_extract(name, r"(?i)phase[_\s]*(\d+)", 1)
     picked = [F.col(c).alias(n) for c, n in renames.items()]
     return df.select(*picked, F.coalesce(F.nullif(digits, F.lit("")).cast("int"), F.lit(-1)).alias("phase"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +56,58 @@ def write_vectors(df: DataFrame, path: str, overwrite: bool = False) -> None:
 def append_results(rows: DataFrame, path: str) -> None:
     """Add status rows to earlier results."""
     rows.write.mode("append").parquet(path)
+
+
+def write_json_list(records: DataFrame, path: str) -> None:
+    """Rows as JSON lists of records, one list a file."""
+    write_json_rows(records.select(F.to_json(F.struct("*")).alias("entry")), "entry", path)
+
+
+def write_json_rows(rows: DataFrame, entry: str, path: str) -> None:
+    """JSON texts as JSON lists, one list a file."""
+    _write_json(rows.select(F.lit(None).cast("string").alias("outer"), F.col(entry).alias("entry")), path, "[", "]")
+
+
+def write_json_object(entries: DataFrame, path: str) -> None:
+    """(key, value) or (outer, key, value), values as JSON text, as JSON objects, one object a file.
+
+    With ``outer`` an object's values are objects themselves, and the rows of one of these stand in one file as far as they lie in one partition.
+    """
+    nested = "outer" in entries.columns
+    outer = F.col("outer") if nested else F.lit(None).cast("string")
+    rows = entries.select(outer.alias("outer"), F.concat(_quoted("key"), F.lit(": "), F.col("value")).alias("entry"))
+    _write_json(rows.sortWithinPartitions("outer") if nested else rows, path, "{", "}")
+
+
+def _quoted(column: str):
+    return F.regexp_extract(F.to_json(F.struct(F.col(column).alias("k"))), r"(?s)^\{\"k\":(.*)\}$", 1)
+
+
+def _write_json(rows: DataFrame, path: str, opening: str, closing: str) -> None:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        outer, count, inside = None, 0, 0
+
+        def line(*text: str) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(text, pa.string())], names=["value"])
+
+        yield line(opening)
+        for batch in batches:
+            out = []
+            for own, entry in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own != outer:
+                    if outer is not None:
+                        out.append("}")
+                        count += 1
+                    out.append(("," if count else "") + own + ": {")
+                    outer, inside = own, 0
+                if own is None:
+                    out.append(("," if count else "") + entry)
+                    count += 1
+                else:
+                    out.append(("," if inside else "") + entry)
+                    inside += 1
+            yield line(*out)
+        yield line(*(["}"] if outer is not None else []), closing)
+
+    keyed = rows.withColumn("outer", F.when(F.col("outer").isNotNull(), _quoted("outer")))
+    keyed.mapInArrow(lines, "value string").write.text(path)

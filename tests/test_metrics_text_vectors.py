@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -12,8 +13,10 @@ from toys import EDGE, NODE, links, rows_of
 
 from pathloom.functions.text import compose_text
 from pathloom.operators import jobs, metrics, numbering
+from pathloom.operators import phrases as phrases_module
 from pathloom.operators import text as te
 from pathloom.operators import vectors as ve
+from pathloom.operators.phrases import in_slices, phrase_hits
 
 
 def brute_auroc(rows):
@@ -161,10 +164,7 @@ def test_graph_context_leaves_out_clinical_relations(spark):
     assert got == [(0, "targets: KLN4."), (1, "targeted by drugs: Zolmin.")]
 
 
-@pytest.mark.parametrize("per_matcher", [0, 1000])
-def test_sanitising(spark, monkeypatch, per_matcher):
-    defaults = te.clean_sentences.__defaults__
-    monkeypatch.setattr(te.clean_sentences, "__defaults__", (per_matcher or 1,) if not per_matcher else defaults)
+def test_sanitising(spark):
     nodes = spark.createDataFrame([*TOY_NODES, (3, 1, "disease::2", "disease", "Gout", "x"), (4, 1, "drug::2", "drug", "Abc", "x")], NODE)
     drugs, diseases = te.name_phrases(nodes, "drug"), te.name_phrases(nodes, "disease")
     rows = [
@@ -180,29 +180,64 @@ def test_sanitising(spark, monkeypatch, per_matcher):
     ]
 
 
-@pytest.mark.parametrize("per_matcher", [1, 1000])
-def test_phrase_rule(spark, per_matcher):
+def test_phrase_rule(spark):
     """A phrase counts inside a word only if some word starts with its first four characters."""
     nodes = spark.createDataFrame([(0, 0, "d", "disease", "Art Pain", "x"), (1, 1, "e", "disease", "ab", "x"), (2, 2, "f", "disease", "flu", "x")], NODE)
     phrases = te.name_phrases(nodes, "disease")
     assert rows_of(phrases, "phrase") == [("art pain",), ("flu",)]
     texts = ["heart painful", "art of heart painful", "influenza", "flu", "ab", "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
-    got = te.flag_phrases(df, "t", phrases, per_matcher=per_matcher, texts_per_block=2).orderBy("k").collect()
+    got = te.flag_phrases(df, "t", phrases).orderBy("k").collect()
     assert [r.hit for r in got] == [False, True, False, True, False, False, False]
 
 
-@pytest.mark.parametrize("per_matcher", [1, 1000])
-def test_phrases_with_null_and_repeated_keys(spark, per_matcher):
+def test_phrases_with_null_and_repeated_keys(spark):
     phrases = spark.createDataFrame([("flu",), ("gout",), ("art pain",)], "phrase string")
     rows = [(None, "flu. fine"), (None, "clean. ok"), (1, "gout"), (1, "none here"), (1, "art pain. left")]
     df = spark.createDataFrame(rows, "k int, t string")
-    flags = te.flag_phrases(df, "t", phrases, per_matcher=per_matcher, texts_per_block=2).collect()
+    flags = te.flag_phrases(df, "t", phrases).collect()
     assert {(r.t, r.hit) for r in flags} == {(t, t.split()[0].strip(".") in ("flu", "gout", "art")) for _, t in rows}
-    cleaned = te.clean_sentences(df, "t", phrases, per_matcher).collect()
+    cleaned = te.clean_sentences(df, "t", phrases).collect()
     assert sorted((str(r.k), r.t) for r in cleaned) == [("1", ""), ("1", "left."), ("1", "none here."), ("None", "clean. ok."), ("None", "fine.")]
 
 
+def _holds(text, phrase):
+    words = re.findall("[a-z0-9]+", text.lower())
+    return phrase in " ".join(words) and any(w.startswith(phrase.split(" ")[0][:4]) for w in words)
+
+
+@pytest.mark.parametrize("items_per_row, hot_texts", [(1024, 200_000), (2, 5)])
+def test_phrase_index_against_every_pair(spark, items_per_row, hot_texts):
+    """Words from few letters, so that phrases begin, end and lie inside words; small bounds deal every word and list out."""
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("ab1") for _ in range(draw.choice([1, 2, 3, 5, 9, 20])))
+    texts = [" ".join(word() for _ in range(draw.randrange(0, 9))) for _ in range(120)]
+    phrases = {" ".join(word() for _ in range(draw.choice([1, 1, 2, 2, 3, 4]))) for _ in range(150)}
+    phrases |= {" ".join(t.split()[:4]) for t in texts[:40]} | {t[1:-1].strip() for t in texts[:60] if len(t) > 4}
+    rows = spark.createDataFrame([(i, "x" if i % 2 else "y", t) for i, t in enumerate(texts) if t], "row long, side string, norm string")
+    listed = spark.createDataFrame([(s, p) for p in phrases for s in (("x", "y") if len(p) % 2 else ("x",))], "side string, phrase string")
+    got = {r.row for r in phrase_hits(rows, listed, items_per_row, hot_texts).collect()}
+    want = {i for i, t in enumerate(texts) if any(p and _holds(t, p) for p in phrases if i % 2 or len(p) % 2)}
+    assert got == want and 10 < len(want) < len(texts)
+
+
+def test_slices_are_bounded_and_whole(spark):
+    df = spark.range(3000).select(F.when(F.col("id") < 2500, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    rows = in_slices(df, "k", "v", 100).collect()
+    assert max(len(r["items"]) for r in rows) < 160 and sorted(v for r in rows for v in r["items"]) == list(range(3000))
+
+
+def test_phrases_meet_texts_by_equal_words(spark, monkeypatch):
+    """No cross join, no Python, and a text moves with the lists found for it only."""
+    plans = []
+    kept = phrases_module.materialize
+    monkeypatch.setattr(phrases_module, "materialize", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, *a))
+    rows = spark.createDataFrame([(1, "", "a flu case")], "row long, side string, norm string")
+    out = phrase_hits(rows, spark.createDataFrame([("", "flu")], "side string, phrase string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not any(x in p for p in plans for x in ("Cartesian", "NestedLoop", "Python", "Arrow"))
+
+
 @pytest.mark.parametrize(
     "strategy, rich, graph, text, source",
     [
@@ -241,6 +276,48 @@ def test_best_cosine_by_blocks(spark, block):
     assert {r.key: r.nearest for r in cross.collect()} == {i: 20 + int((u[i] @ u[20:].T).argmax()) for i in range(20)}
 
 
+def clustered(n, d, groups, spread, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, d))
+    return centres[rng.integers(0, groups, n)] + spread * rng.normal(size=(n, d))
+
+
+def as_vectors(spark, x, first=0):
+    return spark.createDataFrame([(first + i, [float(v) for v in r]) for i, r in enumerate(x)], "key bigint, vec array<double>")
+
+
+def nearest_by_all_pairs(x, y=None):
+    """{number: (rounded best, first with it)}; a zero vector has similarity 0."""
+    norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    sims = np.round(norm(x) @ norm(x if y is None else y).T, 12)
+    if y is None:
+        np.fill_diagonal(sims, -np.inf)
+    return {i: (s.max(), int(s.argmax())) for i, s in enumerate(sims)}
+
+
+@pytest.mark.parametrize("block", [20, 8192])
+def test_nearest_with_copies_and_zero_vectors(spark, block):
+    x = clustered(300, 5, 6, 0.2, 1)
+    x[40:80] = x[7]
+    x[[3, 90, 200]] = 0
+    got = {r.key: (r.best, r.nearest) for r in ve.best_cosine(as_vectors(spark, x), block_rows=block).collect()}
+    want = nearest_by_all_pairs(x)
+    assert all(math.isclose(got[k][0], v[0], abs_tol=2e-12) for k, v in want.items())
+    assert {k: got[k][1] for k in want} == {k: v[1] for k, v in want.items()}
+    cross = {r.key: r.nearest for r in ve.best_cosine(as_vectors(spark, x[:50]), as_vectors(spark, x[50:], 50), block).collect()}
+    assert cross == {k: 50 + v[1] for k, v in nearest_by_all_pairs(x[:50], x[50:]).items()}
+
+
+def test_pairs_visited_on_clustered_and_on_even_vectors(spark):
+    """Groups around pivots are ruled out where vectors cluster; where all are about equally far, all pairs are computed at most twice."""
+    n = 1500
+    near = ve.cosine_work(as_vectors(spark, clustered(n, 16, 12, 0.05, 2)), block_rows=64).collect()
+    assert sum(r.pairs for r in near) < 0.35 * n * n
+    even = ve.cosine_work(as_vectors(spark, np.random.default_rng(3).normal(size=(n, 60))), block_rows=64).collect()
+    assert 0.5 * n * n < sum(r.pairs for r in even) <= n * n
+    assert ve.best_cosine(as_vectors(spark, np.zeros((0, 3)))).count() == 0
+
+
 def test_whitening_and_all_but_top(spark):
     x, df = toy_vectors(spark)
     centred = x - x.mean(axis=0)
@@ -319,3 +396,16 @@ def test_seed_summary(spark):
     got = {r.v: r for r in metrics.seed_summary(df, ["v"], ["m"]).collect()}
     assert math.isclose(got["a"].m_std, 0.1414213562373095) and got["b"].m_std is None and got["a"].m_text == "0.6000 +/- 0.1414"
     assert metrics.seed_summary(df.filter("v = 'b'"), ["v"], ["m"], True).first().m_std == 0.0
+
+
+def test_groups_of_prefix_sums_are_cut_each_for_itself(spark):
+    """Groups with ranges far apart, one of them half of all rows: no bucket of any is large."""
+    draw = random.Random(6)
+    rows = [(g, 1e6 * g + draw.random()) for g in range(1, 9) for _ in range(250)] + [(0, draw.gauss(0, 1)) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    cut = numbering.value_buckets(df, "v", ["g"], 100)
+    sizes = cut.groupBy("g", "_bucket").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    assert max(r.n for r in sizes) <= 200 and len(sizes) > 30
+    for g in range(9):
+        mine = sorted((r._bucket, r.lo, r.hi) for r in sizes if r.g == g)
+        assert all(a[2] < b[1] for a, b in zip(mine, mine[1:]))

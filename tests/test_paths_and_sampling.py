@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from itertools import product
 
 import pytest
@@ -102,12 +103,13 @@ def test_pool_validation(spark):
         sa.validate_pool(ids(spark, "drug", []), ids(spark, "drug", [10]))
 
 
-def test_kth_free_counts_past_what_is_taken(spark):
+@pytest.mark.parametrize("step, per_task", [(1 << 16, 1 << 20), (3, 4), (1, 7), (5, 2)])
+def test_kth_free_counts_past_what_is_taken(spark, step, per_task):
     pool = spark.range(10).select((F.col("id") + 100).alias("v"), F.col("id").alias("idx"), F.lit(10).cast("bigint").alias("idx_n"))
     taken = {1: list(range(10)), 2: [], 3: [0, 1, 2, 3], 4: [1, 2], 5: [0, 2, 3, 4, 5, 6, 7, 8, 9], 6: list(range(9))}
     excluded = spark.createDataFrame([(c, 100 + i) for c, s in taken.items() for i in s] + [(3, 100)], "c int, v bigint")
     asked = spark.createDataFrame([(c, r, r) for c in taken for r in range(25)], "c int, r int, _k bigint")
-    got = {(r.c, r.r): r.v for r in sa.kth_free(asked, ["c", "r"], ["c"], pool, [], excluded, "v").collect()}
+    got = {(r.c, r.r): r.v for r in sa.kth_free(asked, ["c", "r"], ["c"], pool, [], excluded, "v", step, per_task).collect()}
     free = {c: [100 + i for i in range(10) if i not in s] for c, s in taken.items()}
     assert got == {(c, r): f[r % len(f)] for c, f in free.items() if f for r in range(25)}
 
@@ -186,7 +188,7 @@ def test_corruption_groups(spark, by_edges, draws):
     real = pa.real_quads(edges)
     assert set(rows_of(real, *QUAD)) == {*POSITIVES, *OTHER_QUADS}
     quads = spark.createDataFrame(POSITIVES, "drug bigint, gene bigint, pathway bigint, disease bigint")
-    rows = sa.corrupt_paths(quads, nodes, real, 11, draws, edges if by_edges else None).collect()
+    rows = sa.corrupt_paths(quads, nodes, *((None, 11, draws, edges) if by_edges else (real, 11, draws))).collect()
     groups = {}
     for r in rows:
         groups.setdefault((r.pos_drug, r.pos_gene, r.pos_pathway, r.pos_disease), {})[r.candidate_idx] = r
@@ -202,6 +204,42 @@ def test_corruption_groups(spark, by_edges, draws):
             assert ids_ not in true
 
 
+def test_ladder_spreads_a_context_with_many_exclusions(spark):
+    """60,000 excluded numbers of one context stand in steps of 1,000, and no window holds more of it than a step."""
+    n = 90_000
+    pool = spark.range(n).select(F.col("id").alias("v"), F.col("id").alias("idx"), F.lit(n).cast("bigint").alias("idx_n"))
+    excluded = spark.range(n).filter("id % 3 <> 1").select(F.lit(1).alias("c"), F.col("id").alias("v"))
+    asked = spark.range(2000).select(F.lit(1).alias("c"), F.col("id").alias("r"), (F.col("id") * 15).alias("_k"))
+    out = sa.kth_free(asked, ["c", "r"], ["c"], pool, [], excluded, "v", 1000, 500)
+    assert {r.r: r.v for r in out.collect()} == {r: 3 * ((15 * r) % (n // 3)) + 1 for r in range(2000)}
+    windows = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Window " in x]
+    assert windows and all("_step" in x or "_part" in x for x in windows)
+
+
+def test_values_that_complete_a_mechanism(spark):
+    """Read off the edges of a context's own ids, they are those of the enumerated mechanisms."""
+    draw = random.Random(5)
+    link = lambda k, *ends: {tuple(draw.choice(e) for e in ends) for _ in range(k)}
+    drugs, genes, ways, diseases = range(1, 6), range(10, 18), range(30, 34), range(50, 55)
+    rows = [(d, "drug", "targets", "gene/protein", g) for d, g in link(18, drugs, genes)]
+    rows += [(s, "disease", "disease_protein", "gene/protein", g) for s, g in link(18, diseases, genes)]
+    rows += [(g, "gene/protein", "in_pathway", "pathway", w) for g, w in link(9, genes[:6], ways)]
+    edges = spark.createDataFrame(rows, EDGE)
+    real = set(rows_of(pa.real_quads(edges), *QUAD))
+    contexts, want = set(), set()
+    for q in real:
+        for i in range(4):
+            for other in (q, tuple(draw.choice(e) for e in (drugs, genes, [0, *ways], diseases))):
+                at = tuple(-1 if k == i else v for k, v in enumerate(other))
+                contexts.add((i, *at))
+                want |= {(i, *at, r[i]) for r in real if all(k == i or r[k] == v for k, v in enumerate(other))}
+    names = ["position", *[f"at_{c}" for c in QUAD]]
+    asked = spark.createDataFrame(sorted(contexts), ", ".join(f"{n} bigint" for n in names))
+    got = set(rows_of(sa._real_values(asked, edges), *names, "value"))
+    # the dummy pathway is in no pool
+    assert got == {w for w in want if w[0] != 2 or w[5] != 0} and len(got) > 50
+
+
 def test_dropped_edges_keep_one_per_type(spark):
     edges = sampler(spark)
     none = sa.drop_edges(edges, 1.0, 3)

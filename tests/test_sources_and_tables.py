@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,9 +11,10 @@ from toys import EDGE, NODE, rows_of, sampler_graph
 
 from pathloom.functions.graph import normalize_node_type, normalize_relation
 from pathloom.functions.text import chunks, id_suffix, list_literal, numeric_suffix
-from pathloom.operators import align, identity, splits, tables
+from pathloom.operators import align, identity, ordered, splits, tables
 from pathloom.operators.checks import CheckFailed, require_columns, require_rows
 from pathloom.sources import readers, writers
+from pathloom.sources.json_entries import header_key, json_entries, list_entry, object_entry
 
 NODES_CSV = """﻿id,type,name,source
 drug::A, drug ,Drug A,DrugBank
@@ -329,3 +331,88 @@ def test_resolving_before_the_bridge_gives_the_same_triples(spark):
     after = align.resolve_entities(align.bridge_join(left, right), nodes)
     assert before.count() == 4 + 1 + 41 * 30
     assert before.select(*after.columns).exceptAll(after).isEmpty() and after.exceptAll(before.select(*after.columns)).isEmpty()
+
+
+def odd_json(draw, n):
+    """Keys and texts with quotes, commas, brackets, escapes, line breaks and wide characters."""
+    bits = ['"', "\\", ",", "{", "}", "[", "]", ":", " ", "a", "bc", "\n", "\t", "é", "日", "\U0001f600", "\\\"", '",{"']
+    text = lambda: "".join(draw.choice(bits) for _ in range(draw.randrange(0, 12)))
+    return {f"{i}{text()}": text() for i in range(n)}
+
+
+@pytest.fixture
+def small_parts(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_json_is_read_in_ranges(spark, tmp_path, small_parts, indent):
+    draw = random.Random(8)
+    flat = odd_json(draw, 700)
+    nested = {"empty": {}, "a {\"b\", c": odd_json(draw, 300), "list": [1, [2, {"x": "]"}]], "z": odd_json(draw, 200)}
+    listed = [{"k": k, "v": [v, {"w": k}]} for k, v in flat.items()]
+    for name, value in (("flat", flat), ("nested", nested), ("listed", listed)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(value, indent=indent, ensure_ascii=indent is None), encoding="utf-8")
+    rows = json_entries(spark, str(tmp_path / "flat.json"), {"{": 1})
+    assert spark.read.text(str(tmp_path / "flat.json"), lineSep=",").rdd.getNumPartitions() > 3
+    got = [r.e for r in rows.orderBy("parent", "entry").select(object_entry("text", "string").alias("e")).collect()]
+    assert [(e.key, e.value) for e in got] == list(flat.items())
+    rows = json_entries(spark, str(tmp_path / "nested.json"), {"{": 2})
+    objects = rows.select(header_key("header").alias("h"), "parent", "entry", object_entry("text", "string").alias("e"))
+    got = [(r.h, r.e.key, r.e.value) for r in objects.filter("h <> 'list'").orderBy("parent", "entry").collect()]
+    assert got == [(h, k, v) for h in nested if h != "list" for k, v in nested[h].items()]
+    assert [r.text.strip() for r in rows.filter(header_key("header") == "list").orderBy("entry").collect()][0] == "1"
+    rows = json_entries(spark, str(tmp_path / "listed.json"), {"[": 1})
+    kind = "struct<k:string,v:array<string>>"
+    got = [r.e for r in rows.orderBy("entry").select(list_entry("text", kind).alias("e")).collect()]
+    assert [(e.k, e.v[0], json.loads(e.v[1])) for e in got] == [(x["k"], *x["v"]) for x in listed]
+    assert json_entries(spark, str(tmp_path / "listed.json"), {"{": 1}).isEmpty()
+
+
+def test_json_of_many_files_and_of_none(spark, tmp_path, small_parts):
+    folder = tmp_path / "many.json"
+    folder.mkdir()
+    for n in range(5):
+        (folder / f"{n}.json").write_text(" [ ] \n" if n == 3 else json.dumps({f"{n}-{i}": i for i in range(200 * n)}))
+    rows = json_entries(spark, str(folder), {"{": 1, "[": 1}).select(object_entry("text", "bigint").alias("e")).collect()
+    assert {r.e.key: r.e.value for r in rows} == {f"{n}-{i}": i for n in (0, 1, 2, 4) for i in range(200 * n)}
+    (tmp_path / "cut.json").write_text('{"a": [1, 2}')
+    (tmp_path / "open.json").write_text('{"a": "1, 2}')
+    for name in ("cut", "open"):
+        with pytest.raises(ValueError):
+            json_entries(spark, str(tmp_path / f"{name}.json"), {"{": 1})
+
+
+def test_json_readers_in_ranges(spark, tmp_path, small_parts):
+    paths = [[i, i + 1, i + 2] for i in range(900)]
+    (tmp_path / "p.json").write_text(json.dumps({"other": [[9, 9]], "positive_paths": [[7, 7, 7]], "paths": paths}))
+    assert rows_of(readers.read_paths(spark, str(tmp_path / "p.json")), "drug", "gene", "disease") == sorted(map(tuple, paths))
+    (tmp_path / "m.json").write_text(json.dumps([{"From_ID": f"s{i}", "to id": f"t{i}", "n": i} for i in range(300)]))
+    assert len(rows_of(readers.read_mapping(spark, str(tmp_path / "m.json")), "source", "target")) == 300
+    names = {"drug": {f"name {i}": i for i in range(300)} | {f"drug::{i}": i for i in range(300)}, "disease": {"x": 1}}
+    (tmp_path / "e.json").write_text(json.dumps(names))
+    got = rows_of(readers.read_entity_map(spark, str(tmp_path / "e.json")), "node_type", "global_id", "name")
+    assert got == sorted([("disease", 1, "x"), *(("drug", i, f"name {i}") for i in range(300))])
+
+
+def test_chunks_of_one_hot_key(spark):
+    """Half of all pieces belong to one key; its chunks are bounded and joined they are its plain text."""
+    draw = random.Random(4)
+    rows = [("hot" if i % 2 else f"k{i % 7}", i, "x" * draw.randrange(0, 9) + str(i)) for i in range(4000)] + [(None, 1, "n"), ("one", 1, "y" * 500)]
+    df = spark.createDataFrame(rows, "k string, o int, piece string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    chunks = ordered.text_chunks(df, ["k"], "o", "piece", ", ", 200)
+    got = {}
+    for r in sorted(chunks.collect(), key=lambda r: r.chunk):
+        assert len(r.text) < 200 + 502
+        got.setdefault(r.k, []).append(r.text)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for k, _, p in sorted(rows, key=lambda r: r[1]):
+        want.setdefault(k, []).append(p)
+    assert {k: ", ".join(v) for k, v in got.items()} == {k: ", ".join(v) for k, v in want.items()} and len(got["hot"]) > 60
+    lists = ordered.list_chunks(df.fillna("", ["k"]), ["k"], ["o"], 100).collect()
+    assert max(len(r["items"]) for r in lists) == 100 and sum(len(r["items"]) for r in lists) == len(rows)
