@@ -31,15 +31,15 @@ _POSITIVES = """, pos AS (SELECT DISTINCT drug, disease FROM pt_random),
   valid AS (SELECT drug, disease FROM connected EXCEPT SELECT drug, disease FROM known)"""
 
 _LINKED = {
-    "cross_drug": f"""SELECT p.drug, p.disease, q.drug AS neg_drug, q.disease AS neg_disease FROM pos p
-    JOIN (SELECT *, row_number() OVER (PARTITION BY disease ORDER BY {h(SEED, 'drug')}, drug) - 1 AS i, count(*) OVER (PARTITION BY disease) AS n FROM valid) q
-      ON q.disease = p.disease AND i = {h(f'{SEED}:cross_drug', 'p.drug', 'p.disease')} % n""",
-    "cross_disease": f"""SELECT p.drug, p.disease, q.drug AS neg_drug, q.disease AS neg_disease FROM pos p
-    JOIN (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY {h(SEED, 'disease')}, disease) - 1 AS i, count(*) OVER (PARTITION BY drug) AS n FROM valid) q
-      ON q.drug = p.drug AND i = {h(f'{SEED}:cross_disease', 'p.drug', 'p.disease')} % n""",
-    "random": f"""SELECT p.drug, p.disease, q.drug AS neg_drug, q.disease AS neg_disease FROM pos p
-    JOIN (SELECT *, row_number() OVER (ORDER BY {h(SEED, 'drug', 'disease')}, drug, disease) - 1 AS i, count(*) OVER () AS n FROM valid) q
-      ON i = {h(f'{SEED}:random', 'p.drug', 'p.disease')} % n""",
+    **{
+        f"cross_{free}": f"""SELECT p.drug, p.disease, q.drug AS neg_drug, q.disease AS neg_disease
+    FROM (SELECT pos.*, {h(f'{SEED}:cross_{free}', 'pos.drug', 'pos.disease')} % n AS i FROM pos JOIN (SELECT {fixed}, count(*) AS n FROM valid GROUP BY {fixed}) USING ({fixed})) p
+    JOIN (SELECT *, row_number() OVER (PARTITION BY {fixed} ORDER BY {h(SEED, free)}, {free}) - 1 AS i FROM valid) q ON q.{fixed} = p.{fixed} AND q.i = p.i"""
+        for free, fixed in (("drug", "disease"), ("disease", "drug"))
+    },
+    "random": f"""SELECT p.drug, p.disease, q.drug AS neg_drug, q.disease AS neg_disease
+    FROM (SELECT *, {h(f'{SEED}:random', 'drug', 'disease')} % (SELECT count(*) FROM valid) AS i FROM pos) p
+    JOIN (SELECT *, row_number() OVER (ORDER BY {h(SEED, 'drug', 'disease')}, drug, disease) - 1 AS i FROM valid) q ON q.i = p.i""",
 }
 _PICKS = ", " + ", ".join(f"pick_{k} AS ({v})" for k, v in _LINKED.items())
 
@@ -133,9 +133,10 @@ def _numbered_sql(name: str, source: str, column: str) -> str:
         _POSITIVES
         + f""", {_numbered_sql('dp', "(SELECT DISTINCT drug FROM split_cross_drug WHERE split = 'train')", 'drug')},
   {_numbered_sql('sp', "(SELECT global_id AS disease FROM nodes WHERE node_type = 'disease')", 'disease')},
-  tries AS (SELECT p.drug, p.disease, k, d.v AS neg_drug, s.v AS neg_disease FROM pos p, range(8) t(k), dp d, sp s
-    WHERE d.i = {h(f'{SEED}:pool:drug', 'p.drug', 'p.disease', 'k')} % d.n AND s.i = {h(f'{SEED}:pool:disease', 'p.drug', 'p.disease', 'k')} % s.n
-      AND NOT EXISTS (SELECT 1 FROM known x WHERE x.drug = d.v AND x.disease = s.v)),
+  tries AS (SELECT p.drug, p.disease, k, d.v AS neg_drug, s.v AS neg_disease
+    FROM (SELECT *, {h(f'{SEED}:pool:drug', 'drug', 'disease', 'k')} % (SELECT count(*) FROM dp) AS a, {h(f'{SEED}:pool:disease', 'drug', 'disease', 'k')} % (SELECT count(*) FROM sp) AS b
+      FROM pos, range(8) t(k)) p JOIN dp d ON d.i = a JOIN sp s ON s.i = b
+    WHERE NOT EXISTS (SELECT 1 FROM known x WHERE x.drug = d.v AND x.disease = s.v)),
   drawn AS (SELECT drug, disease, arg_min((neg_drug, neg_disease), k) AS x FROM tries GROUP BY ALL),
   free AS (SELECT d.v AS neg_drug, s.v AS neg_disease, row_number() OVER (ORDER BY d.i, s.i) - 1 AS r, count(*) OVER () AS c FROM dp d, sp s
     WHERE EXISTS (SELECT 1 FROM pos p WHERE NOT EXISTS (SELECT 1 FROM drawn w WHERE w.drug = p.drug AND w.disease = p.disease))
@@ -157,8 +158,9 @@ def negatives_pool_random(spark, sf_dir):
         ("pt_random", "nodes"),
         f""", pool AS (SELECT global_id AS neg_gene, row_number() OVER (ORDER BY {h(SEED, 'global_id')}, global_id) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE node_type = 'gene/protein'),
   paths AS (SELECT DISTINCT drug, gene, disease FROM pt_random),
-  tries AS (SELECT t.drug, t.gene, t.disease, k, p.neg_gene FROM paths t, range(8) r(k), pool p WHERE p.i = {h(f'{SEED}:gene', 't.drug', 't.gene', 't.disease', 'k')} % p.n
-    AND NOT EXISTS (SELECT 1 FROM paths x WHERE x.drug = t.drug AND x.disease = t.disease AND x.gene = p.neg_gene))
+  tries AS (SELECT t.drug, t.gene, t.disease, k, p.neg_gene
+    FROM (SELECT *, {h(f'{SEED}:gene', 'drug', 'gene', 'disease', 'k')} % (SELECT count(*) FROM pool) AS i FROM paths, range(8) r(k)) t JOIN pool p ON p.i = t.i
+    WHERE NOT EXISTS (SELECT 1 FROM paths x WHERE x.drug = t.drug AND x.disease = t.disease AND x.gene = p.neg_gene))
   SELECT drug, gene, disease, arg_min(neg_gene, k) AS neg_gene FROM tries GROUP BY ALL""",
     ),
 )
@@ -237,7 +239,8 @@ _SAME = " AND ".join(f"x.{c} = r.{c}" for c in _CTX.split(", "))
 def corrupt_paths(spark, sf_dir):
     g = graph(spark, sf_dir)
     positives = pa.expand_to_quads(triplets(spark, sf_dir, "random").drop("split"), gr.gene_pathways(g.edges))
-    return sa.corrupt_paths(positives, g.nodes, None, SEED, edges=g.edges)
+    # where a gene is linked to every drug, say, that position has no corruption
+    return sa.corrupt_paths(positives, g.nodes, None, SEED, edges=g.edges, on_missing="drop")
 
 
 # --- graph views ---

@@ -62,8 +62,8 @@ def test_every_line_and_part_is_in_the_graph(spark, small_dir):
     """No value keeps an order line or a part out of the stored graph."""
     kinds = {r.rel: r.n for r in graph(spark, small_dir).edges.groupBy("rel").agg(F.count("*").alias("n")).collect()}
     line = spark.read.parquet(f"{small_dir}/lineitem.parquet").join(spark.read.parquet(f"{small_dir}/orders.parquet"), F.col("l_orderkey") == F.col("o_orderkey"))
-    by_kind = F.when(F.col("l_tax") == 0, F.struct(F.lit("c"), "l_suppkey", "o_custkey", "l_returnflag")).when(
-        F.col("l_discount") <= 0.01, F.struct(F.lit("a"), "o_custkey", "l_partkey", F.lit(""))).otherwise(F.struct(F.lit("t"), "l_suppkey", "l_partkey", F.lit("")))
+    by_kind = F.when(F.col("l_tax") == 0, F.concat_ws(" ", F.lit("c"), "l_suppkey", "o_custkey", "l_returnflag")).when(
+        F.col("l_discount") <= 0.01, F.concat_ws(" ", F.lit("a"), "o_custkey", "l_partkey")).otherwise(F.concat_ws(" ", F.lit("t"), "l_suppkey", "l_partkey"))
     assert line.select(by_kind).distinct().count() == sum(n for r, n in kinds.items() if r not in ("in_pathway", "protein_protein"))
     small = spark.read.parquet(f"{small_dir}/part.parquet").filter("p_size <= 40 or p_partkey > 1").count()
     held = graph(spark, small_dir).edges.filter("rel in ('in_pathway', 'protein_protein')").select("src_id").distinct().count()
