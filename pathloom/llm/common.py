@@ -59,3 +59,26 @@ def number_in_groups(df: DataFrame, group: str, order: Column, ties: Sequence[st
     return ranked.join(offsets, same).select(
         *df.columns, (F.col("_before") + F.col("_r")).cast("bigint").alias(out), F.col(f"{out}_n").cast("bigint")
     )
+
+
+MAP_BITS = 1 << 26  # 8 MB, whatever the number of keys
+_MAP_ROW = 1 << 15  # bits of one row of the map
+
+
+def probably_in(rows: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFrame:
+    """``rows`` whose ``key`` may be among the values ``name`` of ``wanted``; none of these is missed.
+
+    Hashes of the values set bits of a map of fixed size, which tasks build together and every task gets, so wide
+    rows that are not wanted need not be moved to find the others. A join must follow. With more
+    values than bits the map lets every row through.
+    """
+    place = F.pmod(F.xxhash64(F.col(name).cast("bigint")), F.lit(MAP_BITS))
+    bits = wanted.select(F.floor(place / _MAP_ROW).cast("int").alias("_row"), (place % _MAP_ROW).alias("_at")).groupBy("_row").agg(
+        F.bitmap_construct_agg("_at").alias("_bits")
+    )
+    bits = materialize(bits, "map")  # at most MAP_BITS / _MAP_ROW rows of 4 KB
+    own = F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(MAP_BITS))
+    marked = rows.withColumns({"_own": F.floor(own / _MAP_ROW).cast("int"), "_at": (own % _MAP_ROW).cast("int")})
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2), F.col("_at") % 8)).cast("int") % 2
+    return marked.join(F.broadcast(bits), F.col("_own") == F.col("_row")).filter(bit == 1).select(*rows.columns)

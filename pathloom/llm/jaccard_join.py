@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..lineage import materialize
+from .common import probably_in
 from .components import components
 from .wordhash import Words, mix, shingle_sets, slices_of
 
@@ -210,7 +211,7 @@ def _pairs(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of representatives whose sets reach the similarity.
 
-    Only texts of documents in a pair are joined, and sets are made of them
+    Only texts of documents in a pair are moved and joined, and sets are made of them
     again where they meet: texts move in half the bytes of their sets.
     """
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,10 +231,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([a[i] for i in held], pa.int64()), pa.array([b[i] for i in held], pa.int64())], names=["a", "b"])
 
-    # written, so that its size decides whether all texts are moved to find these
     needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_rep")).distinct(), "needed")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(needed, F.col("rep") == F.col("_rep"), "left_semi")
-    texts = materialize(texts, "texts")
+    texts = probably_in(docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text"), "rep", needed, "_rep")
+    texts = materialize(texts.join(needed, F.col("rep") == F.col("_rep"), "left_semi"), "texts")
     one = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(alike, "a bigint, b bigint")
