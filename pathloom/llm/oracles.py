@@ -192,7 +192,7 @@ WITH cut AS (
 listed AS (
   SELECT *, list_distinct(list_filter(list_concat(
       list_transform(string_split(host, '.'), lambda x: 'h:' || x),
-      list_transform(regexp_split_to_array(host, '[.\-]'), lambda x: 'w:' || x),
+      list_transform(flatten(list_transform(list_filter(string_split(host, '.'), lambda x: contains(x, '-')), lambda x: string_split(x, '-'))), lambda x: 'w:' || x),
       list_transform(regexp_split_to_array(lower(path), '[^\p{{L}}]+'), lambda x: 'p:' || x),
       list_transform(regexp_extract_all(u, '[?&]([^=&#]+)', 1), lambda x: 'q:' || lower(x)),
       ['s:' || lower(regexp_extract(u, '(?s)^(.*?)://', 1))]), lambda x: length(x) > 2)) AS tokens
@@ -204,9 +204,13 @@ subsets AS (
   SELECT row_id, b, [x] AS items FROM one
   UNION ALL SELECT o.row_id, o.b, [o.x, p.x] FROM one o JOIN one p ON o.row_id = p.row_id AND o.x < p.x
   UNION ALL SELECT o.row_id, o.b, [o.x, p.x, q.x] FROM one o JOIN one p ON o.row_id = p.row_id AND o.x < p.x JOIN one q ON o.row_id = q.row_id AND p.x < q.x),
+counted AS (
+  SELECT items, sum(b) / count(*) AS p, count(*)::double AS n, {url_rules.DEVIATIONS}::double * len(items) AS z FROM subsets GROUP BY items
+  HAVING sum(b) >= {url_rules.LEAST_BLOCKED}),
 mined AS (
-  SELECT items, sum(b) / count(*) AS confidence FROM subsets GROUP BY items
-  HAVING sum(b) >= ceil({url_rules.MIN_SUPPORT}::double * (SELECT count(*) FROM labelled)) AND sum(b) / count(*) >= {url_rules.MIN_CONFIDENCE}),
+  SELECT items, p AS confidence FROM counted
+  WHERE p >= {url_rules.MIN_CONFIDENCE}
+    AND round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) > (SELECT round(avg(b), 9) FROM labelled)),
 hits AS (SELECT row_id, max(confidence) AS confidence FROM listed JOIN mined ON list_has_all(tokens, items) GROUP BY row_id),
 judged AS (SELECT page_id, host, path, {_rule_cases()} AS rule, coalesce(confidence, 0.0) AS confidence FROM listed LEFT JOIN hits USING (row_id))
 SELECT page_id, host, path, rule, confidence,

@@ -95,7 +95,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(((F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0))).alias("blocked")
     )
     labelled = pages.join(bad, F.col("page_id") == F.col("_doc")).select(url_rules.url_tokens(F.col("url")).alias("tokens"), "blocked")
-    return url_rules.judge_urls(pages, url_rules.mine_rules(labelled)).drop("url")
+    return url_rules.judge_urls(pages, *url_rules.mine_rules(labelled)).drop("url")
 
 
 @_query
