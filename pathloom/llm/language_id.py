@@ -113,6 +113,27 @@ class Profiles:
         return self.languages[best], 1.0 - float(distance[best]) / (PROFILE * len(top))
 
 
+def chosen_documents(labelled: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, lang): the ``sample`` documents of each language with the smallest keyed hashes, ties by id.
+
+    A language with many documents is cut first by a bound on the hash that about twice as many pass,
+    raised should that once not be enough, so no task orders more than a few times ``sample`` documents of one.
+    """
+    keyed = labelled.select("doc_id", "lang", unit("profile", "doc_id").alias("_u"))
+    sizes = materialize(keyed.groupBy(F.col("lang").alias("_l")).agg(F.count("*").alias("_n")), "sizes")
+    below, share = None, 2.0
+    while True:
+        bounded = keyed.join(sizes, F.col("lang") == F.col("_l")).filter(F.col("_u") * F.col("_n") <= share * sample)
+        below = materialize(bounded.select("doc_id", "lang", "_u"), "bounded")
+        held = below.groupBy(F.col("lang").alias("_h")).agg(F.count("*").alias("_k"))
+        short = sizes.join(held, F.col("_l") == F.col("_h"), "left").filter(F.coalesce("_k", F.lit(0)) < F.least("_n", F.lit(sample)))
+        if short.isEmpty():
+            break
+        share *= 2
+    order = Window.partitionBy("lang").orderBy("_u", "doc_id")
+    return below.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample).select("doc_id", "lang")
+
+
 def learn_profiles(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
     """Profiles from at most ``sample`` documents of each language, chosen by a keyed hash.
 
@@ -121,10 +142,7 @@ def learn_profiles(docs: DataFrame, sample: int = SAMPLE) -> Profiles:
     language reach the driver. Equal counts are ordered by n-gram code.
     """
     labelled = docs.filter(F.col("lang").isNotNull())
-    order = Window.partitionBy("lang").orderBy("_u", "doc_id")
-    chosen = labelled.select("doc_id", "lang", unit("profile", "doc_id").alias("_u")).withColumn(
-        "_r", F.row_number().over(order)).filter(F.col("_r") <= sample).select("doc_id", "lang")
-    chosen = materialize(chosen.distinct(), "sample")  # its size decides whether texts are moved to join it
+    chosen = materialize(chosen_documents(labelled, sample).distinct(), "sample")  # its size decides whether texts are moved to join it
     texts = labelled.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

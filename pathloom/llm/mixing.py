@@ -7,63 +7,78 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..lineage import materialize
-from ..operators.numbering import number_globally
 from .common import let, number_in_groups
 from .hashing import unit
 
-FRAME = 1000  # slots after which the schedule repeats; weights are multiples of 1 / FRAME
+FRAME = 1000  # slots after which the schedule of the classes repeats
+MOST_EPOCHS = 16  # times that a source's weight may have it read while the longest one is read once
+_LEAST = 1e-9  # share of a slot below which sources are not told apart
 BLOCK_DOCS = 8
 TEMPER = 0.5
 STRETCH = 4096  # rows of the mix that stay together when documents are written
 
 
-def target_units(sizes: DataFrame, temper: float = TEMPER, frame: int = FRAME) -> DataFrame:
-    """(source, units): slots per frame, proportional to n_docs ** temper, at least one each.
+def source_classes(sizes: DataFrame, temper: float = TEMPER, frame: int = FRAME, most: int = MOST_EPOCHS) -> DataFrame:
+    """(source, n_docs, class, units, frame, place, members): the weight of each source, units / frame / members.
 
-    Largest remainders decide who gets the slots that rounding leaves over. With
-    as many sources as slots or more, the frame is as long as the number of
-    sources and each has one slot: nothing is left to share out, so the sources
-    are not moved. ``sizes`` is read twice: pass a written table.
+    Target weights are n_docs ** temper, but a source's falls where it would be read more
+    than ``most`` times while the source that lasts longest is read once. A source worth a slot of
+    the frame has slots of its own; smaller ones share slots with those of the same power of two. Largest
+    remainders decide who gets the slots that rounding leaves over, and each has
+    one at least. Sources with equal slots are then one class that takes turns: ``place`` is a member's turn, by a keyed hash of its name.
+
+    So there are as many classes as different numbers of slots, at most sqrt(2 x frame), and one per power of two, however
+    many sources there are; the largest window is over the entities with slots, at most frame + 31. ``sizes`` (source, n_docs) is read several times: pass a written table.
     """
-    if sizes.count() >= frame:
-        return sizes.select("source", "n_docs", F.lit(1).alias("units"))
-    w = F.pow(F.col("n_docs").cast("double"), F.lit(temper))
-    everything = Window.partitionBy(F.lit(1))  # one row per source, fewer than slots
-    shared = (
-        sizes.withColumn("_k", F.count("*").over(everything))
-        .withColumn("_frame", F.greatest(F.lit(frame), F.col("_k")))
-        .withColumn("_ideal", F.round(w / F.sum(w).over(everything) * (F.col("_frame") - F.col("_k")), 9))
+    n = F.col("n_docs").cast("double")
+    largest = sizes.agg(F.max(n)).scalar()
+    weight = F.least(F.pow(n, F.lit(temper)), F.lit(most) * n * F.pow(largest, F.lit(temper - 1)))
+    weighed = materialize(sizes.select("source", "n_docs", F.round(weight, 9).alias("_w")), "weights")
+    share = F.round(F.col("_w") / weighed.agg(F.sum(F.col("_w").cast("decimal(38,9)")).cast("double")).scalar() * frame, 9)
+    power = F.floor(F.log2(F.greatest(F.col("_share"), F.lit(_LEAST)))).cast("int")
+    shared = weighed.withColumn("_share", share).withColumn("_power", F.when(F.col("_share") < 1, power))
+    shared = materialize(shared, "shares")
+    alone = shared.filter("_power is null").select(F.lit(1).alias("_kind"), F.col("source").alias("_name"), F.lit(0).alias("_p"), F.col("_share").alias("_e"))
+    small = shared.filter("_power is not null").groupBy("_power").agg(F.sum(F.col("_share").cast("decimal(38,9)")).cast("double").alias("_e")).select(
+        F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("_name"), F.col("_power").alias("_p"), "_e")
+    everything = Window.partitionBy(F.lit(1))  # at most frame + 31 rows
+    entities = (
+        alone.unionByName(small)
+        .withColumn("_k", F.count("*").over(everything))
+        .withColumn("frame", F.greatest(F.lit(frame), F.col("_k")).cast("int"))
+        .withColumn("_ideal", F.round(F.col("_e") / F.sum("_e").over(everything) * (F.col("frame") - F.col("_k")), 6))
         .withColumn("_whole", F.floor("_ideal"))
-        .withColumn("_rest", F.round(F.col("_ideal") - F.col("_whole"), 9))
+        .withColumn("_rest", F.round(F.col("_ideal") - F.col("_whole"), 6))
     )
-    ranked = shared.withColumn("_r", F.row_number().over(everything.orderBy(F.desc("_rest"), F.col("source").asc_nulls_first())))
-    spare = F.col("_frame") - F.col("_k") - F.sum("_whole").over(everything)
-    return ranked.withColumn("_spare", spare).select(
-        "source", "n_docs", (F.col("_whole") + 1 + (F.col("_r") <= F.col("_spare")).cast("int")).cast("int").alias("units")
+    order = everything.orderBy(F.desc("_rest"), "_kind", F.col("_name").asc_nulls_first(), "_p")
+    spare = F.col("frame") - F.col("_k") - F.sum("_whole").over(everything)
+    entities = entities.withColumns({"_r": F.row_number().over(order), "_spare": spare}).withColumn(
+        "_slots", (F.col("_whole") + 1 + (F.col("_r") <= F.col("_spare")).cast("int")).cast("int"))
+    entities = materialize(entities.select("_kind", "_name", "_p", "_slots", "frame"), "entities")
+    of_alone = shared.filter("_power is null").join(
+        entities.filter("_kind = 1"), F.col("source").eqNullSafe(F.col("_name"))).withColumn("class", F.concat(F.lit("u"), F.col("_slots")))
+    of_small = shared.filter("_power is not null").join(entities.filter("_kind = 0"), F.col("_power") == F.col("_p")).withColumn(
+        "class", F.concat(F.lit("p"), F.col("_p")))
+    named = materialize(of_alone.unionByName(of_small).select("source", "n_docs", "class", "_slots", "frame"), "classes")
+    placed = number_in_groups(named, "class", unit("turn", "source"), ["source"], "place")
+    single = F.col("class").startswith("u")
+    return placed.select(
+        "source", "n_docs", "class", F.when(single, F.col("_slots") * F.col("place_n")).otherwise(F.col("_slots")).cast("int").alias("units"),
+        "frame", "place", F.col("place_n").alias("members"),
     )
 
 
-def frame_schedule(units: DataFrame) -> DataFrame:
-    """(source, units, frame, turn, release, deadline, slot) of every block of one frame.
+def frame_schedule(classes: DataFrame) -> DataFrame:
+    """(class, turn, slot) of every block of one frame, from (class, units, frame).
 
-    Block ``turn`` of a source with weight units/frame may run from
+    Block ``turn`` of a class with weight units / frame may run from
     floor(turn / weight) and must have run before ceil((turn + 1) / weight).
     Slot by slot, the released block with the earliest deadline runs (ties: the
-    source's name), which keeps every source within one block of its share.
-    All sources finish their frame together, so the frame repeats. The work is
-    (slots of a frame) x (sources), independent of the number of documents, and
-    ``target_units`` leaves fewer sources than the slots it was asked for. With
-    more, each source has one block, all are released at the start and due at the
-    end, and the order is that of the names: they are numbered by a range sort.
-    ``units`` is read several times: pass a written table.
+    class's name), which keeps every class within one block of its share. All
+    finish their frame together, so the frame repeats. The work is (slots of a frame) x
+    (classes), both bounded whatever the number of sources and documents.
     """
-    if units.agg(F.max("units")).first()[0] == 1:
-        n = units.count()
-        return number_globally(units.select("source", "units"), ["source"], "slot").select(
-            "source", "units", F.lit(n).cast("int").alias("frame"), F.lit(0).alias("turn"),
-            F.lit(0).cast("bigint").alias("release"), F.lit(n).cast("bigint").alias("deadline"), "slot",
-        )
-    one = units.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "units"))).alias("s"))
+    one = classes.groupBy().agg(F.sort_array(F.collect_list(F.struct("class", "units"))).alias("s"))
     one = one.select(
         "s", F.transform("s", lambda x: x["units"]).alias("u"),
         F.aggregate("s", F.lit(0), lambda a, x: a + x["units"]).alias("frame"),
@@ -79,30 +94,27 @@ def frame_schedule(units: DataFrame) -> DataFrame:
             best -> named_struct('given', transform(acc.given, (g, k) -> if(k = best.k, g + 1, g)),
                                  'run', concat(acc.run, array(best.k))))[0],
           acc -> acc.run))"""))
-    slots = one.select("s", "frame", F.posexplode("runs").alias("slot", "k"))
-    turns = slots.withColumn("turn", F.row_number().over(Window.partitionBy("k").orderBy("slot")) - 1).withColumn(
-        "units", F.col("s")[F.col("k")]["units"]
-    )
-    return turns.select(
-        F.col("s")[F.col("k")]["source"].alias("source"), "units", "frame", "turn",
-        F.floor(F.col("turn").cast("bigint") * F.col("frame") / F.col("units")).cast("bigint").alias("release"),
-        F.ceil((F.col("turn").cast("bigint") + 1) * F.col("frame") / F.col("units")).cast("bigint").alias("deadline"),
-        F.col("slot").cast("bigint").alias("slot"),
+    slots = one.select("s", F.posexplode("runs").alias("slot", "k"))
+    return slots.select(
+        F.col("s")[F.col("k")]["class"].alias("class"),
+        (F.row_number().over(Window.partitionBy("k").orderBy("slot")) - 1).cast("bigint").alias("turn"), F.col("slot").cast("bigint").alias("slot"),
     )
 
 
 def mix_sources(
     docs: DataFrame, source: str = "source", key: str = "doc_id", temper: float = TEMPER,
-    frame: int = FRAME, block_docs: int = BLOCK_DOCS, columns: list[str] | None = None,
+    frame: int = FRAME, block_docs: int = BLOCK_DOCS, columns: list[str] | None = None, most_epochs: int = MOST_EPOCHS,
 ) -> DataFrame:
     """Rows of ``docs`` in mixed order: ``epoch``, ``block``, ``release``, ``deadline``, ``slot``, ``position``.
 
     Each source is shuffled by a keyed hash and cut into blocks of ``block_docs``
-    rows (the last may be shorter). The schedule runs until every source has been
-    read once; a source that its weight asks for more often is read again, its
-    rows being repeated with a higher ``epoch``. No row is lost. At every slot
-    boundary the number of blocks of each source differs from weight x slots by
-    less than one. Null sources form one source, rows with equal keys are
+    rows (the last may be shorter). Classes of sources are scheduled by earliest deadline, and the sources of a
+    class, which weigh the same, take turns in its blocks. At every slot
+    boundary the number of blocks of each source then differs from weight x slots by
+    less than one: by 1 - 1/members inside its class at most, and by a members-th part of what the class is off.
+
+    The schedule runs until every source has been read once; a source that its weight asks for more often is read again, its
+    rows being repeated with a higher ``epoch``, about ``most_epochs`` times at most. No row is lost. Null sources form one source, rows with equal keys are
     separate rows, an empty table gives an empty result. ``columns`` are carried
     along (all by default); added names replace equal ones.
     """
@@ -110,35 +122,35 @@ def mix_sources(
     carried = [c for c in (columns or docs.columns) if c not in added]
     ranked = number_in_groups(docs.select(*carried), source, unit("mix", key), [key], "_at")
     sizes = materialize(docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n_docs")), "sizes")
-    units = materialize(target_units(sizes, temper, frame), "units")
-    schedule = materialize(frame_schedule(units), "schedule")
-    turns = schedule.select(
-        F.col("source").alias("_ts"), F.col("turn").alias("_tt"), F.col("release").alias("_tr"),
-        F.col("deadline").alias("_td"), F.col("slot").alias("_tl"),
-    )
-    sized = schedule.select("source", "units", "frame").distinct().join(
-        units.select(F.col("source").alias("_source"), "n_docs"), F.col("source").eqNullSafe(F.col("_source"))
-    ).select(
-        F.col("source").alias("_s"), F.col("units").alias("_u"), F.col("frame").alias("_f"),
-        F.ceil(F.col("n_docs") / block_docs).cast("bigint").alias("_blocks"),
+    weighed = materialize(source_classes(sizes, temper, frame, most_epochs), "weighed")
+    classes = weighed.select("class", "units", "frame").distinct()
+    turns = materialize(frame_schedule(classes), "schedule").select(
+        F.col("class").alias("_tc"), F.col("turn").alias("_tt"), F.col("slot").alias("_tl"))  # one row per slot of the frame
+    sized = weighed.select(
+        F.col("source").alias("_s"), F.col("class").alias("_c"), F.col("units").cast("bigint").alias("_u"), F.col("frame").cast("bigint").alias("_f"),
+        F.col("place").alias("_p"), F.col("members").alias("_m"), F.ceil(F.col("n_docs") / block_docs).cast("bigint").alias("_blocks"),
     )
     # slots until the source that takes longest has been read once
-    last = sized.join(turns, F.col("_s").eqNullSafe(F.col("_ts")) & (F.pmod(F.col("_blocks") - 1, F.col("_u")) == F.col("_tt")))
-    horizon = last.agg(F.max(F.floor((F.col("_blocks") - 1) / F.col("_u")) * F.col("_f") + F.col("_tl") + 1).alias("_slots"))
+    last = sized.withColumn("_n", (F.col("_blocks") - 1) * F.col("_m") + F.col("_p"))
+    last = last.join(turns, (F.col("_c") == F.col("_tc")) & (F.pmod("_n", "_u") == F.col("_tt")))
+    horizon = last.agg(F.max(F.floor(F.col("_n") / F.col("_u")) * F.col("_f") + F.col("_tl") + 1).alias("_slots"))
     sized = materialize(sized.withColumn("_slots", horizon.scalar()), "sized")
     block = F.floor(F.col("_at") / block_docs).cast("bigint")
-    asked = F.ceil(F.col("_slots") / F.col("_f")) * F.col("_u")  # blocks of this source in whole frames
+    # blocks of this source in whole frames of its class
+    asked = F.floor((F.ceil(F.col("_slots") / F.col("_f")) * F.col("_u") - 1 - F.col("_p")) / F.col("_m")) + 1
     rounds = F.floor((asked - 1 - block) / F.col("_blocks")).cast("bigint")
     epochs = ranked.join(sized, F.col(source).eqNullSafe(F.col("_s"))).withColumn(
-        "epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), rounds))
-    ).withColumn("_i", F.col("epoch") * F.col("_blocks") + block).withColumns({
-        "_turn": F.pmod("_i", "_u").cast("int"), "_base": F.floor(F.col("_i") / F.col("_u")).cast("bigint") * F.col("_f"),
+        "epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(rounds, F.lit(0).cast("bigint"))))
+    ).withColumn("_i", F.col("epoch") * F.col("_blocks") + block).withColumn("_n", F.col("_i") * F.col("_m") + F.col("_p")).withColumns({
+        "_turn": F.pmod("_n", "_u"), "_base": F.floor(F.col("_n") / F.col("_u")).cast("bigint") * F.col("_f"),
     })
-    same = F.col(source).eqNullSafe(F.col("_ts")) & (F.col("_turn") == F.col("_tt"))
+    same = (F.col("_c") == F.col("_tc")) & (F.col("_turn") == F.col("_tt"))
     slot = F.col("_base") + F.col("_tl")
+    # a block of a source with weight units / (frame x members) has the window of that weight
+    span = F.col("_f") * F.col("_m")
     return epochs.join(turns, same).filter(slot < F.col("_slots")).select(
-        *carried, "epoch", F.col("_i").alias("block"), (F.col("_base") + F.col("_tr")).alias("release"),
-        (F.col("_base") + F.col("_td")).alias("deadline"), slot.alias("slot"),
+        *carried, "epoch", F.col("_i").alias("block"), F.floor(F.col("_i") * span / F.col("_u")).cast("bigint").alias("release"),
+        F.ceil((F.col("_i") + 1) * span / F.col("_u")).cast("bigint").alias("deadline"), slot.alias("slot"),
         (slot * block_docs + F.col("_at") - block * block_docs).alias("position"),
     )
 

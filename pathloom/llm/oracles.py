@@ -94,20 +94,32 @@ SELECT doc_id, len(w)::bigint AS n_words, coalesce(len(places), 0)::bigint AS n_
 FROM base LEFT JOIN gone USING (row_id)
 """
 
-_MIX_HASH = unit_sql("mix", "doc_id")
-_MIXING = f"""
+def mixing_sql(temper: float = mixing.TEMPER) -> str:
+    """Rows of the mix; the frame of the classes is played out slot by slot."""
+    frame, docs = mixing.FRAME, mixing.BLOCK_DOCS
+    return f"""
 WITH RECURSIVE sizes AS (SELECT source, count(*) AS n_docs FROM documents GROUP BY source),
-shared AS (
-  SELECT *, count(*) OVER () AS k, greatest({mixing.FRAME}, count(*) OVER ()) AS frame,
-         round(pow(n_docs, {mixing.TEMPER}) / sum(pow(n_docs, {mixing.TEMPER})) OVER ()
-               * (greatest({mixing.FRAME}, count(*) OVER ()) - count(*) OVER ()), 9) AS ideal
-  FROM sizes),
+weighed AS (
+  SELECT *, round(least(pow(n_docs::double, {temper}), {mixing.MOST_EPOCHS} * n_docs::double * pow((SELECT max(n_docs)::double FROM sizes), {temper - 1!r})), 9) AS w FROM sizes),
+shares AS (SELECT *, round(w / (SELECT sum(w::decimal(38,9))::double FROM weighed) * {frame}, 9) AS share FROM weighed),
+powers AS (SELECT *, CASE WHEN share < 1 THEN floor(log2(greatest(share, 1e-9)))::int END AS power FROM shares),
+entities AS (
+  SELECT 1 AS kind, source AS name, 0 AS p, share AS e FROM powers WHERE power IS NULL
+  UNION ALL SELECT 0, NULL, power, sum(share::decimal(38,9))::double FROM powers WHERE power IS NOT NULL GROUP BY power),
+framed AS (SELECT *, count(*) OVER () AS k, greatest({frame}, count(*) OVER ()) AS f FROM entities),
+ideals AS (SELECT *, round(e / sum(e) OVER () * (f - k), 6) AS ideal FROM framed),
 ranked AS (
-  SELECT *, row_number() OVER (ORDER BY round(ideal - floor(ideal), 9) DESC, source NULLS FIRST) AS r,
-         frame - k - sum(floor(ideal)) OVER () AS spare
-  FROM shared),
-units AS (SELECT source, n_docs, (floor(ideal) + 1 + (r <= spare)::int)::int AS u, frame FROM ranked),
-lists AS (SELECT list(source ORDER BY source NULLS FIRST) AS s, list(u ORDER BY source NULLS FIRST) AS u, max(frame)::int AS f FROM units),
+  SELECT *, row_number() OVER (ORDER BY round(ideal - floor(ideal), 6) DESC, kind, name NULLS FIRST, p) AS r, f - k - sum(floor(ideal)) OVER () AS spare FROM ideals),
+slotted AS (SELECT kind, name, p, f, (floor(ideal) + 1 + (r <= spare)::int)::int AS slots FROM ranked),
+classed AS (
+  SELECT source, n_docs, 'u' || slots AS class, slots, f FROM powers JOIN slotted ON power IS NULL AND kind = 1 AND source IS NOT DISTINCT FROM name
+  UNION ALL SELECT source, n_docs, 'p' || p, slots, f FROM powers JOIN slotted ON kind = 0 AND power = p),
+placed_sources AS (
+  SELECT *, row_number() OVER (PARTITION BY class ORDER BY {unit_sql('turn', 'source')}, source) - 1 AS place, count(*) OVER (PARTITION BY class) AS m FROM classed),
+units AS (SELECT source, class, f::bigint AS f, place, m, (CASE WHEN class LIKE 'u%' THEN slots * m ELSE slots END)::bigint AS u,
+                 ceil(n_docs / {docs})::bigint AS b FROM placed_sources),
+classes AS (SELECT DISTINCT class, u, f FROM units),
+lists AS (SELECT list(class ORDER BY class) AS s, list(u::int ORDER BY class) AS u, max(f)::int AS f FROM classes),
 edf(t, given, pick, u, f) AS (
   SELECT -1, list_transform(u, lambda x: 0), 0, u, f FROM lists
   UNION ALL
@@ -116,29 +128,24 @@ edf(t, given, pick, u, f) AS (
           list_filter(range(1, len(u) + 1), lambda k: given[k] < u[k] AND floor(given[k] * f / u[k]) <= t + 1),
           lambda k: {{'due': ceil((given[k] + 1) * f / u[k])::int, 'k': k::int}})) AS best
         FROM edf WHERE t + 1 < f)),
-turns AS (
-  SELECT s[pick] AS source, edf.u[pick] AS u, edf.f, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn
-  FROM edf CROSS JOIN lists WHERE t >= 0),
-blocks AS (SELECT source, u, frame AS f, ceil(n_docs / {mixing.BLOCK_DOCS})::bigint AS b FROM units),
+turns AS (SELECT s[pick] AS class, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM edf CROSS JOIN lists WHERE t >= 0),
 horizon AS (
-  SELECT max(((b - 1) // blocks.u) * blocks.f + slot + 1) AS slots
-  FROM blocks JOIN turns ON blocks.source IS NOT DISTINCT FROM turns.source AND (b - 1) % blocks.u = turn),
+  SELECT max((((b - 1) * m + place) // units.u) * units.f + slot + 1) AS slots
+  FROM units JOIN turns ON units.class = turns.class AND ((b - 1) * m + place) % units.u = turn),
 rows AS (
-  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_MIX_HASH}, doc_id) - 1 AS place FROM documents),
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {unit_sql("mix", "doc_id")}, doc_id) - 1 AS spot FROM documents),
 epochs AS (
-  SELECT doc_id, rows.source, place, b, blocks.u, blocks.f,
-         unnest(range(0, (ceil(slots / blocks.f) * blocks.u)::bigint // b + 1)) AS epoch, slots
-  FROM rows JOIN blocks ON rows.source IS NOT DISTINCT FROM blocks.source CROSS JOIN horizon),
-placed AS (SELECT *, epoch * b + place // {mixing.BLOCK_DOCS} AS i FROM epochs)
-SELECT doc_id, placed.source, epoch::bigint AS epoch, i::bigint AS block,
-       ((i // placed.u) * placed.f + floor(turn * placed.f / placed.u))::bigint AS release,
-       ((i // placed.u) * placed.f + ceil((turn + 1) * placed.f / placed.u))::bigint AS deadline,
-       ((i // placed.u) * placed.f + slot)::bigint AS slot,
-       (((i // placed.u) * placed.f + slot) * {mixing.BLOCK_DOCS} + place % {mixing.BLOCK_DOCS})::bigint AS position
-FROM placed JOIN turns ON placed.source IS NOT DISTINCT FROM turns.source AND i % placed.u = turn
-WHERE (i // placed.u) * placed.f + slot < slots
+  SELECT doc_id, rows.source, spot, units.*, slots, unnest(range(0, ((ceil(slots / f) * u)::bigint // m) // b + 2)) AS epoch
+  FROM rows JOIN units ON rows.source IS NOT DISTINCT FROM units.source CROSS JOIN horizon),
+blocks AS (SELECT *, epoch * b + spot // {docs} AS i, (epoch * b + spot // {docs}) * m + place AS n FROM epochs)
+SELECT doc_id, blocks.source, epoch::bigint AS epoch, i::bigint AS block,
+       floor(i * blocks.f * m / blocks.u)::bigint AS release, ceil((i + 1) * blocks.f * m / blocks.u)::bigint AS deadline,
+       ((n // blocks.u) * blocks.f + slot)::bigint AS slot, (((n // blocks.u) * blocks.f + slot) * {docs} + spot % {docs})::bigint AS position
+FROM blocks JOIN turns ON blocks.class = turns.class AND n % blocks.u = turn
+WHERE (n // blocks.u) * blocks.f + slot < slots
 """
 
+
 _JACCARD = rf"""
 WITH RECURSIVE base AS (
   SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
@@ -253,7 +260,7 @@ FROM a{r} JOIN kept USING (row_id) JOIN c{r} c ON c.c = best.c
 ORACLES: dict[str, str] = {
     "op1_quality_divergence": _QUALITY,
     "op2_passage_automata": _PASSAGES,
-    "op5_pfair_mixing": _MIXING,
+    "op5_pfair_mixing": mixing_sql(),
     "op7_jaccard_join": _JACCARD,
     "op9_site_lines": _LINES,
     "op10_url_rules": _URLS,

@@ -16,11 +16,13 @@ from .wordhash import Words, run_hashes, slices_of
 WINDOW = 50  # words of a passage at least
 PHRASE = 12  # words of a phrase; every window has one phrase that stands for it
 SHARD_WORDS = 400_000  # words of the passages of one automaton, about 20 MB
+PIECE = 50_000  # words of a document whose passages go to one shard together
 DOCS_PER_PART = 4_000  # documents that one compiled automaton reads at a time
 NO_ID = (1 << 63) - 1  # stands for a null doc_id, which is smaller than none
 
+# t of a phrase's row is the text's key where the id is null, else 0, so that documents without an id stay apart
 _FIRST = "doc_id bigint, t bigint, n_words bigint, sha string, phrase bigint"
-_PASSAGE = "first bigint, n_words int, words binary, phrases array<bigint>"
+_PASSAGE = "first bigint, piece int, n_words int, words binary, phrases array<bigint>"
 _STREAM = ["shard", "part", "kind", "doc_id", "t", "text", "words"]
 
 
@@ -71,17 +73,17 @@ def document_phrases(keyed: DataFrame) -> DataFrame:
                     own.append((ids[i], keys[i], hi - lo, hashlib.sha256(b" ".join(texts[i].encode().split())).hexdigest()))
                     phrases, at = window_phrases(words.hashes[lo:hi])
                     if len(at):
-                        found.append((ids[i], np.unique(phrases[np.unique(at)])))
+                        found.append((ids[i], keys[i] if ids[i] == NO_ID else 0, np.unique(phrases[np.unique(at)])))
                 empty = pa.nulls(len(own), pa.int64())
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(c, t) for c, t in zip(zip(*own, strict=True), types, strict=True)), empty], names=names)
                 if found:
-                    owner = np.repeat(np.array([x for x, _ in found], np.int64), [len(p) for _, p in found])
-                    empty = pa.nulls(len(owner), pa.int64())
+                    many = [len(p) for _, _, p in found]
+                    owner, key = (np.repeat(np.array([x[c] for x in found], np.int64), many) for c in (0, 1))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(owner), empty, empty, pa.nulls(len(owner), pa.string()),
-                         pa.array(_signed(np.concatenate([p for _, p in found])))], names=names)
+                        [pa.array(owner), pa.array(key), pa.nulls(len(owner), pa.int64()), pa.nulls(len(owner), pa.string()),
+                         pa.array(_signed(np.concatenate([p for _, _, p in found])))], names=names)
 
     return keyed.mapInArrow(read, _FIRST)
 
@@ -109,7 +111,10 @@ def candidate_windows(texts: DataFrame) -> DataFrame:
 
 
 def confirmed_passages(texts: DataFrame) -> DataFrame:
-    """(first, n_words, words, phrases) of the maximal runs of a document's confirmed ``windows``."""
+    """(first, piece, n_words, words, phrases) of the maximal runs of a document's confirmed ``windows``.
+
+    A run is cut where it passes a multiple of PIECE, the parts sharing all but one word of a window, so none is longer than that.
+    """
     names = [x.split()[0] for x in _PASSAGE.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,12 +125,12 @@ def confirmed_passages(texts: DataFrame) -> DataFrame:
                 for i in range(a, b):
                     hashes = words.hashes[words.first[i - a] : words.first[i - a + 1]]
                     here = np.flatnonzero(np.isin(run_hashes(hashes, WINDOW), confirmed[i].values.to_numpy().view(np.uint64)))
-                    for run in np.split(here, np.flatnonzero(np.diff(here) > 1) + 1) if len(here) else []:
+                    for run in np.split(here, np.flatnonzero((np.diff(here) > 1) | (np.diff(here // PIECE) > 0)) + 1) if len(here) else []:
                         passage = hashes[run[0] : run[-1] + WINDOW]
                         phrases, at = window_phrases(passage)
-                        rows.append((ids[i], len(passage), passage.tobytes(), _signed(np.unique(phrases[np.unique(at)])).tolist()))
+                        rows.append((ids[i], int(run[0]) // PIECE, len(passage), passage.tobytes(), _signed(np.unique(phrases[np.unique(at)])).tolist()))
                 if rows:
-                    types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+                    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -253,19 +258,21 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
        alone are dropped, which leaves the shared text.
     2. Windows around the others are confirmed: hashes that occur in two documents,
        each with the smallest id. Runs of them in that document are the passages.
-    3. Passages are dealt to shards of bounded size, and each shard becomes one
-       automaton over its phrases. Documents go to the shards that hold one of
+    3. Passages are dealt to shards of bounded size, those of a document together but for very
+       long ones, and each shard becomes one automaton over its phrases. Documents go to the shards that hold one of
        their phrases; a shard read by many documents is compiled in several parts.
        The windows around each occurrence are compared with those of the passages.
     """
     keyed = _keyed(docs)
     rows = materialize(document_phrases(keyed), "phrases")
     own = rows.filter("phrase is null").select("doc_id", "t", "n_words", "sha")
-    phrases = rows.filter("phrase is not null").select("phrase", "doc_id")
+    phrases = rows.filter("phrase is not null").select("phrase", "doc_id", "t")
     shared = phrases.groupBy(F.col("phrase").alias("_p")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    held = materialize(phrases.join(shared.select("_p"), F.col("phrase") == F.col("_p")).select("phrase", "doc_id"), "shared")
-    wanted = held.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("phrase").alias("phrases"))
-    texts = materialize(keyed.join(wanted, F.col("doc_id") == F.col("_d")).select("doc_id", "t", "text", "phrases"), "texts")
+    held = materialize(phrases.join(shared.select("_p"), F.col("phrase") == F.col("_p")).select("phrase", "doc_id", "t"), "shared")
+    wanted = held.groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set("phrase").alias("phrases"))
+    own_key = F.when(F.col("doc_id") == NO_ID, F.col("t")).otherwise(F.lit(0))
+    texts = materialize(
+        keyed.join(wanted, (F.col("doc_id") == F.col("_d")) & (own_key == F.col("_t"))).select("doc_id", "t", "text", "phrases"), "texts")
 
     windows = candidate_windows(texts).groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
     firsts = windows.groupBy(F.col("lo").alias("_d")).agg(F.collect_list("window").alias("windows"))
@@ -273,10 +280,10 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     passages = materialize(passages, "passages")
     total = passages.agg(F.sum("n_words")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
-    dealt = passages.withColumn("shard", F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int"))
+    dealt = passages.withColumn("shard", F.pmod(F.xxhash64("first", "piece"), F.lit(shards)).cast("int"))
 
     places = dealt.select("shard", "first", F.explode("phrases").alias("_p")).groupBy("_p", "shard").agg(F.min("first").alias("lo"))
-    routes = held.join(places, (F.col("phrase") == F.col("_p")) & (F.col("doc_id") > F.col("lo"))).select("doc_id", "shard").distinct()
+    routes = held.join(places, (F.col("phrase") == F.col("_p")) & (F.col("doc_id") > F.col("lo"))).select("doc_id", F.col("t").alias("key"), "shard").distinct()
     routes = materialize(routes, "routes")
     parts = routes.groupBy("shard").agg(F.ceil(F.count("*") / DOCS_PER_PART).cast("int").alias("parts"))
     parts = materialize(parts, "parts")
@@ -286,9 +293,9 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("first").alias("doc_id"), none.cast("bigint").alias("t"), none.cast("string").alias("text"), "words",
     )
     readers = routes.withColumnRenamed("doc_id", "_d").join(parts, "shard").join(
-        texts.select("doc_id", "t", "text").dropDuplicates(["doc_id", "t"]), F.col("_d") == F.col("doc_id")
+        texts.select("doc_id", "t", "text").dropDuplicates(["doc_id", "t"]), (F.col("_d") == F.col("doc_id")) & (F.col("key") == own_key)
     ).select(
-        "shard", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"),
+        "shard", F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"),
         "doc_id", "t", "text", none.cast("binary").alias("words"),
     )
     stream = sources.unionByName(readers).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")

@@ -12,11 +12,10 @@ import pandas as pd
 import public_tokenizers
 import pytest
 from compare import connect, difference
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
-from pathloom.llm import best_fit, components, mixing, spot_signatures, token_counts
+from pathloom.llm import best_fit, components, spot_signatures, token_counts
 from pathloom.llm.oracles import ORACLES
 from pathloom.llm.queries import QUERIES
 
@@ -172,25 +171,6 @@ def test_packing(spark, request, folder):
     assert len(held) <= 1.02 * total / 1024 + 2
 
 
-def test_mixing_stays_within_a_block(spark, small_dir):
-    docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source")).alias("source"))
-    rows = mixing.mix_sources(docs, block_docs=2, frame=60).collect()
-    assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
-    order = {r.slot: r.source for r in rows}
-    assert sorted(order) == list(range(len(order))) and all(r.release <= r.slot < r.deadline for r in rows)
-    sizes = spark.createDataFrame(sorted(Counter(r.source for r in docs.collect()).items()), "source string, n_docs long")
-    units = {r.source: r.units for r in mixing.target_units(sizes, mixing.TEMPER, 60).collect()}
-    frame = sum(units.values())
-    assert frame == 60
-    want = brute.edf(units, frame)
-    assert [order[t] for t in range(len(order))] == [want[t % frame] for t in range(len(order))]
-    seen = Counter()
-    for t in range(len(order)):
-        seen[order[t]] += 1
-        assert all(abs(seen[s] - units[s] * (t + 1) / frame) < 1 for s in units)
-    assert len({(r.doc_id, r.epoch) for r in rows}) == len(rows)
-
-
 @pytest.mark.parametrize("folder", ["small_dir", "odd_dir"])
 def test_pipeline_keeps_what_its_stages_keep(spark, request, folder):
     folder = request.getfixturevalue(folder)

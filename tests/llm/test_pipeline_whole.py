@@ -11,8 +11,8 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from pathloom.llm import best_fit, mixing
-from pathloom.llm.oracles import ORACLES
+from pathloom.llm import best_fit
+from pathloom.llm.oracles import ORACLES, mixing_sql
 
 
 def answer(sql, docs):
@@ -43,9 +43,7 @@ def whole_pipeline(folder):
     firsts = brute.near_components([(i, row[0]) for i, row in docs.items()])
     docs = {i: row for i, row in docs.items() if firsts[i][1] == i}
     left.append(len(docs))
-    own, asked = f"pow(n_docs, {mixing.TEMPER})", f"pow(n_docs, {corpus_pipeline.TEMPER})"
-    assert ORACLES["op5_pfair_mixing"].count(own) == 2
-    repeats = Counter(answer(ORACLES["op5_pfair_mixing"].replace(own, asked), table()).doc_id)
+    repeats = Counter(answer(mixing_sql(corpus_pipeline.TEMPER), table()).doc_id)
     library = best_fit.encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")).library
     want = Counter()
     for i, n in repeats.items():
