@@ -166,7 +166,7 @@ def meet(visited: DataFrame, queries: DataFrame, placed: DataFrame, blocks: Data
                     yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(best), ready[2].take(pa.array(at))], names=["row", "best", "nearest"])
 
     most = VISITORS * block_rows
-    crowds = materialize(visited.groupBy(F.col("block").alias("_c")).agg(F.ceil(F.count("*") / most).alias("parts")), "crowds")
+    crowds = visited.groupBy(F.col("block").alias("_c")).agg(F.ceil(F.count("*") / most).alias("parts"))
     shared = F.col("block") == F.col("_c")
     homes = placed.join(crowds, shared).select(
         "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("home"), "row", "key", "vec")
@@ -200,13 +200,15 @@ def search(
     itself = refs is None
     asking = numbered(queries, "queries")
     refs = asking if itself else numbered(refs, "references")
-    first = refs.filter("not zero").select(F.size("vec").alias("d")).first()
+    other = ~F.col("zero")
+    seen = refs.agg(F.count_if(other).alias("n"), F.max(F.when(other, F.size("vec"))).alias("d"), F.count_if("zero").alias("zeros")).first()
+    asking_zeros = seen["zeros"] if itself else asking.filter("zero").count()
     spark = queries.sparkSession
     key = dict(refs.dtypes)["key"]
     found = spark.createDataFrame([], f"row bigint, best double, nearest {key}")
     work = spark.createDataFrame([], "round int, visits bigint, pairs bigint")
-    if first is not None:
-        pivots = Pivots(refs, refs.count(), first["d"])
+    if seen["n"]:
+        pivots = Pivots(refs, seen["n"], seen["d"])
         placed = place(refs, pivots, block_rows)
         blocks = outlines(placed)
         plain = asking.filter("not zero").select("row", "vec")
@@ -215,7 +217,9 @@ def search(
             visited = materialize(visits(ask(known, pivots, itself, nearest_only), blocks), "visits")
             sized = visited.join(blocks.select(F.col("block").alias("_b"), "n"), F.col("block") == F.col("_b"))
             work = work.unionByName(sized.agg(F.lit(turn).alias("round"), F.count("*").alias("visits"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")))
-            some = materialize(_best_of(meet(visited, plain, placed, blocks, block_rows, itself)), "best")
+            some = _best_of(meet(visited, plain, placed, blocks, block_rows, itself))
+            if nearest_only:
+                some = materialize(some, "best")
             found = found.unionByName(some)
             known = plain.join(some.select(F.col("row").alias("_r"), "best"), F.col("row") == F.col("_r"), "left").drop("_r")
 
@@ -231,9 +235,9 @@ def search(
         return out
 
     k = 2 if itself else 1
-    if not asking.filter("zero").isEmpty():
+    if asking_zeros:
         found = found.unionByName(paired(asking.filter("zero"), lowest(refs, k)))
-    if not refs.filter("zero").isEmpty():
+    if seen["zeros"]:
         found = found.unionByName(paired(asking.filter("not zero"), lowest(refs.filter("zero"), 1)))
     best = _best_of(found)
     return asking.select("row", "key").join(best.withColumnRenamed("row", "_r"), F.col("row") == F.col("_r")).select("row", "key", "best", "nearest"), work

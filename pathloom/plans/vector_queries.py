@@ -164,7 +164,7 @@ def token_pool(spark, sf_dir):
     expect(
         "edges",
         f""", ex AS (SELECT dst_id, rel, (src_id % 3 + 1) / 4.0::DOUBLE AS w, unnest(embedding::DOUBLE[]) AS x, unnest(range({DIM})) AS dim FROM edges JOIN embeddings ON vec_id + 1 = src_id)
-  SELECT dst_id AS key, dim, round(sum(v), 6) AS value FROM (SELECT dst_id, rel, dim, sum(w * x) / greatest(sum(w), 1) AS v FROM ex GROUP BY ALL) GROUP BY dst_id, dim""",
+  SELECT dst_id AS key, dim, round(sum(v), 6) + 0.0::DOUBLE AS value FROM (SELECT dst_id, rel, dim, sum(w * x) / greatest(sum(w), 1) AS v FROM ex GROUP BY ALL) GROUP BY dst_id, dim""",
     ),
 )
 def neighbor_mean(spark, sf_dir):
