@@ -264,9 +264,16 @@ def read_features_by_type(spark: SparkSession, path: str, nodes: DataFrame) -> t
 
 
 def read_run_metrics(spark: SparkSession, path: str, name: str, aliases: Sequence[str] = (), on_missing: str = "error") -> DataFrame:
-    """(file, value) of one metric in nested result files; see ``select_run_metric``. One file is one row: for result files, not tables."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return select_run_metric(files, name, aliases, on_missing)
+    """(file, value) of one metric in nested result files; see ``select_run_metric``. The outermost object or list of a file is read in parts."""
+    entries = json_entries(spark, path, {"{": 1, "[": 1})
+    pair = object_entry("text", "string")
+    in_object = F.col("opener") == "{"
+    key = F.when(in_object, pair["key"]).otherwise(F.col("entry").cast("string"))
+    value = F.when(in_object, pair["value"]).otherwise(list_entry("text", "string"))
+    level = entries.select(
+        "file", F.lit(None).cast("string").alias("parent"), key.alias("key"), F.trim(value).alias("text"), F.array("entry").alias("place"))
+    files = spark.read.text(path, lineSep=",").select(F.col("_metadata.file_path").alias("file")).distinct()
+    return _selected(files, nested_entries(materialize(level, "entries")), name, aliases, on_missing)
 
 
 # --- fixed values: objects under which a metric may stand ---
@@ -282,14 +289,12 @@ def metric_key(col: Column) -> Column:
     return out
 
 
-def nested_entries(files: DataFrame) -> DataFrame:
-    """(file, parent, key, text, place) of every entry of JSON documents, at any depth.
+def nested_entries(level: DataFrame) -> DataFrame:
+    """(file, parent, key, text, place) of the given entries of JSON documents and of all inside them.
 
     ``place`` orders entries as they stand. Each pass opens one level more.
     """
-    level = files.select("file", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("key"),
-                         F.trim("value").alias("text"), F.array().cast("array<int>").alias("place"))
-    found = []
+    found = [level]
     while not level.isEmpty():
         inside = F.when(F.col("text").startswith("{"), F.map_entries(F.from_json("text", "map<string,string>")))
         listed = F.from_json("text", "array<string>")
@@ -297,10 +302,10 @@ def nested_entries(files: DataFrame) -> DataFrame:
         inside = inside.when(F.col("text").startswith("["), numbered)
         opened = level.select("file", F.col("key").alias("parent"), "place", F.posexplode(inside).alias("_i", "_e"))
         level = materialize(opened.select(
-            "file", "parent", "_e.key", F.trim("_e.value").alias("text"), F.concat("place", F.array("_i")).alias("place")
+            "file", "parent", "_e.key", F.trim("_e.value").alias("text"), F.concat("place", F.array(F.col("_i").cast("bigint"))).alias("place")
         ), "entries")
         found.append(level)
-    return reduce(DataFrame.unionByName, found) if found else level
+    return reduce(DataFrame.unionByName, found)
 
 
 def select_run_metric(files: DataFrame, name: str, aliases: Sequence[str] = (), on_missing: str = "error") -> DataFrame:
@@ -311,7 +316,13 @@ def select_run_metric(files: DataFrame, name: str, aliases: Sequence[str] = (),
     one of an alias. More than one alias is an error, and so is a document
     without the metric unless ``on_missing`` is 'null'. Numbers written as text count.
     """
-    numbers = nested_entries(files).select(
+    whole = files.select("file", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("key"),
+                         F.trim("value").alias("text"), F.array().cast("array<bigint>").alias("place"))
+    return _selected(files, nested_entries(whole), name, aliases, on_missing)
+
+
+def _selected(files: DataFrame, entries: DataFrame, name: str, aliases: Sequence[str], on_missing: str) -> DataFrame:
+    numbers = entries.select(
         "file", "place", metric_key(F.col("key")).alias("key"), metric_key(F.col("parent")).alias("parent"),
         F.col("text").try_cast("double").alias("value"),
     ).filter(F.col("value").isNotNull() & F.col("parent").isin(*METRIC_PARENTS))
