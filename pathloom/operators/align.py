@@ -13,7 +13,7 @@ from ..functions.text import normalize_text
 from ..lineage import materialize
 from ..schema import DISEASE, DRUG, GENE
 from .identity import alias_index_first_wins
-from .paths import join_sliced
+from .paths import join_sliced, shared_genes
 from .tables import dedup_keep_first, drop_null_rows
 
 SIDES: Mapping[str, str] = {"drug": DRUG, "target": GENE, "disease": DISEASE}
@@ -96,19 +96,33 @@ def resolve_entities(
     return resolve_sides(triples, materialize(alias_index_first_wins(nodes), "aliases"), list(SIDES), mappings)
 
 
+def resolve_associations(
+    drug_target: DataFrame, target_disease: DataFrame, nodes: DataFrame, mappings: Mapping[str, DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Both association tables with the raw ids of their sides, that of the target as ``_left`` and ``_right``.
+
+    Each association is resolved once, however many triples it is in.
+    """
+    index = materialize(alias_index_first_wins(nodes), "aliases")
+    left = resolve_sides(drug_target, index, ("drug", "target"), mappings).withColumnRenamed("kg_target", "_left")
+    right = resolve_sides(target_disease, index, ("target", "disease"), mappings).withColumnRenamed("kg_target", "_right")
+    return left, right
+
+
 def align_associations(
     drug_target: DataFrame, target_disease: DataFrame, nodes: DataFrame, mappings: Mapping[str, DataFrame] | None = None
 ) -> DataFrame:
     """The triples of ``bridge_join`` with the raw id of every side, resolved before the join.
 
-    Each association is resolved once, however many triples it is in, and the
-    triples are never shuffled. A target is resolved by the name its triple
+    The triples are never shuffled. A target is resolved by the name its triple
     shows: the drug side's, else the disease side's. A target with very many
     associations is cut into slices.
     """
-    index = materialize(alias_index_first_wins(nodes), "aliases")
-    left = resolve_sides(drug_target, index, ("drug", "target"), mappings).withColumnRenamed("kg_target", "_left")
-    right = resolve_sides(target_disease, index, ("target", "disease"), mappings).withColumnRenamed("kg_target", "_right")
+    return join_resolved(*resolve_associations(drug_target, target_disease, nodes, mappings))
+
+
+def join_resolved(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The triples of two tables of ``resolve_associations``."""
     named = "target_name" in left.columns
     left, right = _name(left, "target_name", "l"), _name(right, "target_name", "r")
     joined = join_sliced(left, right, "target_id")
@@ -122,6 +136,75 @@ def align_associations(
     )
 
 
+# Training drugs of a disease at one target that are looked up in a list; more are found by a join.
+HITS_PER_ROW = 1_000
+
+
+def _mapped_sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source, kg_target, kg_drug, several) and (source, kg_disease), distinct, from ``resolve_associations``.
+
+    A source is a target id, with the raw id where the disease side names the target. Rows
+    of a source join to distinct triples; ``several`` marks raw ids of targets that more than one source stands for.
+    """
+    def source(tag: Column) -> Column:
+        return F.concat(F.length(tag).cast("string"), F.lit(":"), tag, F.col("target_id")).alias("source")
+
+    if "target_name" in left.columns and "target_name" in right.columns:
+        own = F.col("target_name").isNotNull()
+    else:
+        own = F.lit("target_name" in left.columns or "target_name" not in right.columns)
+    plain = F.lit("")
+    mine, theirs = left.filter("kg_drug is not null"), right.filter("kg_disease is not null")
+    by_left = mine.filter(own & F.col("_left").isNotNull()).select(source(plain), F.col("_left").alias("kg_target"), "kg_drug").distinct()
+    asked = mine.filter(~own).select("target_id", "kg_drug").distinct()
+    tagged = theirs.filter("_right is not null").join(asked.select("target_id").distinct(), "target_id", "left_semi")
+    by_right = asked.join(tagged.select("target_id", "_right").distinct(), "target_id").select(
+        source(F.col("_right")), F.col("_right").alias("kg_target"), "kg_drug"
+    )
+    drugs = materialize(by_left.unionByName(by_right), "drug_sides")
+    several = drugs.groupBy("kg_target").agg((F.min("source") != F.max("source")).alias("several"))
+    diseases = theirs.select(source(plain), "kg_disease").unionByName(tagged.select(source(F.col("_right")), "kg_disease"))
+    return materialize(drugs.join(several, "kg_target"), "drug_sides"), materialize(diseases.distinct(), "disease_sides")
+
+
+def mapped_triples(left: DataFrame, right: DataFrame, train_pairs: DataFrame | None = None) -> DataFrame:
+    """``fully_mapped`` of ``join_resolved``; with ``train_pairs`` marked as ``mark_overlap`` does.
+
+    Both sides become distinct before they are joined, so only triples of targets that several sources stand
+    for are compared with each other; the others are never shuffled. Training pairs are expanded through
+    their end with fewer sources, and what they share goes to the disease side as lists, long ones as a join.
+    """
+    drugs, diseases = _mapped_sides(left, right)
+    ids = [f"kg_{s}" for s in SIDES]
+    if train_pairs is None:
+        def triples(of: DataFrame) -> DataFrame:
+            return join_sliced(of, diseases, "source").select(*ids)
+    else:
+        train = train_pairs.select(F.col("kg_drug").alias("drug"), F.col("kg_disease").alias("disease")).distinct()
+        hits = materialize(shared_genes(
+            train, drugs.select(F.col("kg_drug").alias("drug"), F.col("source").alias("gene")).distinct(),
+            diseases.select(F.col("kg_disease").alias("disease"), F.col("source").alias("gene")),
+        ).select(F.col("gene").alias("source"), F.col("disease").alias("kg_disease"), F.col("drug").alias("kg_drug")), "hits")
+        # a list is gathered only where it is short
+        key = ["source", "kg_disease"]
+        sizes = hits.groupBy(*key).agg((F.count("*") > HITS_PER_ROW).alias("_long"))
+        crowded = materialize(sizes.filter("_long").drop("_long"), "crowded")
+        few = hits.join(crowded, key, "left_anti").groupBy(*key).agg(F.collect_list("kg_drug").alias("_hits"))
+        listed = materialize(
+            diseases.join(crowded.withColumn("_long", F.lit(True)), key, "left").join(few, key, "left"), "disease_sides"
+        )
+        flags = hits.withColumn("_hit", F.lit(True))
+
+        def triples(of: DataFrame) -> DataFrame:
+            short = join_sliced(of, listed.filter("_long is null"), "source").select(
+                *ids, F.coalesce(F.array_contains("_hits", F.col("kg_drug")), F.lit(False)).alias("is_overlap")
+            )
+            long = join_sliced(of, listed.filter("_long").drop("_hits"), "source").join(flags, [*key, "kg_drug"], "left")
+            return short.unionByName(long.select(*ids, F.coalesce("_hit", F.lit(False)).alias("is_overlap")))
+
+    return triples(drugs.filter("not several")).unionByName(triples(drugs.filter("several")).distinct())
+
+
 def name_resolved(aligned: DataFrame, nodes: DataFrame) -> DataFrame:
     """Add the graph's own names of resolved ids."""
     for side in SIDES:
@@ -136,56 +219,71 @@ def fully_mapped(aligned: DataFrame) -> DataFrame:
     return aligned.filter(" and ".join(f"{c} is not null" for c in ids)).select(*ids).distinct()
 
 
-def mark_overlap(triples: DataFrame, train_pairs: DataFrame) -> DataFrame:
-    """Flag triples whose (drug, disease) pair is a training pair."""
+def mark_overlap(triples: DataFrame, train_pairs: DataFrame | None) -> DataFrame:
+    """Flag triples whose (drug, disease) pair is a training pair; without pairs they have their flags already."""
+    if train_pairs is None:
+        return triples
     train = train_pairs.select("kg_drug", "kg_disease").distinct().withColumn("_hit", F.lit(True))
     return triples.join(train, ["kg_drug", "kg_disease"], "left").select(
         *triples.columns, F.coalesce("_hit", F.lit(False)).alias("is_overlap")
     )
 
 
-def split_overlap_novel(triples: DataFrame, train_pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_overlap_novel(triples: DataFrame, train_pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     marked = mark_overlap(triples, train_pairs)
     return marked.filter("is_overlap").drop("is_overlap"), marked.filter("not is_overlap").drop("is_overlap")
 
 
-def novelty_report(triples: DataFrame, train_pairs: DataFrame) -> DataFrame:
+def novelty_report(triples: DataFrame, train_pairs: DataFrame | None = None) -> DataFrame:
     return _novelty(mark_overlap(triples, train_pairs))
 
 
 def _novelty(marked: DataFrame) -> DataFrame:
-    pair = F.struct("kg_drug", "kg_disease")
     hit = F.col("is_overlap")
-    return marked.agg(
-        F.count("*").alias("n_aligned"),
-        F.count_if(hit).alias("n_overlap"),
-        F.count_if(~hit).alias("n_novel"),
-        safe_ratio(F.count_if(hit), F.count("*")).alias("overlap_ratio"),
-        safe_ratio(F.count_if(~hit), F.count("*")).alias("novel_ratio"),
-        F.count_distinct(F.when(hit, pair)).alias("overlap_pairs"),
-        F.count_distinct(F.when(~hit, pair)).alias("novel_pairs"),
+    # a pair is a training pair or not, whatever its triples
+    by_pair = marked.groupBy("kg_drug", "kg_disease").agg(F.first("is_overlap").alias("is_overlap"), F.count("*").alias("_n"))
+
+    def rows(*of: Column) -> Column:
+        return F.coalesce(F.sum(F.when(of[0], F.col("_n")) if of else F.col("_n")), F.lit(0)).cast("bigint")
+
+    return by_pair.agg(
+        rows().alias("n_aligned"),
+        rows(hit).alias("n_overlap"),
+        rows(~hit).alias("n_novel"),
+        safe_ratio(rows(hit), rows()).alias("overlap_ratio"),
+        safe_ratio(rows(~hit), rows()).alias("novel_ratio"),
+        F.count_if(hit).alias("overlap_pairs"),
+        F.count_if(~hit).alias("novel_pairs"),
     )
 
 
-def mapping_report(aligned: DataFrame) -> DataFrame:
+def mapping_report(aligned: DataFrame, triples: DataFrame | None = None) -> DataFrame:
     """Per side and for whole triples: rows, mapped rows, entities and their rates.
 
     A scope's rows are combined by id before anything moves, so a side costs as
-    many rows as it has entities.
+    many rows as it has entities. ``triples`` are the distinct resolved triples, where they are at hand; ``aligned``
+    must then hold one row per triple of ids, as ``join_resolved`` gives it, and no triple is moved.
     """
-    aligned = materialize(aligned.select(*[c for s in SIDES for c in (f"{s}_id", f"kg_{s}")]), "aligned")
+    aligned = aligned.select(*[c for s in SIDES for c in (f"{s}_id", f"kg_{s}")])
+    if triples is None:
+        aligned = materialize(aligned, "aligned")
 
     def scope(name: str, sides: Sequence[str]) -> DataFrame:
         ids, kgs = [f"{s}_id" for s in sides], [f"kg_{s}" for s in sides]
         mapped = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in kgs])
-        by_id = aligned.groupBy(*ids).agg(F.count("*").alias("n"), F.count_if(mapped).alias("m"))
-        counts = by_id.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_triples"),
-            F.coalesce(F.sum("m"), F.lit(0)).cast("bigint").alias("n_mapped"),
-            F.count("*").alias("n_entities"), F.count_if(F.col("m") > 0).alias("_hits"),
-        )
+        if len(sides) > 1 and triples is not None:
+            counts = aligned.agg(F.count("*").alias("n_triples"), F.count_if(mapped).alias("n_mapped"))
+            counts = counts.withColumns({"n_entities": F.col("n_triples"), "_hits": F.col("n_mapped")})
+        else:
+            by_id = aligned.groupBy(*ids).agg(F.count("*").alias("n"), F.count_if(mapped).alias("m"))
+            counts = by_id.agg(
+                F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_triples"),
+                F.coalesce(F.sum("m"), F.lit(0)).cast("bigint").alias("n_mapped"),
+                F.count("*").alias("n_entities"), F.count_if(F.col("m") > 0).alias("_hits"),
+            )
         if len(sides) > 1:
-            counts = counts.withColumn("_kg", aligned.filter(mapped).select(*kgs).distinct().agg(F.count("*")).scalar())
+            whole = aligned.filter(mapped).select(*kgs).distinct() if triples is None else triples
+            counts = counts.withColumn("_kg", whole.agg(F.count("*")).scalar())
         else:
             counts = counts.withColumn("_kg", F.col("_hits"))
         return counts.select(
@@ -198,25 +296,30 @@ def mapping_report(aligned: DataFrame) -> DataFrame:
 
 
 def alignment_report(
-    drug_target: DataFrame, target_disease: DataFrame, candidates: DataFrame, triples: DataFrame, train_pairs: DataFrame
+    drug_target: DataFrame, target_disease: DataFrame, candidates: DataFrame, triples: DataFrame, train_pairs: DataFrame | None = None
 ) -> DataFrame:
     """(section, key, value) counts of every stage of the alignment."""
     def rows(df: DataFrame, section: str) -> DataFrame:
         cells = [F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in df.columns]
         return df.select(F.lit(section).alias("section"), F.inline(F.array(*cells)))
 
-    marked = materialize(mark_overlap(triples, train_pairs), "marked")
-    unique = marked.filter("not is_overlap").agg(
-        F.count_distinct("kg_drug").alias("drugs"),
-        F.count_distinct("kg_target").alias("targets"),
-        F.count_distinct("kg_disease").alias("diseases"),
-        F.count_distinct("kg_drug", "kg_disease").alias("pairs"),
+    marked = mark_overlap(triples, train_pairs)
+    if train_pairs is not None:
+        marked = materialize(marked, "marked")
+    new = marked.filter("not is_overlap")
+    novelty = materialize(_novelty(marked), "novelty")  # one row
+
+    def entities(side: str) -> Column:
+        return new.select(f"kg_{side}").distinct().agg(F.count("*")).scalar()
+
+    unique = novelty.select(
+        *[entities(s).alias(f"{s}s") for s in SIDES], F.col("novel_pairs").alias("pairs")
     )
     stages = (
         (drug_target.agg(F.count("*").alias("drug_target")), "input"),
         (target_disease.agg(F.count("*").alias("target_disease")), "input"),
         (candidates.agg(F.count("*").alias("candidates")), "construction"),
-        (_novelty(marked), "novelty"),
+        (novelty, "novelty"),
         (unique, "novel_entities"),
     )
     return reduce(DataFrame.unionByName, [rows(df, section) for df, section in stages])

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.keyed import HASH_SPACE, key_hash
+from ..lineage import materialize
 from ..schema import DISEASE, DRUG, DUMMY_PATHWAY, GENE
 from .graph import direct_pairs, disease_gene, drug_gene, gene_pathways
 from .ordered import list_chunks
 
 # A gene whose paths exceed this count is enumerated by several tasks.
-PATHS_PER_TASK = 5_000_000
+PATHS_PER_TASK = 2_000_000
 # Paths of a pair in one row of a chunked export.
 PATHS_PER_ROW = 10_000
 
@@ -29,18 +30,17 @@ def mechanism_links(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def join_sliced(left: DataFrame, right: DataFrame, on: str, paths_per_task: int = PATHS_PER_TASK) -> DataFrame:
     """All (left, right) combinations per value of ``on``, hub values spread over many tasks.
 
-    The slices of a hub's left rows meet a copy of its right rows each, so
-    a task emits about ``paths_per_task`` rows however skewed the values are.
+    The slices of a hub's left rows meet a copy of its right rows each, and both
+    sides are dealt to as many tasks as the counted combinations need, so a task
+    emits about ``paths_per_task`` rows however skewed the values are and however few bytes the sides have.
     """
     n_left = left.groupBy(on).agg(F.count("*").alias("_nl"))
     n_right = right.groupBy(on).agg(F.count("*").alias("_nr"))
-    hubs = (
-        n_left.join(n_right, on)
-        .filter(F.col("_nl") * F.col("_nr") > paths_per_task)
-        .select(
-            on,
-            F.least("_nl", F.ceil(F.col("_nl") * F.col("_nr") / F.lit(paths_per_task))).cast("int").alias("_slices"),
-        )
+    paths = (F.col("_nl") * F.col("_nr")).alias("_paths")
+    met = materialize(n_left.join(n_right, on).select(on, "_nl", paths), "met")
+    total = met.agg(F.sum("_paths")).first()[0] or 0
+    hubs = met.filter(F.col("_paths") > paths_per_task).select(
+        on, F.least("_nl", F.ceil(F.col("_paths") / F.lit(paths_per_task))).cast("int").alias("_slices")
     )
     # at most (number of paths) / paths_per_task values are hubs
     hubs = F.broadcast(hubs)
@@ -50,6 +50,9 @@ def join_sliced(left: DataFrame, right: DataFrame, on: str, paths_per_task: int
     # a hash fraction may round up to 1, so slices run from 0 to _slices inclusive
     copies = F.sequence(F.lit(0), F.coalesce("_slices", F.lit(0)))
     copied = right.join(hubs, on, "left").withColumn("_slice", F.explode(copies)).drop("_slices")
+    tasks = -(-total // paths_per_task)
+    if tasks > 1:
+        sliced, copied = sliced.repartition(tasks, on, "_slice"), copied.repartition(tasks, on, "_slice")
     return sliced.join(copied, [on, "_slice"]).drop("_slice")
 
 

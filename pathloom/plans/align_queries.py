@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import list_literal
+from ..lineage import materialize
 from ..operators import align as al
 from ..operators import tables as tab
 from .audit_queries import rounded
@@ -82,6 +83,15 @@ def aligned(spark, sf_dir):
     return al.align_associations(drug_target(spark, sf_dir), target_disease(spark, sf_dir), graph(spark, sf_dir).nodes)
 
 
+def resolved(spark, sf_dir):
+    return al.resolve_associations(drug_target(spark, sf_dir), target_disease(spark, sf_dir), graph(spark, sf_dir).nodes)
+
+
+def marked(spark, sf_dir):
+    """Distinct resolved triples, flagged where their pair is a training pair."""
+    return al.mapped_triples(*resolved(spark, sf_dir), train_pairs(spark, sf_dir))
+
+
 def train_pairs(spark, sf_dir):
     train = splits(spark, sf_dir, "random").filter("split = 'train'")
     return al.training_pairs_from(train, graph(spark, sf_dir).nodes)
@@ -117,17 +127,17 @@ def resolve_mapped(spark, sf_dir):
 
 @query("full_triples", _sql(_ALIGNED, "SELECT * FROM full_triples"))
 def full_triples(spark, sf_dir):
-    return al.fully_mapped(aligned(spark, sf_dir))
+    return al.mapped_triples(*resolved(spark, sf_dir))
 
 
 @query("overlap", _sql(_ALIGNED, "SELECT kg_drug, kg_target, kg_disease FROM marked WHERE hit"))
 def overlap(spark, sf_dir):
-    return al.split_overlap_novel(al.fully_mapped(aligned(spark, sf_dir)), train_pairs(spark, sf_dir))[0]
+    return al.split_overlap_novel(marked(spark, sf_dir))[0]
 
 
 @query("novel", _sql(_ALIGNED, "SELECT kg_drug, kg_target, kg_disease FROM marked WHERE NOT hit"))
 def novel(spark, sf_dir):
-    return al.split_overlap_novel(al.fully_mapped(aligned(spark, sf_dir)), train_pairs(spark, sf_dir))[1]
+    return al.split_overlap_novel(marked(spark, sf_dir))[1]
 
 
 _NOVELTY = """SELECT count(*) AS n_aligned, count(*) FILTER (WHERE hit) AS n_overlap, count(*) FILTER (WHERE NOT hit) AS n_novel,
@@ -137,8 +147,7 @@ _NOVELTY = """SELECT count(*) AS n_aligned, count(*) FILTER (WHERE hit) AS n_ove
 
 @query("novelty_report", _sql(_ALIGNED, _NOVELTY))
 def novelty_report(spark, sf_dir):
-    triples = al.fully_mapped(aligned(spark, sf_dir))
-    return rounded(al.novelty_report(triples, train_pairs(spark, sf_dir)), "overlap_ratio", "novel_ratio")
+    return rounded(al.novelty_report(marked(spark, sf_dir)), "overlap_ratio", "novel_ratio")
 
 
 def _side(side: str) -> str:
@@ -159,7 +168,8 @@ _WHOLE = "kg_drug IS NOT NULL AND kg_target IS NOT NULL AND kg_disease IS NOT NU
     ),
 )
 def mapping_report(spark, sf_dir):
-    return rounded(al.mapping_report(aligned(spark, sf_dir)), "triple_rate", "entity_rate")
+    sides = resolved(spark, sf_dir)
+    return rounded(al.mapping_report(al.join_resolved(*sides), al.mapped_triples(*sides)), "triple_rate", "entity_rate")
 
 
 @query(
@@ -174,9 +184,10 @@ def mapping_report(spark, sf_dir):
     ),
 )
 def alignment_report(spark, sf_dir):
-    dt, td = drug_target(spark, sf_dir), target_disease(spark, sf_dir)
-    triples = al.fully_mapped(aligned(spark, sf_dir))
-    return rounded(al.alignment_report(dt, td, al.bridge_join(dt, td), triples, train_pairs(spark, sf_dir)), "value")
+    dt, td = materialize(drug_target(spark, sf_dir), "drug_target"), materialize(target_disease(spark, sf_dir), "target_disease")
+    sides = al.resolve_associations(dt, td, graph(spark, sf_dir).nodes)
+    triples = al.mapped_triples(*sides, train_pairs(spark, sf_dir))
+    return rounded(al.alignment_report(dt, td, al.bridge_join(dt, td), triples), "value")
 
 
 # --- static tables, patches and resumed runs ---

@@ -255,3 +255,13 @@ def test_banks(spark):
     assert pa.topology_bank(own, external).count() == 4
     pairs = spark.createDataFrame([(1, 3), (8, 8)], PAIR)
     assert rows_of(pa.first_path_per_pair(pairs, own), "drug", "disease", "gene", "has_path") == [(1, 3, 2, True), (8, 8, 0, False)]
+
+
+def test_paths_are_dealt_to_as_many_tasks_as_their_count_needs(spark):
+    """Two small sides with many combinations: tasks follow the paths, not the bytes read."""
+    left = spark.range(400).selectExpr("id as drug", "id % 4 as gene")
+    right = spark.range(400).selectExpr("id as disease", "id % 4 as gene")
+    joined = pa.join_on_gene(left, right, paths_per_task=2_000)
+    assert joined.count() == 4 * 100 * 100
+    sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 40_000 and len(sizes) >= 8 and max(sizes) <= 10_000

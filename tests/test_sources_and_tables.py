@@ -416,3 +416,48 @@ def test_chunks_of_one_hot_key(spark):
     assert {k: ", ".join(v) for k, v in got.items()} == {k: ", ".join(v) for k, v in want.items()} and len(got["hot"]) > 60
     lists = ordered.list_chunks(df.fillna("", ["k"]), ["k"], ["o"], 100).collect()
     assert max(len(r["items"]) for r in lists) == 100 and sum(len(r["items"]) for r in lists) == len(rows)
+
+
+@pytest.mark.parametrize("hits_per_row", [1_000, 0])
+@pytest.mark.parametrize("named", [(True, True), (True, False), (False, True), (False, False)])
+def test_mapped_triples_are_those_of_the_aligned_table(spark, monkeypatch, named, hits_per_row):
+    """Ids that share a node, names on either side, and training pairs in lists or joined."""
+    monkeypatch.setattr(align, "HITS_PER_ROW", hits_per_row)
+    nodes = spark.createDataFrame(
+        [(1, "drug::1", "drug", "a", "X"), (2, "drug::2", "drug", "b", "X"), (3, "gene/protein::1", "gene/protein", "g", "X"),
+         (4, "gene/protein::2", "gene/protein", "k", "X"), (5, "disease::1", "disease", "s", "X"), (6, "disease::2", "disease", "t", "X")],
+        "global_id long, raw_id string, node_type string, name string, source string",
+    )
+    left = spark.createDataFrame(
+        [("1", "u1", "a", "g"), ("e1", "u1", "a", "g"), ("2", "u2", "b", "g"), ("1", "u2", "a", None), ("2", "u3", "b", None), ("e2", "2", "zz", "k"), ("2", "2", "b", "zz")],
+        "drug_id string, target_id string, drug_name string, target_name string",
+    )
+    right = spark.createDataFrame(
+        [("u1", "1", "s", "k"), ("u2", "1", "s", "k"), ("u2", "2", "t", "g"), ("u3", "x", "s", "g"), ("u3", "1", "s", "k"), ("2", "x", "none", "k"), ("2", "2", "t", None)],
+        "target_id string, disease_id string, disease_name string, target_name string",
+    )
+    left, right = (df if keep else df.drop("target_name") for df, keep in zip((left, right), named, strict=True))
+    train = spark.createDataFrame([("drug::1", "disease::1"), ("drug::2", "disease::2")], "kg_drug string, kg_disease string")
+    sides = align.resolve_associations(left, right, nodes)
+    whole = align.fully_mapped(align.align_associations(left, right, nodes))
+    expected = sorted(tuple(r) for r in align.mark_overlap(whole, train).collect())
+    marked = align.mapped_triples(*sides, train)
+    assert expected and sorted(tuple(r) for r in marked.collect()) == expected
+    assert sorted(tuple(r) for r in align.mapped_triples(*sides).collect()) == [e[:3] for e in expected]
+    assert align.novelty_report(marked).collect() == align.novelty_report(whole, train).collect()
+    report = align.mapping_report(align.join_resolved(*sides), align.mapped_triples(*sides))
+    assert sorted(report.collect()) == sorted(align.mapping_report(align.join_resolved(*sides)).collect())
+
+
+def test_one_target_with_many_triples_and_a_training_pair(spark):
+    drugs, diseases = 300, 200
+    nodes = spark.createDataFrame(
+        [(i, f"drug::{i}", "drug", f"d{i}", "X") for i in range(drugs)] + [(1000 + i, f"disease::{i}", "disease", f"s{i}", "X") for i in range(diseases)]
+        + [(5000, "gene/protein::7", "gene/protein", "g", "X")],
+        "global_id long, raw_id string, node_type string, name string, source string",
+    )
+    left = spark.range(drugs).selectExpr("string(id) as drug_id", "'7' as target_id", "concat('d', id) as drug_name")
+    right = spark.range(diseases).selectExpr("'7' as target_id", "string(id) as disease_id", "concat('s', id) as disease_name")
+    train = spark.createDataFrame([("drug::1", "disease::1")], "kg_drug string, kg_disease string")
+    marked = align.mapped_triples(*align.resolve_associations(left, right, nodes), train)
+    assert marked.filter("is_overlap").count() == 1 and marked.count() == drugs * diseases
