@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cosine, l2_norm, safe_ratio, zeros
+from ..lineage import materialize
 from ..schema import DUMMY_PATHWAY, QUAD
 from .checks import assert_empty
 from .neighbors import BLOCK_ROWS, search
@@ -201,29 +203,54 @@ def pool_paths(pairs: DataFrame, path_vectors: DataFrame, mode: str, dim: int) -
     return _zero_filled(pairs.select(*on).distinct(), pooled, on, dim)
 
 
-def neighbor_aggregate(edges: DataFrame, vectors: DataFrame, weight: Column | None = None) -> DataFrame:
+# Edges into one node that one task adds up, edges of a task, and numbers of a vector table that every task gets.
+EDGES_PER_TASK = 100_000
+EDGES_TOGETHER = 500_000
+NUMBERS_SENT = 1 << 24
+
+
+def neighbor_aggregate(
+    edges: DataFrame, vectors: DataFrame, weight: Column | None = None, edges_per_task: int = EDGES_PER_TASK
+) -> DataFrame:
     """(key, vec): one propagation step along edge direction.
 
     Per relation, the weighted sum of source vectors over max(weight sum, 1);
-    relations are then added up. ``vectors`` is (key, vec) by global id.
+    relations are then added up. ``vectors`` is (key, vec) by global id. Weight sums
+    are found from numbers alone, which makes the step one sum per node: edges are dealt by node, and a vector
+    table of at most ``NUMBERS_SENT`` numbers is sent to them; of a larger one a vector moves once an edge, as it is stored. A node with more than ``edges_per_task`` edges is added up by several tasks.
     """
     w = (weight if weight is not None else F.lit(1.0)).cast("double")
-    links = edges.select("src_id", "src_type", "rel", "dst_type", "dst_id", w.alias("_w"))
-    sources = vectors.select(F.col("key").alias("src_id"), _as_vector("vec").alias("_v"))
-    per_relation = (
-        links.join(sources, "src_id")
-        .groupBy("dst_id", "src_type", "rel", "dst_type")
-        .agg(Summarizer.mean(F.col("_v"), F.col("_w")).alias("_m"), F.sum("_w").alias("_s"))
-        # mean * s is the weighted sum; over max(s, 1) that leaves min(s, 1)
-        .withColumn("_f", F.col("_s") / F.greatest("_s", F.lit(1.0)))
-    )
-    scaled = per_relation.select(
-        F.col("dst_id").alias("key"), F.transform(vector_to_array("_m"), lambda x: x * F.col("_f")).alias("_a")
-    )
-    summed = scaled.groupBy("key").agg(
-        Summarizer.mean(array_to_vector("_a")).alias("_m"), F.count("*").cast("double").alias("_n")
+    kind = ["dst_id", "src_type", "rel", "dst_type"]
+    links = edges.select("src_id", *kind, w.alias("_w"))
+    sources = vectors.select(F.col("key").alias("src_id"), F.col("vec").alias("_v"))
+    sums = links.join(sources.select("src_id"), "src_id").groupBy(*kind).agg(F.sum("_w").alias("_s"), F.count("*").alias("_n"))
+    sums = materialize(sums.select(*[F.col(c).alias(f"_{c}") for c in kind], "_s", "_n"), "weights")
+    many = sums.groupBy("_dst_id").agg(F.sum("_n").alias("_n")).filter(F.col("_n") > edges_per_task)
+    # at most (number of edges) / edges_per_task nodes
+    many = materialize(many.select(F.col("_dst_id").alias("dst_id"), F.ceil(F.col("_n") / edges_per_task).alias("_parts")), "many")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in kind])
+    shares = links.join(sums, same).select("src_id", "dst_id", (F.col("_w") / F.greatest("_s", F.lit(1.0))).alias("_f"))
+
+    tasks = -(-(sums.agg(F.sum("_n")).first()[0] or 0) // EDGES_TOGETHER) or 1
+    sent = (vectors.agg(F.sum(F.size("vec").cast("bigint"))).first()[0] or 0) <= NUMBERS_SENT
+
+    def added(rows: DataFrame, keys: list[str]) -> DataFrame:
+        if sent:
+            moved = rows.repartition(tasks, *keys).join(F.broadcast(sources), "src_id").select(*keys, "_f", "_v")
+        else:
+            moved = rows.join(sources, "src_id").select(*keys, "_f", "_v").repartition(tasks, *keys)
+        mean = Summarizer.mean(_as_vector("_v"), F.col("_f")).alias("_m")
+        total = moved.groupBy(*keys).agg(mean, F.sum("_f").alias("_s"))
+        return total.select(F.col("dst_id").alias("key"), F.transform(vector_to_array("_m"), lambda x: x * F.col("_s")).alias("vec"))
+
+    if many.isEmpty():
+        return added(shares, ["dst_id"])
+    few = added(shares.join(F.broadcast(many), "dst_id", "left_anti"), ["dst_id"])
+    dealt = shares.join(F.broadcast(many), "dst_id").withColumn("_part", F.pmod(F.xxhash64("src_id"), F.col("_parts")))
+    parts = added(dealt, ["dst_id", "_part"]).groupBy("key").agg(
+        Summarizer.mean(array_to_vector("vec")).alias("_m"), F.count("*").cast("double").alias("_n")
     )
-    return summed.select("key", F.transform(vector_to_array("_m"), lambda x: x * F.col("_n")).alias("vec"))
+    return few.unionByName(parts.select("key", F.transform(vector_to_array("_m"), lambda x: x * F.col("_n")).alias("vec")))
 
 
 def lookup_features(ids: DataFrame, features: DataFrame, dim: int, key: str = "key") -> DataFrame:

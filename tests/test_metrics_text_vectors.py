@@ -409,3 +409,37 @@ def test_groups_of_prefix_sums_are_cut_each_for_itself(spark):
     for g in range(9):
         mine = sorted((r._bucket, r.lo, r.hi) for r in sizes if r.g == g)
         assert all(a[2] < b[1] for a, b in zip(mine, mine[1:]))
+
+
+@pytest.mark.parametrize("sent", [1 << 24, 0])
+@pytest.mark.parametrize("edges_per_task", [100, 2])
+def test_neighbor_sums_of_hubs_and_small_weights(spark, monkeypatch, edges_per_task, sent):
+    """Weight sums below one stay as they are, others divide; a hub added up in parts gives the same sums."""
+    monkeypatch.setattr(ve, "NUMBERS_SENT", sent)
+    edges = [(src, "drug", rel, None, dst) for src in range(9) for rel in ("a", "b") for dst in (1, 2, 3) if (src + dst) % 3 or dst == 2]
+    table = spark.createDataFrame(edges, "src_id long, src_type string, rel string, dst_type string, dst_id long")
+    vec = {i: [float(i), 1.0 - i, 0.5] for i in range(7)}
+    vectors = spark.createDataFrame(list(vec.items()), "key long, vec array<float>")
+    out = ve.neighbor_aggregate(table, vectors, (F.col("src_id") + 1) / 16, edges_per_task)
+    expected = {}
+    for dst in (1, 2, 3):
+        sums = [0.0] * 3
+        for rel in ("a", "b"):
+            met = [e[0] for e in edges if e[4] == dst and e[2] == rel and e[0] in vec]
+            most = max(1.0, sum((s + 1) / 16 for s in met))
+            sums = [t + sum((s + 1) / 16 * vec[s][i] for s in met) / most for i, t in enumerate(sums)]
+        expected[dst] = sums
+    got = {r["key"]: r["vec"] for r in out.collect()}
+    assert got.keys() == expected.keys()
+    assert all(got[k] == pytest.approx(expected[k]) for k in expected)
+
+
+def test_no_vector_of_a_small_table_is_shuffled(spark, monkeypatch):
+    """Only numbers of edges are dealt by node."""
+    monkeypatch.setattr(ve, "EDGES_TOGETHER", 1)
+    edges = spark.createDataFrame([(1, "drug", "a", "gene", d) for d in (2, 3)], "src_id long, src_type string, rel string, dst_type string, dst_id long")
+    vectors = spark.createDataFrame([(1, [1.0, 2.0])], "key long, vec array<float>")
+    lines = ve.neighbor_aggregate(edges, vectors)._jdf.queryExecution().executedPlan().toString().splitlines()
+    first = next(i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x)
+    assert sum("ObjectHashAggregate" in x for x in lines[:first]) == 2
+    assert not any("ObjectHashAggregate" in x for x in lines[first:])
