@@ -33,6 +33,15 @@ def shared_folder(spark: SparkSession) -> str:
 # Files of a finished write's shuffles go at once instead of with the session.
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+# A task of a written stage reads no more shuffled bytes than this. They are compressed: rows of ids and short
+# strings take up to ten times as much where a task sorts or hashes them.
+_ADVISED = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+MOST_ADVISED = 16 << 20
+
+
+def _bytes(spark: SparkSession, size: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size)
+
 
 def materialize(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once as Parquet and return a reader of the written table.
@@ -49,15 +58,20 @@ def materialize(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    before = spark.conf.get(_CLEAN_UP, None)
-    spark.conf.set(_CLEAN_UP, "true")
+    settings = {_CLEAN_UP: "true"}
+    if _bytes(spark, spark.conf.get(_ADVISED)) > MOST_ADVISED:
+        settings[_ADVISED] = str(MOST_ADVISED)
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         writer.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEAN_UP)
-        else:
-            spark.conf.set(_CLEAN_UP, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from toys import EDGE, NODE, rows_of, sampler_graph
 
+from pathloom import lineage
 from pathloom.functions.graph import normalize_node_type, normalize_relation
 from pathloom.functions.text import chunks, id_suffix, list_literal, numeric_suffix
 from pathloom.operators import align, identity, ordered, splits, tables
@@ -461,3 +462,14 @@ def test_one_target_with_many_triples_and_a_training_pair(spark):
     train = spark.createDataFrame([("drug::1", "disease::1")], "kg_drug string, kg_disease string")
     marked = align.mapped_triples(*align.resolve_associations(left, right, nodes), train)
     assert marked.filter("is_overlap").count() == 1 and marked.count() == drugs * diseases
+
+
+def test_tasks_of_a_written_stage_read_bounded_partitions(spark, monkeypatch):
+    """One large folder is split by the stated size, and the session's own setting comes back."""
+    monkeypatch.setattr(lineage, "MOST_ADVISED", 64 << 10)
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    rows = spark.range(200_000, numPartitions=8).selectExpr("md5(string(id)) as a", "'x' as kind")
+    written = lineage.materialize(rows, "bounded", ("kind",))
+    assert spark.conf.get(name) == before
+    assert written.count() == 200_000 and len(written.inputFiles()) >= 8
