@@ -16,7 +16,8 @@ from ..lineage import materialize
 from .common import number_in_groups
 from .hashing import unit
 
-CACHE = 300_000  # words held per Python worker, about 60 MB
+CACHE = 60_000  # words held per Python worker, about 35 MB
+TEXTS = 256  # texts of a batch that are Python strings at a time
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -99,12 +100,14 @@ def token_pieces(docs: DataFrame, json_path: str, ranks_path: str, end_id: int =
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             columns: list[list] = [[] for _ in names]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = memoryview(held.ids(text) + end)
-                for k, (start, length) in enumerate(cut_points(len(ids) // 4, capacity)):
-                    row = (doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]))
-                    for column, value in zip(columns, row, strict=True):
-                        column.append(value)
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    ids = memoryview(held.ids(text) + end)
+                    for k, (start, length) in enumerate(cut_points(len(ids) // 4, capacity)):
+                        row = (doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]))
+                        for column, value in zip(columns, row, strict=True):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(cut, schema)

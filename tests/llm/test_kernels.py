@@ -175,3 +175,10 @@ def test_gram_counts(monkeypatch):
     monkeypatch.setattr(language_id, "_CHUNK", 17)
     again, n = language_id.gram_counts(text)
     assert (again == codes).all() and (n == counts).all()
+
+
+def test_a_worker_holds_few_words_and_few_texts_of_a_batch():
+    """Words held are bounded well below what one executor's two workers may take."""
+    held = best_fit.ByteEncoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert held.held <= 60_000 and best_fit.TEXTS <= 1_000
+    assert held.ids("a b a") == held.ids("a b a") and len(held) == 2
