@@ -16,6 +16,8 @@ from .ordered import list_chunks
 PATHS_PER_TASK = 2_000_000
 # Paths of a pair in one row of a chunked export.
 PATHS_PER_ROW = 10_000
+# A disease with more paths is not put together from lists of drugs.
+PATHS_PER_LIST = 100_000
 
 
 def mechanism_links(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -174,9 +176,35 @@ def topology_bank(topology: DataFrame, external: DataFrame | None = None) -> Dat
     return topology.unionByName(external.select(*topology.columns)).distinct()
 
 
-def connected_pairs(edges: DataFrame) -> DataFrame:
-    """Distinct (drug, disease) joined by at least one gene."""
-    return topology_paths(edges).select("drug", "disease").distinct()
+def connected_pairs(edges: DataFrame, most: int = PATHS_PER_LIST, paths_per_task: int = PATHS_PER_TASK) -> DataFrame:
+    """Distinct (drug, disease) joined by at least one gene.
+
+    A gene's drugs go to its diseases as one list, and each disease makes the drugs of its lists
+    distinct, so lists are shuffled and not paths. Diseases of more than ``most`` paths, and those of a
+    hub gene, have their paths enumerated.
+    """
+    drug_genes = materialize(drug_gene(edges), "drug_genes")
+    disease_genes = materialize(disease_gene(edges), "disease_genes")
+    n_drugs = drug_genes.groupBy("gene").agg(F.count("*").alias("_nd"))
+    n_diseases = disease_genes.groupBy("gene").agg(F.count("*").alias("_ns"))
+    met = n_drugs.join(n_diseases, "gene").withColumn("_hub", F.col("_nd") * F.col("_ns") > paths_per_task)
+    sized = disease_genes.join(met, "gene").groupBy("disease").agg(F.sum("_nd").alias("_paths"), F.bool_or("_hub").alias("_hub"))
+    large = materialize(sized.filter((F.col("_paths") > most) | F.col("_hub")).select("disease"), "large")
+    if large.isEmpty():
+        return _pairs_by_lists(drug_genes, disease_genes)
+    few = materialize(disease_genes.join(large, "disease", "left_anti"), "few")
+    # the genes of the others have at most ``most`` drugs
+    listed = _pairs_by_lists(drug_genes, few)
+    many = join_on_gene(drug_genes, disease_genes.join(large, "disease", "left_semi"), paths_per_task)
+    return listed.unionByName(many.select("drug", "disease").distinct())
+
+
+def _pairs_by_lists(drug_genes: DataFrame, disease_genes: DataFrame) -> DataFrame:
+    linked = drug_genes.join(disease_genes.select("gene").distinct(), "gene", "left_semi")
+    lists = linked.groupBy("gene").agg(F.collect_list("drug").alias("_drugs"))
+    drugs = F.array_distinct(F.flatten(F.collect_list("_drugs"))).alias("_drugs")
+    per_disease = disease_genes.join(lists, "gene").groupBy("disease").agg(drugs)
+    return per_disease.select(F.explode("_drugs").alias("drug"), "disease")
 
 
 def nested_paths(paths: DataFrame) -> DataFrame:
