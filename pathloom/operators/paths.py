@@ -16,7 +16,7 @@ from .ordered import list_chunks
 PATHS_PER_TASK = 2_000_000
 # Paths of a pair in one row of a chunked export.
 PATHS_PER_ROW = 10_000
-# A disease with more paths is not put together from lists of drugs.
+# A disease with more paths is not put together from lists of drugs, a pair with more is not listed in one task.
 PATHS_PER_LIST = 100_000
 
 
@@ -215,10 +215,28 @@ def nested_paths(paths: DataFrame) -> DataFrame:
     )
 
 
-def nested_path_chunks(paths: DataFrame, most: int = PATHS_PER_ROW) -> DataFrame:
-    """(drug, disease, chunk, paths): the sorted distinct paths of a pair, ``most`` to a row but the last."""
+def nested_path_chunks(paths: DataFrame, most: int = PATHS_PER_ROW, per_list: int = PATHS_PER_LIST) -> DataFrame:
+    """(drug, disease, chunk, paths): the sorted distinct paths of a pair, ``most`` to a row but the last.
+
+    The paths of a pair meet once and are cut there. Only pairs of more than ``per_list`` rows are cut over a range-sorted table.
+    """
     inner = [c for c in ("gene", "pathway") if c in paths.columns]
-    return list_chunks(paths.select("drug", "disease", *inner).distinct(), ["drug", "disease"], inner, most, "paths")
+    paths = paths.select("drug", "disease", *inner)
+    large = paths.groupBy("drug", "disease").agg(F.count("*").alias("_n")).filter(F.col("_n") > per_list)
+    large = materialize(large.select("drug", "disease"), "large")
+    if large.isEmpty():
+        return _cut_in_place(paths, inner, most)
+    # at most (number of rows) / per_list pairs are large
+    listed = _cut_in_place(paths.join(F.broadcast(large), ["drug", "disease"], "left_anti"), inner, most)
+    many = paths.join(F.broadcast(large), ["drug", "disease"], "left_semi").distinct()
+    return listed.unionByName(list_chunks(many, ["drug", "disease"], inner, most, "paths"))
+
+
+def _cut_in_place(paths: DataFrame, inner: list[str], most: int) -> DataFrame:
+    listed = paths.groupBy("drug", "disease").agg(F.sort_array(F.collect_set(F.struct(*inner))).alias("_all"))
+    starts = F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / most).cast("int"))
+    cut = listed.select("drug", "disease", "_all", F.explode(starts).alias("_c"))
+    return cut.select("drug", "disease", F.col("_c").cast("bigint").alias("chunk"), F.slice("_all", F.col("_c") * most + 1, most).alias("paths"))
 
 
 def known_positive_pairs(positives: DataFrame, edges: DataFrame, extra: DataFrame | None = None) -> DataFrame:

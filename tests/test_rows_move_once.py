@@ -26,3 +26,15 @@ def test_connected_pairs_enumerate_no_paths_of_small_diseases(spark, monkeypatch
     monkeypatch.setattr(paths, "join_on_gene", lambda *_: pytest.fail("paths were enumerated"))
     got = paths.connected_pairs(edges_of(spark, [(1, 5), (2, 5), (1, 6)], [(9, 5), (9, 6)]))
     assert sorted(map(tuple, got.collect())) == [(1, 9), (2, 9)]
+
+
+@pytest.mark.parametrize("per_list", [4, 100_000])
+def test_path_chunks_meet_once(spark, monkeypatch, per_list):
+    if per_list > 4:
+        monkeypatch.setattr(paths, "list_chunks", lambda *_: pytest.fail("small pairs were range-sorted"))
+    rows = [(1, 2, g, g % 3) for g in range(11)] + [(1, 3, 7, 0), (1, 3, 7, 0), (1, 3, 5, 1)]
+    df = spark.createDataFrame(rows, "drug long, disease long, gene long, pathway long")
+    got = {(r.drug, r.disease, r.chunk): [tuple(p) for p in r.paths] for r in paths.nested_path_chunks(df, 3, per_list).collect()}
+    whole = sorted({r[2:] for r in rows if r[1] == 2})
+    want = {(1, 2, i): whole[3 * i:3 * i + 3] for i in range(4)} | {(1, 3, 0): [(5, 1), (7, 0)]}
+    assert got == want
