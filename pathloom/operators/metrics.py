@@ -14,8 +14,8 @@ from .numbering import prefix_sums
 
 def ranked_rows(scores: DataFrame, score: str) -> DataFrame:
     """Rows whose score is a number."""
-    value = F.col(score).cast("double")
-    return scores.filter(value.isNotNull() & ~F.isnan(value))
+    # NaN is above infinity; a derived score is computed once
+    return scores.filter(F.col(score).cast("double") <= F.lit(float("inf")))
 
 
 def score_histogram(scores: DataFrame, score: str, label: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -26,10 +26,11 @@ def score_histogram(scores: DataFrame, score: str, label: str, groups: Sequence[
     label rank nowhere and are left out.
     """
     positive = F.col(label).cast("int") == 1
-    counts = ranked_rows(scores, score).filter(F.col(label).isNotNull()).groupBy(*groups, F.col(score).cast("double").alias("score")).agg(
+    # rows without a number go after they are counted: a filter before would compute a derived score again
+    counts = scores.filter(F.col(label).isNotNull()).groupBy(*groups, F.col(score).cast("double").alias("score")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
-    return prefix_sums(materialize(counts, "scores"), "score", ["pos", "neg"], groups)
+    return prefix_sums(ranked_rows(materialize(counts, "scores"), "score"), "score", ["pos", "neg"], groups)
 
 
 def _with_totals(hist: DataFrame, groups: Sequence[str]) -> DataFrame:
