@@ -186,18 +186,18 @@ def filtered_mrr(
     Targets need a score. Candidates are counted by a prefix sum over the scores of
     a disease; the (target, candidate) pairs are never formed.
     """
-    targets, candidate_scores = ranked_rows(targets, "score"), ranked_rows(candidate_scores, "score")
+    targets = materialize(ranked_rows(targets, "score"), "targets")
     known = known.select("drug", "disease").unionByName(targets.select("drug", "disease")).distinct()
-    free = candidate_scores.join(known, ["drug", "disease"], "left_anti").join(
-        targets.select("disease"), "disease", "left_semi"
-    )
+    asked = candidate_scores.join(targets.select("disease").distinct(), "disease", "left_semi")
+    free = asked.join(known, ["drug", "disease"], "left_anti")
     n_known = known.groupBy("disease").agg(F.count("*").alias("_known"))
     scored = F.col("score").cast("double").alias("score")
     # weight 1 marks a candidate, weight 0 the place of a target's score
     spots = free.select("disease", scored, F.lit(1).alias("_w")).unionByName(
         targets.select("disease", scored, F.lit(0).alias("_w"))
     )
-    counts = materialize(spots.groupBy("disease", "score").agg(F.sum("_w").cast("bigint").alias("n")), "candidates")
+    counts = spots.groupBy("disease", "score").agg(F.sum("_w").cast("bigint").alias("n"))
+    counts = ranked_rows(materialize(counts, "candidates"), "score")
     ladder = prefix_sums(counts, "score", ["n"], ["disease"])
     totals = counts.groupBy("disease").agg(F.sum("n").alias("_scored"))
     at = targets.withColumn("score", F.col("score").cast("double"))

@@ -263,8 +263,9 @@ def _ranks(spark, sf_dir, targets):
 def _test_targets(spark, sf_dir):
     """Test pairs with their topology score, 0 without a path."""
     test = splits(spark, sf_dir, "random").filter("split = 'test'")
-    linked = connected(spark, sf_dir).withColumn("score", pseudo_score("drug", "disease"))
-    return test.join(linked, ["drug", "disease"], "left").select("drug", "disease", F.coalesce("score", F.lit(0.0)).alias("score"))
+    linked = connected(spark, sf_dir).join(test, ["drug", "disease"], "left_semi").withColumn("_linked", F.lit(True))
+    score = F.when(F.col("_linked"), pseudo_score("drug", "disease")).otherwise(F.lit(0.0))
+    return test.join(linked, ["drug", "disease"], "left").select("drug", "disease", score.alias("score"))
 
 
 @query(
