@@ -327,10 +327,12 @@ def negative_pairs(
     restricted = drug_pool is not None or disease_pool is not None
     all_drugs = drug_pool if drug_pool is not None else drugs
     all_diseases = disease_pool if disease_pool is not None else diseases
-    valid = materialize(connected.select(*PAIR).distinct().join(known, list(PAIR), "left_anti"), "valid")
+    names = dict.fromkeys(n for s in asked for n in STRATEGY_ORDER[s])
+    if not restricted or set(names) != {"random"}:
+        valid = materialize(connected.select(*PAIR).distinct().join(known, list(PAIR), "left_anti"), "valid")
 
     wide = pairs
-    for name in dict.fromkeys(n for s in asked for n in STRATEGY_ORDER[s]):
+    for name in names:
         side = {"cross_drug": drug_pool, "cross_disease": disease_pool}.get(name)
         if name == "random" and not restricted and not valid.isEmpty():
             # any pair can take any connected candidate, so none is left over

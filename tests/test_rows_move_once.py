@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.functions.keyed import key_hash
-from pathloom.operators import metrics, paths
+from pathloom.operators import metrics, paths, sampling
 
 
 def edges_of(spark, drug_genes, disease_genes):
@@ -75,3 +75,12 @@ def test_filtered_ranks_score_candidates_of_targets_only(spark, monkeypatch, tmp
     assert (rank.greater, rank.ties) == (sum(s > 3 for s in others), sum(s == 3 for s in others))
     # candidates of other diseases go before the others are held against the known pairs
     assert plans[0].count("md5(") == 1 and plans[0].index("LeftAnti") < plans[0].index("LeftSemi")
+
+
+def test_random_pools_leave_the_topology_alone(spark, monkeypatch):
+    written, write = [], sampling.materialize
+    monkeypatch.setattr(sampling, "materialize", lambda df, name="stage", *a: written.append(name) or write(df, name, *a))
+    pairs = spark.createDataFrame([(1, 21)], "drug long, disease long")
+    drugs, diseases = spark.createDataFrame([(1,), (2,)], "drug long"), spark.createDataFrame([(21,), (22,)], "disease long")
+    got = sampling.negative_pairs(pairs, pairs, pairs, drugs, diseases, "random", 3, drug_pool=drugs)
+    assert got.count() == 1 and "valid" not in written
