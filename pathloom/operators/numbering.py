@@ -136,7 +136,7 @@ def _same(left: Sequence[str], right: Sequence[str]) -> Column:
     return out
 
 
-def _place(cuts: Column, value: Column) -> Column:
+def place(cuts: Column, value: Column) -> Column:
     """How many of the sorted cut points are not above a value, by halving."""
     start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
 
@@ -158,7 +158,7 @@ def value_buckets(df: DataFrame, value: str, groups: Sequence[str], rows_per_buc
     groups = list(groups)
     cuts = _cut_points(df, value, groups, rows_per_bucket)
     joined = df.join(cuts, _same(groups, [f"_g_{g}" for g in groups]), "left") if groups else df.withColumn("cuts", cuts.scalar())
-    bucket = F.when(F.col("cuts").isNull(), 0).otherwise(_place(F.col("cuts"), F.col(value)))
+    bucket = F.when(F.col("cuts").isNull(), 0).otherwise(place(F.col("cuts"), F.col(value)))
     marked = F.when(F.col(value).isNull(), -1).when(F.isnan(value), (1 << 31) - 1).otherwise(bucket)
     return joined.select(*df.columns, marked.cast("int").alias(out))
 

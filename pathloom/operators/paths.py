@@ -106,14 +106,14 @@ def shared_genes(pairs: DataFrame, drug_genes: DataFrame, disease_genes: DataFra
     """
     n_drug = drug_genes.groupBy("drug").agg(F.count("*").alias("_nd"))
     n_disease = disease_genes.groupBy("disease").agg(F.count("*").alias("_ns"))
-    sized = pairs.join(n_drug, "drug").join(n_disease, "disease")
-    by_drug = sized.filter("_nd <= _ns").drop("_nd", "_ns").join(drug_genes, "drug")
-    by_disease = sized.filter("_nd > _ns").drop("_nd", "_ns").join(disease_genes, "disease")
+    sized = materialize(pairs.join(n_drug, "drug").join(n_disease, "disease"), "sized")
+    by_drug, by_disease = sized.filter("_nd <= _ns").drop("_nd", "_ns"), sized.filter("_nd > _ns").drop("_nd", "_ns")
     columns = [*pairs.columns, "gene"]
-    return (
-        by_drug.join(disease_genes, ["disease", "gene"], "left_semi").select(*columns)
-        .unionByName(by_disease.join(drug_genes, ["drug", "gene"], "left_semi").select(*columns))
-    )
+    through_disease = by_disease.join(disease_genes, "disease").join(drug_genes, ["drug", "gene"], "left_semi").select(*columns)
+    if by_drug.isEmpty():
+        return through_disease
+    through_drug = by_drug.join(drug_genes, "drug").join(disease_genes, ["disease", "gene"], "left_semi").select(*columns)
+    return through_drug.unionByName(through_disease)
 
 
 def pair_triplets(edges: DataFrame, pair_splits: DataFrame) -> DataFrame:

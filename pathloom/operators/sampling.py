@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.keyed import key_hash, key_unit
+from ..functions.keyed import HASH_DIGITS, key_hash, key_unit
 from ..functions.numeric import zeros
 from ..lineage import materialize
 from ..schema import DUMMY_PATHWAY, QUAD
 from .graph import disease_gene, drug_gene, gene_pathways
-from .numbering import ROWS_PER_TASK, number_within, prefix_sums
+from .numbering import ROWS_PER_TASK, number_within, place, prefix_sums
 from .splits import sample_k
 
 PAIR = ("drug", "disease")
@@ -60,6 +60,73 @@ def draw_from_pool(
     return picked.join(numbered, [*groups, "idx"]).drop("idx")
 
 
+# Pool rows in one slice of the hash range, and buckets of a slice. The slices' bit map is broadcast, so they are at most 2 ** MOST_BITS.
+ROWS_PER_SLICE = 1 << 14
+BUCKET_BITS = 11
+MOST_BITS = 16
+
+
+def draw_by_rank(
+    requests: DataFrame,
+    pool: DataFrame,
+    seed: int,
+    salt: str,
+    request_keys: Sequence[str],
+    rows_per_slice: int = ROWS_PER_SLICE,
+    most_bits: int = MOST_BITS,
+) -> DataFrame:
+    """The rows ``draw_from_pool`` draws from a distinct pool without groups; only rows near a drawn number are moved.
+
+    The hash range is cut into slices of buckets. A slice lists the buckets of its pool rows, two bytes a row, which says
+    in which bucket, and at what place in it, the row of a number lies. A bit map of the buckets
+    asked for, at most 2 ** (``most_bits`` + ``BUCKET_BITS``) bits, then picks the pool rows that go to the requests. ``pool`` is read
+    three times: pass a written table.
+    """
+    values, n = pool.columns, pool.count()
+    if n == 0:
+        return requests.crossJoin(pool)
+    bits = min(most_bits, max(0, (n // rows_per_slice).bit_length()))
+    buckets = 1 << BUCKET_BITS
+    at = F.shiftright(key_hash(seed, *values), 4 * HASH_DIGITS - bits - BUCKET_BITS)
+    in_slice, in_bucket = F.shiftright("_at", BUCKET_BITS).cast("int"), F.col("_at").bitwiseAND(buckets - 1).cast("smallint")
+    hashed = pool.withColumn("_at", at).withColumns({"_slice": in_slice, "_bucket": in_bucket})
+    lists = hashed.groupBy("_slice").agg(F.sort_array(F.collect_list("_bucket")).alias("_buckets"))
+    lists = materialize(lists.withColumn("_n", F.size("_buckets").cast("bigint")), "slices")
+
+    # one row per slice; a step of numbers is met by the slices that reach into it
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lists.select("_slice", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    width = -(-n >> bits)
+    first, last = F.floor(F.col("_start") / width), F.floor((F.col("_start") + F.col("_n") - 1) / width)
+    ladder = starts.withColumn("_step", F.explode(F.sequence(first, last)))
+    picked = requests.withColumn("_pick", F.pmod(key_hash(salt, *request_keys), F.lit(n)))
+    placed = (
+        picked.withColumn("_step", F.floor(F.col("_pick") / width)).join(F.broadcast(ladder), "_step")
+        .filter((F.col("_pick") >= F.col("_start")) & (F.col("_pick") < F.col("_start") + F.col("_n")))
+        .select(*requests.columns, "_slice", (F.col("_pick") - F.col("_start")).cast("int").alias("_rank"))
+    )
+    bucket = F.get("_buckets", F.col("_rank"))
+    found = placed.join(lists.select("_slice", "_buckets"), "_slice").select(
+        *requests.columns, "_slice", bucket.alias("_bucket"), (F.col("_rank") - place(F.col("_buckets"), bucket - 1)).alias("_k")
+    )
+    found = materialize(found, "found")
+
+    word = F.shiftright("_bucket", 6).alias("_word")
+    marks = found.groupBy("_slice", word).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bucket & 63 as int))")).alias("_bits"))
+    marks = marks.groupBy("_slice").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_marks"))
+    every = F.sequence(F.lit(0), F.lit((buckets >> 6) - 1))
+    marks = marks.select(
+        "_slice", F.transform(every, lambda w: F.coalesce(F.try_element_at("_marks", w), F.lit(0).cast("bigint"))).alias("_words")
+    )
+    asked = F.expr("shiftright(_words[cast(_bucket >> 6 as int)], cast(_bucket & 63 as int)) & 1L = 1L")
+    near = hashed.join(F.broadcast(marks), "_slice").filter(asked).select("_at", *values).repartition("_at")
+    row = F.struct(key_hash(seed, *values).alias("_h"), *values)
+    rows = near.groupBy("_at").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    wanted = found.withColumn("_at", F.col("_slice").cast("bigint") * buckets + F.col("_bucket"))
+    drawn = wanted.join(rows, "_at").withColumn("_row", F.get("_rows", F.col("_k")))
+    return drawn.select(*requests.columns, *[F.col(f"_row.{c}").alias(c) for c in values])
+
+
 def draw_excluding(
     requests: DataFrame,
     request_keys: Sequence[str],
@@ -216,12 +283,33 @@ def negative_genes(paths: DataFrame, genes: DataFrame, seed: int, draws: int = 8
     return _checked(paths, drawn, ["drug", "gene", "disease"], "negative gene", on_missing)
 
 
+# Ids of drugs that one list of a disease's drugs may hold.
+DRUGS_PER_LIST = 1 << 18
+
+
+def _not_known(connected: DataFrame, known: DataFrame, per_list: int = DRUGS_PER_LIST) -> DataFrame:
+    """Distinct connected pairs that are not known, told apart in lists of a disease's drugs.
+
+    Lists are shuffled and not pairs; one holds drugs of ``per_list`` successive ids.
+    """
+    def lists(pairs: DataFrame, name: str) -> DataFrame:
+        part = F.floor(F.col("drug") / per_list).alias("_part")
+        return pairs.groupBy("disease", part).agg(F.collect_set("drug").alias(name))
+
+    both = lists(connected, "_drugs").join(lists(known, "_known"), ["disease", "_part"], "left")
+    none = F.array().cast("array<bigint>")
+    return both.select(F.explode(F.array_except("_drugs", F.coalesce("_known", none))).alias("drug"), "disease")
+
+
 def _linked_negatives(positives: DataFrame, valid: DataFrame, strategy: str, seed: int) -> DataFrame:
     """(pair, neg_drug, neg_disease) drawn from connected, not known pairs."""
     fixed = {"cross_drug": ["disease"], "cross_disease": ["drug"], "random": []}[strategy]
     free = [c for c in PAIR if c not in fixed]
     pool = valid.select(*fixed, *[F.col(c).alias(f"neg_{c}") for c in free])
-    drawn = draw_from_pool(positives.select(*PAIR), pool, fixed, seed, f"{seed}:{strategy}", PAIR)
+    if not fixed and pool.count() > max(ROWS_PER_TASK, positives.count()):
+        drawn = draw_by_rank(positives.select(*PAIR), pool, seed, f"{seed}:{strategy}", PAIR)
+    else:
+        drawn = draw_from_pool(positives.select(*PAIR), pool, fixed, seed, f"{seed}:{strategy}", PAIR)
     return drawn.withColumns({f"neg_{c}": F.col(c) for c in fixed}).select(*PAIR, "neg_drug", "neg_disease")
 
 
@@ -329,7 +417,7 @@ def negative_pairs(
     all_diseases = disease_pool if disease_pool is not None else diseases
     names = dict.fromkeys(n for s in asked for n in STRATEGY_ORDER[s])
     if not restricted or set(names) != {"random"}:
-        valid = materialize(connected.select(*PAIR).distinct().join(known, list(PAIR), "left_anti"), "valid")
+        valid = materialize(_not_known(connected.select(*PAIR), known), "valid")
 
     wide = pairs
     for name in names:

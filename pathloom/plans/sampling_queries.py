@@ -350,9 +350,11 @@ def dummy_ratio(spark, sf_dir):
 def empty_path_ratio(spark, sf_dir):
     edges = graph(spark, sf_dir).edges
     pairs = materialize(split_negatives(spark, sf_dir), "negatives").withColumn("batch", F.pmod(key_hash("batch", "drug", "disease"), F.lit(16)))
+    # pairs of both signs are counted together, so the edges move once
+    negative = F.struct(F.col("neg_drug").alias("drug"), F.col("neg_disease").alias("disease"))
+    asked = pairs.select(F.inline(F.array(F.struct("drug", "disease"), negative)))
+    counts = materialize(tp.pair_path_counts(asked, edges).select("drug", "disease", "n_quads"), "counts")
     for sign, drug, disease in (("pos", "drug", "disease"), ("neg", "neg_drug", "neg_disease")):
-        asked = pairs.select(F.col(drug).alias("drug"), F.col(disease).alias("disease"))
-        counts = tp.pair_path_counts(asked, edges).select(
-            F.col("drug").alias(drug), F.col("disease").alias(disease), F.col("n_quads").alias(f"n_{sign}_paths"))
-        pairs = pairs.join(counts, [drug, disease])
+        named = counts.toDF(drug, disease, f"n_{sign}_paths")
+        pairs = pairs.join(named, [drug, disease]).drop(drug, disease)
     return rounded(au.empty_path_ratio(pairs, ["batch"]), "pos_empty_ratio", "neg_empty_ratio")

@@ -84,3 +84,55 @@ def test_random_pools_leave_the_topology_alone(spark, monkeypatch):
     drugs, diseases = spark.createDataFrame([(1,), (2,)], "drug long"), spark.createDataFrame([(21,), (22,)], "disease long")
     got = sampling.negative_pairs(pairs, pairs, pairs, drugs, diseases, "random", 3, drug_pool=drugs)
     assert got.count() == 1 and "valid" not in written
+
+
+@pytest.mark.parametrize("rows_per_slice, most_bits", [(1 << 14, 16), (8, 16), (8, 2), (1, 5)])
+def test_draws_by_rank_are_those_of_the_numbered_pool(spark, tmp_path, rows_per_slice, most_bits):
+    spark.range(700).selectExpr("id % 70 neg_drug", "id div 70 neg_disease").write.parquet(str(tmp_path / "pool"))
+    pool = spark.read.parquet(str(tmp_path / "pool"))
+    asked = spark.range(400).selectExpr("id drug", "id * 7 disease")
+    by_rank = sampling.draw_by_rank(asked, pool, 3, "3:random", sampling.PAIR, rows_per_slice, most_bits)
+    numbered = sampling.draw_from_pool(asked, pool, [], 3, "3:random", sampling.PAIR)
+    names = ["drug", "disease", "neg_drug", "neg_disease"]
+    want = sorted(map(tuple, numbered.select(names).collect()))
+    assert len(want) == 400 and sorted(map(tuple, by_rank.select(names).collect())) == want
+
+
+def test_a_large_pool_is_not_numbered_for_random_negatives(spark, monkeypatch):
+    linked = spark.range(900).selectExpr("id % 30 drug", "100 + id div 30 disease")
+    known = linked.filter("pmod(drug + disease, 9) = 0")
+    drugs, diseases = linked.select("drug").distinct(), linked.select("disease").distinct()
+    draw = lambda: sorted(map(tuple, sampling.negative_pairs(known, linked, known, drugs, diseases, "random", 3).collect()))
+    before = draw()
+    monkeypatch.setattr(sampling, "ROWS_PER_TASK", 10)
+    monkeypatch.setattr(sampling, "_numbered", lambda *_: pytest.fail("every candidate was numbered"))
+    assert len(before) == known.count() and draw() == before
+
+
+@pytest.mark.parametrize("per_list", [1 << 18, 3])
+def test_known_pairs_leave_the_candidates_in_lists(spark, per_list):
+    rows = [(d, s) for d in range(12) for s in range(20, 26) if (d * s) % 5] * 2
+    known = [(d, s) for d in range(14) for s in range(18, 27) if (d + s) % 3 == 0]
+    got = sampling._not_known(*[spark.createDataFrame(r, "drug long, disease long") for r in (rows, known)], per_list)
+    assert sorted(map(tuple, got.collect())) == sorted(set(rows) - set(known))
+    # pairs meet as lists of a disease's drugs: no row of one pair is shuffled or joined
+    assert "collect_set" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_paths_of_both_signs_are_counted_together(spark, small_dir, monkeypatch):
+    from pathloom.plans import sampling_queries as queries
+
+    calls, count = [], queries.tp.pair_path_counts
+    monkeypatch.setattr(queries.tp, "pair_path_counts", lambda *a: calls.append(a) or count(*a))
+    assert queries.empty_path_ratio(spark, small_dir).agg(F.sum("n_pairs")).first()[0] > 0
+    assert len(calls) == 1
+
+
+def test_genes_of_drugs_are_not_read_for_pairs_of_smaller_diseases(spark, monkeypatch):
+    edges = edges_of(spark, [(1, 5), (1, 6), (1, 7), (2, 5), (2, 8)], [(9, 5), (8, 6)])
+    drug_genes = edges.filter("rel = 'targets'").selectExpr("src_id drug", "dst_id gene")
+    disease_genes = edges.filter("rel = 'disease_protein'").selectExpr("src_id disease", "dst_id gene")
+    pairs = spark.createDataFrame([(1, 9), (2, 9), (2, 8)], "drug long, disease long")
+    got = paths.shared_genes(pairs, drug_genes, disease_genes)
+    assert sorted(map(tuple, got.collect())) == [(1, 9, 5), (2, 9, 5)]
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
