@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.graph import orient_pair
 from ..functions.keyed import HASH_SPACE, key_hash
 from ..lineage import materialize
 from ..schema import DISEASE, DRUG, DUMMY_PATHWAY, GENE
@@ -18,6 +19,8 @@ PATHS_PER_TASK = 2_000_000
 PATHS_PER_ROW = 10_000
 # A disease with more paths is not put together from lists of drugs, a pair with more is not listed in one task.
 PATHS_PER_LIST = 100_000
+# Ids of drugs, or of diseases, of one gene that are gathered in one place.
+ENDS_PER_TASK = 1 << 18
 
 
 def mechanism_links(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -176,15 +179,36 @@ def topology_bank(topology: DataFrame, external: DataFrame | None = None) -> Dat
     return topology.unionByName(external.select(*topology.columns)).distinct()
 
 
-def connected_pairs(edges: DataFrame, most: int = PATHS_PER_LIST, paths_per_task: int = PATHS_PER_TASK) -> DataFrame:
+def gene_links(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(drug, gene) and (disease, gene) of ``drug_gene`` and ``disease_gene``, written in the order of genes.
+
+    A gene's rows lie together, so lists and counts of a gene are complete before they are shuffled; those of a hub
+    gene lie in as many places as its ids take ranges of ``ENDS_PER_TASK``.
+    """
+    def written(df: DataFrame, end: str) -> DataFrame:
+        # gathered by gene first, so that making rows distinct moves them no second time
+        gathered = df.withColumn("_part", F.floor(F.col(end) / ENDS_PER_TASK)).repartition("gene", "_part")
+        return materialize(gathered.distinct().sortWithinPartitions("gene", end).drop("_part"), f"{end}_genes")
+
+    return (
+        written(orient_pair(edges, DRUG, GENE, ("drug", "gene")).select("drug", "gene"), "drug"),
+        written(orient_pair(edges, DISEASE, GENE, ("disease", "gene")).select("disease", "gene"), "disease"),
+    )
+
+
+def connected_pairs(
+    edges: DataFrame,
+    most: int = PATHS_PER_LIST,
+    paths_per_task: int = PATHS_PER_TASK,
+    links: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
     """Distinct (drug, disease) joined by at least one gene.
 
     A gene's drugs go to its diseases as one list, and each disease makes the drugs of its lists
     distinct, so lists are shuffled and not paths. Diseases of more than ``most`` paths, and those of a
-    hub gene, have their paths enumerated.
+    hub gene, have their paths enumerated. ``links`` are the ``gene_links`` of the edges where these are stored.
     """
-    drug_genes = materialize(drug_gene(edges), "drug_genes")
-    disease_genes = materialize(disease_gene(edges), "disease_genes")
+    drug_genes, disease_genes = links if links is not None else gene_links(edges)
     n_drugs = drug_genes.groupBy("gene").agg(F.count("*").alias("_nd"))
     n_diseases = disease_genes.groupBy("gene").agg(F.count("*").alias("_ns"))
     met = n_drugs.join(n_diseases, "gene").withColumn("_hub", F.col("_nd") * F.col("_ns") > paths_per_task)

@@ -87,7 +87,8 @@ def draw_by_rank(
         return requests.crossJoin(pool)
     bits = min(most_bits, max(0, (n // rows_per_slice).bit_length()))
     buckets = 1 << BUCKET_BITS
-    at = F.shiftright(key_hash(seed, *values), 4 * HASH_DIGITS - bits - BUCKET_BITS)
+    # a hash is never null; said so, it is not computed again to find out
+    at = F.coalesce(F.shiftright(key_hash(seed, *values), 4 * HASH_DIGITS - bits - BUCKET_BITS), F.lit(0))
     in_slice, in_bucket = F.shiftright("_at", BUCKET_BITS).cast("int"), F.col("_at").bitwiseAND(buckets - 1).cast("smallint")
     hashed = pool.withColumn("_at", at).withColumns({"_slice": in_slice, "_bucket": in_bucket})
     lists = hashed.groupBy("_slice").agg(F.sort_array(F.collect_list("_bucket")).alias("_buckets"))

@@ -84,14 +84,16 @@ def degree_by_split(splits: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def pair_path_counts(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+def pair_path_counts(pairs: DataFrame, edges: DataFrame, links: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Per distinct pair: shared genes, genes with a pathway, quads through all, star paths.
 
     Quads are counted from the number of pathways per gene, not enumerated; a
-    gene without a pathway contributes its one dummy path to ``n_quads`` only.
+    gene without a pathway contributes its one dummy path to ``n_quads`` only. ``links``
+    are the ``gene_links`` of the edges where these are stored.
     """
     distinct = pairs.select("drug", "disease").distinct()
-    shared = shared_genes(distinct, drug_gene(edges), disease_gene(edges))
+    drug_genes, disease_genes = links if links is not None else (drug_gene(edges), disease_gene(edges))
+    shared = shared_genes(distinct, drug_genes, disease_genes)
     per_gene = gene_pathways(edges).groupBy("gene").agg(F.count("*").alias("_np"))
     n = F.coalesce(F.col("_np"), F.lit(0))
     counts = shared.join(per_gene, "gene", "left").groupBy("drug", "disease").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keyed import key_hash
 from ..lineage import materialize
 from ..operators.graph import collect_holdout_pairs, pair_relations, remove_direct_edges
-from ..operators.paths import connected_pairs, pair_triplets
+from ..operators.paths import connected_pairs, gene_links, pair_triplets
 from ..operators.splits import make_split
 from .graph_store import graph
 from .oracle import SEED
@@ -16,6 +16,7 @@ from .oracle import SEED
 FRACTIONS = {"train": 0.7, "valid": 0.1, "test": 0.1, "ot": 0.1}
 
 _tables: dict[tuple[str, str, str], DataFrame] = {}
+_links: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -43,9 +44,20 @@ def triplets(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     return _stored(spark, sf_dir, f"triplets_{mode}", build)
 
 
+def links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(drug, gene) and (disease, gene), written once for all that looks for genes of drugs and diseases."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _links:
+        _links[key] = gene_links(graph(spark, sf_dir).edges)
+    return _links[key]
+
+
 def connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(drug, disease) joined by a gene, written once as the index that sampling and ranking share."""
-    return _stored(spark, sf_dir, "connected", lambda: connected_pairs(graph(spark, sf_dir).edges))
+    def build() -> DataFrame:
+        return connected_pairs(graph(spark, sf_dir).edges, links=links(spark, sf_dir))
+
+    return _stored(spark, sf_dir, "connected", build)
 
 
 def clean_edges(spark: SparkSession, sf_dir: str, mode: str = "cross_disease") -> DataFrame:

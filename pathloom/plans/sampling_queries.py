@@ -14,7 +14,7 @@ from ..operators import splits as sp
 from ..operators import topology as tp
 from ..schema import DISEASE, DRUG, GENE
 from .audit_queries import rounded
-from .derived import connected, splits, triplets
+from .derived import connected, links, splits, triplets
 from .graph_store import graph, table
 from .oracle import SEED, expect, h
 from .registry import query
@@ -353,7 +353,7 @@ def empty_path_ratio(spark, sf_dir):
     # pairs of both signs are counted together, so the edges move once
     negative = F.struct(F.col("neg_drug").alias("drug"), F.col("neg_disease").alias("disease"))
     asked = pairs.select(F.inline(F.array(F.struct("drug", "disease"), negative)))
-    counts = materialize(tp.pair_path_counts(asked, edges).select("drug", "disease", "n_quads"), "counts")
+    counts = materialize(tp.pair_path_counts(asked, edges, links(spark, sf_dir)).select("drug", "disease", "n_quads"), "counts")
     for sign, drug, disease in (("pos", "drug", "disease"), ("neg", "neg_drug", "neg_disease")):
         named = counts.toDF(drug, disease, f"n_{sign}_paths")
         pairs = pairs.join(named, [drug, disease]).drop(drug, disease)

@@ -136,3 +136,22 @@ def test_genes_of_drugs_are_not_read_for_pairs_of_smaller_diseases(spark, monkey
     got = paths.shared_genes(pairs, drug_genes, disease_genes)
     assert sorted(map(tuple, got.collect())) == [(1, 9, 5), (2, 9, 5)]
     assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("per_task", [1 << 18, 2])
+def test_gene_links_are_distinct_and_move_once(spark, monkeypatch, per_task):
+    plans, write = [], paths.materialize
+
+    def keep(df, name="stage", *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, *rest)
+
+    monkeypatch.setattr(paths, "materialize", keep)
+    monkeypatch.setattr(paths, "ENDS_PER_TASK", per_task)
+    targets, linked = [(1, 5), (2, 5), (7, 5), (1, 6), (1, 5)], [(9, 5), (9, 5), (8, 6)]
+    drug_genes, disease_genes = paths.gene_links(edges_of(spark, targets, linked))
+    assert sorted(map(tuple, drug_genes.select("drug", "gene").collect())) == sorted(set(targets))
+    assert sorted(map(tuple, disease_genes.select("disease", "gene").collect())) == sorted(set(linked))
+    assert [p.count("Exchange") for p in plans] == [1, 1]
+    got = paths.connected_pairs(None, links=(drug_genes, disease_genes))
+    assert sorted(map(tuple, got.collect())) == [(1, 8), (1, 9), (2, 9), (7, 9)]
