@@ -17,32 +17,72 @@ WINDOW = 50  # words of a passage at least
 PHRASE = 12  # words of a phrase; every window has one phrase that stands for it
 SHARD_WORDS = 400_000  # words of the passages of one automaton, about 20 MB
 PIECE = 50_000  # words of a document whose passages go to one shard together
-DOCS_PER_PART = 4_000  # documents that one compiled automaton reads at a time
+READ_WORDS = 4_000_000  # words that one compiled automaton reads
+SENT = 1 << 22  # words of stretches that are sent on together
+READ_TOGETHER = 1 << 16  # words of stretches that an automaton reads in one go
 NO_ID = (1 << 63) - 1  # stands for a null doc_id, which is smaller than none
 
 # t of a phrase's row is the text's key where the id is null, else 0, so that documents without an id stay apart
 _FIRST = "doc_id bigint, t bigint, n_words bigint, sha string, phrase bigint"
 _PASSAGE = "first bigint, piece int, n_words int, words binary, phrases array<bigint>"
-_STREAM = ["shard", "part", "kind", "doc_id", "t", "text", "words"]
+_STRETCH = "shard int, doc_id bigint, t bigint, n_words int, places array<int>, words binary"
+_STREAM = ["shard", "part", "kind", "doc_id", "t", "places", "words"]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def _lowest(phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest, place of the first such) of the phrases inside each window, by doubling."""
+    low, at, k, width = phrases, np.arange(len(phrases)), 1, WINDOW - PHRASE + 1
+    while k < width:
+        s = min(k, width - k)
+        first = low[:-s] <= low[s:]
+        low, at = np.where(first, low[:-s], low[s:]), np.where(first, at[:-s], at[s:])
+        k += s
+    return low, at
+
+
 def window_phrases(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(phrase hashes, per window the place of its phrase): the first of the smallest hashes inside.
 
     Equal windows have equal phrases, and neighbours mostly share one.
     """
     phrases = run_hashes(hashes, PHRASE)
-    if len(hashes) < WINDOW:
-        return phrases, np.empty(0, np.int64)
-    inside = np.lib.stride_tricks.sliding_window_view(phrases, WINDOW - PHRASE + 1)
-    at = np.empty(len(inside), np.int64)
-    for a in range(0, len(inside), 1 << 18):
-        at[a : a + (1 << 18)] = inside[a : a + (1 << 18)].argmin(1)
-    return phrases, at + np.arange(len(inside))
+    return phrases, _lowest(phrases)[1]
+
+
+def _smallest(words: Words) -> np.ndarray:
+    """From each word of a slice of texts on the phrase of the window that begins there."""
+    low, k, width = run_hashes(words.hashes, PHRASE), 1, WINDOW - PHRASE + 1
+    while k < width:
+        s = min(k, width - k)
+        low = np.minimum(low[:-s], low[s:])
+        k += s
+    return low
+
+
+def _phrase_runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, phrase, first window, windows) of each run of windows of a text that have the same phrase."""
+    many = np.maximum(np.diff(words.first) - WINDOW + 1, 0)
+    owner = np.repeat(np.arange(len(many)), many)
+    start = np.arange(len(owner)) + np.repeat(words.first[:-1] - np.cumsum(many) + many, many)
+    phrase = _smallest(words)[start] if len(start) else np.empty(0, np.uint64)
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (phrase[1:] != phrase[:-1])
+    at = np.flatnonzero(new)
+    return owner[at], phrase[at], start[at], np.diff(np.append(at, len(owner)))
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which ``values`` are in ``known``, which is sorted."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def _unsigned(lists: pa.ListArray) -> np.ndarray:
+    """The numbers of all lists, each once, sorted."""
+    return np.unique(lists.flatten().to_numpy().view(np.uint64))
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list, Words]]:
@@ -67,23 +107,22 @@ def document_phrases(keyed: DataFrame) -> DataFrame:
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b, texts, words in _texts(batch, 2):
-                own, found = [], []
-                for i in range(a, b):
-                    lo, hi = words.first[i - a], words.first[i - a + 1]
-                    own.append((ids[i], keys[i], hi - lo, hashlib.sha256(b" ".join(texts[i].encode().split())).hexdigest()))
-                    phrases, at = window_phrases(words.hashes[lo:hi])
-                    if len(at):
-                        found.append((ids[i], keys[i] if ids[i] == NO_ID else 0, np.unique(phrases[np.unique(at)])))
-                empty = pa.nulls(len(own), pa.int64())
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, t) for c, t in zip(zip(*own, strict=True), types, strict=True)), empty], names=names)
-                if found:
-                    many = [len(p) for _, _, p in found]
-                    owner, key = (np.repeat(np.array([x[c] for x in found], np.int64), many) for c in (0, 1))
+                own = [(ids[i], keys[i], hashlib.sha256(b" ".join(texts[i].encode().split())).hexdigest()) for i in range(a, b)]
+                columns = [pa.array(c, t) for c, t in zip(zip(*own, strict=True), [pa.int64(), pa.int64(), pa.string()], strict=True)]
+                columns.insert(2, pa.array(np.diff(words.first)))
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(own), pa.int64())], names=names)
+                text, phrase, _, _ = _phrase_runs(words)
+                order = np.lexsort((phrase, text))
+                text, phrase = text[order], phrase[order]
+                new = np.ones(len(text), bool)
+                new[1:] = (text[1:] != text[:-1]) | (phrase[1:] != phrase[:-1])
+                if len(text):
+                    owner = np.array(ids[a:b], np.int64)
+                    key = np.where(owner == NO_ID, np.array(keys[a:b], np.int64), 0)
+                    at = text[new]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(owner), pa.array(key), pa.nulls(len(owner), pa.int64()), pa.nulls(len(owner), pa.string()),
-                         pa.array(_signed(np.concatenate([p for _, _, p in found])))], names=names)
+                        [pa.array(owner[at]), pa.array(key[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.string()),
+                         pa.array(_signed(phrase[new]))], names=names)
 
     return keyed.mapInArrow(read, _FIRST)
 
@@ -92,20 +131,17 @@ def candidate_windows(texts: DataFrame) -> DataFrame:
     """(window, doc_id) of the windows whose phrase is among the document's recurring ``phrases``."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, shared = batch.column(0).to_pylist(), batch.column(2)
+            ids, shared = batch.column(0).to_numpy(), batch.column(2)
             for a, b, _, words in _texts(batch, 1):
-                out, owner = [], []
-                for i in range(a, b):
-                    hashes = words.hashes[words.first[i - a] : words.first[i - a + 1]]
-                    phrases, at = window_phrases(hashes)
-                    if len(at):
-                        known = np.isin(phrases[at], shared[i].values.to_numpy().view(np.uint64))
-                        windows = np.unique(run_hashes(hashes, WINDOW)[known])
-                        out.append(windows)
-                        owner.append(np.full(len(windows), ids[i], np.int64))
-                if out:
+                # a phrase recurs for all texts that have it, so those of the slice are looked up together
+                text, phrase, start, many = _phrase_runs(words)
+                known = _among(phrase, _unsigned(shared.slice(a, b - a)))
+                text, start, many = text[known], start[known], many[known]
+                if len(text):
+                    at = np.arange(many.sum()) + np.repeat(start - np.cumsum(many) + many, many)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(_signed(np.concatenate(out))), pa.array(np.concatenate(owner))], names=["window", "doc_id"])
+                        [pa.array(_signed(run_hashes(words.hashes, WINDOW)[at])), pa.array(np.repeat(ids[a:b][text], many))],
+                        names=["window", "doc_id"])
 
     return texts.select("doc_id", "text", "phrases").mapInArrow(read, "window bigint, doc_id bigint")
 
@@ -121,14 +157,14 @@ def confirmed_passages(texts: DataFrame) -> DataFrame:
         for batch in batches:
             ids, confirmed = batch.column(0).to_pylist(), batch.column(2)
             for a, b, _, words in _texts(batch, 1):
-                rows = []
+                rows, all_windows, all_phrases = [], run_hashes(words.hashes, WINDOW), _smallest(words)
                 for i in range(a, b):
-                    hashes = words.hashes[words.first[i - a] : words.first[i - a + 1]]
-                    here = np.flatnonzero(np.isin(run_hashes(hashes, WINDOW), confirmed[i].values.to_numpy().view(np.uint64)))
+                    lo, hi = words.first[i - a], max(words.first[i - a], words.first[i - a + 1] - WINDOW + 1)
+                    hashes, phrases = words.hashes[lo : words.first[i - a + 1]], all_phrases[lo:hi]
+                    here = np.flatnonzero(_among(all_windows[lo:hi], np.sort(confirmed[i].values.to_numpy().view(np.uint64))))
                     for run in np.split(here, np.flatnonzero((np.diff(here) > 1) | (np.diff(here // PIECE) > 0)) + 1) if len(here) else []:
                         passage = hashes[run[0] : run[-1] + WINDOW]
-                        phrases, at = window_phrases(passage)
-                        rows.append((ids[i], int(run[0]) // PIECE, len(passage), passage.tobytes(), _signed(np.unique(phrases[np.unique(at)])).tolist()))
+                        rows.append((ids[i], int(run[0]) // PIECE, len(passage), passage.tobytes(), _signed(np.unique(phrases[run[0] : run[-1] + 1])).tolist()))
                 if rows:
                     types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
                     yield pa.RecordBatch.from_arrays(
@@ -145,6 +181,9 @@ class PassageAutomaton:
 
         self.known = np.unique(np.concatenate([p for _, p in passages])) if passages else np.empty(0, np.uint64)
         self.width = max(1, -(-len(self.known).bit_length() // 5))
+        # known words begin with the bits of a slot from slots[bits] on
+        self.shift = np.uint64(64 - max(1, len(self.known).bit_length()))
+        self.slots = np.searchsorted(self.known >> self.shift, np.arange((1 << 64 - int(self.shift)) + 1, dtype=np.uint64))
         self.automaton = ahocorasick.Automaton()
         windows, firsts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for first, passage in passages:
@@ -165,14 +204,21 @@ class PassageAutomaton:
         Nodes have 32 branches at most that way, and as a word's first symbol has
         letters of its own, matches begin at words.
         """
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        numbers = np.where(self.known[at] == hashes, at + 1, 0)
+        slot = (hashes >> self.shift).view(np.int64)
+        at, end, numbers = self.slots[slot], self.slots[slot + 1], np.zeros(len(hashes), np.int64)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = self.known[at[left]] == hashes[left]
+            numbers[left[here]] = at[left[here]] + 1
+            left = left[~here]
+            at[left] += 1
+            left = left[at[left] < end[left]]
         shifts = np.arange(self.width - 1, -1, -1) * 5
         digits = (numbers[:, None] >> shifts & 31) + np.where(shifts == shifts[0], 64, 96)
         return digits.astype(np.uint8).tobytes().decode("ascii")
 
-    def covered(self, doc_id: int, hashes: np.ndarray) -> list[tuple[int, int]]:
-        """Word ranges covered by windows that also start in a document with a smaller id.
+    def covered(self, doc_id: int | np.ndarray, hashes: np.ndarray) -> list[tuple[int, int]]:
+        """Word ranges covered by windows that also start in a document with a smaller id than ``doc_id``, or than that of the word.
 
         A window can be one of a passage only around an occurrence of a phrase;
         it is one if its hash is.
@@ -190,31 +236,104 @@ class PassageAutomaton:
         around = np.flatnonzero(np.cumsum(near)[:n] > 0)
         found = run_hashes(hashes, WINDOW)[around]
         at = np.minimum(np.searchsorted(self.windows, found), len(self.windows) - 1)
-        here = around[(self.windows[at] == found) & (self.firsts[at] < doc_id)]
+        own = doc_id[around] if isinstance(doc_id, np.ndarray) else doc_id
+        here = around[(self.windows[at] == found) & (self.firsts[at] < own)]
         runs = np.split(here, np.flatnonzero(np.diff(here) > WINDOW) + 1) if len(here) else []
         return [(int(run[0]), int(run[-1]) + WINDOW) for run in runs]
 
 
+def stretches(texts: DataFrame) -> DataFrame:
+    """(shard, doc_id, t, n_words, places, words): what a document sends to each of its ``shards``.
+
+    These are the words of the windows whose phrase is one of the shard's, as stretches with a word between that is none; ``places`` has
+    start and length of each stretch. ``phrases`` and ``shards`` of a document belong together place by place.
+    """
+    names = [x.split()[0] for x in _STRETCH.split(", ")]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
+    between = np.zeros(1, np.uint64)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b, _, words in _texts(batch, 2):
+                rows, held = [], 0
+                text, phrase, start, many = _phrase_runs(words)
+                cuts = np.searchsorted(text, np.arange(b - a + 1)).tolist()
+                for i in range(a, b):
+                    of = slice(cuts[i - a], cuts[i - a + 1])
+                    asked, shards = (batch.column(c)[i].values.to_numpy() for c in (3, 4))
+                    order = np.lexsort((asked.view(np.uint64), shards))
+                    asked, shards = asked.view(np.uint64)[order], shards[order]
+                    for some in np.split(np.arange(len(shards)), np.flatnonzero(np.diff(shards)) + 1):
+                        here = _among(phrase[of], asked[some])
+                        first = start[of][here]
+                        if not len(first):
+                            continue
+                        last = first + many[of][here] + WINDOW - 1
+                        new = np.flatnonzero(np.append(True, first[1:] > last[:-1]))
+                        first, last = first[new], last[np.append(new[1:] - 1, len(last) - 1)]
+                        parts = [x for f, e in zip(first.tolist(), last.tolist(), strict=True) for x in (words.hashes[f:e], between)][:-1]
+                        sent = np.concatenate(parts)
+                        places = np.stack([first - words.first[i - a], last - first], 1).ravel().tolist()
+                        rows.append((int(shards[some[0]]), ids[i], keys[i], len(sent), places, sent.tobytes()))
+                        held += len(sent)
+                        if held > SENT:
+                            yield packed(rows)
+                            rows, held = [], 0
+                if rows:
+                    yield packed(rows)
+
+    return texts.select("doc_id", "t", "text", "phrases", "shards").mapInArrow(read, _STRETCH)
+
+
+def placed_spans(spans: list[tuple[int, int]], places: np.ndarray) -> list[int]:
+    """Start and end of each of ``spans``, found in stretches with one word between, as places in the document."""
+    starts, lengths = places[::2], places[1::2]
+    begins = np.cumsum(lengths + 1) - lengths - 1
+    shift = starts - begins
+    return [x + int(shift[k]) for span in spans for k in [np.searchsorted(begins, span[0], "right") - 1] for x in span]
+
+
+def read_together(automaton: PassageAutomaton, ids: list[int], stretches: list[np.ndarray]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(number, ranges) of the rows of stretches that have covered words; the rows are read in one go, with a word between that is none."""
+    begins = np.cumsum([0] + [len(h) + 1 for h in stretches])
+    hashes = np.zeros(begins[-1], np.uint64)
+    for h, a in zip(stretches, begins.tolist(), strict=False):
+        hashes[a : a + len(h)] = h
+    spans = np.array(automaton.covered(np.repeat(np.array(ids, np.int64), np.diff(begins)), hashes), np.int64).reshape(-1, 2)
+    owner = np.searchsorted(begins, spans[:, 0], "right") - 1
+    spans -= begins[owner][:, None]
+    for some in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1) if len(owner) else []:
+        yield int(owner[some[0]]), list(map(tuple, spans[some].tolist()))
+
+
 def located(stream: DataFrame) -> DataFrame:
-    """(doc_id, t, spans) from rows sorted by (shard, part, kind): passages, then the documents to read."""
+    """(doc_id, t, spans) from rows sorted by (shard, part, kind): passages, then the stretches to read."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, passages, automaton = None, [], None
         for batch in batches:
-            columns = {n: batch.column(i) for i, n in enumerate(_STREAM)}
-            shard, part, kind, ids, keys = (columns[n].to_pylist() for n in _STREAM[:5])
-            rows = []
-            for a, b, _, words in _texts(batch, 5):
-                for i in range(a, b):
-                    if (shard[i], part[i]) != at:
-                        at, passages, automaton = (shard[i], part[i]), [], None
-                    if kind[i] == 0:
-                        passages.append((ids[i], np.frombuffer(columns["words"][i].as_py(), np.uint64)))
-                        continue
-                    if automaton is None:
-                        automaton = PassageAutomaton(passages)
-                    spans = automaton.covered(ids[i], words.hashes[words.first[i - a] : words.first[i - a + 1]])
-                    if spans:
-                        rows.append((ids[i], keys[i], [x for span in spans for x in span]))
+            shard, part, kind, ids, keys = (batch.column(i).to_pylist() for i in range(5))
+            places, words = batch.column(5), batch.column(6)
+            rows, some, held = [], [], 0
+            for i in range(len(batch)):
+                if (shard[i], part[i]) != at:
+                    at, passages, automaton = (shard[i], part[i]), [], None
+                hashes = np.frombuffer(words[i].as_buffer(), np.uint64)
+                if kind[i] == 0:
+                    passages.append((ids[i], hashes.copy()))
+                    continue
+                if automaton is None:
+                    automaton = PassageAutomaton(passages)
+                some.append((i, hashes))
+                held += len(hashes)
+                if held > READ_TOGETHER or i + 1 == len(batch) or (shard[i + 1], part[i + 1]) != at:
+                    for k, spans in read_together(automaton, [ids[r] for r, _ in some], [h for _, h in some]):
+                        row = some[k][0]
+                        rows.append((ids[row], keys[row], placed_spans(spans, places[row].values.to_numpy().astype(np.int64))))
+                    some, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.list_(pa.int32())], strict=True)],
@@ -259,8 +378,8 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     2. Windows around the others are confirmed: hashes that occur in two documents,
        each with the smallest id. Runs of them in that document are the passages.
     3. Passages are dealt to shards of bounded size, those of a document together but for very
-       long ones, and each shard becomes one automaton over its phrases. Documents go to the shards that hold one of
-       their phrases; a shard read by many documents is compiled in several parts.
+       long ones, and each shard becomes one automaton over its phrases. To the shards that hold one of its phrases a
+       document sends the stretches around them, not its text; a shard that reads many words is compiled in several parts.
        The windows around each occurrence are compared with those of the passages.
     """
     keyed = _keyed(docs)
@@ -283,20 +402,22 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = passages.withColumn("shard", F.pmod(F.xxhash64("first", "piece"), F.lit(shards)).cast("int"))
 
     places = dealt.select("shard", "first", F.explode("phrases").alias("_p")).groupBy("_p", "shard").agg(F.min("first").alias("lo"))
-    routes = held.join(places, (F.col("phrase") == F.col("_p")) & (F.col("doc_id") > F.col("lo"))).select("doc_id", F.col("t").alias("key"), "shard").distinct()
-    routes = materialize(routes, "routes")
-    parts = routes.groupBy("shard").agg(F.ceil(F.count("*") / DOCS_PER_PART).cast("int").alias("parts"))
+    asked = held.join(places, (F.col("phrase") == F.col("_p")) & (F.col("doc_id") > F.col("lo")))
+    routes = asked.groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("phrase", "shard")).alias("routes"))
+    once = texts.select("doc_id", "t", "text").dropDuplicates(["doc_id", "t"])
+    sending = once.join(routes, (F.col("doc_id") == F.col("_d")) & (own_key == F.col("_t"))).select(
+        "doc_id", "t", "text", F.col("routes.phrase").alias("phrases"), F.col("routes.shard").alias("shards"))
+    sent = materialize(stretches(sending), "stretches")
+    parts = sent.groupBy("shard").agg(F.ceil(F.sum(F.col("n_words").cast("bigint")) / READ_WORDS).cast("int").alias("parts"))
     parts = materialize(parts, "parts")
     none = F.lit(None)
     sources = dealt.join(parts, "shard").select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"),
-        F.col("first").alias("doc_id"), none.cast("bigint").alias("t"), none.cast("string").alias("text"), "words",
+        F.col("first").alias("doc_id"), none.cast("bigint").alias("t"), none.cast("array<int>").alias("places"), "words",
     )
-    readers = routes.withColumnRenamed("doc_id", "_d").join(parts, "shard").join(
-        texts.select("doc_id", "t", "text").dropDuplicates(["doc_id", "t"]), (F.col("_d") == F.col("doc_id")) & (F.col("key") == own_key)
-    ).select(
-        "shard", F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"),
-        "doc_id", "t", "text", none.cast("binary").alias("words"),
+    readers = sent.join(parts, "shard").select(
+        "shard", F.pmod(F.xxhash64("doc_id", "t"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"),
+        "doc_id", "t", "places", "words",
     )
     stream = sources.unionByName(readers).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
     spans = located(stream).groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(F.flatten(F.collect_list("spans")).alias("spans"))

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-BLOCK = 1 << 18  # bytes hashed at a time; longer texts are cut at white space
+BLOCK = 1 << 16  # bytes hashed at a time, so that what is computed stays in the cache; longer texts are cut at white space
 _BASE = 0x9E3779B97F4A7C15 | 1
 _tables: dict[str, np.ndarray] = {}
 
@@ -155,7 +155,7 @@ def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
     return out
 
 
-def slices_of(texts: list[str | None], limit: int = 4 * BLOCK) -> Iterator[tuple[int, int]]:
+def slices_of(texts: list[str | None], limit: int = 8 * BLOCK) -> Iterator[tuple[int, int]]:
     """Index ranges of texts of at most about ``limit`` characters together."""
     at, held = 0, 0
     for i, t in enumerate(texts):

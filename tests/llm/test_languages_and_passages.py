@@ -123,3 +123,26 @@ def test_long_passages_are_cut_into_pieces(spark, monkeypatch):
     want = brute.passages(docs)
     got = {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in passages.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"))[0].collect()}
     assert got == {(i, *want[i, t]) for i, t in docs}
+
+
+def test_documents_send_stretches_around_phrases_and_not_their_text(spark, monkeypatch):
+    monkeypatch.setattr(passages, "SHARD_WORDS", 200)
+    monkeypatch.setattr(passages, "READ_WORDS", 300)
+    sent, write = [], passages.materialize
+    monkeypatch.setattr(passages, "materialize", lambda df, name, *a: sent.append(out) or out if (out := write(df, name, *a)) is not None and name == "stretches" else out)
+    draw = random.Random(11)
+    prose = lambda n: " ".join(f"x{draw.randrange(9000)}" for _ in range(n))
+    shared = [prose(60 + k) for k in range(12)]
+    docs = [(i, f"{s} {prose(40)}") for i, s in enumerate(shared)]
+    docs += [(50 + i, " ".join(f"{prose(700)} {s}" for s in draw.sample(shared, 4)) + f" {shared[i]} {shared[i]}") for i in range(8)]
+    want = brute.passages(docs)
+    got = {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in passages.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"))[0].collect()}
+    assert got == {(i, *want[i, t]) for i, t in docs}
+    rows = sent[0].collect()
+    assert len({r.shard for r in rows}) > 2
+    # a text has more than 2,800 words, of which four passages and two copies are shared
+    whole = Counter()
+    for r in rows:
+        whole[r.doc_id] += r.n_words
+        assert r.n_words == sum(r.places[1::2]) + len(r.places) // 2 - 1 and len(r.words) == 8 * r.n_words
+    assert max(whole.values()) < 1_200
