@@ -3,23 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..lineage import materialize
 
 BLOCK_ROWS = 8_192  # reference vectors in one block
-VISITORS = 8  # times a block's rows that visit it in one task
+CHUNK_ROWS = 16_384  # vectors of a house (blocks kept together) or of a chunk of queries
+CHUNK_NUMBERS = 1 << 20  # numbers of these vectors at most, 8 MB
+PARTITIONS = 64  # partitions of houses, and of chunks of queries; more where one would have many
+CHUNKS_TOGETHER = 16  # houses or chunks of a partition at most
 MOST_PIVOTS = 1_024
 MOST_CELLS = 1 << 20  # numbers in the table of pivots
 BINS = 1_024  # steps of the angle to a pivot
 DIGITS = 12  # similarities that agree so far are equal
 SLACK = 1e-6  # above the error of an angle computed from a cosine
-CELLS = 1 << 22  # similarities computed together
+CELLS = 1 << 18  # similarities computed together, so that they stay in the cache
+SEVERAL = 1 << 13  # of these, as near as the best one, that are computed again one by one
 
 ZERO_GROUP = -1  # group of zero vectors, whose similarity to any vector is 0
 
@@ -76,106 +82,221 @@ def place(refs: DataFrame, pivots: Pivots, block_rows: int) -> DataFrame:
     return materialize(placed.select(number.alias("block"), "pivot", "angle", "row", "key", "vec"), "blocks")
 
 
-def outlines(placed: DataFrame) -> DataFrame:
-    """(block, pivot, lo, hi, n): the range of angles to the pivot, and the size, of each block."""
-    return materialize(placed.groupBy("block", "pivot").agg(
-        F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("n")), "outlines")
+def housed(placed: DataFrame, most: int) -> DataFrame:
+    """The blocks in houses of about ``most`` vectors: ``packed`` rows."""
+    sizes = placed.groupBy("block").agg(F.count("*").alias("n"))
+    # as many rows as there are blocks
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    houses = materialize(sizes.select(
+        F.col("block").alias("_b"), F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / most).alias("chunk")), "houses")
+    n = houses.agg(F.count_distinct("chunk")).first()[0]
+    return packed(placed.join(houses, F.col("block") == F.col("_b")).drop("_b"), n, ["block", "key"], "housed")
 
 
-def ask(queries: DataFrame, pivots: Pivots, itself: bool, nearest_only: bool) -> DataFrame:
-    """(row, pivot, low, high): angles to a pivot at which a vector may be as near as the best one known.
+def bounded(queries: DataFrame, pivots: Pivots, itself: bool) -> DataFrame:
+    """(row, vec, own, reach): the nearest pivot of a query, and the angle within which its nearest vector lies.
 
     ``queries`` has row, vec and best, the similarity seen so far or null. The pivots themselves are reference vectors and
-    bound it too. With angle t to the best one, a vector as near has an angle to the pivot
-    within t of the query's own.
+    bound it too.
     """
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(0).to_numpy()
             cos = pivots.cosines(_matrix(batch.column(1)))
             own = cos.argmax(axis=1)
-            angle = _angle(cos)
             if itself:
                 cos = np.where(rows[:, None] == pivots.rows[None, :], -1.0, cos)
             best = np.nan_to_num(batch.column(2).to_numpy(zero_copy_only=False).astype(float), nan=-1.0)
-            t = _angle(np.maximum(best, cos.max(axis=1))) + SLACK
-            if nearest_only:
-                i, p = np.arange(len(rows)), own
-            else:
-                i, p = np.nonzero(np.arange(cos.shape[1])[None, :] != own[:, None])
+            reach = _angle(np.maximum(best, cos.max(axis=1))) + SLACK
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[i]), pa.array(p.astype(np.int32)), pa.array(angle[i, p] - t[i]), pa.array(angle[i, p] + t[i])],
-                names=["row", "pivot", "low", "high"])
+                [*batch.columns[:2], pa.array(own.astype(np.int32)), pa.array(reach)], names=["row", "vec", "own", "reach"])
 
     return queries.select("row", "vec", F.col("best").cast("double").alias("best")).mapInArrow(
-        bounds, "row bigint, pivot int, low double, high double")
+        bounds, "row bigint, vec array<double>, own int, reach double")
 
 
-def visits(asked: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(row, block): blocks whose shell reaches into the asked range."""
-    met = asked.join(blocks.select(F.col("pivot").alias("_p"), "block", "lo", "hi"), F.col("pivot") == F.col("_p"))
-    return met.filter((F.col("lo") <= F.col("high")) & (F.col("hi") >= F.col("low"))).select("row", "block")
+_BYTES = {"vec": np.float64, "row": np.int64, "block": np.int64, "pivot": np.int32, "own": np.int32, "angle": np.float64, "reach": np.float64}
 
 
-def _nearest_homes(homes: np.ndarray, rows: np.ndarray, x: np.ndarray, who: np.ndarray, itself: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(best, number of the first home that has it) of each visitor."""
-    best, at = np.empty(len(x)), np.empty(len(x), np.int64)
-    order = np.argsort(rows)
-    step = max(1, CELLS // max(1, len(homes)))
-    for a in range(0, len(x), step):
-        sims = np.round(x[a : a + step] @ homes.T, DIGITS)
-        if itself:
-            place = np.minimum(np.searchsorted(rows[order], who[a : a + step]), len(rows) - 1)
-            mine = rows[order][place] == who[a : a + step]
-            sims[np.flatnonzero(mine), order[place[mine]]] = -np.inf
-        at[a : a + step] = sims.argmax(axis=1)
-        best[a : a + step] = sims[np.arange(len(sims)), at[a : a + step]]
-    return best, at
+def packed(df: DataFrame, n: int, order: list[str], name: str) -> DataFrame:
+    """One row per ``chunk`` of ``df``, its numbers as bytes and its keys as a list; written in ``n`` chunks, dealt evenly."""
+    plain = [c for c in df.columns if c in _BYTES]
+    keyed = "key" in df.columns
+    schema = "chunk bigint, " + ", ".join(f"{c} binary" for c in plain) + (f", keys array<{dict(df.dtypes)['key']}>" if keyed else "")
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(chunk: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            out = [pa.array([chunk], pa.int64())]
+            for c in plain:
+                column = pa.concat_arrays(whole[c].chunks)
+                numbers = column.flatten() if c == "vec" else column
+                out.append(pa.array([numbers.to_numpy(zero_copy_only=False).astype(_BYTES[c], copy=False).tobytes()], pa.binary()))
+            if keyed:
+                keys = pa.concat_arrays(whole["key"].chunks)
+                out.append(pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys))
+            return pa.RecordBatch.from_arrays(out, names=["chunk", *plain, *(["keys"] if keyed else [])])
 
-def meet(visited: DataFrame, queries: DataFrame, placed: DataFrame, blocks: DataFrame, block_rows: int, itself: bool) -> DataFrame:
-    """(row, best, nearest): best similarity of each visitor in each block it visits.
-
-    A block with many visitors is copied to several tasks, which share them; visitors stream past its rows.
+        at, held = None, []
+        for batch in batches:
+            chunk = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a and chunk[a] != at:
+                    if held:
+                        yield one(at, held)
+                    at, held = int(chunk[a]), []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield one(at, held)
+
+    rows = df.select("chunk", *plain, *(["key"] if keyed else []))
+    return materialize(rows.repartitionByRange(partitions_of(n), "chunk").sortWithinPartitions("chunk", *order).mapInArrow(pack, schema), name)
+
+
+def partitions_of(n: int) -> int:
+    """Partitions of ``n`` chunks."""
+    return max(1, min(n, max(PARTITIONS, -(-n // CHUNKS_TOGETHER))))
+
+
+def chunk_rows(n: int, dim: int) -> int:
+    """Rows of a chunk of ``n`` vectors: at most what a task holds, and fewer so that there are several tasks."""
+    return max(256, min(CHUNK_ROWS, CHUNK_NUMBERS // max(1, dim), max(4_096, n // 8)))
+
+
+class House:
+    """Blocks of reference vectors that a task holds together; inside a block they come in the order of keys."""
+
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray, block: np.ndarray, pivot: np.ndarray, angle: np.ndarray, keys: pa.Array):
+        self.rows, self.vectors, self.keys = rows, vectors, keys
+        self.small = vectors.astype(np.float32)
+        self.cuts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
+        self.pivot = pivot[self.cuts[:-1]]
+        self.lo, self.hi = np.minimum.reduceat(angle, self.cuts[:-1]), np.maximum.reduceat(angle, self.cuts[:-1])
+        order = pc.sort_indices(keys, null_placement="at_start").to_numpy()
+        # equal keys have different ranks, which does no harm
+        self.rank = np.empty(len(keys), np.int64)
+        self.rank[order] = np.arange(len(keys))
+        self.by_row = np.argsort(rows)
+
+    def places(self, rows: np.ndarray) -> np.ndarray:
+        """Where each of ``rows`` stands, -1 if not here."""
+        at = self.by_row[np.minimum(np.searchsorted(self.rows[self.by_row], rows), len(self.rows) - 1)]
+        return np.where(self.rows[at] == rows, at, -1)
+
+    def nearest(
+        self, rows: np.ndarray, x: np.ndarray, own: np.ndarray, reach: np.ndarray, pivots: Pivots, itself: bool, nearest_only: bool
+    ) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """(best, place of the first that has it or -1, blocks visited, similarities computed) for some queries.
+
+        A query visits the blocks whose shell reaches into its angles to the pivot: a vector within ``reach``
+        has an angle to the pivot within that of the query's own. Similarities are computed
+        with 32 bits, and again with 64 where that error leaves open whether they are the best.
+        """
+        error = np.float32((x.shape[1] + 4) * 2.0**-24 * 2)
+        small = x.astype(np.float32)
+        which, number = np.unique(self.pivot, return_inverse=True)
+        angles = _angle(x @ pivots.vectors[which].T)
+        best, at = np.full(len(x), -np.inf), np.full(len(x), -1)
+        floor = (np.cos(np.minimum(reach, np.pi)) - error).astype(np.float32)
+        mine = self.places(rows) if itself else np.full(len(x), -1)
+        visits = pairs = 0
+
+        def better(i: np.ndarray, place: np.ndarray, sims: np.ndarray) -> None:
+            # of equal similarities the smallest key counts
+            order = np.lexsort((self.rank[place], -sims, i))
+            i, place, sims = i[order], place[order], sims[order]
+            new = np.append(True, i[1:] != i[:-1])
+            i, place, sims = i[new], place[new], sims[new]
+            wins = (sims > best[i]) | ((sims == best[i]) & ((at[i] < 0) | (self.rank[place] < self.rank[at[i]])))
+            best[i[wins]], at[i[wins]] = sims[wins], place[wins]
+            floor[i] = np.maximum(floor[i], (best[i] - error).astype(np.float32))
+
+        for b, (a, e) in enumerate(zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True)):
+            angle = angles[:, number[b]]
+            met = (angle - reach <= self.hi[b]) & (angle + reach >= self.lo[b])
+            met &= (own == self.pivot[b]) if nearest_only else (own != self.pivot[b])
+            who = np.flatnonzero(met)
+            visits += len(who)
+            pairs += len(who) * (e - a)
+            step = max(1, CELLS // (e - a))
+            for k in range(0, len(who), step):
+                some = who[k : k + step]
+                sims = small[some] @ self.small[a:e].T
+                here = np.flatnonzero((mine[some] >= a) & (mine[some] < e))
+                sims[here, mine[some][here] - a] = -2
+                most = sims.max(axis=1)
+                near = np.flatnonzero(most >= floor[some])
+                if not len(near):
+                    continue
+                i, j = np.nonzero(sims[near] >= np.maximum(floor[some[near]], most[near] - error)[:, None])
+                if len(i) <= SEVERAL:
+                    i = some[near[i]]
+                    better(i, a + j, np.round(np.einsum("ij,ij->i", x[i], self.vectors[a + j]), DIGITS))
+                else:
+                    full = np.round(x[some[near]] @ self.vectors[a:e].T, DIGITS)
+                    full[sims[near] == -2] = -np.inf
+                    j = full.argmax(axis=1)
+                    better(some[near], a + j, full[np.arange(len(j)), j])
+        return best, at, visits, pairs
+
+
+def meet(queries: DataFrame, houses: DataFrame, pivots: Pivots, dim: int, key: str, itself: bool, nearest_only: bool, name: str) -> DataFrame:
+    """(row, best, nearest) of what queries find in each house, and a row (visits, pairs) of each meeting.
+
+    Every chunk of queries meets every house in some task; both are written tables of few large rows, so no vector is
+    shuffled, however many blocks its query visits.
     """
-    key = dict(placed.dtypes)["key"]
-    schema = f"row bigint, best double, nearest {key}"
+    schema = f"row bigint, best double, nearest {key}, visits bigint, pairs bigint"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: tuple[int, int] | None = None
-        held: list[pa.RecordBatch] = []
-        ready: tuple[np.ndarray, np.ndarray, pa.Array] | None = None
+        held: tuple[int, House] | None = None
         for batch in batches:
-            number, part, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-            new = np.ones(len(number), bool)
-            new[1:] = (number[1:] != number[:-1]) | (part[1:] != part[:-1]) | (home[1:] != home[:-1])
-            cuts = np.append(np.flatnonzero(new), len(number)).tolist()
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if (own := (int(number[a]), int(part[a]))) != group:
-                    group, held, ready = own, [], None
-                some = batch.slice(a, b - a)
-                if home[a]:
-                    held.append(some)
-                elif held:
-                    if ready is None:
-                        ready = (np.concatenate([_matrix(x.column(5)) for x in held]),
-                                 np.concatenate([x.column(3).to_numpy() for x in held]),
-                                 pa.concat_arrays([x.column(4) for x in held]))
-                    who = some.column(3).to_numpy()
-                    best, at = _nearest_homes(ready[0], ready[1], _matrix(some.column(5)), who, itself)
-                    yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(best), ready[2].take(pa.array(at))], names=["row", "best", "nearest"])
-
-    most = VISITORS * block_rows
-    crowds = visited.groupBy(F.col("block").alias("_c")).agg(F.ceil(F.count("*") / most).alias("parts"))
-    shared = F.col("block") == F.col("_c")
-    homes = placed.join(crowds, shared).select(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("home"), "row", "key", "vec")
-    guests = visited.join(crowds, shared).select(
-        F.col("row").alias("_r"), "block", F.pmod(F.xxhash64("row"), F.col("parts")).alias("part"))
-    guests = guests.join(queries.select("row", "vec"), F.col("_r") == F.col("row")).select(
-        "block", "part", F.lit(False).alias("home"), "row", F.lit(None).cast(key).alias("key"), "vec")
-    both = homes.unionByName(guests).repartition("block", "part").sortWithinPartitions("block", "part", F.desc("home"), "key")
-    return both.mapInArrow(compare, schema).filter("best > double('-infinity')")
+            names = batch.schema.names
+            for r in range(len(batch)):
+                cell = {n: np.frombuffer(c.as_buffer(), _BYTES[n.removeprefix("q_")]) for n in names
+                        if n.removeprefix("q_") in _BYTES for c in [batch.column(names.index(n))[r]]}
+                number, keys = batch.column(names.index("chunk"))[r].as_py(), batch.column(names.index("keys"))[r].values
+                if held is None or held[0] != number:
+                    held = (number, House(cell["row"], cell["vec"].reshape(-1, dim), cell["block"], cell["pivot"], cell["angle"], keys))
+                rows, x = cell["q_row"], cell["q_vec"].reshape(-1, dim)
+                best, at, visits, pairs = held[1].nearest(rows, x, cell["q_own"], cell["q_reach"], pivots, itself, nearest_only)
+                some = np.flatnonzero(at >= 0)
+                null = pa.nulls(len(some), pa.int64())
+                kind = held[1].keys.type
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([pa.array(rows[some]), pa.nulls(1, pa.int64())]), pa.concat_arrays([pa.array(best[some]), pa.nulls(1, pa.float64())]),
+                     pa.concat_arrays([held[1].keys.take(pa.array(at[some])), pa.nulls(1, kind)]),
+                     pa.concat_arrays([null, pa.array([visits])]), pa.concat_arrays([null, pa.array([pairs])])],
+                    names=["row", "best", "nearest", "visits", "pairs"])
+
+    asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("row", "vec", "own", "reach")])
+    # a pair of chunks is large, so few go to Python together
+    with one_pair_a_batch(queries.sparkSession):
+        return materialize(houses.crossJoin(asked).mapInArrow(compare, schema), name)
+
+
+@contextmanager
+def one_pair_a_batch(spark: SparkSession) -> Iterator[None]:
+    """Pairs go to Python one by one, and partitions of chunks are read as they were written."""
+    settings = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        # as much as any file, so that each is a partition
+        "spark.sql.files.maxPartitionBytes": str(1 << 40), "spark.sql.files.openCostInBytes": str(1 << 40),
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def _best_of(found: DataFrame) -> DataFrame:
@@ -188,7 +309,7 @@ def search(
 ) -> tuple[DataFrame, DataFrame]:
     """((row, key, best, nearest), (visits, pairs) of each of two rounds) for unit vectors (key, vec).
 
-    Zero vectors have similarity 0 to all. Two rounds visit blocks: first those of the pivot nearest to a query, as far as
+    Zero vectors have similarity 0 to all. Chunks of queries meet houses of blocks in memory (``meet``). In two rounds a query visits blocks: first those of the pivot nearest to a query, as far as
     the pivots' own similarities allow anything as good there; then those of all other pivots, with the best
     similarity found by then as the bound. On the sphere
     angles obey the triangle inequality, so no block left out can hold a nearer vector.
@@ -209,15 +330,18 @@ def search(
     work = spark.createDataFrame([], "round int, visits bigint, pairs bigint")
     if seen["n"]:
         pivots = Pivots(refs, seen["n"], seen["d"])
-        placed = place(refs, pivots, block_rows)
-        blocks = outlines(placed)
+        most = chunk_rows(seen["n"], seen["d"])
+        houses = housed(place(refs, pivots, block_rows), most)
         plain = asking.filter("not zero").select("row", "vec")
+        n = seen["n"] if itself else plain.count()
+        chunks = max(1, -(-n // most))
         known = plain.withColumn("best", F.lit(None).cast("double"))
         for turn, nearest_only in enumerate((True, False)):
-            visited = materialize(visits(ask(known, pivots, itself, nearest_only), blocks), "visits")
-            sized = visited.join(blocks.select(F.col("block").alias("_b"), "n"), F.col("block") == F.col("_b"))
-            work = work.unionByName(sized.agg(F.lit(turn).alias("round"), F.count("*").alias("visits"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")))
-            some = _best_of(meet(visited, plain, placed, blocks, block_rows, itself))
+            asked = bounded(known, pivots, itself).withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)))
+            met = meet(packed(asked, chunks, ["own"], "asked"), houses, pivots, seen["d"], key, itself, nearest_only, "met")
+            work = work.unionByName(met.filter("visits is not null").agg(
+                F.lit(turn).alias("round"), F.coalesce(F.sum("visits"), F.lit(0)).alias("visits"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")))
+            some = _best_of(met.filter("visits is null").select("row", "best", "nearest"))
             if nearest_only:
                 some = materialize(some, "best")
             found = found.unionByName(some)

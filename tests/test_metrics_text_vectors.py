@@ -7,12 +7,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from toys import EDGE, NODE, links, rows_of
 
 from pathloom.functions.text import compose_text
-from pathloom.operators import jobs, metrics, numbering
+from pathloom.operators import jobs, metrics, neighbors, numbering
 from pathloom.operators import phrases as phrases_module
 from pathloom.operators import text as te
 from pathloom.operators import vectors as ve
@@ -443,3 +444,47 @@ def test_no_vector_of_a_small_table_is_shuffled(spark, monkeypatch):
     first = next(i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x)
     assert sum("ObjectHashAggregate" in x for x in lines[:first]) == 2
     assert not any("ObjectHashAggregate" in x for x in lines[first:])
+
+
+def test_queries_meet_blocks_without_a_shuffle_of_vectors(spark, monkeypatch):
+    """Far apart vectors visit nearly all blocks; their vectors move to chunks once a round, whatever the number of blocks."""
+    plans, write = [], neighbors.materialize
+
+    def keep(df, name="stage", *rest):
+        if name == "met":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, *rest)
+
+    monkeypatch.setattr(neighbors, "materialize", keep)
+    monkeypatch.setattr(neighbors, "chunk_rows", lambda n, dim: 70)
+    x = np.random.default_rng(8).normal(size=(600, 24))
+    x[300:340] = x[:40]
+    x[340:420] = x[5]
+    got = {r.key: (r.best, r.nearest) for r in ve.best_cosine(as_vectors(spark, x), block_rows=30).collect()}
+    want = nearest_by_all_pairs(x)
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    assert all(math.isclose(got[k][0], want[k][0]) for k in want)
+    assert len(plans) == 2 and all("CartesianProduct" in p and "Exchange" not in p for p in plans)
+
+
+@pytest.mark.parametrize("several", [0, 1 << 13])
+def test_similarities_of_32_bits_leave_no_better_vector_out(monkeypatch, several):
+    """Vectors that differ by less than numbers of 32 bits can tell."""
+    monkeypatch.setattr(neighbors, "SEVERAL", several)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(5, 40))
+    x = np.concatenate([x + 1e-8 * rng.normal(size=x.shape) for _ in range(60)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n = len(x)
+    pivots = neighbors.Pivots.__new__(neighbors.Pivots)
+    pivots.rows, pivots.vectors = np.arange(1), x[:1]
+    keys = pa.array([f"k{(7 * i) % n:03d}" for i in range(n)])
+    angle = np.arccos(np.clip(x @ x[0], -1, 1))
+    house = neighbors.House(np.arange(n), x, np.zeros(n, np.int64), np.zeros(n, np.int32), angle, keys)
+    best, at, visits, pairs = house.nearest(np.arange(n), x, np.zeros(n, np.int32), np.full(n, 4.0), pivots, True, True)
+    sims = np.round(x @ x.T, 12)
+    np.fill_diagonal(sims, -np.inf)
+    names = np.array(keys.to_pylist())
+    assert (visits, pairs) == (n, n * n) and np.abs(best - sims.max(axis=1)).max() < 2e-12
+    exact = np.round(np.einsum("ij,ij->i", x, x[at]), 12)
+    assert np.abs(exact - sims.max(axis=1)).max() < 2e-12 and len(set(names[at])) > 5
