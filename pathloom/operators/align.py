@@ -101,12 +101,19 @@ def resolve_associations(
 ) -> tuple[DataFrame, DataFrame]:
     """Both association tables with the raw ids of their sides, that of the target as ``_left`` and ``_right``.
 
-    Each association is resolved once, however many triples it is in.
+    Each association is resolved once, however many triples it is in and however often the tables are read.
     """
     index = materialize(alias_index_first_wins(nodes), "aliases")
     left = resolve_sides(drug_target, index, ("drug", "target"), mappings).withColumnRenamed("kg_target", "_left")
     right = resolve_sides(target_disease, index, ("target", "disease"), mappings).withColumnRenamed("kg_target", "_right")
-    return left, right
+    return materialize(left, "resolved"), materialize(right, "resolved")
+
+
+def _names_target(left: DataFrame, right: DataFrame) -> Column:
+    """Whether the target of a drug's association shows the drug side's name, and so is resolved by that."""
+    if "target_name" in left.columns and "target_name" in right.columns:
+        return F.col("target_name").isNotNull()
+    return F.lit("target_name" in left.columns or "target_name" not in right.columns)
 
 
 def align_associations(
@@ -149,10 +156,7 @@ def _mapped_sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFra
     def source(tag: Column) -> Column:
         return F.concat(F.length(tag).cast("string"), F.lit(":"), tag, F.col("target_id")).alias("source")
 
-    if "target_name" in left.columns and "target_name" in right.columns:
-        own = F.col("target_name").isNotNull()
-    else:
-        own = F.lit("target_name" in left.columns or "target_name" not in right.columns)
+    own = _names_target(left, right)
     plain = F.lit("")
     mine, theirs = left.filter("kg_drug is not null"), right.filter("kg_disease is not null")
     by_left = mine.filter(own & F.col("_left").isNotNull()).select(source(plain), F.col("_left").alias("kg_target"), "kg_drug").distinct()
@@ -257,14 +261,39 @@ def _novelty(marked: DataFrame) -> DataFrame:
     )
 
 
-def mapping_report(aligned: DataFrame, triples: DataFrame | None = None) -> DataFrame:
+def side_counts(left: DataFrame, right: DataFrame) -> dict[str, DataFrame]:
+    """Per side (its id, n, m): triples of ``join_resolved`` that the id is in, and how many of them have it mapped.
+
+    An association is in as many triples as the other side has associations of its target, so none is formed.
+    """
+    lefts = left.groupBy("target_id").agg(F.count("*").alias("_n"))
+    rights = right.groupBy("target_id").agg(F.count("*").alias("_n"), F.count("_right").alias("_m"))
+
+    def counted(df: DataFrame, side: str, mapped: Column) -> DataFrame:
+        return df.groupBy(f"{side}_id").agg(F.sum("_n").alias("n"), F.sum(mapped).alias("m"))
+
+    def of(column: str) -> Column:
+        return F.when(F.col(column).isNotNull(), F.col("_n")).otherwise(F.lit(0))
+
+    own = _names_target(left, right)
+    drugs = left.join(rights, "target_id")
+    return {
+        "drug": counted(drugs, "drug", of("kg_drug")),
+        "target": counted(drugs, "target", F.when(own, of("_left")).otherwise(F.col("_m"))),
+        "disease": counted(right.join(lefts, "target_id"), "disease", of("kg_disease")),
+    }
+
+
+def mapping_report(aligned: DataFrame, triples: DataFrame | None = None, sides: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Per side and for whole triples: rows, mapped rows, entities and their rates.
 
     A scope's rows are combined by id before anything moves, so a side costs as
     many rows as it has entities. ``triples`` are the distinct resolved triples, where they are at hand; ``aligned``
-    must then hold one row per triple of ids, as ``join_resolved`` gives it, and no triple is moved.
+    must then hold one row per triple of ids, as ``join_resolved`` gives it, and no triple is moved. With the ``sides`` it was joined from,
+    triples are read for their own scope alone, and the scopes of sides are counted on associations.
     """
     aligned = aligned.select(*[c for s in SIDES for c in (f"{s}_id", f"kg_{s}")])
+    counted = side_counts(*sides) if sides is not None else {}
     if triples is None:
         aligned = materialize(aligned, "aligned")
 
@@ -275,7 +304,9 @@ def mapping_report(aligned: DataFrame, triples: DataFrame | None = None) -> Data
             counts = aligned.agg(F.count("*").alias("n_triples"), F.count_if(mapped).alias("n_mapped"))
             counts = counts.withColumns({"n_entities": F.col("n_triples"), "_hits": F.col("n_mapped")})
         else:
-            by_id = aligned.groupBy(*ids).agg(F.count("*").alias("n"), F.count_if(mapped).alias("m"))
+            by_id = counted.get(name)
+            if by_id is None:
+                by_id = aligned.groupBy(*ids).agg(F.count("*").alias("n"), F.count_if(mapped).alias("m"))
             counts = by_id.agg(
                 F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_triples"),
                 F.coalesce(F.sum("m"), F.lit(0)).cast("bigint").alias("n_mapped"),

@@ -169,7 +169,7 @@ _WHOLE = "kg_drug IS NOT NULL AND kg_target IS NOT NULL AND kg_disease IS NOT NU
 )
 def mapping_report(spark, sf_dir):
     sides = resolved(spark, sf_dir)
-    return rounded(al.mapping_report(al.join_resolved(*sides), al.mapped_triples(*sides)), "triple_rate", "entity_rate")
+    return rounded(al.mapping_report(al.join_resolved(*sides), al.mapped_triples(*sides), sides), "triple_rate", "entity_rate")
 
 
 @query(

@@ -10,7 +10,8 @@ folder, laid out by edge type, so every consumer prunes to the types it reads.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +22,15 @@ from ..operators.identity import assign_ids, build_edge_table
 from ..schema import DISEASE, DRUG, GENE, PATHWAY
 
 
-@dataclass(frozen=True)
 class Graph:
-    nodes: DataFrame
-    edges: DataFrame
+    """Stored nodes, and edges that are stored when they are first asked for."""
+
+    def __init__(self, nodes: DataFrame, build_edges: Callable[[DataFrame], DataFrame]):
+        self.nodes, self._build_edges = nodes, build_edges
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._build_edges(self.nodes)
 
 
 _stores: dict[tuple[str, str], Graph] = {}
@@ -108,7 +114,9 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The stored graph of ``sf_dir``, built on first use in a session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stores:
-        nodes = materialize(build_nodes(spark, sf_dir), "nodes")
-        edges = materialize(build_edge_table(nodes, raw_edges(spark, sf_dir)), "edges", EDGE_TYPE)
-        _stores[key] = Graph(nodes, edges.select("src_id", "src_type", "rel", "dst_type", "dst_id"))
+        def build_edges(nodes: DataFrame) -> DataFrame:
+            edges = materialize(build_edge_table(nodes, raw_edges(spark, sf_dir)), "edges", EDGE_TYPE)
+            return edges.select("src_id", "src_type", "rel", "dst_type", "dst_id")
+
+        _stores[key] = Graph(materialize(build_nodes(spark, sf_dir), "nodes"), build_edges)
     return _stores[key]

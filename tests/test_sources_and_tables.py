@@ -473,3 +473,29 @@ def test_tasks_of_a_written_stage_read_bounded_partitions(spark, monkeypatch):
     written = lineage.materialize(rows, "bounded", ("kind",))
     assert spark.conf.get(name) == before
     assert written.count() == 200_000 and len(written.inputFiles()) >= 8
+
+
+@pytest.mark.parametrize("named", ["both", "left", "right", "none"])
+def test_mapping_report_counts_sides_on_associations(spark, named):
+    """Sides are counted without triples, and resolved sides are read from a written table."""
+    draw = random.Random(12)
+    nodes = spark.createDataFrame(
+        [(i, f"{t}::{k}", t, f"{t[:4]} {k}", "MONDO") for i, (t, k) in enumerate((t, k) for t in ("drug", "gene/protein", "disease") for k in range(8))],
+        "global_id long, raw_id string, node_type string, name string, source string")
+    name = lambda k: draw.choice([None, f"gene {k % 5}", "unheard of"])
+    left = {(f"{draw.randrange(12)}", f"{draw.randrange(14)}") for _ in range(70)}
+    right = {(f"{draw.randrange(12)}", f"{draw.randrange(14)}") for _ in range(70)}
+    dt = spark.createDataFrame([(d, t, name(int(t))) for d, t in sorted(left)], "drug_id string, target_id string, target_name string")
+    td = spark.createDataFrame([(t, s, name(int(t))) for s, t in sorted(right)], "target_id string, disease_id string, target_name string")
+    if named not in ("both", "left"):
+        dt = dt.drop("target_name")
+    if named not in ("both", "right"):
+        td = td.drop("target_name")
+    sides = align.resolve_associations(dt, td, nodes)
+    assert all("Join" not in s._jdf.queryExecution().optimizedPlan().toString() for s in sides)
+    joined, triples = align.join_resolved(*sides), align.mapped_triples(*sides)
+    got = align.mapping_report(joined, triples, sides)
+    want = sorted(align.mapping_report(joined).collect())
+    assert sorted(got.collect()) == want and 0 < want[0].n_mapped < want[0].n_triples
+    assert {s: sorted(c.collect()) for s, c in align.side_counts(*sides).items()} == {
+        s: sorted(joined.groupBy(f"{s}_id").agg(F.count("*").alias("n"), F.count(f"kg_{s}").alias("m")).collect()) for s in align.SIDES}
